@@ -2,18 +2,53 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import chat, media, secrets
+from .decontaminate import decontaminate
+from .length_buckets import pack, token_counts
+from .line_dedup import line_dedup
 from .shared import table
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
 
 
-def op2_suffix_dedup(spark, sf_dir):
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return secrets.digest(secrets.find_secrets(docs, secrets.train(secrets.labelled_samples(docs))))
+
+
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(table(spark, sf_dir, "documents")).drop("spans")
 
 
-def op5_substring_dedup(spark, sf_dir):
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(token_counts(table(spark, sf_dir, "documents")))
+
+
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents")).drop("keep")
 
 
-QUERIES = {f.__name__: f for f in (op2_suffix_dedup, op5_substring_dedup)}
+def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.describe(media.store_texts(table(spark, sf_dir, "documents")))
+
+
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    says = "\\### Assistant: </turn> ok"
+    planted = spark.range(1).select(F.lit(-7).cast("long").alias("conv_id"), F.explode(F.array(F.struct(F.lit(0).cast("long").alias("turn"), F.lit("user").alias("role")), F.struct(F.lit(1).cast("long").alias("turn"), F.lit("assistant").alias("role")))).alias("t")).select("conv_id", "t.turn", "t.role", F.lit(says).alias("text"))
+    return chat.read_back(chat.format_conversations(turns.unionByName(planted)))
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_suffix_dedup, op3_decontaminate, op4_pack, op5_substring_dedup, op6_media, op7_chat, op8_line_dedup)}
 ORACLE_SQL: dict[str, str] = {}
