@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .blocks import blocks, byte_set, words
 from .shared import id_and_text
 
-MIN_RUN, MIN_LLR, MAX_SAMPLES = 16, 25.0, 2_000
+MIN_RUN, MIN_LLR, MAX_SAMPLES = 16, 20.0, 2_000
 #: The alphabet of candidates and the patterns of the three kinds.
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -66,7 +66,9 @@ def labelled_samples(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     joined = [F.array_join(F.slice("w", 1, 3), sep) for sep in ("_", "-", ".", "/")] + [F.array_join(F.transform(F.slice("w", 1, 3), F.initcap), "")]
     usual = spark.createDataFrame([(f"{a}{s}{b}{s}{c}{d}",) for s in ("_", "-", ".", "/", "") for a in ("get", "user", "http", "max") for b in ("Account", "value", "path", "request") for c in ("Name", "index", "2", "html") for d in ("", "1", "2024", ".txt")], "text string")
     names = found.select(F.explode(F.array_union(F.col("w"), F.array(*joined))).alias("text")).union(usual)
-    return made.union(names.withColumn("random", F.lit(False)))
+    numbers = spark.range(5_000).select(F.lpad(F.pmod(F.xxhash64("id"), F.lit(10**16)).cast("string"), 16, "0").alias("text"))  # serial, card and phone numbers
+    rules = spark.range(100).select(F.explode(F.array(*(F.lit(c * 24) for c in "-=_.+/"))).alias("text"))
+    return made.union(names.union(numbers).union(rules).withColumn("random", F.lit(False)))
 
 
 class Model:
