@@ -9,6 +9,8 @@ from . import chat, media, secrets
 from .decontaminate import decontaminate
 from .length_buckets import pack, token_counts
 from .line_dedup import line_dedup
+from .near_dedup import near_dedup
+from .quality import resample
 from .shared import table
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
@@ -50,5 +52,14 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_suffix_dedup, op3_decontaminate, op4_pack, op5_substring_dedup, op6_media, op7_chat, op8_line_dedup)}
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents taken; those that are missing are rejected."""
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "weight", F.col("key").alias("gumbel_key"), F.lit(True).alias("kept"))
+
+
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(table(spark, sf_dir, "documents"), shingle=2)
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_suffix_dedup, op3_decontaminate, op4_pack, op5_substring_dedup, op6_media, op7_chat, op8_line_dedup, op9_quality, op10_near_dedup)}
 ORACLE_SQL: dict[str, str] = {}
