@@ -128,7 +128,7 @@ def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shin
     places = heads.select(F.col("doc_id").alias("x"), F.explode("bands").alias("band")).distinct()
     crowded = places.groupBy("band").agg(F.count("*").alias("c")).where("c > 1").select("band")
     held = checkpointed(places.join(crowded, "band"))  # nodes by the bands that they share with another
-    bodies = heads.select("doc_id", "s0", "body").dropDuplicates(["doc_id", "s0"]).join(held.select(F.col("x").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "body")
+    bodies = checkpointed(heads.select("doc_id", "s0", "body").join(held.select(F.col("x").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id", "s0"]).select("doc_id", "body"))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         left, right = bodies.select(F.col("doc_id").alias("a"), F.col("body").alias("left")), bodies.select(F.col("doc_id").alias("b"), F.col("body").alias("right"))

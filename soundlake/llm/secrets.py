@@ -60,7 +60,9 @@ def labelled_samples(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
         F.explode(F.array(F.substring(digest, 1, 40), F.regexp_replace(F.base64(F.unhex(digest)), "[^A-Za-z0-9+/]", ""), F.upper(F.substring(F.regexp_replace(F.base64(F.unhex(digest)), "[^A-Za-z0-9]", ""), 1, 32)), F.regexp_replace(F.base64(F.unhex(F.substring(digest, 1, 60))), "[+/=]", "_"))).alias("text"),
         F.lit(True).alias("random"),
     )
-    rows = id_and_text(docs, doc_id, text).select("text").where("text is not null").orderBy(F.xxhash64("text"), "text").limit(max_samples)
+    rows = id_and_text(docs, doc_id, text).select("text", F.xxhash64("text").alias("h")).where("text is not null")
+    least = rows.select("h").distinct().orderBy("h").limit(max_samples)  # only hashes move
+    rows = rows.join(F.broadcast(least), "h", "left_semi").dropDuplicates(["h"])
     clean = F.regexp_replace("text", r"(?i)(password|passwd|secret|token|api_?key)[\"']? *[:=] *[\"']?[A-Za-z0-9+/_.=-]+|AKIA[A-Z0-9]{12,}|[0-9a-f]{32,}", " ")
     found = rows.select(F.slice(F.regexp_extract_all(clean, F.lit(r"[A-Za-z][A-Za-z0-9+/_.=-]{3,}"), F.lit(0)), 1, 400).alias("w")).where("size(w) >= 3")
     joined = [F.array_join(F.slice("w", 1, 3), sep) for sep in ("_", "-", ".", "/")] + [F.array_join(F.transform(F.slice("w", 1, 3), F.initcap), "")]
