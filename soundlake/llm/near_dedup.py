@@ -128,7 +128,7 @@ def _confirm(shingle: int, percent: int):
 
 
 def _differences(shingle: int, percent: int):
-    """Pairs (a, b, left, right): b's size, the size of the difference of both sets, whether they are similar, and a row for each shingle in it."""
+    """Pairs (a, b, c_b, left, right): b's component and size, the size of the difference of both sets, whether they are similar, and a row for each shingle in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -141,25 +141,25 @@ def _differences(shingle: int, percent: int):
                 one[1:] &= ~twin[:-1]
                 at = row[one]
                 like = _similar(n, both, percent)
-                columns = [part.column("a").take(pa.array(at)), part.column("b").take(pa.array(at)), *(pa.array(x[at]) for x in (n[0], n[1], n[0] + n[1] - 2 * both, like)), pa.array((value[one] >> np.uint64(32)).astype(np.uint32).view(np.int32))]
-                yield pa.RecordBatch.from_arrays(columns, names=["p", "x", "np", "n", "d", "like", "e"])
+                columns = [part.column("a").take(pa.array(at)), part.column("b").take(pa.array(at)), part.column("c_b").take(pa.array(at)), *(pa.array(x[at]) for x in (n[0], n[1], n[0] + n[1] - 2 * both, like)), pa.array((value[one] >> np.uint64(32)).astype(np.uint32).view(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, names=["p", "x", "c", "np", "n", "d", "like", "e"])
 
     return run
 
 
 def _by_differences(rows: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of nodes under one pivot that share enough of their differences from it. rows: (p, x, np, n, d, like, e)."""
+    """(a, b) of nodes in different components, under one pivot, that share enough of their differences from it. rows: (p, x, c, np, n, d, like, e)."""
     r = F.lit((100 - percent) / (100 + percent))
-    counts = rows.groupBy("p", "e").agg(F.count("*").alias("c"))
-    rare = Window.partitionBy("p", "x").orderBy("c", "e")  # no more than the shingles of two documents
+    counts = rows.groupBy("p", "e").agg(F.count("*").alias("often"))
+    rare = Window.partitionBy("p", "x").orderBy("often", "e")  # no more than the shingles of two documents
     ranked = rows.join(counts, ["p", "e"]).withColumns({"rank": F.row_number().over(rare), "g": F.col("d") - r * F.col("n"), "w": F.greatest(F.lit(1.0), F.col("np") * r / 2)})
-    ranked = checkpointed(ranked.withColumn("bin", F.floor(F.col("g") / F.col("w"))).drop("c"))
+    ranked = checkpointed(ranked.withColumn("bin", F.floor(F.col("g") / F.col("w"))).drop("often"))
     first = lambda g, h: F.col("d") + 1 - F.greatest(F.lit(1), F.ceil((g + h) / 2 - 1e-6))
-    held = ranked.where(F.col("rank") <= first(F.col("g"), F.col("np") * r)).select("p", "e", "bin", *(F.col(c).alias(f"{c}_") for c in ("x", "n", "g", "d", "rank")))
+    held = ranked.where(F.col("rank") <= first(F.col("g"), F.col("np") * r)).select("p", "e", "bin", *(F.col(c).alias(f"{c}_") for c in ("x", "c", "n", "g", "d", "rank")))
     bins = ranked.groupBy("p").agg(F.collect_set("bin").alias("bins"))  # sizes of differences in steps of a part of the pivot's size
     asked = ranked.where("not like").drop("bin").join(bins, "p").withColumn("bin", F.explode("bins")).where(F.col("rank") <= first(F.col("g"), F.col("bin") * F.col("w")))
     shared = F.greatest(F.lit(1), F.ceil((F.col("g") + F.col("g_")) / 2 - 1e-6))
-    near = (F.col("x") != F.col("x_")) & (F.col("rank") <= F.col("d") + 1 - shared) & (F.col("rank_") <= F.col("d_") + 1 - shared) & (F.least("n", "n_") * 100 >= F.greatest("n", "n_") * percent)
+    near = (F.col("c") != F.col("c_")) & (F.col("rank") <= F.col("d") + 1 - shared) & (F.col("rank_") <= F.col("d_") + 1 - shared) & (F.least("n", "n_") * 100 >= F.greatest("n", "n_") * percent)
     keys = ["p", "bin", "e"]
     return asked.join(held, keys).where(near).select(F.least("x", "x_").alias("a"), F.greatest("x", "x_").alias("b"))
 
@@ -180,7 +180,7 @@ def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shin
 
     def with_texts(pairs: DataFrame) -> DataFrame:
         left, right = bodies.select(F.col("doc_id").alias("a"), F.col("body").alias("left")), bodies.select(F.col("doc_id").alias("b"), F.col("body").alias("right"))
-        return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right")
+        return pairs.join(left, "a").join(right, "b").select(*pairs.columns, "left", "right")
 
     # rows of one doc_id are one node: what they are equal to hangs together
     links = checkpointed(member.where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b")).distinct())
@@ -213,9 +213,8 @@ def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shin
     if first is not None:
         under = checkpointed(named(first, "a", "b"))
         open_ = under.where("c_a <> c_b").select("a").distinct()
-        rows = with_texts(under.join(open_, "a", "left_semi").select("a", "b")).mapInArrow(_differences(shingle, percent), "p long, x long, np long, n long, d long, like boolean, e int")
-        pairs = named(_by_differences(rows, percent).distinct(), "a", "b").where("c_a <> c_b").select("a", "b")
-        linked_by(checkpointed(pairs.join(tested, ["a", "b"], "left_anti")))
+        rows = with_texts(under.join(open_, "a", "left_semi").select("a", "b", "c_b")).mapInArrow(_differences(shingle, percent), "p long, x long, c long, np long, n long, d long, like boolean, e int")
+        linked_by(checkpointed(_by_differences(rows, percent).distinct().join(tested, ["a", "b"], "left_anti")))
     names = member.select("doc_id", "s0", "s1", "n", "node").distinct()
     if of is not None:
         names = names.join(of, names.node == of.node, "left").select("doc_id", "s0", "s1", "n", F.coalesce("component", names.node).alias("c"))
