@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: What marks featured artists, and words that name an edition. ASCII word edges, so accents never end a word.
 _FEATURING = r"\s*[(\[]?\s*(?<![A-Za-z0-9_])(?:feat|ft|featuring|with)(?![A-Za-z0-9_])\.?\s+[^)\]]*[)\]]?"
@@ -17,7 +18,7 @@ _LEADING = r"^\s*(?:(?:\d{1,2})[-_.\s]+)?(\d{1,3})\s*[-_.)\s]+\s*(?=\S)"
 AUDIO = r"\.(mp3|m4a|aac|ogg|opus|wav|flac)$"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _without_accents(names: pd.Series) -> pd.Series:
     return names.map(lambda s: s if s is None or s.isascii() else "".join(c for c in unicodedata.normalize("NFD", s) if not "̀" <= c <= "ͯ"), na_action="ignore")
 

@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import names
 
@@ -33,7 +34,7 @@ def _cells(texts: pd.Series) -> np.ndarray:
     return out.reshape(-1, SEGMENTS, FRAMES, BINS)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def fingerprint_distance(left: pd.Series, right: pd.Series) -> pd.Series:
     """1 less the mean over segments of the best correlation at lags of up to three frames, every bin about its own mean; null if nothing varies."""
     a, b = _cells(left), _cells(right)
