@@ -1 +1,6 @@
 """Queries by name over the derived relations, with DuckDB SQL for those that SQL can express."""
+
+from . import signals  # registers its queries too
+from .catalog import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES", "signals"]

@@ -15,11 +15,17 @@ ARTIST_COLUMNS = ("artist name(s)", "artist name", "artist", "artists", "album a
 EXPORT_FORMAT, EXPORT_VERSION, HEAD_BYTES = "soundlake-library", 1, 1 << 20
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df, written to the folder that the cluster names in spark.checkpoint.dir; one of our own only where none is named."""
-    context = df.sparkSession.sparkContext
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where none is named."""
+    context = spark.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="soundlake-"))
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="soundlake-"))
+    return context.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df, written to the checkpoint folder."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -32,8 +38,7 @@ def scan_folder(spark: SparkSession, folder: str) -> DataFrame:
     """(id, rel_path, file_name, size, last_modified) of the audio files below a folder."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.*").load(folder)
     name = F.element_at(F.split("path", "/"), -1)
-    root = F.concat(F.lit(folder.rstrip("/").split("://")[-1].split(":")[-1]), F.lit("/"))
-    rel = F.substring_index(F.col("path"), root, -1)
+    rel = F.substring_index("path", folder.rstrip("/").split("://")[-1].split(":")[-1] + "/", -1)
     return files.where(names.is_audio(name)).select(content_id(F.col("content"), F.col("length")).alias("id"), rel.alias("rel_path"), name.alias("file_name"), F.col("length").alias("size"), F.unix_millis("modificationTime").alias("last_modified"))
 
 

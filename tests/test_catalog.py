@@ -4,7 +4,7 @@ import os
 
 import pytest
 
-from soundlake.queries import catalog
+from soundlake import queries as catalog
 
 from .oracle import duck, spark_bag
 
