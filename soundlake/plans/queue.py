@@ -58,11 +58,13 @@ def curve(shape: str, position: float, start: float) -> float:
     return min(1.0, max(0.0, start + move))
 
 
-def _near_in_tempo(rows: DataFrame, current: Row) -> DataFrame:
-    if not current.bpm or current.bpm <= 0 or rows.limit(MANY_ROWS).count() < MANY_ROWS:
-        return rows
-    near = rows.where((F.col("bpm") > 0) & (scores.tempo_distance(F.lit(current.bpm), F.col("bpm")) <= NEAR_TEMPO))
-    return near if near.limit(SHORTLIST).count() >= SHORTLIST else rows
+def _shortlist(rows: DataFrame, many: bool) -> list[Row]:
+    """The dozen cheapest rows (with cost and near); of a large collection only those near in tempo, if there are a dozen."""
+    if many:
+        short = rows.orderBy(F.desc("near"), "cost", "id").limit(SHORTLIST).collect()
+        if len(short) == SHORTLIST and all(r.near for r in short):
+            return short
+    return rows.orderBy("cost", "id").limit(SHORTLIST).collect()
 
 
 def draw(shortlist: list[Row], random: Callable[[], float]) -> Row:
@@ -84,10 +86,12 @@ def plan_queue(tracks: DataFrame, seed_id: str, length: int = 20, target: Target
     current = rows.where(F.col("id") == seed_id).first()
     spark, planned = tracks.sparkSession, []
     used = {seed_id, *exclude}
+    left = rows.where(~F.col("id").isin(*used)).limit(MANY_ROWS + length).count() if current else 0
     for step in range(length if current else 0):
         energy = curve(shape, 0 if length <= 1 else (step + 1) / length, target.energy if start_energy is None else start_energy)
-        free = _near_in_tempo(rows.where(~F.col("id").isin(*used)), current)
-        short = scored(free, literals(current), replace(target, energy=energy), energy, weights).orderBy("cost", "id").limit(SHORTLIST).collect()  # a dozen rows
+        free = scored(rows.where(~F.col("id").isin(*used)), literals(current), replace(target, energy=energy), energy, weights)
+        near = F.coalesce((F.col("bpm") > 0) & (scores.tempo_distance(F.lit(current.bpm), F.col("bpm")) <= NEAR_TEMPO), F.lit(False))
+        short = _shortlist(free.withColumn("near", near), (current.bpm or 0) > 0 and left - step >= MANY_ROWS)
         if not short:
             break
         current = draw(short, random)
