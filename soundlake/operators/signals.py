@@ -7,6 +7,7 @@ in, one row of numbers out, so the work spreads as the recordings do.
 
 from __future__ import annotations
 
+import base64
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Frame sizes, tempo search, key profiles (tonic first), chroma range, edges and bandwidth.
-RATE, FRAME, HOP, CHROMA_FRAME = 16_000, 2_048, 1_024, 4_096
+RATE, FRAME, HOP, CHROMA_FRAME, ONSET_FRAME = 16_000, 2_048, 1_024, 4_096, 1_024
 MIN_BPM, MAX_BPM, BPM_STEP, PRIOR_BPM, PRIOR_OCTAVES, SUB_WEIGHT = 40, 220, 0.25, 120, 0.9, 0.7
 HARMONICS = (1, 0.5, 0.33, 0.25)
 PEAK_FLOOR, PEAK_CEILING = 3, 15
@@ -23,6 +24,9 @@ MAJOR = (6.35, 2.23, 3.48, 2.33, 4.38, 4.09, 2.52, 5.19, 2.39, 3.66, 2.29, 2.88)
 MINOR = (6.33, 2.68, 3.52, 5.38, 2.6, 3.53, 2.54, 4.75, 3.98, 2.69, 3.34, 3.17)
 CHROMA_LOW, CHROMA_HIGH = 80, 5_000
 EDGE_SEC, EDGE_DB, EDGE_RUN = 0.05, -40, 4
+GRID_BPM, PHASES, LEAST_GRID, LEAST_TEMPO, LEAD_FRAMES, BUSY, LEVEL_SEC, END_SEC = (50, 210), 32, 0.4, 0.3, 0.78, 4, 0.25, 20
+WINDOW_SEC, WINDOW_AT, SHORT_SEC, LEAST_SEC, TEMPO_SEC, TEMPO_AT = 10, (0.15, 0.5, 0.8), 35, 3, 30, 0.25
+SEGMENTS, SEGMENT_FRAMES = 3, 20
 BAND_HZ, CUTOFF_FRAME, CUTOFF_FRAMES, CUTOFF_DB = 500, 8_192, 64, -55
 
 
@@ -126,8 +130,13 @@ def key_of(chroma: Column) -> Column:
     return F.struct(best["root"].alias("root"), F.when(best["minor"] == 0, "major").otherwise("minor").alias("scale"), unit(-best["r"]).alias("strength"), unit(-best["r"] - other).alias("margin"))
 
 
-def danceability(clarity: Column, weight: Column, busyness: Column) -> Column:
-    return F.cbrt(clarity * weight * busyness)
+def plan_windows(samples: Column, rate: Column) -> Column:
+    """struct(descriptor, tempo) of (offset, length) windows of a signal of so many samples: the whole of a short one, null below 3 seconds."""
+    window = lambda at, sec: F.struct(F.least(F.floor(samples * at + 0.5), F.greatest(F.lit(0), samples - F.floor(rate * sec + 0.5))).cast("long").alias("offset"), F.least(samples, F.floor(rate * sec + 0.5)).cast("long").alias("length"))
+    whole = F.struct(F.lit(0).cast("long").alias("offset"), samples.cast("long").alias("length"))
+    plan = lambda parts, tempo: F.struct(F.array(*parts).alias("descriptor"), tempo.alias("tempo"))
+    sec = samples / rate
+    return F.when(sec >= SHORT_SEC, plan([window(at, WINDOW_SEC) for at in WINDOW_AT], window(TEMPO_AT, TEMPO_SEC))).when(sec >= LEAST_SEC, plan([whole], whole))
 
 
 # --- numpy inside tasks ---
@@ -156,7 +165,7 @@ def _smooth(x: np.ndarray, radius: int) -> np.ndarray:
 def envelope(x: np.ndarray, rate: int) -> tuple[np.ndarray, float, float]:
     """(onset strength, its rate, peakiness)."""
     hop = max(1, round(rate / 100))
-    mags = spectra(x, 1_024, hop)
+    mags = spectra(x, ONSET_FRAME, hop)
     flux = np.concatenate([[0.0], np.maximum(0, np.diff(mags, axis=0)).sum(axis=1)])
     own = rate / hop
     smooth = _smooth(flux, 1)
@@ -186,6 +195,58 @@ def tempo(strength: np.ndarray, rate: float, peakiness: float) -> tuple[float, f
     return float(bpm[best]), round(min(1.0, float(comb[best])) * salience, 3)
 
 
+def beat_grid(strength: np.ndarray, rate: float, bpm: float, lead_sec: float = 0.0) -> tuple[float, float] | None:
+    """(time of the first beat, strength from 0 to 1) of an onset envelope at a known tempo; None where no grid can be laid. lead_sec: how far the envelope runs ahead of the sound."""
+    mean = strength.mean() if len(strength) else 0.0
+    period = 60 * rate / bpm if GRID_BPM[0] <= bpm <= GRID_BPM[1] else 0.0
+    beats = int(len(strength) // period) if period else 0
+    if beats < 4 or mean <= 0:
+        return None
+    at = np.arange(PHASES)[:, None] / PHASES * period + np.arange(beats) * period
+    value = np.interp(at, np.arange(len(strength)), strength)
+    score = value.sum(axis=1)
+    best = int(np.argmax(score))
+    hits = (value[best] > mean).mean()
+    margin = (score[best] - score.mean()) / (score[best] + score.mean())
+    return (best / PHASES * period / rate + lead_sec) % (60 / bpm), float(min(1.0, max(0.0, margin * hits)))
+
+
+def beat_edges(x: np.ndarray, rate: int, bpm: float, confidence: float) -> tuple[float | None, float | None]:
+    """Times of a beat near the start and near the end, from 20 seconds each; None where tempo or grid are too weak."""
+    size, out = min(len(x), END_SEC * rate), []
+    for offset in (0, len(x) - size):
+        own, own_rate, _ = envelope(x[offset : offset + size], rate) if confidence >= LEAST_TEMPO else (np.zeros(0), 1.0, 1.0)
+        grid = beat_grid(own, own_rate, bpm, LEAD_FRAMES * ONSET_FRAME / rate)
+        out.append(None if grid is None or grid[1] < LEAST_GRID else offset / rate + grid[0])
+    return out[0], out[1]
+
+
+def onset_density(strength: np.ndarray, rate: float) -> float:
+    """Peaks a second that stand out by a standard deviation."""
+    if len(strength) < 3 or strength.mean() == 0:
+        return 0.0
+    mid = strength[1:-1]
+    return float(((mid > strength.mean() + strength.std()) & (mid >= strength[:-2]) & (mid > strength[2:])).sum() * rate / len(strength))
+
+
+def danceability(clarity: float, low_band: float, density: float) -> float:
+    unit = lambda v: min(1.0, max(0.0, v))
+    return unit(float(np.cbrt((0.2 + 0.8 * unit(clarity)) * (0.4 + 0.6 * unit(2 * low_band)) * (0.3 + 0.7 * unit(density / BUSY)))))
+
+
+def fingerprint(x: np.ndarray, rate: int) -> str | None:
+    """Three stretches of 20 chroma frames as text; None for a signal too short for them."""
+    if len(x) >= SHORT_SEC * rate:
+        starts = [min(round(at * len(x)), len(x) - WINDOW_SEC * rate) for at in WINDOW_AT]
+        parts = [x[s : s + WINDOW_SEC * rate] for s in starts]
+    else:
+        parts = np.array_split(x, SEGMENTS)
+    if len(x) < LEAST_SEC * rate or min(map(len, parts)) < SEGMENT_FRAMES * CHROMA_FRAME:
+        return None
+    cells = [chroma(f, rate) for part in parts for f in np.array_split(part, SEGMENT_FRAMES)]
+    return base64.urlsafe_b64encode(np.floor(np.array(cells) * 255 + 0.5).astype(np.uint8).tobytes()).decode()
+
+
 def chroma(x: np.ndarray, rate: int) -> np.ndarray:
     """Energy of 12 pitch classes from C, split between the two nearest, the largest being 1."""
     energy = (spectra(x, CHROMA_FRAME, CHROMA_FRAME) ** 2).sum(axis=0)
@@ -233,7 +294,7 @@ def cutoff_hz(x: np.ndarray, rate: int) -> float | None:
     return None if middle.max() <= 0 else float((np.flatnonzero(middle > middle.max() * 10 ** (CUTOFF_DB / 10))[-1] + 1) * BAND_HZ)
 
 
-FEATURES = "id string, duration_sec double, rms double, crest double, zcr double, centroid_hz double, rolloff_hz double, low_band double, flux double, bpm double, bpm_confidence double, chroma array<double>, sound_start_sec double, sound_end_sec double, cutoff_hz double"
+FEATURES = "id string, duration_sec double, rms double, crest double, zcr double, centroid_hz double, rolloff_hz double, low_band double, flux double, bpm double, bpm_confidence double, chroma array<double>, sound_start_sec double, sound_end_sec double, cutoff_hz double, head_ratio double, tail_ratio double, onset_density double, danceability double, intro_beat_sec double, outro_beat_sec double, fingerprint string"
 
 
 def features(x: np.ndarray, rate: int) -> tuple:
@@ -250,7 +311,13 @@ def features(x: np.ndarray, rate: int) -> tuple:
     flux = np.maximum(0, np.diff(mags, axis=0)).sum(axis=1).mean() if len(mags) > 1 else 0.0
     edges = sound_edges(x, rate) or (None, None)
     zcr = float(((x[1:] >= 0) != (x[:-1] >= 0)).mean()) if len(x) > 1 else 0.0
-    return (len(x) / rate, level, float(np.abs(x).max() / level) if level > 0 else 0.0, zcr, float(centroid), float(rolloff), float(low), float(flux), *tempo(*envelope(x, rate)), chroma(x, rate).tolist(), *edges, cutoff_hz(x, rate))
+    strength, own_rate, peakiness = envelope(x, rate)
+    bpm, confidence = tempo(strength, own_rate, peakiness)
+    density = onset_density(strength, own_rate)
+    end = min(len(x), max(1, round(LEVEL_SEC * rate)))
+    ratio = lambda part: float(np.sqrt((part * part).mean()) / level) if level > 0 else 0.0
+    crest_ = float(np.abs(x).max() / level) if level > 0 else 0.0
+    return (len(x) / rate, level, crest_, zcr, float(centroid), float(rolloff), float(low), float(flux), bpm, confidence, chroma(x, rate).tolist(), *edges, cutoff_hz(x, rate), ratio(x[:end]), ratio(x[len(x) - end :]), density, danceability(confidence, float(low), density), *beat_edges(x, rate, bpm, confidence), fingerprint(x, rate))
 
 
 def extract(recordings: DataFrame) -> DataFrame:

@@ -146,6 +146,27 @@ def test_extraction(spark):
     assert got["none"].rms == 0 and got["none"].sound_start_sec is None and got["short"].duration_sec > 0
 
 
+def test_beats_and_prints(spark):
+    rate, bpm = 8_000, 120
+    x = np.zeros(rate * 40)
+    rng = np.random.default_rng(2)
+    for at in np.arange(0.25, 40, 60 / bpm):
+        i = int(at * rate)
+        x[i : i + 240] += rng.normal(size=len(x[i : i + 240])) * np.linspace(1, 0, len(x[i : i + 240]))
+    strength, own, peakiness = signals.envelope(x, rate)
+    phase, strong = signals.beat_grid(strength, own, bpm, signals.LEAD_FRAMES * signals.ONSET_FRAME / rate)
+    assert abs(phase - 0.25) < 0.03 and strong > 0.4
+    first, last = signals.beat_edges(x, rate, bpm, 0.9)
+    assert abs(first - 0.25) < 0.03 and abs((last - 0.25) % 0.5 - 0.25) > 0.2
+    assert abs(signals.onset_density(strength, own) - 2) < 0.3
+    assert signals.beat_grid(strength, own, 30) is None and signals.beat_edges(x, rate, bpm, 0.1) == (None, None)
+    long = rng.normal(size=16_000 * 40)
+    assert len(signals.fingerprint(long, 16_000)) == 960 and signals.fingerprint(long[:16_000], 16_000) is None
+    plans = spark.createDataFrame([(16_000 * 100,), (16_000 * 20,), (16_000,)], "n long").select("n", signals.plan_windows(F.col("n"), F.lit(16_000)).alias("p")).collect()
+    got = {r.n: r.p and ([tuple(w) for w in r.p.descriptor], tuple(r.p.tempo)) for r in plans}
+    assert got == {1_600_000: ([(240_000, 160_000), (800_000, 160_000), (1_280_000, 160_000)], (400_000, 480_000)), 320_000: ([(0, 320_000)], (0, 320_000)), 16_000: None}
+
+
 def test_clipped(spark):
     x = [0.0, 1.0, 1.0, 0.2, 1.0, -1.0, 1.0, 1.0, 0.0]
     assert spark.createDataFrame([(x,)], "x array<double>").select(signals.clipped(F.col("x")).alias("c")).first().c == 4 / 9
