@@ -307,12 +307,16 @@ def ambiguous_titles(spark, sf_dir):
 _PLAIN = "trim(regexp_replace(regexp_replace(regexp_replace(lower({}), ' feat\\. .*$', ''), '\\(2011 remaster\\)', ''), '[^a-z0-9]+', ' ', 'g'))"
 
 
-@query(f", i AS (SELECT id, {_PLAIN.format('artist')} AS a, {_PLAIN.format('title')} AS t FROM tracks WHERE title IS NOT NULL), f AS (SELECT a, t, min(id) AS id FROM i WHERE a IS NOT NULL GROUP BY 1, 2), o AS (SELECT t, min(id) AS id FROM i GROUP BY 1 HAVING count(DISTINCT id) = 1) SELECT w.ord, w.artist, w.title, coalesce(f.id, o.id) AS id, CASE WHEN coalesce(f.id, o.id) IS NOT NULL THEN 'tags' END AS via FROM wants w LEFT JOIN f ON f.a = {_PLAIN.format('w.artist')} AND f.t = {_PLAIN.format('w.title')} LEFT JOIN o ON w.artist IS NULL AND o.t = {_PLAIN.format('w.title')}")
+_NAMES = f", i AS (SELECT id, {_PLAIN.format('artist')} AS a, {_PLAIN.format('title')} AS t FROM tracks WHERE title IS NOT NULL), f AS (SELECT a, t, min(id) AS id FROM i WHERE a IS NOT NULL GROUP BY 1, 2), o AS (SELECT t, min(id) AS id FROM i GROUP BY 1 HAVING count(DISTINCT id) = 1)"
+_MATCHED = f" SELECT w.ord, w.artist, w.title, coalesce(f.id, o.id) AS id, CASE WHEN coalesce(f.id, o.id) IS NOT NULL THEN 'tags' END AS via FROM wants w LEFT JOIN f ON f.a = {_PLAIN.format('w.artist')} AND f.t = {_PLAIN.format('w.title')} LEFT JOIN o ON w.artist IS NULL AND o.t = {_PLAIN.format('w.title')}"
+
+
+@query(_NAMES + _MATCHED)
 def want_list_match(spark, sf_dir):
     return wants.match_wants(R.wants(spark, sf_dir), R.tracks(spark, sf_dir))
 
 
-@query()
+@query(_NAMES + ", m AS (" + _MATCHED + ") SELECT count(id) AS owned, count(*) FILTER (id IS NULL) AS missing, count(*) FILTER (artist IS NULL) AS title_only FROM m")
 def want_summary(spark, sf_dir):
     return wants.want_summary(wants.match_wants(R.wants(spark, sf_dir), R.tracks(spark, sf_dir)))
 
