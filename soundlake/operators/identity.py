@@ -105,13 +105,23 @@ def duplicate_groups(recordings: DataFrame, tolerance: float = TOLERANCE_SEC, th
 
 
 def duplicate_verdicts(recordings: DataFrame, tolerance: float = TOLERANCE_SEC, threshold: float = THRESHOLD) -> DataFrame:
-    """(group_id, n, verdict): different-mastering if any pair differs by more than 2.5 dB or .12 of compression, else same-file. recordings also has loudness_db and compression."""
+    """(group_id, n, verdict): different-mastering if any pair that sounds alike differs by more than 2.5 dB or .12 of compression, else same-file. recordings also has loudness_db and compression.
+
+    All recordings of one length and fingerprint match each other, and all of one such class match all of a class that sounds alike. So the least and greatest values of classes tell whether any pair differs, without listing the pairs. Values that are null or NaN differ from none.
+    """
     pairs = _kept(duplicate_pairs(recordings, tolerance, threshold))
     groups = components(pairs)
-    facts = lambda p: recordings.select(F.col("id").alias(f"{p}_id"), F.col("loudness_db").alias(f"{p}_db"), F.col("compression").alias(f"{p}_c"))
-    differs = (F.abs(F.col("a_db") - F.col("b_db")) > REMASTER_DB) | (F.abs(F.col("a_c") - F.col("b_c")) > REMASTER_COMPRESSION)
-    told = pairs.join(facts("a"), "a_id").join(facts("b"), "b_id").join(groups.withColumnRenamed("id", "a_id"), "a_id")
-    any_ = told.groupBy("group_id").agg(F.coalesce(F.bool_or(differs), F.lit(False)).alias("d"))
+    limits = {"loudness_db": REMASTER_DB, "compression": REMASTER_COMPRESSION}
+    value = lambda c: F.when(~F.isnan(c), F.col(c).cast("double"))
+    ends = [f(value(c)).alias(f"{p}_{c}") for c in limits for f, p in ((F.min, "lo"), (F.max, "hi"))]
+    usable = recordings.where("id IS NOT NULL AND duration_sec IS NOT NULL AND fingerprint IS NOT NULL")
+    kinds = _kept(usable.groupBy("duration_sec", "fingerprint").agg(F.min("id").alias("id"), F.count("*").alias("copies"), *ends).join(groups, "id").drop("duration_sec", "fingerprint"))
+    beyond = lambda hi, lo, limit: F.coalesce(~F.isnan(hi - lo) & (hi - lo > limit), F.lit(False))
+    inside = kinds.where("copies > 1").select("group_id", F.greatest(*(beyond(F.col(f"hi_{c}"), F.col(f"lo_{c}"), x) for c, x in limits.items())).alias("d"))
+    side = lambda p: kinds.select(*(F.col(c).alias(f"{p}_{c}") for c in kinds.columns))
+    told = pairs.join(side("b"), "b_id").join(side("a"), "a_id")  # a copy of a class's first is no b_id here
+    across = told.select(F.col("a_group_id").alias("group_id"), F.greatest(*(beyond(F.col(f"{p}_hi_{c}"), F.col(f"{q}_lo_{c}"), x) for c, x in limits.items() for p, q in ("ab", "ba"))).alias("d"))
+    any_ = inside.unionByName(across).groupBy("group_id").agg(F.max("d").alias("d"))
     return groups.groupBy("group_id").agg(F.count("*").alias("n")).join(any_, "group_id").select("group_id", "n", F.when(F.col("d"), "different-mastering").otherwise("same-file").alias("verdict"))
 
 

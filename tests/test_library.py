@@ -106,6 +106,30 @@ def test_duplicates_against_all_pairs(spark):
     assert identity.duplicate_groups(df.where("false")).count() == 0
 
 
+def test_verdicts_against_all_pairs(spark):
+    rng = random.Random(5)
+    prints = []
+    for _ in range(30):  # every second one sounds like the one before
+        base, text = _print(rng)
+        prints += [text, _print(rng, base, 10)[1]]
+    rows = []
+    for g, text in enumerate(prints):
+        for _ in range(rng.choice((1, 2, 3, 4))):
+            rows.append((f"{rng.random():.12f}", 100.0 + g // 2 * 4 + g % 2, text, rng.choice((0.0, 2.0, -2.0, None, float("nan"), -float("inf"))) if g < 30 else rng.choice((0.0, 1.0, 2.0)), 0.5 + rng.choice((0, 0.1, -0.1)) * (g > 45)))
+    three = _print(rng)[1]
+    rows += [(f"x{i}", 900.0, three, db, 0.5) for i, db in enumerate((0.0, 2.0, -2.0))]
+    df = spark.createDataFrame(rows, "id string, duration_sec double, fingerprint string, loudness_db double, compression double")
+    want = {}
+    for key in {int(r[1] // 4) for r in rows}:
+        group = [r for r in rows if r[1] // 4 == key]
+        differ = any((a[3] is not None and b[3] is not None and abs(a[3] - b[3]) > 2.5) or abs(a[4] - b[4]) > 0.12 for a, b in itertools.combinations(group, 2))
+        if len(group) > 1:
+            want[min(r[0] for r in group)] = (len(group), "different-mastering" if differ else "same-file")
+    got = {r.group_id: (r.n, r.verdict) for r in identity.duplicate_verdicts(df).collect()}
+    assert got == want and got["x0"] == (3, "different-mastering") and len({v for _, v in want.values()}) == 2
+    assert identity.duplicate_verdicts(df.where("false")).count() == 0
+
+
 def test_merge_and_failures(spark):
     t = spark.createDataFrame([("a", True, 5, "done", 0, None), ("b", False, 0, "pending", 2, None)], "id string, analysed boolean, version int, status string, attempts int, error string")
     new = spark.createDataFrame([("a", True, 6, "done", 0, None), ("b", False, 0, "done", 0, None), ("c", True, 6, "done", 0, None)], t.schema)
