@@ -1,20 +1,25 @@
-"""Quality classifier: importance resampling with hashed n-gram models.
-
-Target text is what labels call good and not toxic; raw text is labelled text of
-every kind. Both are modelled by how many of their documents hold each hashed
-feature: words and their first 4 to 6 bytes, runs of signs, and triples of word shapes (case,
-signs that follow, repetition of the word before). A document's weight is the sum
-over its features of the log-ratio of the two models, of which only those count
-that differ by ``z`` standard deviations and by ``least`` or more. Weights at or
-below ``cut`` lie under the ratio at which raw text is like target text; above
-it they are capped, so that all such documents are equally likely to be taken.
-Documents are then sampled without replacement by the Gumbel top-k trick, k being
-the number of documents above the cut; sharp weights (``sharpness``) leave chance
-to documents at the very cut.
-
-The models are fitted on at most ``max_labelled`` labelled rows, those of least
-hash of doc_id; the rest covers every document. Their significant features, at
-most ``2**BITS``, go to all tasks.
+"""Quality classifier: importance weights from hashed n-gram models.
+
+Target text is what labels call good and not toxic; raw text is every document of
+the corpus. Both are modelled by how many of their documents hold each feature, by
+its whole 64-bit hash: words and their first 4 to 6 bytes, pairs of words, runs of
+signs, and triples of word shapes (case, signs that follow, repetition of the word
+before). A feature's log-ratio of the two models is shrunk by how sure it is: by
+1 - (z / d)^2, d being the root of the deviance of its count in the target from
+what its share of the corpus lets expect, and to 0 where d is below z. A
+document's weight is the sum over its features.
+
+z and the cut are those with the fewest errors on the labelled rows, each weighed
+without its own label. Where no cut errs less than keeping all, all stay. Weights
+above the cut are capped, so that all such documents are equally likely to be
+taken; then the Gumbel top-k trick takes as many as lie above the cut. Sharp
+weights (``sharpness``, for a cut of -4; relative to other cuts) leave chance to documents at the very cut, so this is a
+threshold on importance weights rather than a resampling by them: every document
+above it stays in the corpus, once.
+
+The target model is fitted on at most ``max_labelled`` labelled rows, those of
+least hash of doc_id; the raw model and the weights cover every document. Features
+with d of the least z or more go to all tasks.
 
 Nulls: a null text has no features and weight 0; a null doc_id is kept or not as
 any other row. Rows with null labels don't count. Without labels nothing is
@@ -33,9 +38,12 @@ from pyspark.sql import functions as F
 from .blocks import LOWER, SPACE, Block, Spans, blocks, byte_set, grams, mix, words
 from .shared import checkpointed, id_and_text, row_key
 
-BITS = 20
 MAX_LABELLED = 20_000
-CUT, SHARPNESS, Z, LEAST_RATIO = -4.0, 50.0, 5.5, 2.0
+SHARPNESS = 50.0
+#: Values of z to choose from.
+ZS = (2.0, 2.5, 3.0, 4.0, 5.5, 7.5)
+#: Features that a task gathers before it sends their counts, and rows of a batch.
+GATHERED, BATCH = 3_000_000, 200_000
 HEADS = (4, 5, 6)
 _WORD = byte_set((0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF))
 _SIGN = ~_WORD & ~SPACE & ~byte_set((0x00, 0x1F), (0x7F, 0x7F))
@@ -43,7 +51,7 @@ _UPPER, _LOWERCASE = byte_set((0x41, 0x5A)), byte_set((0x61, 0x7A))
 
 
 def features(block: Block) -> tuple[np.ndarray, np.ndarray]:
-    """(row, bucket) of every feature, repeats included."""
+    """(row, hash) of every feature, repeats included."""
     low = Block(block.ids, LOWER[block.data], block.offsets)
     w, signs = words(low, _WORD), words(block, _SIGN)
     hashes = Spans(low.data)
@@ -66,15 +74,63 @@ def features(block: Block) -> tuple[np.ndarray, np.ndarray]:
         longer = w.ends - w.starts > n
         at = w.starts[longer]
         out.append((w.row[longer], mix(hashes(at, at + n) + np.uint64(n))))
+    if len(w) >= 2:
+        inside = w.row[:-1] == w.row[1:]
+        out.append((w.row[:-1][inside], mix(grams(h, 2)[inside] + np.uint64(2))))
     if len(w) >= 3:
         inside = w.row[:-2] == w.row[2:]
         out.append((w.row[:-2][inside], grams(shapes, 3)[inside]))
-    return np.concatenate([r for r, _ in out]), (np.concatenate([x for _, x in out]) >> np.uint64(64 - BITS)).astype(np.int64)
+    return np.concatenate([r for r, _ in out]), np.concatenate([x for _, x in out]).view(np.int64)
+
+
+def distinct_features(block: Block) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash) of every feature, once a row."""
+    row, h = features(block)
+    return _once(row, h)
+
+
+def _once(row: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    _, at = np.unique(mix(h.view(np.uint64) + row.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), return_index=True)
+    return row[at], h[at]
+
+
+def shrunk(target: np.ndarray, expected: np.ndarray, z: float) -> np.ndarray:
+    """Log-ratios of counts to what is expected, shrunk by their sureness; 0 where that is below z."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        deviance = 2 * (np.where(target > 0, target * np.log(target / expected), 0) - target + expected)
+        sure = np.where(deviance > 0, 1 - z * z / deviance, 0)
+    return np.log((target + 1) / (expected + 1)) * np.maximum(sure, 0)
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, z: float = Z, least: float = LEAST_RATIO) -> np.ndarray:
-    """The log-ratio of every bucket; 0 where it is not significant. docs: doc_id, text."""
-    some = (
+class Model:
+    """Counts of the features that may matter, by sorted hash, and what turns them into weights."""
+
+    def __init__(self, hashes: np.ndarray, raw: np.ndarray, target: np.ndarray, n_raw: int, n_target: int):
+        order = np.argsort(hashes)
+        self.hashes, self.raw, self.target = hashes[order], raw[order].astype(float), target[order].astype(float)
+        self.n_raw, self.n_target = n_raw, n_target
+        self.heads = np.zeros(1 << 20, bool)
+        self.heads[self.hashes.view(np.uint64) >> np.uint64(44)] = True
+
+    def weights(self, z: float, without: int = 0) -> np.ndarray:
+        """Of every feature; without=1: as a good document sees them that is taken out of the target."""
+        return shrunk(np.maximum(self.target - without, 0), self.raw * (max(self.n_target - without, 0) / max(self.n_raw, 1)), z)
+
+    def places(self, block: Block) -> tuple[np.ndarray, np.ndarray]:
+        """(row, place among the hashes) of the block's features that have one, once a row."""
+        row, h = features(block)
+        told = self.heads[h.view(np.uint64) >> np.uint64(44)]
+        row, h = row[told], h[told]
+        if not len(h):
+            return row, h
+        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+        told = self.hashes[at] == h
+        return np.divmod(np.unique(row[told] * len(self.hashes) + at[told]), len(self.hashes))
+
+
+def labelled_rows(labels: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
+    """(doc_id, good) of at most max_labelled labelled ids."""
+    told = (
         labels.select(labels["doc_id"].cast("long").alias("doc_id"), ((labels["quality"] == 1) & (labels["toxic"] == 0)).alias("good"))
         .dropna()
         .groupBy("doc_id")
@@ -82,44 +138,102 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, z:
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(max_labelled)
     )
+    return checkpointed(told)
+
+
+def fit(docs: DataFrame, some: DataFrame, zs: tuple[float, ...] = ZS) -> Model:
+    """Counts of the features of docs (doc_id, text) that are as sure as the least of zs, in all documents and in the good ones of some (doc_id, good)."""
+    marked = docs.join(F.broadcast(some), "doc_id", "left").select("doc_id", "text", F.coalesce("good", F.lit(False)).alias("good"))  # at most max_labelled ids
+    size = marked.agg(F.count("*").alias("raw"), F.count_if("good").alias("target")).first()
+    none = np.empty(0, np.int64)
+    if not size.target:
+        return Model(none, none, none, size.raw, 0)
+
+    least = min(zs)
+
+    def sums(parts: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        used, place = np.unique(np.concatenate([h for h, _ in parts]), return_inverse=True)
+        raw = np.bincount(place, minlength=len(used)).astype(np.int32)
+        target = np.bincount(place, np.concatenate([g for _, g in parts]), len(used)).astype(np.int32)
+        for i in range(0, len(used), BATCH):
+            yield pa.RecordBatch.from_arrays([pa.array(x[i : i + BATCH]) for x in (used, raw, target)], names=["hash", "raw", "target"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, n = [], 0
+        for batch in batches:
+            good = batch.column(2).to_numpy(zero_copy_only=False)
+            for b in blocks(batch):
+                row, h = distinct_features(b)
+                parts.append((h, good[b.lo : b.hi][row]))
+                n += len(h)
+                if n >= GATHERED:
+                    yield from sums(parts)
+                    parts, n = [], 0
+        if parts:
+            yield from sums(parts)
+
+    counts = marked.mapInArrow(count, "hash long, raw int, target int").groupBy("hash").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+
+    def sure(t, n):
+        e = F.col("raw") * F.lit(n / size.raw)
+        return 2 * (F.when(t > 0, t * F.log(t / e)).otherwise(0.0) - t + e) >= least * least
+
+    t = F.col("target").cast("double")
+    kept = counts.where(sure(t, size.target) | sure(F.greatest(t - 1, F.lit(0.0)), size.target - 1)).toArrow()  # each is in a share of the documents that the labelled rows bound
+    return Model(*(kept.column(c).to_numpy().astype(np.int64) for c in ("hash", "raw", "target")), size.raw, size.target)
+
+
+def best_cut(weights: np.ndarray, good: np.ndarray) -> tuple[int, float, float]:
+    """(errors, -gap, cut): the cut below 0 with the fewest good rows at or below it and bad ones above it, in the widest gap between weights; minus infinity if that is no better than keeping all."""
+    at = np.unique(np.append(weights[weights < 0], 0.0))
+    lost = np.searchsorted(np.sort(weights[good]), at[:-1], "right")
+    errors = lost + (~good).sum() - np.searchsorted(np.sort(weights[~good]), at[:-1], "right")
+    kept = int((~good).sum())
+    if not len(errors) or errors.min() >= kept:
+        return kept, 0.0, -np.inf
+    gap = np.diff(at)
+    i = min(np.flatnonzero(errors == errors.min()), key=lambda i: -gap[i])
+    return int(errors[i]), -float(gap[i]), float((at[i] + at[i + 1]) / 2)
+
+
+def choose(docs: DataFrame, some: DataFrame, model: Model, zs: tuple[float, ...] = ZS) -> tuple[float, float]:
+    """(z, cut) with the fewest errors on the labelled rows, each weighed without its own label."""
+    if not len(model.hashes):
+        return zs[0], -np.inf
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = sent.value
+        tables = [(m.weights(z), m.weights(z, 1)) for z in zs]
         for batch in batches:
             good = batch.column(2).to_numpy(zero_copy_only=False)
             for b in blocks(batch):
-                row, bucket = features(b)
-                row, bucket = np.divmod(np.unique((row << BITS) + bucket), 1 << BITS)
-                used, place = np.unique(bucket, return_inverse=True)
+                row, at = m.places(b)
                 mine = good[b.lo : b.hi]
-                for name, n in ((used, [np.bincount(place, minlength=len(used)), np.bincount(place, mine[row].astype(float), len(used)).astype(np.int64)]), (np.array([-1]), [np.array([len(b)]), np.array([int(mine.sum())])])):
-                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (name, *n)], names=["bucket", "raw", "target"])
-
-    labelled = docs.join(F.broadcast(some), "doc_id").select("doc_id", "text", "good")  # at most max_labelled ids
-    counts = checkpointed(labelled.mapInArrow(count, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")))
-    size = counts.where("bucket = -1").first()
-    ratios = np.zeros(1 << BITS)
-    if size is None or not size.target:
-        return ratios
-    expected = F.col("raw") * F.lit(size.target / size.raw)
-    ratio = F.log((F.col("target") + 1) / (expected + 1))
-    kept = counts.where("bucket >= 0").select("bucket", ratio.alias("ratio")).where((F.abs(F.col("ratio")) >= least) & (F.abs(F.col("target") - expected) >= z * F.sqrt(expected * F.lit(1 - size.target / size.raw) + 0.1)))
-    rows = kept.collect()  # at most 2**BITS rows, and few are significant
-    ratios[[r.bucket for r in rows]] = [r.ratio for r in rows]
-    return ratios
-
-
-def weigh(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
+                sums = [np.bincount(row, np.where(mine[row], own[at], all_[at]), len(b)) for all_, own in tables]
+                yield pa.RecordBatch.from_arrays([pa.array(mine), *(pa.array(x, pa.float64()) for x in sums)], names=["good", *(f"w{i}" for i in range(len(zs)))])
+
+    told = docs.join(F.broadcast(some), "doc_id").select("doc_id", "text", "good")
+    rows = told.mapInArrow(score, "good boolean, " + ", ".join(f"w{i} double" for i in range(len(zs)))).toArrow()  # a row a labelled document
+    good = rows.column("good").to_numpy().astype(bool)
+    tried = [(*best_cut(rows.column(f"w{i}").to_numpy(), good), z) for i, z in enumerate(zs)]
+    errors, _, cut, z = min(tried, key=lambda x: (x[0], -x[3]))
+    return z, cut
+
+
+def weigh(docs: DataFrame, model: Model, z: float) -> DataFrame:
     """(doc_id, row_key, weight) of each row of (doc_id, text, row_key)."""
-    sent = docs.sparkSession.sparkContext.broadcast(ratios.astype(np.float32))
+    told = model.weights(z)
+    used = told != 0
+    small = Model(model.hashes[used], model.raw[used], model.target[used], model.n_raw, model.n_target)
+    sent = docs.sparkSession.sparkContext.broadcast((small, told[used]))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = sent.value
+        m, table = sent.value
         for batch in batches:
             for b in blocks(batch):
-                row, bucket = features(b)
-                told = np.flatnonzero(table[bucket])
-                row, bucket = np.divmod(np.unique((row[told] << BITS) + bucket[told]), 1 << BITS)
-                weight = np.bincount(row, table[bucket].astype(np.float64), len(b))
+                row, at = m.places(b)
+                weight = np.bincount(row, table[at], len(b))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(b.lo, len(b)), batch.column(2).slice(b.lo, len(b)), pa.array(weight, pa.float64())], names=["doc_id", "row_key", "weight"])
 
     return docs.mapInArrow(score, "doc_id long, row_key long, weight double")
@@ -146,11 +260,14 @@ def gumbel_top_k(weighted: DataFrame, k: int, key: str = "key") -> DataFrame:
     return weighted
 
 
-def resample(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", max_labelled: int = MAX_LABELLED, cut: float = CUT, sharpness: float = SHARPNESS, seed: int = 0) -> DataFrame:
-    """(doc_id, row_key, weight, key) of the documents taken; weight: the log-ratio of target to raw text."""
+def resample(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", max_labelled: int = MAX_LABELLED, cut: float | None = None, sharpness: float = SHARPNESS, seed: int = 0) -> DataFrame:
+    """(doc_id, row_key, weight, key) of the documents taken; weight: the log-ratio of target to raw text; cut: None for the one of fewest errors on the labelled rows."""
     rows = id_and_text(docs, doc_id, text)
-    ratios = fit(rows, labels, max_labelled)
+    some = labelled_rows(labels, max_labelled)
+    model = fit(rows, some)
+    z, best = choose(rows, some, model)
+    cut = max(best if cut is None else cut, -1e9)
     uniform = (F.pmod(F.xxhash64("doc_id", "row_key", F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    key = F.lit(sharpness) * F.least(F.lit(0.0), F.col("weight") - cut) - F.log(-F.log(uniform))
-    weighted = checkpointed(weigh(rows.select("doc_id", "text", row_key(rows.text).alias("row_key")), ratios).withColumn("key", key))
+    key = F.lit(sharpness) * F.least(F.lit(0.0), F.col("weight") - cut) * (4 / abs(cut)) - F.log(-F.log(uniform))
+    weighted = checkpointed(weigh(rows.select("doc_id", "text", row_key(rows.text).alias("row_key")), model, z).withColumn("key", key))
     return gumbel_top_k(weighted, weighted.where(F.col("weight") > cut).count())

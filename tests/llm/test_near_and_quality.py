@@ -7,6 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from soundlake.llm import stages
 from soundlake.llm.components import components
 from soundlake.llm.near_dedup import near_dedup
 from soundlake.llm.quality import gumbel_top_k, resample
@@ -114,6 +115,55 @@ def test_quality(spark):
     assert resample(docs.limit(0), none).count() == 0
 
 
+def _made(rng, n, size=60):
+    return ["".join(rng.choice("aeioulmnrst") for _ in range(rng.randint(3, 7))) for _ in range(n)], lambda words: [rng.choice(words) for _ in range(size)]
+
+
+def _taken(spark, rows, labels):
+    docs = spark.createDataFrame([(i, t, 1, "", "") for i, t in rows], SCHEMA)
+    return {r.doc_id for r in resample(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+
+
+def test_quality_stage_with_few_labels(spark, tmp_path):
+    rng = random.Random(11)
+    vocabulary, text = _made(rng, 300)
+    bad = {i for i in range(200) if i % 10 == 0}
+    rows = [(i, " ".join(x.upper() + "!!" if i in bad else x for x in text(vocabulary)), 1, "", "") for i in range(200)]
+    spark.createDataFrame([(i, int(i not in bad), 0) for i in range(0, 200) if i % 3 == 0], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    kept = {r.doc_id for r in stages.quality(spark, spark.createDataFrame(rows, SCHEMA), str(tmp_path)).collect()}
+    assert kept == set(range(200)) - bad
+
+
+def test_quality_keeps_long_clean_texts(spark):
+    rng = random.Random(12)
+    vocabulary, text = _made(rng, 300)
+    marks = [f"zq{rng.randrange(10**9)}{j}" for j in range(2500)]
+    bad = {i for i in range(600) if i % 4 == 0}
+    rows = [(i, " ".join(marks if i in bad else text(vocabulary))) for i in range(600)]
+    rows += [(1000 + j, " ".join("".join(rng.choice("abcdefghijklmnopqrstuvw") for _ in range(8)) for _ in range(9000))) for j in range(3)]
+    kept = _taken(spark, rows, [(i, int(i not in bad), 0) for i in range(600)])
+    assert not kept & bad and {1000, 1001, 1002} <= kept and len(kept) == len(rows) - len(bad)
+
+
+def test_quality_phrases_and_unlabelled_kinds(spark):
+    rng = random.Random(13)
+    vocabulary, text = _made(rng, 300)
+    rows, labels, bad = [], [], set()
+    for i in range(1000):
+        w = text(vocabulary)
+        w[5:5], w[30:30] = ["hollow"], ["lantern"]  # both words are in every text
+        if i % 5 == 0:
+            w[50:50] = ["hollow", "lantern"]
+        elif i % 5 == 1:
+            w = [f"{x}@{x}" for x in w]  # no labelled text is like these
+        bad |= {i} if i % 5 < 2 else set()
+        rows.append((i, " ".join(w)))
+        if i % 5 != 1:
+            labels.append((i, 1, int(i % 5 == 0)))
+    kept = _taken(spark, rows, labels)
+    assert not kept & bad and len(kept) == len(rows) - len(bad)
+
+
 def test_gumbel_top_k(spark):
     rows = spark.range(3000).select("id", (F.pmod(F.xxhash64("id"), F.lit(1000)) / 70.0 - 5).alias("key"))
     best = sorted((r.key for r in rows.collect()), reverse=True)
