@@ -2,7 +2,7 @@
 
 Target text is what labels call good and not toxic; raw text is every document of
 the corpus. Both are modelled by how many of their documents hold each feature, by
-its whole 64-bit hash: words and their first 4 to 6 bytes, pairs of words, runs of
+a hash of 48 bits: words and their first 4 to 6 bytes, pairs of words, runs of
 signs, and triples of word shapes (case, signs that follow, repetition of the word
 before). A feature's log-ratio of the two models is shrunk by how sure it is: by
 1 - (z / d)^2, d being the root of the deviance of its count in the target from
@@ -43,7 +43,9 @@ SHARPNESS = 50.0
 #: Values of z to choose from.
 ZS = (2.0, 2.5, 3.0, 4.0, 5.5, 7.5)
 #: Features that a task gathers before it sends their counts, and rows of a batch.
-GATHERED, BATCH = 3_000_000, 200_000
+GATHERED, BATCH = 1_000_000, 50_000
+#: Hashes have 48 bits, which leaves room in a row of counts: among 10**5 sure features, one feature in 3 * 10**9 is taken for another.
+HASH_BITS, HIGH = 48, 1 << 40
 HEADS = (4, 5, 6)
 _WORD = byte_set((0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF))
 _SIGN = ~_WORD & ~SPACE & ~byte_set((0x00, 0x1F), (0x7F, 0x7F))
@@ -80,16 +82,12 @@ def features(block: Block) -> tuple[np.ndarray, np.ndarray]:
     if len(w) >= 3:
         inside = w.row[:-2] == w.row[2:]
         out.append((w.row[:-2][inside], grams(shapes, 3)[inside]))
-    return np.concatenate([r for r, _ in out]), np.concatenate([x for _, x in out]).view(np.int64)
+    return np.concatenate([r for r, _ in out]), (np.concatenate([x for _, x in out]) >> np.uint64(64 - HASH_BITS)).view(np.int64)
 
 
 def distinct_features(block: Block) -> tuple[np.ndarray, np.ndarray]:
     """(row, hash) of every feature, once a row."""
     row, h = features(block)
-    return _once(row, h)
-
-
-def _once(row: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     _, at = np.unique(mix(h.view(np.uint64) + row.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), return_index=True)
     return row[at], h[at]
 
@@ -110,7 +108,7 @@ class Model:
         self.hashes, self.raw, self.target = hashes[order], raw[order].astype(float), target[order].astype(float)
         self.n_raw, self.n_target = n_raw, n_target
         self.heads = np.zeros(1 << 20, bool)
-        self.heads[self.hashes.view(np.uint64) >> np.uint64(44)] = True
+        self.heads[self.hashes >> (HASH_BITS - 20)] = True
 
     def weights(self, z: float, without: int = 0) -> np.ndarray:
         """Of every feature; without=1: as a good document sees them that is taken out of the target."""
@@ -119,7 +117,7 @@ class Model:
     def places(self, block: Block) -> tuple[np.ndarray, np.ndarray]:
         """(row, place among the hashes) of the block's features that have one, once a row."""
         row, h = features(block)
-        told = self.heads[h.view(np.uint64) >> np.uint64(44)]
+        told = self.heads[h >> (HASH_BITS - 20)]
         row, h = row[told], h[told]
         if not len(h):
             return row, h
@@ -153,10 +151,10 @@ def fit(docs: DataFrame, some: DataFrame, zs: tuple[float, ...] = ZS) -> Model:
 
     def sums(parts: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         used, place = np.unique(np.concatenate([h for h, _ in parts]), return_inverse=True)
-        raw = np.bincount(place, minlength=len(used)).astype(np.int32)
-        target = np.bincount(place, np.concatenate([g for _, g in parts]), len(used)).astype(np.int32)
+        target = np.bincount(place, np.concatenate([g for _, g in parts]), len(used)).astype(np.int64)
+        both = np.bincount(place, minlength=len(used)) + target * HIGH
         for i in range(0, len(used), BATCH):
-            yield pa.RecordBatch.from_arrays([pa.array(x[i : i + BATCH]) for x in (used, raw, target)], names=["hash", "raw", "target"])
+            yield pa.RecordBatch.from_arrays([pa.array(x[i : i + BATCH]) for x in (used, both)], names=["hash", "both"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, n = [], 0
@@ -172,7 +170,7 @@ def fit(docs: DataFrame, some: DataFrame, zs: tuple[float, ...] = ZS) -> Model:
         if parts:
             yield from sums(parts)
 
-    counts = marked.mapInArrow(count, "hash long, raw int, target int").groupBy("hash").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+    counts = marked.mapInArrow(count, "hash long, both long").groupBy("hash").agg(F.sum("both").alias("both")).select("hash", F.pmod("both", F.lit(HIGH)).alias("raw"), F.shiftright("both", 40).alias("target"))
 
     def sure(t, n):
         e = F.col("raw") * F.lit(n / size.raw)
