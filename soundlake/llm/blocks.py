@@ -157,6 +157,13 @@ def words(block: Block, inside: np.ndarray) -> Words:
     return Words(starts, ends, np.searchsorted(block.offsets, starts, "right") - 1, np.searchsorted(starts, block.offsets))
 
 
+def ascending(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values, sorted, and how often each occurs."""
+    values = np.sort(values)
+    at = np.flatnonzero(np.append(True, values[1:] != values[:-1])) if len(values) else np.empty(0, np.int64)
+    return values[at], np.diff(np.append(at, len(values)))
+
+
 def grams(hashes: np.ndarray, n: int) -> np.ndarray:
     """A hash of every n consecutive values."""
     size = len(hashes) - n + 1

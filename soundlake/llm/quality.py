@@ -9,13 +9,25 @@ before). A feature's log-ratio of the two models is shrunk by how sure it is: by
 what its share of the corpus lets expect, and to 0 where d is below z. A
 document's weight is the sum over its features.
 
+A feature that no good document holds is sure only if its share of the corpus is
+z^2 / 2 of the number of good documents or more; one that is commoner in the
+target counts from two good documents on. So only such features are counted: what
+has a share of the whole has it in one part at least, so the parts that tasks
+gather name all frequent features, and a second scan counts the named ones in
+every document. There are at most (features of a document) x 2 / z^2 x (good
+documents) of them, whatever the size of the corpus.
+
 z and the cut are those with the fewest errors on the labelled rows, each weighed
-without its own label. Where no cut errs less than keeping all, all stay. Weights
-above the cut are capped, so that all such documents are equally likely to be
-taken; then the Gumbel top-k trick takes as many as lie above the cut. Sharp
-weights (``sharpness``, for a cut of -4; relative to other cuts) leave chance to documents at the very cut, so this is a
-threshold on importance weights rather than a resampling by them: every document
-above it stays in the corpus, once.
+without its own label. Where no cut errs less than keeping all, all stay.
+
+``resample`` takes k documents by the Gumbel top-k trick. With k given, keys are
+weight + noise: a sample without replacement in proportion to the importance
+weights. Without k, weights above the cut are capped, so that all such documents
+are equally likely, and as many are taken as lie above the cut; with sharp weights
+(``sharpness``, for a cut of -4; relative to other cuts) chance is left to
+documents at the very cut, so this is a threshold on importance weights, under
+which every good document stays in the corpus, once. Exactly k rows are taken;
+rows of equal key go by their place in the table.
 
 The target model is fitted on at most ``max_labelled`` labelled rows, those of
 least hash of doc_id; the raw model and the weights cover every document. Features
@@ -23,7 +35,9 @@ with d of the least z or more go to all tasks.
 
 Nulls: a null text has no features and weight 0; a null doc_id is kept or not as
 any other row. Rows with null labels don't count. Without labels nothing is
-significant and all documents stay. Empty tables give empty results.
+significant and all documents stay. Rows that repeat are weighed and counted each.
+A text longer than a block is one block, whole. Other columns are not read.
+Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -35,17 +49,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import LOWER, SPACE, Block, Spans, blocks, byte_set, grams, mix, words
+from .blocks import LOWER, SPACE, Block, Spans, ascending, blocks, byte_set, grams, mix, words
 from .shared import checkpointed, id_and_text, row_key
 
 MAX_LABELLED = 20_000
 SHARPNESS = 50.0
 #: Values of z to choose from.
 ZS = (2.0, 2.5, 3.0, 4.0, 5.5, 7.5)
-#: Features that a task gathers before it sends their counts, and rows of a batch.
-GATHERED, BATCH = 1_000_000, 50_000
-#: Hashes have 48 bits, which leaves room in a row of counts: among 10**5 sure features, one feature in 3 * 10**9 is taken for another.
-HASH_BITS, HIGH = 48, 1 << 40
+#: Distinct features that a task gathers before it names the frequent ones, and rows of a batch.
+GATHERED, BATCH = 4_000_000, 50_000
+#: A block's rows and hashes share 64 bits; among 10**5 sure features, one in 3 * 10**9 others is taken for one of them.
+HASH_BITS, PREFIX_BITS = 48, 22
 HEADS = (4, 5, 6)
 _WORD = byte_set((0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF))
 _SIGN = ~_WORD & ~SPACE & ~byte_set((0x00, 0x1F), (0x7F, 0x7F))
@@ -88,6 +102,10 @@ def features(block: Block) -> tuple[np.ndarray, np.ndarray]:
 def distinct_features(block: Block) -> tuple[np.ndarray, np.ndarray]:
     """(row, hash) of every feature, once a row."""
     row, h = features(block)
+    rows = 1 << (64 - HASH_BITS)
+    if len(block) <= rows:
+        both, _ = ascending((row.astype(np.uint64) << np.uint64(HASH_BITS)) | h.view(np.uint64))
+        return (both >> np.uint64(HASH_BITS)).view(np.int64), (both & np.uint64((1 << HASH_BITS) - 1)).view(np.int64)
     _, at = np.unique(mix(h.view(np.uint64) + row.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), return_index=True)
     return row[at], h[at]
 
@@ -107,8 +125,7 @@ class Model:
         order = np.argsort(hashes)
         self.hashes, self.raw, self.target = hashes[order], raw[order].astype(float), target[order].astype(float)
         self.n_raw, self.n_target = n_raw, n_target
-        self.heads = np.zeros(1 << 20, bool)
-        self.heads[self.hashes >> (HASH_BITS - 20)] = True
+        self.prefixes = None
 
     def weights(self, z: float, without: int = 0) -> np.ndarray:
         """Of every feature; without=1: as a good document sees them that is taken out of the target."""
@@ -116,14 +133,17 @@ class Model:
 
     def places(self, block: Block) -> tuple[np.ndarray, np.ndarray]:
         """(row, place among the hashes) of the block's features that have one, once a row."""
+        if self.prefixes is None:  # made where it is used, not sent
+            self.prefixes = np.zeros(1 << PREFIX_BITS, bool)
+            self.prefixes[self.hashes >> (HASH_BITS - PREFIX_BITS)] = True
         row, h = features(block)
-        told = self.heads[h >> (HASH_BITS - 20)]
+        told = self.prefixes[h >> (HASH_BITS - PREFIX_BITS)]
         row, h = row[told], h[told]
         if not len(h):
             return row, h
         at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
         told = self.hashes[at] == h
-        return np.divmod(np.unique(row[told] * len(self.hashes) + at[told]), len(self.hashes))
+        return np.divmod(ascending(row[told] * len(self.hashes) + at[told])[0], len(self.hashes))
 
 
 def labelled_rows(labels: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
@@ -139,46 +159,81 @@ def labelled_rows(labels: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFr
     return checkpointed(told)
 
 
-def fit(docs: DataFrame, some: DataFrame, zs: tuple[float, ...] = ZS) -> Model:
-    """Counts of the features of docs (doc_id, text) that are as sure as the least of zs, in all documents and in the good ones of some (doc_id, good)."""
-    marked = docs.join(F.broadcast(some), "doc_id", "left").select("doc_id", "text", F.coalesce("good", F.lit(False)).alias("good"))  # at most max_labelled ids
-    size = marked.agg(F.count("*").alias("raw"), F.count_if("good").alias("target")).first()
-    none = np.empty(0, np.int64)
-    if not size.target:
-        return Model(none, none, none, size.raw, 0)
+def _tallies(least: float):
+    """Hashes of features that at least this share of the rows gathered hold, with how many do."""
 
-    least = min(zs)
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out() -> Iterator[pa.RecordBatch]:
+            h, n = merged()
+            told = n >= least * rows
+            for i in range(0, int(told.sum()), BATCH):
+                yield pa.RecordBatch.from_arrays([pa.array(x[told][i : i + BATCH]) for x in (h, n)], names=["hash", "n"])
 
-    def sums(parts: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        used, place = np.unique(np.concatenate([h for h, _ in parts]), return_inverse=True)
-        target = np.bincount(place, np.concatenate([g for _, g in parts]), len(used)).astype(np.int64)
-        both = np.bincount(place, minlength=len(used)) + target * HIGH
-        for i in range(0, len(used), BATCH):
-            yield pa.RecordBatch.from_arrays([pa.array(x[i : i + BATCH]) for x in (used, both)], names=["hash", "both"])
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            h = np.concatenate([x for x, _ in parts])
+            order = np.argsort(h, kind="stable")
+            h, n = h[order], np.concatenate([x for _, x in parts])[order]
+            at = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.empty(0, np.int64)
+            return h[at], np.add.reduceat(n, at) if len(at) else n
+
+        parts, rows, held, fresh = [], 0, 0, 0
+        for batch in batches:
+            for b in blocks(batch):
+                h, n = ascending(distinct_features(b)[1])
+                parts.append((h, n))
+                rows, fresh = rows + len(b), fresh + len(h)
+                if fresh > max(1_000_000, held):  # merge when as many are new as are held
+                    parts = [merged()]
+                    held, fresh = len(parts[0][0]), 0
+                    if held > GATHERED:
+                        yield from out()
+                        parts, rows, held = [], 0, 0
+        if parts:
+            yield from out()
+
+    return tally
+
+
+def _counted(sent, named: int):
+    """(hash, raw, target) of the features named, over a task's rows."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, n = [], 0
+        model = sent.value
+        raw, target = np.zeros(named, np.int64), np.zeros(named, np.int64)
         for batch in batches:
             good = batch.column(2).to_numpy(zero_copy_only=False)
             for b in blocks(batch):
-                row, h = distinct_features(b)
-                parts.append((h, good[b.lo : b.hi][row]))
-                n += len(h)
-                if n >= GATHERED:
-                    yield from sums(parts)
-                    parts, n = [], 0
-        if parts:
-            yield from sums(parts)
+                row, at = model.places(b)
+                raw += np.bincount(at, minlength=named)
+                mine = good[b.lo : b.hi]
+                if mine.any():
+                    target += np.bincount(at[mine[row]], minlength=named)
+        used = np.flatnonzero(raw)
+        for i in range(0, len(used), BATCH):
+            yield pa.RecordBatch.from_arrays([pa.array(x[used[i : i + BATCH]]) for x in (model.hashes, raw, target)], names=["hash", "raw", "target"])
 
-    counts = marked.mapInArrow(count, "hash long, both long").groupBy("hash").agg(F.sum("both").alias("both")).select("hash", F.pmod("both", F.lit(HIGH)).alias("raw"), F.shiftright("both", 40).alias("target"))
+    return count
 
-    def sure(t, n):
-        e = F.col("raw") * F.lit(n / size.raw)
-        return 2 * (F.when(t > 0, t * F.log(t / e)).otherwise(0.0) - t + e) >= least * least
 
-    t = F.col("target").cast("double")
-    kept = counts.where(sure(t, size.target) | sure(F.greatest(t - 1, F.lit(0.0)), size.target - 1)).toArrow()  # each is in a share of the documents that the labelled rows bound
-    return Model(*(kept.column(c).to_numpy().astype(np.int64) for c in ("hash", "raw", "target")), size.raw, size.target)
+def fit(docs: DataFrame, some: DataFrame, zs: tuple[float, ...] = ZS) -> Model:
+    """Counts of the features of docs (doc_id, text) that are as sure as the least of zs, in all documents and in the good ones of some (doc_id, good)."""
+    marked = docs.join(F.broadcast(some), "doc_id", "left").select("doc_id", "text", F.coalesce("good", F.lit(False)).alias("good"))  # at most max_labelled ids
+    size = marked.agg(F.count("*").alias("raw"), F.count_if("good").alias("target")).first()
+    none = np.empty(0, np.int64)
+    if not size.target:
+        return Model(none, none, none, size.raw, 0)
+    least = min(zs) ** 2 / 2 / size.target
+    frequent = marked.mapInArrow(_tallies(least), "hash long, n long").select("hash")
+    of_good = marked.where("good").mapInArrow(_tallies(0.0), "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")).where("n >= 2").select("hash")
+    named = frequent.union(of_good).distinct().toArrow().column("hash").to_numpy().astype(np.int64)  # bounded by the labelled rows, see above
+    if not len(named):
+        return Model(none, none, none, size.raw, size.target)
+    model = Model(named, np.zeros_like(named), np.zeros_like(named), size.raw, size.target)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    counts = marked.mapInArrow(_counted(sent, len(named)), "hash long, raw long, target long").groupBy("hash").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()
+    hashes, raw, target = (counts.column(c).to_numpy().astype(np.int64) for c in ("hash", "raw", "target"))
+    kept = np.logical_or.reduce([shrunk(np.maximum(target - w, 0).astype(float), raw * (max(size.target - w, 0) / size.raw), min(zs)) != 0 for w in (0, 1)])
+    return Model(hashes[kept], raw[kept], target[kept], size.raw, size.target)
 
 
 def best_cut(weights: np.ndarray, good: np.ndarray) -> tuple[int, float, float]:
@@ -237,35 +292,46 @@ def weigh(docs: DataFrame, model: Model, z: float) -> DataFrame:
     return docs.mapInArrow(score, "doc_id long, row_key long, weight double")
 
 
-def gumbel_top_k(weighted: DataFrame, k: int, key: str = "key") -> DataFrame:
-    """The k rows of greatest key, by counts of bounded cells; only rows in the cell of the k-th are ordered."""
-    cell = F.floor(F.greatest(F.lit(-60.0), F.least(F.lit(60.0), F.col(key))) * 1000)
-    counts = sorted(weighted.groupBy(cell.alias("cell")).count().collect(), reverse=True)  # at most 120,001 rows
+def _kth(rows: DataFrame, column: str, k: int, cells: int = 1024, few: int = 10_000):
+    """The k-th greatest value of a column, by rounds of counts in cells of its range; at most ``few`` values come to the driver, or one if they are equal."""
+    while True:
+        ends = rows.agg(F.min(column).alias("lo"), F.max(column).alias("hi"), F.count("*").alias("n")).first()
+        if ends.lo == ends.hi:
+            return ends.lo
+        if ends.n <= few:
+            return sorted((r[0] for r in rows.select(column).collect()), reverse=True)[k - 1]
+        cell = F.least(F.lit(cells - 1), F.floor((F.col(column) - ends.lo) / ((ends.hi - ends.lo) / cells)))
+        for r in sorted(rows.groupBy(cell.alias("cell")).count().collect(), reverse=True):
+            if r["count"] >= k:
+                rows = rows.where(cell == r.cell)
+                break
+            k -= r["count"]
+
+
+def gumbel_top_k(weighted: DataFrame, k: int, key: str = "key", row: str = "uid") -> DataFrame:
+    """Exactly k rows (all, if there are fewer): those of greatest key, and of least row among equals; neither may be null."""
     if k <= 0:
         return weighted.where("false")
-    left = k
-    for r in counts:
-        if r["count"] >= left:
-            fine = F.floor((F.col(key) * 1000 - r.cell) * 1_000_000)
-            edge = weighted.where(cell == r.cell)
-            inner = sorted(edge.where((F.col(key) >= -60) & (F.col(key) <= 60)).groupBy(fine.alias("fine")).count().collect(), reverse=True) if edge.count() > left else []
-            for x in inner:
-                if x["count"] >= left:
-                    return weighted.where((cell > r.cell) | ((cell == r.cell) & (fine >= x.fine)))
-                left -= x["count"]
-            return weighted.where(cell >= r.cell)
-        left -= r["count"]
-    return weighted
-
-
-def resample(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", max_labelled: int = MAX_LABELLED, cut: float | None = None, sharpness: float = SHARPNESS, seed: int = 0) -> DataFrame:
-    """(doc_id, row_key, weight, key) of the documents taken; weight: the log-ratio of target to raw text; cut: None for the one of fewest errors on the labelled rows."""
+    if weighted.count() <= k:
+        return weighted
+    least = _kth(weighted, key, k)
+    above, ties = F.col(key) > least, weighted.where(F.col(key) == least)
+    left = k - weighted.where(above).count()
+    if ties.count() == left:
+        return weighted.where(F.col(key) >= least)
+    last = -_kth(ties.select((-F.col(row)).alias(row)), row, left)
+    return weighted.where(above | ((F.col(key) == least) & (F.col(row) <= last)))
+
+
+def resample(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", max_labelled: int = MAX_LABELLED, cut: float | None = None, sharpness: float = SHARPNESS, k: int | None = None, seed: int = 0) -> DataFrame:
+    """(doc_id, row_key, weight, key) of the documents taken; weight: the log-ratio of target to raw text; cut: None for the one of fewest errors on the labelled rows; k: None for as many as lie above the cut."""
     rows = id_and_text(docs, doc_id, text)
     some = labelled_rows(labels, max_labelled)
     model = fit(rows, some)
     z, best = choose(rows, some, model)
     cut = max(best if cut is None else cut, -1e9)
     uniform = (F.pmod(F.xxhash64("doc_id", "row_key", F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    key = F.lit(sharpness) * F.least(F.lit(0.0), F.col("weight") - cut) * (4 / abs(cut)) - F.log(-F.log(uniform))
-    weighted = checkpointed(weigh(rows.select("doc_id", "text", row_key(rows.text).alias("row_key")), model, z).withColumn("key", key))
-    return gumbel_top_k(weighted, weighted.where(F.col("weight") > cut).count())
+    logit = F.col("weight") if k is not None else F.lit(sharpness) * F.least(F.lit(0.0), F.col("weight") - cut) * (4 / abs(cut))
+    weighed = weigh(rows.select("doc_id", "text", row_key(rows.text).alias("row_key")), model, z)
+    weighted = checkpointed(weighed.withColumns({"key": logit - F.log(-F.log(uniform)), "uid": F.monotonically_increasing_id()}))
+    return gumbel_top_k(weighted, weighted.where(F.col("weight") > cut).count() if k is None else k).drop("uid")

@@ -1,13 +1,16 @@
 """Near duplicates against all pairs; the quality classifier on held-out rows."""
 
+import math
 import random
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from soundlake.llm import stages
+from soundlake.llm import quality, stages
+from soundlake.llm.blocks import blocks
 from soundlake.llm.components import components
 from soundlake.llm.near_dedup import near_dedup
 from soundlake.llm.quality import gumbel_top_k, resample
@@ -165,8 +168,41 @@ def test_quality_phrases_and_unlabelled_kinds(spark):
 
 
 def test_gumbel_top_k(spark):
-    rows = spark.range(3000).select("id", (F.pmod(F.xxhash64("id"), F.lit(1000)) / 70.0 - 5).alias("key"))
-    best = sorted((r.key for r in rows.collect()), reverse=True)
-    for k in (0, 1, 7, 1500, 3000):
-        got = sorted((r.key for r in gumbel_top_k(rows, k).collect()), reverse=True)
-        assert got[:k] == best[:k] and all(x == best[k - 1] for x in got[k:])
+    for key in (F.pmod(F.xxhash64("id"), F.lit(1000)) / 70.0 - 5, F.pmod(F.xxhash64("id"), F.lit(30)) * -1e3 - 1e6, F.lit(0.5)):
+        rows = spark.range(3000).select("id", key.cast("double").alias("key"))
+        best = sorted((-r.key, r.id) for r in rows.collect())
+        for k in (0, 1, 7, 1500, 2999, 3000, 4000):
+            assert sorted((-r.key, r.id) for r in gumbel_top_k(rows, k, row="id").collect()) == best[:k]
+
+
+def test_resampling_by_weight(spark):
+    rng = random.Random(14)
+    vocabulary, text = _made(rng, 200)
+    rows = [(i, " ".join(x.upper() if i % 2 else x for x in text(vocabulary)), 1, "", "") for i in range(600)] * 2
+    labels = spark.createDataFrame([(i, int(i % 2 == 0), 0) for i in range(300)], "doc_id long, quality int, toxic int")
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = resample(docs, labels, k=500).collect()
+    assert len(got) == 500 and sum(r.doc_id % 2 == 0 for r in got) > 450
+    assert {r.doc_id for r in got} != {r.doc_id for r in resample(docs, labels, k=500, seed=1).collect()}
+
+
+def test_weights_against_brute_force(spark):
+    rng = random.Random(15)
+    vocabulary, text = _made(rng, 150, 25)
+    rows = [(i, " ".join(x + "?!" if i % 7 == 0 and rng.random() < 0.3 else x for x in text(vocabulary)), 1, "", "") for i in range(400)]
+    some = [(i, i % 7 > 0) for i in range(0, 400, 2)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    model = quality.fit(docs.select("doc_id", "text").repartition(7), spark.createDataFrame(some, "doc_id long, good boolean"))
+    held = {i: set(quality.features(next(blocks(pa.record_batch({"i": pa.array([i]), "t": pa.array([t])}))))[1].tolist()) for i, t, *_ in rows}
+    raw = Counter(h for x in held.values() for h in x)
+    target = Counter(h for i, good in some if good for h in held[i])
+    n_target = sum(good for _, good in some)
+    weight = {}
+    for h, n in raw.items():
+        t, e = target[h], n * n_target / 400
+        deviance = 2 * ((t * math.log(t / e) if t else 0) - t + e)
+        if deviance > 4 and (t >= 2 or n / 400 >= 2 / n_target):
+            weight[h] = math.log((t + 1) / (e + 1)) * (1 - 4 / deviance)
+    got = quality.weigh(docs.select("doc_id", "text", F.lit(0).cast("long").alias("row_key")), model, 2.0)
+    for r in got.collect():
+        assert abs(r.weight - sum(weight.get(h, 0) for h in held[r.doc_id])) < 1e-9
