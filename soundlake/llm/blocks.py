@@ -22,7 +22,8 @@ NULL_ID = np.iinfo(np.int64).max
 _U = np.uint64
 _TABLES = np.random.Generator(np.random.PCG64(20240607)).integers(1, 2**64 - 1, (2, 256), dtype=np.uint64)
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_PRIME, _PRIME_BASES = _U(2**31 - 1), (1_540_483_477, 1_103_527_591)
+_powers: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
 
 
 @dataclass
@@ -84,8 +85,23 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _power(n: int, lane: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the lane's base and of its inverse modulo 2**64, n + 1 of each at least."""
+def _remainder(x: np.ndarray) -> np.ndarray:
+    """Modulo 2**31 - 1."""
+    x = (x & _PRIME) + (x >> _U(31))
+    x = (x & _PRIME) + (x >> _U(31))
+    return np.where(x >= _PRIME, x - _PRIME, x)
+
+
+def _prime_powers(base: int, size: int) -> np.ndarray:
+    out, n = np.ones(size, np.uint32), 1
+    while n < size:
+        out[n : 2 * n] = _remainder(out[: min(n, size - n)] * _U(pow(base, n, int(_PRIME))))
+        n *= 2
+    return out
+
+
+def _power(n: int, lane: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Powers of the lane's bases and of their inverses, modulo 2**64 and modulo the prime; n + 1 of each at least."""
     if lane not in _powers or len(_powers[lane][0]) <= n:
         size = max(n + 1, BLOCK_BYTES + 2)
         out = []
@@ -93,23 +109,36 @@ def _power(n: int, lane: int) -> tuple[np.ndarray, np.ndarray]:
             p = np.full(size, base, np.uint64)
             p[0] = 1
             out.append(np.multiply.accumulate(p))
-        _powers[lane] = (out[0], out[1])
+        base = _PRIME_BASES[lane]
+        _powers[lane] = (*out, _prime_powers(base, size), _prime_powers(pow(base, -1, int(_PRIME)), size))
     return _powers[lane]
 
 
 class Spans:
-    """Hashes of any spans of a byte array: polynomials modulo 2**64 from running sums."""
+    """Hashes of any spans of a byte array, 64 bits a lane, from running sums.
+
+    Each joins two polynomials, modulo 2**64 and modulo the prime 2**31 - 1: the
+    first alone is the same for certain regular texts of 1,024 bytes and more,
+    whatever its base.
+    """
 
     def __init__(self, data: np.ndarray, lane: int = 0):
-        power, self.inverse = _power(len(data), lane)
+        power, self.inverse, prime, self.prime_inverse = _power(len(data), lane)
         self.sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(_TABLES[lane][data] * power[: len(data)], out=self.sums[1:])
+        terms = prime[: len(data)] * (data.astype(np.uint64) + _U(1))
+        self.prime_sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(_remainder(terms) if len(data) > 1 << 24 else terms, out=self.prime_sums[1:])  # below 2**63
+
+    def _joined(self, wide: np.ndarray, narrow: np.ndarray, lo) -> np.ndarray:
+        rest = _remainder(_remainder(narrow) * self.prime_inverse[lo])
+        return mix(wide * self.inverse[lo] ^ rest * _U(0x9E3779B97F4A7C15))
 
     def __call__(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-        return mix((self.sums[hi] - self.sums[lo]) * self.inverse[lo])
+        return self._joined(self.sums[hi] - self.sums[lo], self.prime_sums[hi] - self.prime_sums[lo], lo)
 
-    def every(self, width: int) -> np.ndarray:
-        """Hashes of the spans of one width, at every start."""
+    def rolling(self, width: int) -> np.ndarray:
+        """A hash of the few bytes at every start, by the first polynomial alone."""
         n = max(0, len(self.sums) - width)
         return mix((self.sums[width:] - self.sums[:n]) * self.inverse[:n]) if n else np.empty(0, np.uint64)
 

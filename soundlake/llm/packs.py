@@ -1,12 +1,12 @@
 """Questions that packs of documents put to the whole corpus.
 
 Documents are gathered, in the order in which tasks read them, into packs of
-about 2 MB, kept compressed in the checkpoint folder. A pack asks about keys
-(hashes) that occur in it: each key goes once per pack, whatever the number of
-its documents that hold it, to the bucket of its leading bits, and the bucket
-answers one byte for each key and pack. A key that a third of all documents
-hold thus costs one entry per pack, buckets stay even because keys are hashes,
-and no text moves except to meet its answers.
+about 2 MB, kept compressed in the checkpoint folder. A pack asks questions about
+keys (hashes) that occur in it: each key goes once per pack, whatever the number
+of its documents that hold it, to the bucket of its leading bits, and the bucket
+answers each key and pack. A key that a third of all documents hold thus costs
+one entry per pack, buckets stay even because keys are hashes, and no text moves
+except to meet its answers. A text longer than 2 MB is a pack of its own.
 """
 
 from __future__ import annotations
@@ -23,12 +23,13 @@ from .blocks import BLOCK_BYTES, Block, blocks_of, id_values, text_buffers
 from .shared import checkpointed, id_and_text
 
 PACK = pa.schema([("pack_id", pa.int64()), ("ids", pa.binary()), ("sizes", pa.binary()), ("texts", pa.binary())])
-ASK = pa.schema([("bucket", pa.int32()), ("pack_id", pa.int64()), ("keys", pa.binary()), ("more", pa.binary()), ("vals", pa.binary())])
+ASK = pa.schema([("question", pa.int32()), ("bucket", pa.int32()), ("pack_id", pa.int64()), ("columns", pa.list_(pa.binary()))])
 ANSWER = pa.schema([("pack_id", pa.int64()), ("question", pa.int32()), ("bucket", pa.int32()), ("said", pa.binary())])
-_SQL = {"PACK": "pack_id long, ids binary, sizes binary, texts binary", "ASK": "bucket int, pack_id long, keys binary, more binary, vals binary", "ANSWER": "pack_id long, question int, bucket int, said binary"}
+_SQL = {"PACK": "pack_id long, ids binary, sizes binary, texts binary", "ASK": "question int, bucket int, pack_id long, columns array<binary>", "ANSWER": "pack_id long, question int, bucket int, said binary"}
 
 #: A pack's distinct keys in ascending order: two 64-bit lanes and a value each.
 Keys = tuple[np.ndarray, np.ndarray, np.ndarray]
+KEYS = (("u8", ()), ("u8", ()), ("i8", ()))
 
 
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,12 +69,18 @@ def _buckets(k0: np.ndarray, n: int) -> np.ndarray:
     return ((k0 >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)
 
 
-def _asked(pack_id: int, keys: Keys, n: int) -> pa.RecordBatch:
-    bucket = _buckets(keys[0], n)
-    ids, at = np.unique(bucket, return_index=True)
-    ends = np.append(at, len(bucket))[1:]
-    parts = [[x[i:j].tobytes() for i, j in zip(at, ends, strict=True)] for x in keys]
-    return pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int32)), pa.array(np.full(len(ids), pack_id)), *(pa.array(p, pa.binary()) for p in parts)], schema=ASK)
+def _asked(pack_id: int, asked: dict[int, tuple[np.ndarray, ...]], n: int) -> pa.RecordBatch:
+    """A row for each question and bucket; the first column of a question holds its keys, in ascending order."""
+    rows: list[list] = [[], [], [], []]
+    for question, columns in asked.items():
+        bucket = _buckets(columns[0], n)
+        ids, at = np.unique(bucket, return_index=True)
+        ends = np.append(at, len(bucket))[1:]
+        rows[0] += [question] * len(ids)
+        rows[1] += ids.tolist()
+        rows[2] += [pack_id] * len(ids)
+        rows[3] += [[x[i:j].tobytes() for x in columns] for i, j in zip(at, ends, strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(rows, ASK, strict=True)], schema=ASK)
 
 
 def _tables(rows: DataFrame, answers: DataFrame | None, fn: Callable, schema: str) -> DataFrame:
@@ -98,29 +105,27 @@ def _tables(rows: DataFrame, answers: DataFrame | None, fn: Callable, schema: st
     return rows.groupBy("pack_id").cogroup(answers.groupBy("pack_id")).applyInArrow(together, schema)
 
 
-def ask(rows: DataFrame, question: int, keys_of: Callable[[Block, dict], Keys], answer: Callable, n_buckets: int, answers: DataFrame | None = None) -> DataFrame:
-    """Puts each pack's keys to their buckets.
+def ask(rows: DataFrame, emit: Callable[[Block, dict], dict], answers_of: dict[int, tuple[tuple, Callable]], n_buckets: int, answers: DataFrame | None = None) -> DataFrame:
+    """Puts each pack's questions to buckets.
 
-    keys_of(block, answers so far) gives the keys; answer(k0, k1, vals, pack) sees all
-    entries of a bucket, sorted by k0, k1, vals, pack, and gives a byte for each.
+    emit(block, answers so far) gives the columns of each question. answers_of has,
+    for each question, the kinds of these columns and a function of all of a
+    bucket's entries (the columns, then the pack), in the order of the packs, that
+    gives an answer for each.
     """
 
-    def emit(block: Block, pack_id: int, said: dict) -> pa.RecordBatch:
-        return _asked(pack_id, keys_of(block, said), n_buckets)
-
-    def reply(t: pa.Table) -> pa.Table:
+    def reply(key: tuple, t: pa.Table) -> pa.Table:
+        question = key[0].as_py()
+        kinds, answer = answers_of[question]
         t = t.sort_by("pack_id")
-        ids, lanes = t["pack_id"].to_numpy(), [t[c].to_pylist() for c in ("keys", "more", "vals")]
-        counts = [len(x) // 8 for x in lanes[0]]
-        k0, k1, vals = (np.frombuffer(b"".join(x), kind) for x, kind in zip(lanes, (np.uint64, np.uint64, np.int64), strict=True))
-        pack = np.repeat(ids, counts)
-        order = np.lexsort((pack, vals, k1, k0))
-        said = np.empty(len(k0), np.uint8)
-        said[order] = answer(k0[order], k1[order], vals[order], pack[order])
+        ids, cells = t["pack_id"].to_numpy(), t["columns"].to_pylist()
+        columns = [np.frombuffer(b"".join(c[k] for c in cells), kind).reshape(-1, *shape) for k, (kind, shape) in enumerate(kinds)]
+        counts = [len(c[0]) // 8 for c in cells]
+        said = answer(*columns, np.repeat(ids, counts))
         cuts = np.cumsum([0, *counts])
-        return pa.table([pa.array(ids), pa.array(np.full(len(ids), question, np.int32)), t["bucket"], pa.array([said[i:j].tobytes() for i, j in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], schema=ANSWER)
+        return pa.table([pa.array(ids), t["question"], t["bucket"], pa.array([said[i:j].tobytes() for i, j in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], schema=ANSWER)
 
-    return _tables(rows, answers, emit, _SQL["ASK"]).groupBy("bucket").applyInArrow(reply, _SQL["ANSWER"])
+    return _tables(rows, answers, lambda block, pack_id, said: _asked(pack_id, emit(block, said), n_buckets), _SQL["ASK"]).groupBy("question", "bucket").applyInArrow(reply, _SQL["ANSWER"])
 
 
 def finish(rows: DataFrame, answers: DataFrame, fn: Callable[[Block, dict], pa.RecordBatch], schema: str) -> DataFrame:
@@ -134,6 +139,18 @@ def groups(*lanes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(new), np.cumsum(new) - 1
 
 
+def by_key(answer: Callable) -> Callable:
+    """Lets answer see entries sorted by key, value and pack."""
+
+    def run(k0: np.ndarray, k1: np.ndarray, vals: np.ndarray, pack: np.ndarray) -> np.ndarray:
+        order = np.lexsort((pack, vals, k1, k0))
+        said = np.empty(len(k0), np.uint8)
+        said[order] = answer(k0[order], k1[order], vals[order], pack[order])
+        return said
+
+    return run
+
+
 def said_elsewhere(k0: np.ndarray, k1: np.ndarray, vals: np.ndarray, pack: np.ndarray) -> np.ndarray:
     """1 for keys that another pack holds too."""
     at, of = groups(k0, k1)

@@ -11,11 +11,11 @@ document's weight is the sum over its features.
 
 A feature that no good document holds is sure only if its share of the corpus is
 z^2 / 2 of the number of good documents or more; one that is commoner in the
-target counts from two good documents on. So only such features are counted: what
-has a share of the whole has it in one part at least, so the parts that tasks
-gather name all frequent features, and a second scan counts the named ones in
-every document. There are at most (features of a document) x 2 / z^2 x (good
-documents) of them, whatever the size of the corpus.
+target counts from ``LEAST_GOOD`` good documents on. So only such features are
+counted: what has a share of the whole has it in one part at least, so the parts
+that tasks gather name all frequent features, and a second scan counts the named
+ones in every document. There are at most (features of a document) x (2 / z^2 +
+1 / LEAST_GOOD) x (good documents) of them, whatever the size of the corpus.
 
 z and the cut are those with the fewest errors on the labelled rows, each weighed
 without its own label. Where no cut errs less than keeping all, all stay.
@@ -52,7 +52,7 @@ from pyspark.sql import functions as F
 from .blocks import LOWER, SPACE, Block, Spans, ascending, blocks, byte_set, grams, mix, words
 from .shared import checkpointed, id_and_text, row_key
 
-MAX_LABELLED = 20_000
+MAX_LABELLED, LEAST_GOOD = 5_000, 5
 SHARPNESS = 50.0
 #: Values of z to choose from.
 ZS = (2.0, 2.5, 3.0, 4.0, 5.5, 7.5)
@@ -224,7 +224,8 @@ def fit(docs: DataFrame, some: DataFrame, zs: tuple[float, ...] = ZS) -> Model:
         return Model(none, none, none, size.raw, 0)
     least = min(zs) ** 2 / 2 / size.target
     frequent = marked.mapInArrow(_tallies(least), "hash long, n long").select("hash")
-    of_good = marked.where("good").mapInArrow(_tallies(0.0), "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")).where("n >= 2").select("hash")
+    parts = LEAST_GOOD - 1  # fewer than LEAST_GOOD, so that one holds two of a feature's good documents; at most max_labelled rows in all
+    of_good = marked.where("good").repartition(parts, F.xxhash64("doc_id")).mapInArrow(_tallies(0.0), "hash long, n long").where("n >= 2").select("hash")
     named = frequent.union(of_good).distinct().toArrow().column("hash").to_numpy().astype(np.int64)  # bounded by the labelled rows, see above
     if not len(named):
         return Model(none, none, none, size.raw, size.target)

@@ -10,7 +10,8 @@ as 128-bit hashes, with the least doc_id of each.
 
 Nulls: a null text has no words; a null doc_id counts as larger than all others,
 so it loses words and never takes any. Rows that repeat a doc_id don't take from
-each other. Empty tables give an empty result; other columns are not read.
+each other. Empty tables give an empty result; other columns are not read. Texts
+of any length are read whole.
 """
 
 from __future__ import annotations
@@ -54,10 +55,10 @@ def _anchors(block: Block, w: Words, h: np.ndarray) -> tuple[np.ndarray, P.Keys,
     return at, uniq, several, of
 
 
-def _first(block: Block, said: dict) -> P.Keys:
+def _first(block: Block, said: dict) -> dict:
     w, h, _ = _cut(block)
     k0, k1, _ = _anchors(block, w, h)[1]
-    return k0, k1, np.zeros(len(k0), np.int64)
+    return {0: (k0, k1, np.zeros(len(k0), np.int64))}
 
 
 def _windows(block: Block, said: dict) -> tuple[Words, np.ndarray, P.Keys, np.ndarray]:
@@ -74,8 +75,8 @@ def _windows(block: Block, said: dict) -> tuple[Words, np.ndarray, P.Keys, np.nd
     return w, starts, uniq, of
 
 
-def _second(block: Block, said: dict) -> P.Keys:
-    return _windows(block, {0: said.get(0, np.empty(0, np.uint8))})[2]
+def _second(block: Block, said: dict) -> dict:
+    return {1: _windows(block, {0: said.get(0, np.empty(0, np.uint8))})[2]}
 
 
 def _last(block: Block, said: dict) -> pa.RecordBatch:
@@ -98,6 +99,6 @@ def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     """Per document: how many words it has, how many go, the digest of those that stay, and a bitmap of them."""
     rows = P.packs(docs, doc_id, text)
     n = P.bucket_count(rows)
-    anchors = checkpointed(P.ask(rows, 0, _first, P.said_elsewhere, n))
-    windows = P.ask(rows, 1, _second, P.said_smaller, n, anchors)
+    anchors = checkpointed(P.ask(rows, _first, {0: (P.KEYS, P.by_key(P.said_elsewhere))}, n))
+    windows = P.ask(rows, _second, {1: (P.KEYS, P.by_key(P.said_smaller))}, n, anchors)
     return P.finish(rows, anchors.unionByName(windows), _last, SCHEMA)

@@ -201,7 +201,7 @@ def test_weights_against_brute_force(spark):
     for h, n in raw.items():
         t, e = target[h], n * n_target / 400
         deviance = 2 * ((t * math.log(t / e) if t else 0) - t + e)
-        if deviance > 4 and (t >= 2 or n / 400 >= 2 / n_target):
+        if deviance > 4 and (t >= 5 or n / 400 >= 2 / n_target):
             weight[h] = math.log((t + 1) / (e + 1)) * (1 - 4 / deviance)
     got = quality.weigh(docs.select("doc_id", "text", F.lit(0).cast("long").alias("row_key")), model, 2.0)
     for r in got.collect():

@@ -5,10 +5,11 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from soundlake.llm.substring_dedup import substring_dedup
-from soundlake.llm.suffix_dedup import suffix_dedup
+from soundlake.llm.suffix_dedup import CORE, LENGTH, REACH, WIDTH, corpus_order, suffix_dedup
 
 SCHEMA = "doc_id long, text string, n_bytes long, keep string"
 
@@ -88,3 +89,46 @@ def test_many_packs(spark):
     assert Counter(map(tuple, got)) == bytes_brute(rows)
     got = substring_dedup(docs).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
     assert Counter(map(tuple, got)) == words_brute(rows)
+
+
+def bytes_of(docs, **kw):
+    return Counter(map(tuple, suffix_dedup(docs, **kw).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()))
+
+
+def test_crowded_cores(spark):
+    """With hardly any core sorted, strings are compared by hash: same rows."""
+    rows = corpus(4)
+    docs = spark.createDataFrame([(i, t, 0, "") for i, t in rows], SCHEMA).repartition(7)
+    assert bytes_of(docs, most_sorted=3) == bytes_brute(rows)
+
+
+def test_corpus_order_against_naive_suffixes():
+    rng = random.Random(5)
+    body = np.array([[rng.choice(b"ab\0") for _ in range(WIDTH)] for _ in range(60)], np.uint8)
+    for i in range(1, 60):  # neighbours share all but a short head or tail
+        body[i, rng.randrange(60) : WIDTH - rng.randrange(60)] = body[i - 1, : WIDTH][0]
+        body[i, REACH - 1 - rng.randrange(40) : REACH - 1 + CORE + rng.randrange(LENGTH - CORE)] = 97
+    nearest = np.array([rng.randrange(20) for _ in body])
+    farthest = nearest + [rng.randrange(100) for _ in body]
+    for d, here, same in corpus_order(body, nearest, farthest):
+        suffix = [body[i, REACH - 1 - d :].tobytes() for i in here]
+        assert suffix == sorted(suffix) and set(here) == {i for i in range(60) if nearest[i] <= d <= farthest[i]}
+        assert [False, *(a[:LENGTH] == b[:LENGTH] for a, b in zip(suffix, suffix[1:]))][: len(here)] == same.tolist()
+
+
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_regular_and_long_texts(spark):
+    """Complementary Thue-Morse texts, which polynomials modulo powers of 2 don't tell apart, and a text longer than a block."""
+    one = thue_morse(2048)
+    two = one.translate(str.maketrans("ab", "ba"))
+    rng = random.Random(6)
+    long = " ".join("".join(rng.choice("abcdefgh") for _ in range(7)) for _ in range(300_000))
+    words = " ".join(f"w{j}" for j in range(6))
+    rows = [(1, f"{one} {words} {words} {words}"), (2, f"{two} {words} {words} {words}"), (3, long), (4, long[500_000:502_000])]
+    docs = spark.createDataFrame([(i, t, 0, "") for i, t in rows], SCHEMA).repartition(2)
+    got = substring_dedup(docs).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
+    assert Counter(map(tuple, got)) == words_brute(rows)
+    assert bytes_of(docs) == bytes_brute(rows)
