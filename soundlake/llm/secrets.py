@@ -13,7 +13,8 @@ by the usual conventions; words that a pattern matches are left out. This bounde
 sample only trains the models; every text is scanned in full.
 
 Nulls: a null text is empty and has no findings; a null doc_id is kept. Repeated
-rows are scanned each. Empty tables give empty results.
+rows are scanned each. Texts of any length are scanned whole, in time proportional
+to it. Other columns are not read. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -64,8 +65,8 @@ def labelled_samples(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     least = rows.select("h").distinct().orderBy("h").limit(max_samples)  # only hashes move
     rows = rows.join(F.broadcast(least), "h", "left_semi").dropDuplicates(["h"])
     clean = F.regexp_replace("text", r"(?i)(password|passwd|secret|token|api_?key)[\"']? *[:=] *[\"']?[A-Za-z0-9+/_.=-]+|AKIA[A-Z0-9]{12,}|[0-9a-f]{32,}", " ")
-    found = rows.select(F.slice(F.regexp_extract_all(clean, F.lit(r"[A-Za-z][A-Za-z0-9+/_.=-]{3,}"), F.lit(0)), 1, 400).alias("w")).where("size(w) >= 3")
-    joined = [F.array_join(F.slice("w", 1, 3), sep) for sep in ("_", "-", ".", "/")] + [F.array_join(F.transform(F.slice("w", 1, 3), F.initcap), "")]
+    found = rows.select(F.regexp_extract_all(clean, F.lit(r"[A-Za-z][A-Za-z0-9+/_.=-]{3,}"), F.lit(0)).alias("w")).where("size(w) >= 3")
+    joined = [F.array_join(F.slice("w", 1, 3), sep) for sep in ("_", "-", ".", "/")] + [F.array_join(F.transform(F.slice("w", 1, 3), F.initcap), "")]  # one name a document and convention
     usual = spark.createDataFrame([(f"{a}{s}{b}{s}{c}{d}",) for s in ("_", "-", ".", "/", "") for a in ("get", "user", "http", "max") for b in ("Account", "value", "path", "request") for c in ("Name", "index", "2", "html") for d in ("", "1", "2024", ".txt")], "text string")
     names = found.select(F.explode(F.array_union(F.col("w"), F.array(*joined))).alias("text")).union(usual)
     numbers = spark.range(5_000).select(F.lpad(F.pmod(F.xxhash64("id"), F.lit(10**16)).cast("string"), 16, "0").alias("text"))  # serial, card and phone numbers
@@ -108,6 +109,14 @@ def train(samples: DataFrame, prior: float = 0.5) -> Model:
     return Model({(r.random, r.pair): r.n for r in pairs.groupBy("random", "pair").agg(F.count("*").alias("n")).collect()}, prior)
 
 
+def _outside(starts: np.ndarray, ends: np.ndarray, base: list[tuple[int, int, int]]) -> np.ndarray:
+    """Which spans share no place with those of base (sorted by start)."""
+    if not base:
+        return np.ones(len(starts), bool)
+    reach = np.append(-1, np.maximum.accumulate([e for _, _, e in base]))
+    return reach[np.searchsorted([s for s, _, _ in base], ends)] <= starts
+
+
 def find_secrets(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", min_llr: float = MIN_LLR, min_run: int = MIN_RUN) -> DataFrame:
     """(doc_id, findings): arrays of (kind, start, end) in code points, by start, then kind."""
 
@@ -119,18 +128,16 @@ def find_secrets(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: st
                 starts, ends, row = runs.starts[long], runs.ends[long], runs.row[long]
                 hit = model.scores(b.data, starts, ends) >= min_llr
                 starts, ends, row = starts[hit], ends[hit], row[hit]
+                points = np.concatenate([[0], np.cumsum((b.data & 0xC0) != 0x80)])
+                size, starts = ends - starts, points[starts] - points[b.offsets[row]]  # a run is ASCII
                 first = np.searchsorted(row, np.arange(len(b) + 1))
-                texts = batch.column(1).slice(b.lo, len(b)).to_pylist()
                 found = []
-                for i, t in enumerate(texts):
+                for i, t in enumerate(batch.column(1).slice(b.lo, len(b)).to_pylist()):
                     base = base_spans(t or "")
-                    more = []
-                    for j in range(first[i], first[i + 1]):
-                        s = len(b.data[b.offsets[i] : starts[j]].tobytes().decode())
-                        e = s + int(ends[j] - starts[j])
-                        if all(e <= x or y <= s for x, _, y in base):
-                            more.append((s, 3, e))
-                    found.append([{"kind": KINDS[k], "start": s, "end": e} for s, k, e in sorted(base + more)])
+                    s, e = (x[first[i] : first[i + 1]] for x in (starts, starts + size))
+                    free = _outside(s, e, base)
+                    more = [(x, 3, y) for x, y in zip(s[free].tolist(), e[free].tolist(), strict=True)]
+                    found.append([{"kind": KINDS[k], "start": x, "end": y} for x, k, y in sorted(base + more)])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(b.lo, len(b)), pa.array(found, pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])))], names=["doc_id", "findings"])
 
     return id_and_text(docs, doc_id, text).mapInArrow(scan, "doc_id long, findings array<struct<kind: string, start: bigint, end: bigint>>")
