@@ -10,12 +10,14 @@ windows of the hits are then extended to their full width and compared as
 
 The benchmark's distinct fingerprints go to all tasks as one sorted array if they
 are counted to be no more than ``max_broadcast``; above that, the fingerprints of
-the training texts are shuffled to them instead.
+the training texts are shuffled to them instead, one for each run of windows that
+share it, and only the texts of documents with hits are read again.
 
 Nulls: a null text has no words. A null item_id marks words but is not named
 among the items; rows that repeat an item_id are one item. Rows that repeat a
 doc_id with the same text get the same result. A document without words, or an
-empty benchmark, has no hits.
+empty benchmark, has no hits. Texts of any length are read whole; other columns
+are not read.
 """
 
 from __future__ import annotations
@@ -77,8 +79,32 @@ def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 yield pa.RecordBatch.from_arrays([items.take(pa.array(rows + b.lo)), pa.array(np.full(len(rows), n)), pa.array(prints.view(np.int64)), *map(pa.array, cut.whole(starts, n))], names=["item", "n", "print", "w0", "w1"])
 
 
-def _hits(sizes: list[int], prints: np.ndarray | None):
-    """Windows of training texts whose fingerprint the benchmark has (all, if it is not given)."""
+_FOUND = "doc_id long, row_key long, start long, n long, w0 long, w1 long"
+
+
+def _extended(cut: Cut, ids: np.ndarray, keys: np.ndarray, starts: np.ndarray, n: int) -> pa.RecordBatch:
+    rows = cut.w.row[starts]
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[rows], keys[rows], starts - cut.w.first[rows], np.full(len(rows), n), *cut.whole(starts, n))], names=["doc_id", "row_key", "start", "n", "w0", "w1"])
+
+
+def _hits(sizes: list[int], prints: np.ndarray):
+    """Windows of training texts whose fingerprint the benchmark has."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column(2).to_numpy()
+            for b in blocks(batch):
+                cut = Cut(b)
+                for n in sizes:
+                    starts, own = cut.windows(n)
+                    at = np.minimum(np.searchsorted(prints, own), len(prints) - 1)
+                    yield _extended(cut, b.ids, keys[b.lo : b.hi], starts[prints[at] == own], n)
+
+    return scan
+
+
+def _runs(sizes: list[int]):
+    """Runs of windows that share a fingerprint: a row where the least hash changes."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -87,16 +113,26 @@ def _hits(sizes: list[int], prints: np.ndarray | None):
                 cut = Cut(b)
                 for n in sizes:
                     starts, own = cut.windows(n)
-                    if prints is not None:
-                        at = np.minimum(np.searchsorted(prints, own), len(prints) - 1)
-                        found = prints[at] == own
-                        starts, own = starts[found], own[found]
                     rows = cut.w.row[starts]
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (b.ids[rows], keys[b.lo : b.hi][rows], starts - cut.w.first[rows], np.full(len(rows), n), own.view(np.int64), *cut.whole(starts, n))], names=["doc_id", "row_key", "start", "n", "print", "w0", "w1"])
+                    new = np.flatnonzero(np.append(True, (own[1:] != own[:-1]) | (rows[1:] != rows[:-1]))) if len(own) else np.empty(0, np.int64)
+                    size, r = np.diff(np.append(new, len(own))), rows[new]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (own[new].view(np.int64), b.ids[r], keys[b.lo : b.hi][r], starts[new] - cut.w.first[r], size, np.full(len(new), n))], names=["print", "doc_id", "row_key", "start", "size", "n"])
 
     return scan
 
 
+def _again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The windows of the runs (array of start, size, n) of each document."""
+    for batch in batches:
+        keys, runs = batch.column(2).to_numpy(), batch.column(3).to_pylist()
+        for b in blocks(batch):
+            cut = Cut(b)
+            mine = runs[b.lo : b.hi]
+            for n in sorted({r["n"] for x in mine for r in x}):
+                starts = [cut.w.first[i] + np.arange(r["start"], r["start"] + r["size"]) for i, x in enumerate(mine) for r in x if r["n"] == n]
+                yield _extended(cut, b.ids, keys[b.lo : b.hi], np.concatenate(starts), n)
+
+
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for b in blocks(batch):
@@ -115,13 +151,15 @@ def hits(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
     sizes = sorted(r.n for r in windows.select("n").distinct().collect())  # at most WINDOW rows
     rows = id_and_text(docs, doc_id, text)
     rows = rows.select("doc_id", "text", row_key(rows.text).alias("row_key"))
-    out = "doc_id long, row_key long, start long, n long, print long, w0 long, w1 long"
     prints = windows.select("print").distinct()
     if prints.count() <= max_broadcast:
         known = np.sort(np.array([r.print for r in prints.collect()], np.int64).view(np.uint64))  # no more than max_broadcast
-        found = rows.mapInArrow(_hits(sizes if len(known) else [], known), out)
+        found = rows.mapInArrow(_hits(sizes if len(known) else [], known), _FOUND)
     else:
-        found = rows.mapInArrow(_hits(sizes, None), out).join(prints, "print", "left_semi")
+        runs = rows.mapInArrow(_runs(sizes), "print long, doc_id long, row_key long, start long, size long, n long").join(prints, "print", "left_semi")
+        of_doc = runs.groupBy("doc_id", "row_key").agg(F.collect_set(F.struct("start", "size", "n")).alias("runs"))  # no more than a document's windows
+        once = rows.withColumn("doc_id", F.coalesce("doc_id", F.lit(NULL_ID))).dropDuplicates(["doc_id", "row_key"])
+        found = once.join(of_doc, ["doc_id", "row_key"]).select("doc_id", "text", "row_key", "runs").mapInArrow(_again, _FOUND)
     return (
         found.join(windows.select("item", "n", "w0", "w1"), ["n", "w0", "w1"])
         .groupBy("doc_id", "row_key")
