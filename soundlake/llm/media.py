@@ -9,7 +9,8 @@ read, without interlacing.
 
 ``store_texts`` puts the UTF-8 bytes of texts, with bytes 0 appended up to a
 positive multiple of 64, into rows of 64 grey samples. A null text is empty; a
-null doc_id is kept; equal texts give equal files. A damaged file raises
+null doc_id is kept; equal texts, repeated rows too, give equal files. Texts of
+any length are stored whole, about 2 MB of them at a time. A damaged file raises
 ValueError in ``decode_png`` and gives nulls in ``describe``. Empty tables give
 empty results; other columns are not read.
 """
@@ -25,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .blocks import text_buffers
+from .blocks import blocks, id_column
 from .shared import id_and_text
 
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -51,6 +52,25 @@ def encode_png(image: np.ndarray, level: int = 1) -> bytes:
     return SIGNATURE + _chunk(b"IHDR", header) + _chunk(b"IDAT", zlib.compress(lines.tobytes(), level)) + _chunk(b"IEND", b"")
 
 
+def _undo_neighbours(kind: int, rows: np.ndarray, above: np.ndarray, step: int) -> np.ndarray:
+    """Undoes filters that look left and up in rows of one kind: pixels whose left and upper neighbours are known go together, so all on one diagonal."""
+    height, width = len(rows), rows.shape[1] // step
+    out = np.zeros((height + 1, width + 1, step), np.int16)  # a row above and a column before
+    out[0, 1:] = above.reshape(width, step)
+    pixels = rows.reshape(height, width, step)
+    for s in range(height + width - 1):
+        y = np.arange(max(0, s - width + 1), min(height, s + 1))
+        x = s - y
+        a, b, c = out[y + 1, x], out[y, x + 1], out[y, x]
+        if kind == 3:
+            guess = (a + b) >> 1
+        else:
+            p, q, r = np.abs(b - c), np.abs(a - c), np.abs(a + b - 2 * c)
+            guess = np.where((p <= q) & (p <= r), a, np.where(q <= r, b, c))
+        out[y + 1, x + 1] = (pixels[y, x] + guess) & 255
+    return out[1:, 1:].astype(np.uint8).reshape(height, -1)
+
+
 def _unfilter(kinds: np.ndarray, lines: np.ndarray, step: int) -> np.ndarray:
     """Undoes the row filters 0 to 4; step: bytes of a pixel."""
     height, width = lines.shape
@@ -65,18 +85,7 @@ def _unfilter(kinds: np.ndarray, lines: np.ndarray, step: int) -> np.ndarray:
         elif kind == 2:
             out[lo + 1 : hi + 1] = np.cumsum(np.vstack([out[lo : lo + 1], rows]), axis=0, dtype=np.uint8)[1:]
         elif kind in (3, 4):
-            for y in range(lo, hi):
-                up, now = out[y].astype(np.int32), np.zeros(width + step, np.int32)
-                up = np.concatenate([np.zeros(step, np.int32), up])
-                for x in range(step, width + step, step):
-                    a, b, c = now[x - step : x], up[x : x + step], up[x - step : x]
-                    if kind == 3:
-                        guess = (a + b) >> 1
-                    else:
-                        pa_, pb, pc = np.abs(b - c), np.abs(a - c), np.abs(a + b - 2 * c)
-                        guess = np.where((pa_ <= pb) & (pa_ <= pc), a, np.where(pb <= pc, b, c))
-                    now[x : x + step] = (lines[y, x - step : x] + guess) & 255
-                out[y + 1] = now[step:]
+            out[lo + 1 : hi + 1] = _undo_neighbours(kind, rows, out[lo], step)
         else:
             raise ValueError("unknown filter")
     return out[1:]
@@ -144,16 +153,14 @@ def store_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = text_buffers(batch.column(1))
-            for first in range(0, len(batch), 256):
+            for b in blocks(batch):
                 files = []
-                part = range(first, min(first + 256, len(batch)))
-                for i in part:
-                    raw = data[offsets[i] : offsets[i + 1]]
+                for i in range(len(b)):
+                    raw = b.data[b.offsets[i] : b.offsets[i + 1]]
                     image = np.zeros((max(1, -(-len(raw) // ROW)), ROW), np.uint8)
                     image.ravel()[: len(raw)] = raw
                     files.append(encode_png(image))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(part)), pa.array(np.diff(offsets[first : first + len(part) + 1])), pa.array(files, pa.binary())], names=["doc_id", "n_bytes", "media"])
+                yield pa.RecordBatch.from_arrays([id_column(b.ids), pa.array(np.diff(b.offsets)), pa.array(files, pa.binary())], names=["doc_id", "n_bytes", "media"])
 
     return id_and_text(docs, doc_id, text).mapInArrow(write, "doc_id long, n_bytes long, media binary")
 
