@@ -22,7 +22,8 @@ compares the full sets.
 
 Nulls: a null text is an empty set. An empty set is linked with nothing. A null
 doc_id stays on its own, with a null component, and is kept. Rows that repeat a
-doc_id are one node, each with its own set. Empty tables give empty results.
+doc_id are one node, each with its own set. Texts of any length are read whole;
+other columns are not read. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ from .components import components
 from .shared import checkpointed, id_and_text
 
 SHINGLE, PERCENT = 5, 80
-BANDS, BAND_PERMS, PIVOT_ROUNDS = 50, 3, 3
+BANDS, BAND_PERMS, PIVOT_ROUNDS, SALTS = 50, 3, 3, 32
 _FACTORS = np.random.Generator(np.random.PCG64(11)).integers(1, 2**63, 1024, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -156,8 +157,10 @@ def _by_differences(rows: DataFrame, percent: int) -> DataFrame:
     ranked = checkpointed(ranked.withColumn("bin", F.floor(F.col("g") / F.col("w"))).drop("often"))
     first = lambda g, h: F.col("d") + 1 - F.greatest(F.lit(1), F.ceil((g + h) / 2 - 1e-6))
     held = ranked.where(F.col("rank") <= first(F.col("g"), F.col("np") * r)).select("p", "e", "bin", *(F.col(c).alias(f"{c}_") for c in ("x", "c", "n", "g", "d", "rank")))
-    bins = ranked.groupBy("p").agg(F.collect_set("bin").alias("bins"))  # sizes of differences in steps of a part of the pivot's size
-    asked = ranked.where("not like").drop("bin").join(bins, "p").withColumn("bin", F.explode("bins")).where(F.col("rank") <= first(F.col("g"), F.col("bin") * F.col("w")))
+    # sizes of differences in steps of a part of the pivot's size; each pivot's go to every salt, so that one with very many nodes is no single key
+    bins = ranked.groupBy("p").agg(F.collect_set("bin").alias("bins")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = ranked.where("not like").drop("bin").withColumn("salt", F.pmod(F.xxhash64("x", "e"), F.lit(SALTS)).cast("int"))
+    asked = salted.join(bins, ["p", "salt"]).withColumn("bin", F.explode("bins")).where(F.col("rank") <= first(F.col("g"), F.col("bin") * F.col("w")))
     shared = F.greatest(F.lit(1), F.ceil((F.col("g") + F.col("g_")) / 2 - 1e-6))
     near = (F.col("c") != F.col("c_")) & (F.col("rank") <= F.col("d") + 1 - shared) & (F.col("rank_") <= F.col("d_") + 1 - shared) & (F.least("n", "n_") * 100 >= F.greatest("n", "n_") * percent)
     keys = ["p", "bin", "e"]
