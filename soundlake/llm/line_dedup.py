@@ -11,7 +11,9 @@ Lines of later documents are dropped. Results are compressed bitmaps per
 document; texts move only in ``apply_bitmaps``.
 
 Nulls: a null text is one empty line; a null doc_id sorts after all others.
-Rows that repeat a doc_id are one document. Empty tables give empty results.
+Rows that repeat a doc_id are one document. Extra columns are kept, whatever their
+names. Texts and lines of any length are read whole. Empty tables give empty
+results.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import LOWER, NULL_ID, SPACE, Spans, blocks
-from .shared import checkpointed, id_and_text, row_key
+from .shared import checkpointed, id_and_text, row_key, unused
 
 MIN_CHARS = 10
 _LINES = "h0 long, h1 long, doc_id long, row_key long, line long, n_lines long"
@@ -130,10 +132,12 @@ def line_bitmaps(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mi
     )
 
 
-def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with two more columns, __keep and __n_dropped; both null where nothing goes."""
-    b = bitmaps.select(F.col("doc_id").alias("__id"), F.col("row_key").alias("__key"), F.col("keep").alias("__keep"), F.col("n_dropped").alias("__n_dropped"))
-    return docs.join(b, (F.coalesce(docs[doc_id].cast("long"), F.lit(NULL_ID)) == b["__id"]) & (row_key(docs[text].cast("string")) == b["__key"]), "left").drop("__id", "__key")
+def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, str, str]:
+    """(docs with two more columns, their names: bitmap and number of lines dropped); both null where nothing goes."""
+    names = [unused(n, docs.columns) for n in ("keep", "n_dropped")]
+    b = bitmaps.select(bitmaps["doc_id"].alias("__id"), bitmaps["row_key"].alias("__key"), bitmaps["keep"].alias("__keep"), bitmaps["n_dropped"].alias("__n"))
+    same = (F.coalesce(docs[doc_id].cast("long"), F.lit(NULL_ID)) == b["__id"]) & (row_key(docs[text].cast("string")) == b["__key"])
+    return docs.join(b, same, "left").select(*(docs[c] for c in docs.columns), b["__keep"].alias(names[0]), b["__n"].alias(names[1])), *names
 
 
 def kept_lines(text: str | None, keep: bytes | None) -> str:
@@ -148,12 +152,13 @@ def kept_lines(text: str | None, keep: bytes | None) -> str:
 def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
     """Per document: lines, lines dropped, and the digest of what stays."""
     rows = id_and_text(docs, doc_id, text)
+    marked, keep, n_dropped = apply_bitmaps(rows, line_bitmaps(rows, min_chars=min_chars))
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, keeps = batch.column("text").to_pylist(), batch.column("__keep").to_pylist()
+            texts, keeps = batch.column("text").to_pylist(), batch.column(keep).to_pylist()
             sums = [hashlib.sha256(kept_lines(t, k).encode()).hexdigest() for t, k in zip(texts, keeps, strict=True)]
             counts = [(t or "").count("\n") + 1 for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), batch.column("__n_dropped").fill_null(0), pa.array(sums, pa.string())], names=["doc_id", "n_lines", "n_dropped", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), batch.column(n_dropped).fill_null(0), pa.array(sums, pa.string())], names=["doc_id", "n_lines", "n_dropped", "kept_sha256"])
 
-    return apply_bitmaps(rows, line_bitmaps(rows, min_chars=min_chars)).mapInArrow(digest, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
+    return marked.mapInArrow(digest, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")

@@ -13,13 +13,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df, written to the folder that the cluster names in spark.checkpoint.dir; one of our own only where none is named."""
+    """df, written to the folder that the cluster names in spark.checkpoint.dir; where none is named, to one of our own in local mode, while a cluster gets an error."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="soundlake-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="soundlake-"))
     return df.checkpoint(eager=True)
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """name, or with underscores before it if columns have it."""
+    while name.lower() in {c.lower() for c in columns}:
+        name = "_" + name
+    return name
+
+
 def id_and_text(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The two columns under fixed names; others, whatever their names, stay out."""
     return docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))

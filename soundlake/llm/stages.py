@@ -1,4 +1,10 @@
-"""Stages of the corpus pipeline; each keeps the columns of its input, the last one adds its own."""
+"""Stages of the corpus pipeline; each keeps the columns of its input, the last one adds its own.
+
+Nulls: a row with a null text or doc_id passes all stages; a null text stays null.
+Rows that repeat a doc_id and text stay or go together. Extra columns pass,
+whatever their names, up to the last stage, which returns texts and places only.
+Empty tables pass as empty tables. Texts of any length are read whole.
+"""
 
 from __future__ import annotations
 
@@ -18,7 +24,7 @@ from .shared import row_key, table
 
 
 def _same_row(docs: DataFrame, other: DataFrame):
-    """docs' rows and those of other (doc_id, row_key under the names __id, __key), nulls as the largest long."""
+    """docs' rows and those of other (__id, __key), nulls as the largest long."""
     return (F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID)) == other["__id"]) & (row_key(docs["text"]) == other["__key"])
 
 
@@ -30,16 +36,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines that an earlier one has."""
-    marked = apply_bitmaps(docs, line_bitmaps(docs))
+    marked, keep, n_dropped = apply_bitmaps(docs, line_bitmaps(docs))
     order = docs.columns
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t if k is None else kept_lines(t, k) for t, k in zip(batch.column("text").to_pylist(), batch.column("__keep").to_pylist(), strict=True)]
+            texts = [t if k is None else kept_lines(t, k) for t, k in zip(batch.column("text").to_pylist(), batch.column(keep).to_pylist(), strict=True)]
             columns = {name: batch.column(name) for name in order}
             columns["text"] = pa.array(texts, batch.column("text").type)
             if "n_chars" in columns:
-                dropped = batch.column("__n_dropped").is_valid().to_pylist()
+                dropped = batch.column(n_dropped).is_valid().to_pylist()
                 columns["n_chars"] = pa.array([len(t or "") if d else n for t, d, n in zip(texts, dropped, columns["n_chars"].to_pylist(), strict=True)], columns["n_chars"].type)
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
@@ -59,5 +65,5 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document's place in a batch."""
-    return pack(token_counts(docs))
+    """Each document's place in a batch, and its text."""
+    return pack(token_counts(docs, with_text=True))
