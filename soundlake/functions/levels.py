@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Trim limits in dB, health thresholds, bandwidth limits in Hz and kbit/s.
-MAX_TRIM, MARGIN = 12.0, 2.0
+MAX_TRIM, MARGIN, MAX_BAND = 12.0, 2.0, 12.0
 SILENT_DB, SIDE, TAIL, CLIPPED, DEAD_AIR = -45.0, 0.005, 0.5, 0.001, 2.0
 FULL_HZ, HIGH_HZ, LOSSY_HZ, TRANSCODE_KBPS = 20_000, 18_500, 17_000, 224
 
@@ -20,6 +20,11 @@ def to_gain(db: Column) -> Column:
     return F.pow(F.lit(10.0), db / 20)
 
 
+def slider_to_db(value: Column) -> Column:
+    """The gain of an equaliser band whose slider stands at 0 to 100; 50 is none."""
+    return (F.greatest(F.lit(0.0), F.least(F.lit(100.0), value)) - 50) / 50 * MAX_BAND
+
+
 def trim_db(reference_db: Column, level_db: Column, crest: Column) -> Column:
     """How much to turn a recording up or down: to the reference, at most 12 dB, and up only as far as its peaks allow."""
     wanted = F.greatest(F.lit(-MAX_TRIM), F.least(F.lit(MAX_TRIM), reference_db - level_db))

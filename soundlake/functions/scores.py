@@ -15,8 +15,8 @@ TRAVEL, ARC_HEIGHT, SAME_ARTIST = 0.5, 0.45, 0.4
 
 
 def clamp(x: Column) -> Column:
-    """x inside 0 to 1; 0 if it is not a number."""
-    return F.when(F.isnan(x.cast("double")), F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)))
+    """x inside 0 to 1; 0 if it is null or not a number."""
+    return F.when(x.isNull() | F.isnan(x.cast("double")), F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)))
 
 
 def js_round(x: Column) -> Column:
@@ -72,6 +72,11 @@ def key_reliability(strength: Column) -> Column:
     return clamp((strength - KEY_FLOOR) / (KEY_CEILING - KEY_FLOOR))
 
 
+def surer(a: Column, b: Column) -> Column:
+    """The lesser of two confidences; one that is unknown is 0."""
+    return F.least(F.coalesce(a, F.lit(0.0)), F.coalesce(b, F.lit(0.0)))
+
+
 def faded(cost: Column, confidence: Column) -> Column:
     """Towards the neutral half as confidence goes."""
     return cost * confidence + 0.5 * (1 - confidence)
@@ -84,7 +89,7 @@ def novelty(recent_artist: Column, recent_album: Column, recent: Column, frequen
 
 def pair_costs(a: dict[str, Column], b: dict[str, Column]) -> tuple[Column, Column]:
     """(tempo, key) costs of a and b, columns bpm, bpm_confidence, place and key_strength."""
-    tempo = faded(tempo_cost(a["bpm"], b["bpm"]), F.least(a["bpm_confidence"], b["bpm_confidence"]))
+    tempo = faded(tempo_cost(a["bpm"], b["bpm"]), surer(a["bpm_confidence"], b["bpm_confidence"]))
     key = faded(keys.distance(a["place"], b["place"]), F.least(key_reliability(a["key_strength"]), key_reliability(b["key_strength"])))
     return tempo, key
 
@@ -106,7 +111,7 @@ def target_energy(shape: str, position: Column, start: Column) -> Column:
 def step_cost(a: dict[str, Column], b: dict[str, Column], tolerance: float) -> Column:
     """A route's move: no half or double time, and the same artist twice in a row costs more."""
     tempo = F.when((a["bpm"] > 0) & (b["bpm"] > 0), F.least(F.lit(1.0), F.abs(b["bpm"] - a["bpm"]) / a["bpm"] / tolerance)).otherwise(0.5)
-    tempo = faded(tempo, F.least(a["bpm_confidence"], b["bpm_confidence"]))
+    tempo = faded(tempo, surer(a["bpm_confidence"], b["bpm_confidence"]))
     key = faded(keys.distance(a["place"], b["place"]), F.least(key_reliability(a["key_strength"]), key_reliability(b["key_strength"])))
     return 0.55 * tempo + 0.45 * key + F.when(a["artist"] == b["artist"], SAME_ARTIST).otherwise(0.0)
 
@@ -126,6 +131,12 @@ def alignment(period_out: Column, next_out: Column, period_in: Column, next_in:
     )
 
 
+def aligned_start(at_sec: Column, skip_sec: Column, duration_sec: Column) -> Column:
+    """Where to move the incoming recording from at_sec so that beats fall together; null if there is nothing to skip or the skip runs past its end."""
+    moved = at_sec + skip_sec
+    return F.when((skip_sec > 0) & (duration_sec.isNull() | F.isnan(duration_sec) | (moved < duration_sec)), moved)
+
+
 def until_beat(phase: Column, period: Column, at: Column) -> Column:
     """Time from ``at`` to the next beat, more than 0 and at most a period."""
     return period - F.pmod(at - phase, period)

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import codes, keys
 from . import shape
 
-#: A slot is present from a share of .02, absent below .005.
-PRESENT, ABSENT = 0.02, 0.005
+#: A slot is present from a share of .02, absent below .005, a band of theirs is told from .08.
+PRESENT, ABSENT, TOLD = 0.02, 0.005, 0.08
 
 
 def own_shape(tracks: DataFrame) -> DataFrame:
@@ -50,10 +50,29 @@ def tempo_bands(mine: DataFrame, theirs: DataFrame, which: str) -> DataFrame:
 
 
 def key_sets(mine: DataFrame, theirs: DataFrame) -> DataFrame:
-    """(which, camelot): codes that are common, theirs alone or yours alone."""
+    """(which, place, camelot): codes that are common, theirs alone or yours alone."""
     slots = _slots(mine, theirs, "keys")
     which = F.array_compact(F.array(*(F.when(keep(), name) for name, (keep, _) in _KEEP.items())))
-    return slots.select(F.explode(which).alias("which"), keys.code(F.col("slot")).alias("camelot"))
+    return slots.select(F.explode(which).alias("which"), F.col("slot").cast("int").alias("place"), keys.code(F.col("slot")).alias("camelot"))
+
+
+def findings(mine: DataFrame, theirs: DataFrame) -> DataFrame:
+    """(ord, finding): at most four sentences about two shapes (analysed, tempo, keys), each a row."""
+    widest = lambda which, p: tempo_bands(mine, theirs, which).agg(F.max_by(F.struct("from_bpm", "to_bpm", "share"), F.struct("share", -F.col("from_bpm"))).alias(p))
+    listed = lambda which, p: key_sets(mine, theirs).where(F.col("which") == which).agg(F.count("*").alias(f"n_{p}"), F.array_join(F.transform(F.array_sort(F.collect_list("place")), keys.code), ", ").alias(p))
+    row = overlaps(mine, theirs).crossJoin(mine.select(F.col("analysed").alias("ours"))).crossJoin(theirs.select(F.col("analysed").alias("other")))
+    for part in (widest("common", "band"), widest("theirs", "alone"), listed("common", "both"), listed("theirs", "only")):
+        row = row.crossJoin(part)  # rows of one
+    percent = lambda c: F.concat(F.floor(c * 100 + 0.5).cast("string"), F.lit("%"))
+    text = lambda c: F.col(c).cast("string")
+    # The sentences.
+    said = (
+        F.concat(F.lit("Their "), text("other"), F.lit(" against your "), text("ours"), F.lit(": "), percent(F.col("tempo_overlap")), F.lit(" of the tempo curve is shared, and "), percent(F.col("key_overlap")), F.lit(" of the wheel.")),
+        F.when(F.col("band").isNull(), "There is no tempo you are both at home in.").otherwise(F.concat(F.lit("You are both at home between "), text("band.from_bpm"), F.lit(" and "), text("band.to_bpm"), F.lit(" BPM"), F.when(F.col("n_both").between(1, 4), F.concat(F.lit(", in "), F.col("both"))).otherwise(""), F.lit("."))),
+        F.when(F.col("alone.share") >= TOLD, F.concat(percent(F.col("alone.share")), F.lit(" of theirs is between "), text("alone.from_bpm"), F.lit(" and "), text("alone.to_bpm"), F.lit(" BPM, where you have next to nothing."))),
+        F.when(F.col("n_only").between(1, 6), F.concat(F.lit("They keep music in "), F.col("only"), F.lit(" and you do not."))),
+    )
+    return row.select(F.posexplode(F.array_compact(F.array(*said))).alias("ord", "finding"))
 
 
 def common_ground(tracks: DataFrame, mine: DataFrame, theirs: DataFrame, limit: int = 20) -> DataFrame:

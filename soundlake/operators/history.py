@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 RECENT, MEMORY = "INTERVAL 4 HOURS", 10
@@ -25,25 +25,44 @@ def recent(plays: DataFrame, now: DataFrame | None = None) -> DataFrame:
     return plays.crossJoin(F.broadcast(at)).where(F.expr(f"played_at > now - {RECENT}")).select(F.col("track_id").alias("id")).distinct()
 
 
-def recent_names(plays: DataFrame, tracks: DataFrame, field: str, limit: int = MEMORY) -> DataFrame:
-    """(ord, name): artists or albums of the last plays, latest first, at most ten."""
-    last = plays.orderBy(F.desc("played_at"), F.desc("event_id")).limit(limit)
-    named = last.join(tracks.select(F.col("id").alias("track_id"), F.col(field).alias("name")), "track_id").where("name IS NOT NULL")
-    latest = named.groupBy("name").agg(F.max(F.struct("played_at", "event_id")).alias("at"))
-    rows = latest.agg(F.reverse(F.array_sort(F.collect_list(F.struct("at", "name")))).alias("r"))  # at most ten
+def recent_names(plays: DataFrame, tracks: DataFrame, field: str, seed_id: str | None = None, now: DataFrame | None = None, limit: int = MEMORY) -> DataFrame:
+    """(ord, name): artists or albums that count as recent, at most ten: the seed's first, then those of analysed recordings played in the four hours before now, earliest first; names may repeat."""
+    at = now_of(plays) if now is None else now
+    window = plays.crossJoin(F.broadcast(at)).where(F.expr(f"played_at > now - {RECENT}"))  # one row
+    first = window.groupBy(F.col("track_id").alias("id")).agg(F.min(F.struct("played_at", "event_id")).alias("at"))
+    if seed_id is not None:
+        seed = tracks.sparkSession.createDataFrame([(seed_id,)], "id string").join(first.select("id", "at"), "id", "left").select("id", F.lit(None).cast(first.schema["at"].dataType).alias("at"))
+        first = seed.unionByName(first)  # a null comes first
+    named = first.join(tracks.where("analysed").select("id", F.col(field).alias("name")), "id").where("name IS NOT NULL")
+    top = named.orderBy("at", "id").limit(limit)
+    rows = top.agg(F.array_sort(F.collect_list(F.struct(F.coalesce(F.col("at")["played_at"], F.lit("1900-01-01").cast("timestamp")).alias("a"), F.coalesce(F.col("at")["event_id"], F.lit(-1)).alias("e"), "id", "name"))).alias("r"))  # at most ten
     return rows.select(F.posexplode("r").alias("ord", "s")).select("ord", F.col("s.name").alias("name"))
 
 
-def context(plays: DataFrame, tracks: DataFrame, now: DataFrame | None = None) -> DataFrame:
-    """tracks with recent_artist, recent_album, recent and frequency."""
-    artists = recent_names(plays, tracks, "artist").select(F.col("name").alias("artist"), F.lit(True).alias("recent_artist"))
-    albums = recent_names(plays, tracks, "album").select(F.col("name").alias("album"), F.lit(True).alias("recent_album"))
-    rows = tracks.join(F.broadcast(artists), "artist", "left").join(F.broadcast(albums), "album", "left")  # at most ten rows each
+def context(plays: DataFrame, tracks: DataFrame, now: DataFrame | None = None, seed_id: str | None = None) -> DataFrame:
+    """tracks with recent_artist, recent_album, recent and frequency; the seed's artist and album count as recent."""
+    named = lambda field: recent_names(plays, tracks, field, seed_id, now).select(F.col("name").alias(field), F.lit(True).alias(f"recent_{field}")).distinct()
+    rows = tracks.join(F.broadcast(named("artist")), "artist", "left").join(F.broadcast(named("album")), "album", "left")  # at most ten rows each
     rows = rows.join(recent(plays, now).withColumn("recent", F.lit(True)), "id", "left").join(frequency(plays).select("id", "frequency"), "id", "left")
     no = F.lit(False)
     return rows.withColumns({"recent_artist": F.coalesce("recent_artist", no), "recent_album": F.coalesce("recent_album", no), "recent": F.coalesce("recent", no), "frequency": F.coalesce("frequency", F.lit(0.0))})
 
 
+def without_repeats(changes: DataFrame, by: str | None = None) -> DataFrame:
+    """changes (event_id, track_id, played_at) of what plays, without those that name the recording already playing and those that name none; by: a listener's column, each of whom is told on their own."""
+    w = Window.partitionBy(F.col(by) if by else F.lit(0)).orderBy("played_at", "event_id")
+    told = changes.where("track_id IS NOT NULL").withColumn("before", F.lag("track_id").over(w))
+    return told.where("before IS NULL OR before <> track_id").drop("before")
+
+
+def job_times(marks: DataFrame) -> DataFrame:
+    """(job, stage, ms): times between a job's entering and leaving a stage, from marks (job, stage, kind: open or close, at in ms). The nth opening goes with the nth closing; an opening without one is not told."""
+    w = Window.partitionBy("job", "stage", "kind").orderBy("at")
+    nth = marks.withColumn("n", F.row_number().over(w))
+    opened, closed = (nth.where(F.col("kind") == k).select("job", "stage", "n", F.col("at").alias(k)) for k in ("open", "close"))
+    return opened.join(closed, ["job", "stage", "n"]).select("job", "stage", (F.col("close") - F.col("open")).alias("ms"))
+
+
 def stage_times(events: DataFrame) -> DataFrame:
     """(stage, n, mean_ms) of (stage, ms), longest first."""
     return events.groupBy("stage").agg(F.count("*").alias("n"), F.avg("ms").alias("mean_ms")).orderBy(F.desc("mean_ms"), "stage")

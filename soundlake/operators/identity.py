@@ -1,8 +1,8 @@
 """The same recording stored twice, and names borrowed from a copy that has them.
 
 Recordings within a tolerance of each other's length share a slot of that width
-or lie in neighbouring slots, so candidates come from an equi-join on slots; only
-those are compared by fingerprint, in batches of arrays.
+or lie in neighbouring slots; slots are cut into blocks, and pairs of blocks are
+compared by products of matrices, each in a group of its own.
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ import base64
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,6 +22,8 @@ from ..functions import names
 #: How alike fingerprints and lengths of one recording are; when two copies are different masterings.
 THRESHOLD, TOLERANCE_SEC, REMASTER_DB, REMASTER_COMPRESSION = 0.12, 1.5, 2.5, 0.12
 SEGMENTS, FRAMES, BINS, LAG = 3, 20, 12, 3
+#: Recordings of a block.
+BLOCK = 1_024
 
 
 def _cells(texts: pd.Series) -> np.ndarray:
@@ -34,30 +38,72 @@ def _cells(texts: pd.Series) -> np.ndarray:
     return out.reshape(-1, SEGMENTS, FRAMES, BINS)
 
 
-@F.pandas_udf(T.DoubleType())
-def fingerprint_distance(left: pd.Series, right: pd.Series) -> pd.Series:
-    """1 less the mean over segments of the best correlation at lags of up to three frames, every bin about its own mean; null if nothing varies."""
-    a, b = _cells(left), _cells(right)
-    best = np.full((len(a), SEGMENTS), -np.inf)
+def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of all rows of two arrays of cells: 1 less the mean over segments of the best correlation at lags of up to three frames, every bin about its own mean; NaN if nothing varies. One product of matrices for each lag and segment."""
+    best = np.full((SEGMENTS, len(a), len(b)), -np.inf)
     for lag in range(-LAG, LAG + 1):
         x = a[:, :, max(0, -lag) : FRAMES - max(0, lag)]
         y = b[:, :, max(0, lag) : FRAMES + min(0, lag)]
-        x, y = x - x.mean(axis=2, keepdims=True), y - y.mean(axis=2, keepdims=True)
-        norm = np.sqrt((x * x).sum(axis=(2, 3)) * (y * y).sum(axis=(2, 3)))
-        with np.errstate(divide="ignore", invalid="ignore"):
-            r = np.clip((x * y).sum(axis=(2, 3)) / norm, -1, 1)
-        best = np.where(norm > 0, np.fmax(best, r), best)
+        x, y = ((v - v.mean(axis=2, keepdims=True)).reshape(len(v), SEGMENTS, -1) for v in (x, y))
+        nx, ny = (np.sqrt((v * v).sum(axis=2)) for v in (x, y))
+        for s in range(SEGMENTS):
+            with np.errstate(divide="ignore", invalid="ignore"):
+                r = np.clip(x[:, s] @ y[:, s].T / (nx[:, s, None] * ny[None, :, s]), -1, 1)
+            best[s] = np.fmax(best[s], r)
     told = np.isfinite(best)
-    n = told.sum(axis=1)
-    mean = np.where(told, best, 0).sum(axis=1) / np.maximum(n, 1)
-    return pd.Series([1 - m if k else None for m, k in zip(mean, n, strict=True)], dtype=object).astype("float64")
+    n = told.sum(axis=0)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return np.where(n > 0, 1 - np.where(told, best, 0).sum(axis=0) / n, np.nan)
+
+
+@F.pandas_udf(T.DoubleType())
+def fingerprint_distance(left: pd.Series, right: pd.Series) -> pd.Series:
+    """How far apart two fingerprints are; null if that can't be told."""
+    a, b = _cells(left), _cells(right)
+    far = [_distances(a[i : i + 1], b[i : i + 1])[0, 0] for i in range(len(a))]
+    return pd.Series([None if np.isnan(x) else float(x) for x in far], dtype=object).astype("float64")
+
+
+def _compare(tolerance: float, threshold: float, once: bool):
+    def run(t: pa.Table) -> pa.Table:
+        sides = [t.filter(pc.equal(t["side"], k)) for k in (0, 1)]
+        cells, secs, ids = [_cells(x["print"].to_pandas()) for x in sides], [x["sec"].to_numpy() for x in sides], [x["id"] for x in sides]
+        if len(sides[0]) and len(sides[1]):
+            far = _distances(*cells)
+            with np.errstate(invalid="ignore"):
+                i, j = np.nonzero((far <= threshold) & (np.abs(secs[0][:, None] - secs[1][None, :]) <= tolerance))
+            a, b, d = ids[0].take(pa.array(i)), ids[1].take(pa.array(j)), pa.array(far[i, j])
+            if once:  # of both orders, and not with itself
+                kept = pc.less(a, b)
+                a, b, d = a.filter(kept), b.filter(kept), d.filter(kept)
+        else:
+            a, b, d = ids[0].slice(0, 0), ids[0].slice(0, 0), pa.array([], pa.float64())
+        return pa.table({"a_id": a, "b_id": b, "distance": d})
+
+    return run
+
 
+def alike(left: DataFrame, right: DataFrame, tolerance: float = TOLERANCE_SEC, threshold: float = THRESHOLD, once: bool = False) -> DataFrame:
+    """(a_id, b_id, distance) of rows of both sides (id, sec, print) whose lengths and fingerprints are near; once: both sides are the same table, each pair is told once.
 
-def near_in_length(left: DataFrame, right: DataFrame, tolerance: float = TOLERANCE_SEC) -> DataFrame:
-    """Rows of both sides (a_id, a_sec, ...; b_id, b_sec, ...) whose lengths differ by no more than the tolerance."""
-    a = left.withColumn("slot", F.floor(F.col("a_sec") / tolerance))
-    b = right.withColumn("slot", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.floor(F.col("b_sec") / tolerance) + d)))
-    return a.join(b, "slot").where(F.abs(F.col("a_sec") - F.col("b_sec")) <= tolerance).drop("slot")
+    Rows whose lengths differ by no more than the tolerance lie in one slot of that width or in neighbouring ones. A slot is cut into blocks of about ``BLOCK`` rows by hash, and each pair of blocks is a group of its own, so a task holds two blocks whatever the slot's size; a row goes to as many groups as there are blocks around it. Inside a group all are compared by products of matrices.
+    """
+    sides = []
+    for k, (df, other) in enumerate(((left, right), (right, left))):
+        slot = lambda d: d.select("id", "sec", "print", F.floor(F.col("sec") / tolerance).alias("slot"))
+        sizes = lambda d: slot(d).groupBy("slot").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n"))
+        rows = slot(df).join(F.broadcast(sizes(df)), "slot")  # a row for each slot, as many as the longest recording has
+        near = rows.withColumn("other", F.explode(F.array(*(F.col("slot") + d for d in (-1, 0, 1))))).join(F.broadcast(sizes(other).withColumnsRenamed({"slot": "other", "n": "m"})), "other")
+        mine = F.struct("slot", F.pmod(F.xxhash64("id"), F.col("n")).cast("int").alias("block"))
+        near = near.withColumn("mine", mine).withColumn("b", F.explode(F.sequence(F.lit(0), F.col("m") - 1))).withColumn("theirs", F.struct(F.col("other").alias("slot"), F.col("b").alias("block")))
+        a, b = (F.col("mine"), F.col("theirs")) if k == 0 else (F.col("theirs"), F.col("mine"))
+        sides.append(near.select(a.alias("ka"), b.alias("kb"), F.lit(k).alias("side"), "id", "sec", "print"))
+    kind = left.schema["id"].dataType.simpleString()
+    return sides[0].unionByName(sides[1]).groupBy("ka", "kb").applyInArrow(_compare(tolerance, threshold, once), f"a_id {kind}, b_id {kind}, distance double")
+
+
+def _usable(recordings: DataFrame) -> DataFrame:
+    return recordings.where("id IS NOT NULL AND duration_sec IS NOT NULL AND fingerprint IS NOT NULL")
 
 
 def duplicate_pairs(recordings: DataFrame, tolerance: float = TOLERANCE_SEC, threshold: float = THRESHOLD) -> DataFrame:
@@ -65,21 +111,21 @@ def duplicate_pairs(recordings: DataFrame, tolerance: float = TOLERANCE_SEC, thr
 
     Equal fingerprints of one length are one recording to compare, so a recording stored very often does not meet itself pair by pair: its copies are tied to the first.
     """
-    usable = recordings.where("id IS NOT NULL AND duration_sec IS NOT NULL AND fingerprint IS NOT NULL")
-    kinds = usable.groupBy("duration_sec", "fingerprint").agg(F.min("id").alias("id"))
-    side = lambda p: kinds.select(F.col("id").alias(f"{p}_id"), F.col("duration_sec").alias(f"{p}_sec"), F.col("fingerprint").alias(f"{p}_print"))
-    pairs = near_in_length(side("a"), side("b"), tolerance).where("a_id < b_id")
-    far = pairs.withColumn("distance", fingerprint_distance("a_print", "b_print")).where(F.col("distance") <= threshold).select("a_id", "b_id", "distance")
-    copies = usable.join(kinds.select("duration_sec", "fingerprint", F.col("id").alias("first")), ["duration_sec", "fingerprint"]).where("id <> first")
-    same = copies.select(F.col("first").alias("a_id"), F.col("id").alias("b_id"), fingerprint_distance("fingerprint", "fingerprint").alias("distance")).where(F.col("distance") <= threshold)
-    return far.unionByName(same)
+    usable = _usable(recordings)
+    kinds = usable.groupBy(F.col("duration_sec").alias("sec"), F.col("fingerprint").alias("print")).agg(F.min("id").alias("id"))
+    kinds = _kept(kinds.select("id", "sec", "print"))
+    far = alike(kinds, kinds, tolerance, threshold, once=True)
+    copies = usable.join(kinds.select(F.col("sec").alias("duration_sec"), F.col("print").alias("fingerprint"), F.col("id").alias("first")), ["duration_sec", "fingerprint"]).where("id <> first")
+    firsts = copies.select(F.col("first").alias("a_id"), "fingerprint").distinct()
+    own = firsts.select("a_id", fingerprint_distance("fingerprint", "fingerprint").alias("distance")).where(F.col("distance") <= threshold)  # null if nothing varies
+    return far.unionByName(copies.select(F.col("first").alias("a_id"), F.col("id").alias("b_id")).join(own, "a_id").select("a_id", "b_id", "distance"))
 
 
-def components(pairs: DataFrame, rounds: int = 50) -> DataFrame:
+def components(pairs: DataFrame) -> DataFrame:
     """(id, group_id) of all ids in pairs (a_id, b_id); group_id is the least id connected. Labels go to neighbours and jump to their label's label until none changes; each round is written to the checkpoint folder."""
     edges = _kept(pairs.select(F.col("a_id").alias("x"), F.col("b_id").alias("y")).union(pairs.select("b_id", "a_id")).distinct())
     labels = _kept(edges.groupBy("x").agg(F.least(F.first("x"), F.min("y")).alias("c")))
-    for _ in range(rounds):
+    while True:
         near = edges.join(labels.select(F.col("x").alias("y"), "c"), "y").groupBy("x").agg(F.min("c").alias("m"))
         moved = labels.join(near, "x").select("x", F.least("c", "m").alias("n"), "c")
         jump = moved.select(F.col("x").alias("n"), F.col("n").alias("j"))
@@ -105,7 +151,7 @@ def duplicate_groups(recordings: DataFrame, tolerance: float = TOLERANCE_SEC, th
 
 
 def duplicate_verdicts(recordings: DataFrame, tolerance: float = TOLERANCE_SEC, threshold: float = THRESHOLD) -> DataFrame:
-    """(group_id, n, verdict): different-mastering if any pair that sounds alike differs by more than 2.5 dB or .12 of compression, else same-file. recordings also has loudness_db and compression.
+    """(group_id, n, verdict): different-master if any pair that sounds alike differs by more than 2.5 dB or .12 of compression, else same-master. recordings also has loudness_db and compression.
 
     All recordings of one length and fingerprint match each other, and all of one such class match all of a class that sounds alike. So the least and greatest values of classes tell whether any pair differs, without listing the pairs. Values that are null or NaN differ from none.
     """
@@ -114,7 +160,7 @@ def duplicate_verdicts(recordings: DataFrame, tolerance: float = TOLERANCE_SEC,
     limits = {"loudness_db": REMASTER_DB, "compression": REMASTER_COMPRESSION}
     value = lambda c: F.when(~F.isnan(c), F.col(c).cast("double"))
     ends = [f(value(c)).alias(f"{p}_{c}") for c in limits for f, p in ((F.min, "lo"), (F.max, "hi"))]
-    usable = recordings.where("id IS NOT NULL AND duration_sec IS NOT NULL AND fingerprint IS NOT NULL")
+    usable = _usable(recordings)
     kinds = _kept(usable.groupBy("duration_sec", "fingerprint").agg(F.min("id").alias("id"), F.count("*").alias("copies"), *ends).join(groups, "id").drop("duration_sec", "fingerprint"))
     beyond = lambda hi, lo, limit: F.coalesce(~F.isnan(hi - lo) & (hi - lo > limit), F.lit(False))
     inside = kinds.where("copies > 1").select("group_id", F.greatest(*(beyond(F.col(f"hi_{c}"), F.col(f"lo_{c}"), x) for c, x in limits.items())).alias("d"))
@@ -122,7 +168,7 @@ def duplicate_verdicts(recordings: DataFrame, tolerance: float = TOLERANCE_SEC,
     told = pairs.join(side("b"), "b_id").join(side("a"), "a_id")  # a copy of a class's first is no b_id here
     across = told.select(F.col("a_group_id").alias("group_id"), F.greatest(*(beyond(F.col(f"{p}_hi_{c}"), F.col(f"{q}_lo_{c}"), x) for c, x in limits.items() for p, q in ("ab", "ba"))).alias("d"))
     any_ = inside.unionByName(across).groupBy("group_id").agg(F.max("d").alias("d"))
-    return groups.groupBy("group_id").agg(F.count("*").alias("n")).join(any_, "group_id").select("group_id", "n", F.when(F.col("d"), "different-mastering").otherwise("same-file").alias("verdict"))
+    return groups.groupBy("group_id").agg(F.count("*").alias("n")).join(any_, "group_id").select("group_id", "n", F.when(F.col("d"), "different-master").otherwise("same-master").alias("verdict"))
 
 
 def propose_names(tracks: DataFrame, tolerance: float = TOLERANCE_SEC, threshold: float = THRESHOLD) -> DataFrame:
@@ -134,10 +180,14 @@ def propose_names(tracks: DataFrame, tolerance: float = TOLERANCE_SEC, threshold
     orphan = no["artist"] | no["title"]
     lost, donors = tracks.where(orphan), tracks.where(~orphan & F.col("fingerprint").isNotNull() & F.col("duration_sec").isNotNull())
     fields = ("artist", "title", "album", "track_no")
-    heard = lost.where("fingerprint IS NOT NULL AND duration_sec IS NOT NULL").select(F.col("id").alias("a_id"), F.col("duration_sec").alias("a_sec"), F.col("fingerprint").alias("a_print"))
-    lent = donors.select(F.col("id").alias("b_id"), F.col("duration_sec").alias("b_sec"), F.col("fingerprint").alias("b_print"), *(F.col(f).alias(f"b_{f}") for f in fields))
-    near = near_in_length(heard, lent, tolerance).withColumn("distance", fingerprint_distance("a_print", "b_print")).where(F.col("distance") <= threshold)
-    best = near.groupBy("a_id").agg(F.min_by(F.struct("b_id", "distance", *(f"b_{f}" for f in fields)), F.struct("distance", "b_sec", "b_id")).alias("b"))
+    # rows of one length and fingerprint are equally far from everything: one of them is compared
+    of = [F.col("duration_sec").alias("sec"), F.col("fingerprint").alias("print")]
+    heard = _kept(lost.where("fingerprint IS NOT NULL AND duration_sec IS NOT NULL").groupBy(*of).agg(F.min("id").alias("id")))
+    lent = _kept(donors.groupBy(*of).agg(F.min(F.struct("id", *fields)).alias("b")).select(F.col("b.id").alias("id"), "sec", "print", "b"))
+    pairs = alike(heard.select("id", "sec", "print"), lent.select("id", "sec", "print"), tolerance, threshold)
+    told = pairs.join(lent.select(F.col("id").alias("b_id"), F.col("sec").alias("b_sec"), *(F.col("b")[f].alias(f"b_{f}") for f in fields)), "b_id")
+    first = told.groupBy("a_id").agg(F.min_by(F.struct("b_id", "distance", *(f"b_{f}" for f in fields)), F.struct("distance", "b_sec", "b_id")).alias("b"))
+    best = lost.select("id", *of).join(heard.select("sec", "print", F.col("id").alias("a_id")), ["sec", "print"]).join(first, "a_id").select(F.col("id").alias("a_id"), "b")
     path = names.from_path(F.col("rel_path"))
     rows = lost.join(best, lost.id == best.a_id, "left").withColumn("p", path)
     by_sound = F.col("b").isNotNull()
@@ -146,6 +196,29 @@ def propose_names(tracks: DataFrame, tolerance: float = TOLERANCE_SEC, threshold
     return got.where("(source = 'sound' AND (artist IS NOT NULL OR title IS NOT NULL)) OR (source = 'path' AND artist IS NOT NULL)")
 
 
+def listed_groups(groups: DataFrame, recordings: DataFrame) -> DataFrame:
+    """groups (id, group_id, distance) in the order of a report: nearest first, inside a group the file that has been there longest (last_modified)."""
+    return groups.join(recordings.select("id", "last_modified"), "id").orderBy("distance", "group_id", "last_modified", "id")
+
+
+def listed_proposals(proposals: DataFrame, tracks: DataFrame) -> DataFrame:
+    """proposals in the order of a report: those by sound first, nearest first, then those by path, by file name."""
+    by_path = F.when(F.col("source") == "path", F.lower("file_name"))
+    return proposals.join(tracks.select("id", "file_name"), "id").orderBy((F.col("source") == "path").cast("int"), "distance", by_path, "id")
+
+
+def accepted(given: DataFrame, proposals: DataFrame) -> DataFrame:
+    """given names (id, artist, title, album, track_no) after proposals are accepted: a row for each recording, later proposals over earlier names, field by field."""
+    fields = ("artist", "title", "album", "track_no")
+    new = proposals.select("id", *(F.col(f).alias(f"new_{f}") for f in fields))
+    return given.join(new, "id", "full_outer").select("id", *(F.coalesce(f"new_{f}", f).alias(f) for f in fields))
+
+
+def accepted_counts(proposals: DataFrame) -> DataFrame:
+    """One row (by_sound, by_path): how many names were accepted from each source."""
+    return proposals.agg(F.count_if(F.col("source") == "sound").alias("by_sound"), F.count_if(F.col("source") == "path").alias("by_path"))
+
+
 def with_given(tracks: DataFrame, given: DataFrame) -> DataFrame:
     """tracks whose blank tags are filled from accepted names (id, artist, title, album, track_no); tags win."""
     g = given.select("id", *(F.col(f).alias(f"given_{f}") for f in ("artist", "title", "album", "track_no")))

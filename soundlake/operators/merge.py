@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: The version that analyses carry now, and how often a failed one is tried.
 CURRENT_VERSION, MAX_ATTEMPTS = 6, 3
+#: What an import never changes in a stored row, besides columns that start with given_.
+LOCAL = ("id", "k", "root_id", "rel_path", "file_name", "folder", "size", "last_modified", "added_at", "artist", "album_artist", "title", "album", "track_no", "genre", "year")
 
 
 def upsert_discovered(tracks: DataFrame, found: DataFrame) -> DataFrame:
@@ -20,11 +22,11 @@ def upsert_discovered(tracks: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def with_failures(tracks: DataFrame, failures: DataFrame) -> DataFrame:
-    """tracks (id, status, attempts, error) after failures (id, message, retryable): one attempt more, failed or unsupported."""
-    f = failures.groupBy("id").agg(F.max("message").alias("message"), F.bool_or("retryable").alias("retryable"))
-    rows = tracks.join(f, "id", "left")
-    hit = F.col("message").isNotNull()
-    return rows.withColumns({"status": F.when(hit, F.when(F.col("retryable"), "failed").otherwise("unsupported")).otherwise(F.col("status")), "attempts": F.col("attempts") + F.when(hit, 1).otherwise(0), "error": F.coalesce("message", "error")}).drop("message", "retryable")
+    """tracks (id, status, attempts, error) after failures (id, message, retryable): one attempt more, failed or unsupported. A failure without a message counts, too, and leaves none."""
+    f = failures.groupBy("id").agg(F.max("message").alias("new_error"), F.bool_or("retryable").alias("again"), F.lit(True).alias("hit"))
+    rows = tracks.join(f, "id", "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
+    values = {"status": F.when(F.col("hit"), F.when(F.col("again"), "failed").otherwise("unsupported")).otherwise(F.col("status")), "attempts": F.coalesce("attempts", F.lit(0)) + F.col("hit").cast("int"), "error": F.when(F.col("hit"), F.col("new_error")).otherwise(F.col("error"))}
+    return rows.withColumns(values).select(*tracks.columns)
 
 
 def retryable(code: Column, attempts: Column) -> Column:
@@ -32,23 +34,40 @@ def retryable(code: Column, attempts: Column) -> Column:
 
 
 def replaces(new_analysed: Column, new_version: Column, old_analysed: Column, old_version: Column) -> Column:
-    """An import takes the place of a stored row only with an analysis that this lacks or has in an older version."""
-    return new_analysed & (~old_analysed | (new_version > old_version))
+    """An import takes the place of a stored analysis only with one that is missing here or of a newer version. Nulls stand for no analysis and version 0."""
+    new, old = (F.coalesce(c, F.lit(False)) for c in (new_analysed, old_analysed))
+    return new & (~old | (F.coalesce(new_version, F.lit(0)) > F.coalesce(old_version, F.lit(0))))
 
 
 def import_actions(tracks: DataFrame, incoming: DataFrame) -> DataFrame:
     """(id, action) of incoming rows (id, analysed, version): added, improved or unchanged."""
-    old = tracks.select("id", F.col("analysed").alias("old_analysed"), F.col("version").alias("old_version"))
+    old = tracks.select("id", F.lit(True).alias("stored"), F.col("analysed").alias("old_analysed"), F.col("version").alias("old_version"))
     rows = incoming.join(old, "id", "left")
     better = replaces(F.col("analysed"), F.col("version"), F.col("old_analysed"), F.col("old_version"))
-    return rows.select("id", F.when(F.col("old_analysed").isNull(), "added").when(better, "improved").otherwise("unchanged").alias("action"))
+    return rows.select("id", F.when(F.col("stored").isNull(), "added").when(better, "improved").otherwise("unchanged").alias("action"))
 
 
 def merged(tracks: DataFrame, incoming: DataFrame) -> DataFrame:
-    """tracks after an import of rows with the same columns."""
-    actions = import_actions(tracks, incoming).where("action <> 'unchanged'")
-    taken = incoming.join(actions.select("id"), "id", "left_semi")
-    return tracks.join(taken.select("id"), "id", "left_anti").unionByName(taken)
+    """tracks after an import: new rows are added as they come; of a stored row only the analysis and what belongs to it changes, and only for a better one.
+
+    Path, file, tags and given names of a stored row stay, and its length if the import has none. Of rows that repeat an id in the import the newest version counts. Columns of tracks that the import lacks are null in new rows and stay in stored ones.
+    """
+    have = {c.lower(): c for c in incoming.columns}
+    latest = F.max_by(F.struct(*incoming.columns), F.struct(F.coalesce("analysed", F.lit(False)), F.coalesce("version", F.lit(0))))
+    new = incoming.groupBy("id").agg(latest.alias("n"), F.lit(True).alias("came"))
+    rows = tracks.withColumn("here", F.lit(True)).alias("t").join(new, "id", "full_outer")
+    stored = F.col("here").isNotNull()
+    better = F.col("came").isNotNull() & replaces(F.col("n.analysed"), F.col("n.version"), F.col("t.analysed"), F.col("t.version"))
+
+    def value(c: str) -> Column:
+        if c == "id":
+            return F.col("id")
+        old, got = F.col(f"t.{c}"), F.col(f"n.{have[c.lower()]}") if c.lower() in have else F.lit(None)
+        if c.lower() not in have or c in LOCAL or c.startswith("given_"):
+            return F.when(stored, old).otherwise(got).alias(c)
+        return F.when(stored & ~better, old).otherwise(F.coalesce(got, old) if c == "duration_sec" else got).alias(c)
+
+    return rows.select(*map(value, tracks.columns))
 
 
 def new_plays(plays: DataFrame, incoming: DataFrame) -> DataFrame:

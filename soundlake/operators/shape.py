@@ -17,9 +17,13 @@ def place_of() -> Column:
     return keys.place(F.col("key_root"), F.col("key_scale"))
 
 
+def _counts() -> Column:
+    return F.col("analysed") & (F.col("bpm_confidence") >= LEAST_CONFIDENCE) & (F.col("bpm") >= LOWEST) & (F.col("bpm") < HIGHEST)
+
+
 def tempo_histogram(tracks: DataFrame) -> DataFrame:
     """(from_bpm, to_bpm, n) for all 14 slots."""
-    counted = tracks.where(F.col("analysed") & (F.col("bpm_confidence") >= LEAST_CONFIDENCE) & (F.col("bpm") >= LOWEST) & (F.col("bpm") < HIGHEST))
+    counted = tracks.where(_counts())
     counts = counted.groupBy((F.floor(F.col("bpm") / SLOT) * SLOT).cast("int").alias("from_bpm")).agg(F.count("*").alias("c"))
     axis = tracks.sparkSession.range(LOWEST, HIGHEST, SLOT).select(F.col("id").cast("int").alias("from_bpm"))
     return axis.join(F.broadcast(counts), "from_bpm", "left").select("from_bpm", (F.col("from_bpm") + SLOT).alias("to_bpm"), F.coalesce("c", F.lit(0)).cast("long").alias("n"))
@@ -46,10 +50,17 @@ def status_counts(tracks: DataFrame) -> DataFrame:
     return axis.join(F.broadcast(tracks.groupBy("status").agg(F.count("*").alias("c"))), "status", "left").select("status", F.coalesce("c", F.lit(0)).cast("long").alias("n"))
 
 
-def tempo_gaps(histogram: DataFrame) -> DataFrame:
-    """(from_bpm, to_bpm) of runs of at least two empty slots between occupied ones, from a histogram of 14 rows."""
-    following = F.lead("from_bpm").over(Window.orderBy("from_bpm"))
-    return histogram.where("n > 0").select(F.col("to_bpm").alias("from_bpm"), following.alias("to_bpm")).where(F.col("to_bpm") - F.col("from_bpm") >= GAP_SLOTS * SLOT)
+def tempo_slots(tracks: DataFrame, by: str) -> DataFrame:
+    """(who, from_bpm, to_bpm, n) of the occupied slots for each value of a column."""
+    counted = tracks.where(F.col(by).isNotNull() & _counts()).groupBy(F.col(by).alias("who"), (F.floor(F.col("bpm") / SLOT) * SLOT).cast("int").alias("from_bpm")).agg(F.count("*").alias("n"))
+    return counted.select("who", "from_bpm", (F.col("from_bpm") + SLOT).alias("to_bpm"), "n")
+
+
+def tempo_gaps(histogram: DataFrame, by: str | None = None) -> DataFrame:
+    """(from_bpm, to_bpm) of runs of at least two empty slots between occupied ones, from a histogram of 14 rows, or of 14 for each value of a column, which then comes first."""
+    who = [by] if by else []
+    following = F.lead("from_bpm").over(Window.partitionBy(*(who or [F.lit(0)])).orderBy("from_bpm"))
+    return histogram.where("n > 0").select(*who, F.col("to_bpm").alias("from_bpm"), following.alias("to_bpm")).where(F.col("to_bpm") - F.col("from_bpm") >= GAP_SLOTS * SLOT)
 
 
 def densest_band(histogram: DataFrame) -> DataFrame:
@@ -74,21 +85,24 @@ def _with_islands(tracks: DataFrame, by: str | None) -> DataFrame:
     rows = _occupied(tracks, by)
     held = rows.groupBy("who").agg(F.collect_set("place").alias("held"))  # at most 24 places
     step = lambda seen, _: F.array_intersect(F.array_distinct(F.concat(seen, F.flatten(F.transform(seen, keys.compatible)))), F.col("held"))
-    reach = F.aggregate(F.sequence(F.lit(1), F.lit(keys.PLACES // 2)), F.array(F.col("place")), step)
+    reach = F.aggregate(F.sequence(F.lit(1), F.lit(keys.PLACES - 1)), F.array(F.col("place")), step)
     return rows.join(held, "who").withColumn("island", F.array_min(reach))
 
 
 def key_islands(tracks: DataFrame, by: str | None = None) -> DataFrame:
-    """(who, island, codes, n): groups of codes that can be mixed into each other, for the collection or for each value of a column."""
+    """(who, ord, island, codes, n): groups of codes that can be mixed into each other, largest first, for the collection or for each value of a column."""
     got = _with_islands(tracks, by).groupBy("who", "island").agg(F.array_join(F.transform(F.array_sort(F.collect_list("place")), keys.code), ",").alias("codes"), F.sum("n").alias("n"))
-    return got.select("who", keys.code(F.col("island")).alias("island"), "codes", "n")
+    ranked = got.withColumn("ord", F.row_number().over(Window.partitionBy("who").orderBy(F.desc("n"), "island")) - 1)  # at most 24 of one
+    return ranked.select("who", "ord", keys.code(F.col("island")).alias("island"), "codes", "n")
 
 
 def key_bridges(tracks: DataFrame, by: str | None = None) -> DataFrame:
-    """(who, camelot, joins): empty codes whose neighbours lie in at least two islands."""
+    """(who, ord, camelot, joins): empty codes whose neighbours lie in at least two islands, those that join most first."""
     placed = _with_islands(tracks, by)
     near = placed.select("who", "held", "island", F.explode(keys.compatible(F.col("place"))).alias("place")).where(~F.array_contains("held", F.col("place")))
-    return near.groupBy("who", "place").agg(F.count_distinct("island").alias("joins")).where("joins >= 2").select("who", keys.code(F.col("place")).alias("camelot"), "joins")
+    joined = near.groupBy("who", "place").agg(F.count_distinct("island").alias("joins")).where("joins >= 2")
+    ranked = joined.withColumn("ord", F.row_number().over(Window.partitionBy("who").orderBy(F.desc("joins"), "place")) - 1)
+    return ranked.select("who", "ord", keys.code(F.col("place")).alias("camelot"), "joins")
 
 
 def arrays(tracks: DataFrame) -> DataFrame:
@@ -113,6 +127,7 @@ def findings(tracks: DataFrame) -> DataFrame:
         F.max("n").alias("most"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("n") == 0, F.col("place")))), keys.code), ", ").alias("empty"),
     )
+    # The four sentences.
     said = [
         F.when(F.col("playing_sec") > 0, F.concat(duration_words(F.col("playing_sec")), F.lit(" of music, measured rather than tagged."))),
         F.when(F.col("lo").isNotNull(), F.format_string("Half of it lives between %d and %d BPM — %d%% inside that band.", "lo", "hi", "share")),

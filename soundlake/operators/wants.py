@@ -59,6 +59,57 @@ def artist_notes(tracks: DataFrame) -> DataFrame:
     return rows.groupBy("artist_key").agg(F.count("*").alias("owned")).join(median, "artist_key", "left").join(codes, "artist_key", "left").select("artist_key", "owned", "median_bpm", "codes")
 
 
+def artist_islands(tracks: DataFrame) -> DataFrame:
+    """(artist_key, island_n, island_codes) of artists whose commonest codes all lie in one island that is not the collection's largest; no row if the wheel is in one piece."""
+    islands = shape.key_islands(tracks).select("ord", "n", "codes")
+    if islands.limit(2).count() < 2:  # at most 24 rows
+        return artist_notes(tracks).where("false").select("artist_key", F.lit(0).cast("long").alias("island_n"), F.lit("").alias("island_codes"))
+    notes = artist_notes(tracks).where("codes IS NOT NULL").select("artist_key", F.split("codes", ",").alias("own"))
+    placed = notes.join(F.broadcast(islands.where("ord > 0")), F.size(F.array_except("own", F.split("codes", ","))) == 0)
+    return placed.select("artist_key", F.col("n").cast("long").alias("island_n"), F.col("codes").alias("island_codes"))
+
+
+def with_notes(matched: DataFrame, tracks: DataFrame) -> DataFrame:
+    """matched wants, those that are missing with what the collection has of their artist: owned, median_bpm, codes, island_n, island_codes."""
+    notes = artist_notes(tracks).join(artist_islands(tracks), "artist_key", "left")
+    keyed = matched.withColumn("artist_key", F.when(F.col("id").isNull(), names.fold(F.col("artist"))))
+    return keyed.join(notes, "artist_key", "left").drop("artist_key")
+
+
+def _median(rows: DataFrame, name: str) -> DataFrame:
+    """One row: the upper median of reliable tempos, exact, from the counts of each tempo."""
+    counts = rows.where("analysed AND bpm > 0 AND bpm_confidence >= 0.3").groupBy("bpm").agg(F.count("*").alias("n"))
+    total = counts.agg(F.sum("n").alias("total"))
+    # quarters of a beat a minute first, of which there are few; then the tempos of one of them
+    cells = counts.groupBy(js_round(F.col("bpm") * 4).alias("cell")).agg(F.sum("n").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    hit = cells.withColumn("before", before).crossJoin(total).where((F.col("before") <= F.floor(F.col("total") / 2)) & (F.col("before") + F.col("n") > F.floor(F.col("total") / 2)))
+    inside = counts.join(F.broadcast(hit.select("cell", "before", "total")), js_round(F.col("bpm") * 4) == F.col("cell"))
+    upto = F.sum("n").over(Window.orderBy("bpm")) + F.col("before")
+    return inside.withColumn("upto", upto).where(F.col("upto") > F.floor(F.col("total") / 2)).agg(F.min("bpm").alias(name))
+
+
+def want_findings(matched: DataFrame, tracks: DataFrame) -> DataFrame:
+    """(ord, finding): at most three sentences about the wants that are owned, held against the collection."""
+    own = matched.where("id IS NOT NULL").select("ord", "id").join(tracks, "id")
+    tempo = [_rounded(_median(df, name), name) for df, name in ((own, "theirs"), (tracks, "ours"))]
+    codes = own.where("analysed").groupBy(shape.place_of().alias("place")).agg(F.min("ord").alias("o"))
+    codes = codes.agg(F.count("*").alias("codes"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", "place"))), lambda s: shape.keys.code(s["place"])), ", ").alias("listed"))  # at most 24
+    row = want_summary(matched).withColumn("total", F.col("owned") + F.col("missing")).crossJoin(tempo[0]).crossJoin(tempo[1]).crossJoin(codes)  # rows of one
+    text = lambda c: F.col(c).cast("string")
+    # The sentences.
+    said = (
+        F.when(F.col("owned") == 0, F.concat(F.lit("None of these "), text("total"), F.lit(" are here."))).otherwise(F.concat(text("owned"), F.lit(" of "), text("total"), F.lit(" are already on the shelf."))),
+        F.when((F.col("owned") >= 3) & (F.abs(F.col("theirs") - F.col("ours")) >= 6), F.concat(F.lit("The ones you have sit around "), text("theirs"), F.lit(" BPM, against "), text("ours"), F.lit(" for the library as a whole."))),
+        F.when((F.col("owned") >= 3) & F.col("codes").between(1, 6), F.concat(F.lit("They occupy "), text("codes"), F.lit(" of the wheel's 24 positions: "), F.col("listed"), F.lit("."))),
+    )
+    return row.where("total > 0").select(F.posexplode(F.array_compact(F.array(*said))).alias("ord", "finding"))
+
+
+def _rounded(one: DataFrame, name: str) -> DataFrame:
+    return one.select(js_round(F.col(name)).cast("long").alias(name))
+
+
 def want_summary(matched: DataFrame) -> DataFrame:
     """One row: wants that are owned, missing, and without an artist."""
     return matched.agg(F.count("id").alias("owned"), F.count_if(F.col("id").isNull()).alias("missing"), F.count_if(F.col("artist").isNull()).alias("title_only"))
@@ -72,7 +123,7 @@ def match_playlist(entries: DataFrame, tracks: DataFrame) -> DataFrame:
     want = entries.select("pos", "path", names.decoded(F.col("path")).alias("p"))
     own = tracks.select("id", "rel_path", "file_name")
     exact = want.join(own.groupBy("rel_path").agg(F.max("id").alias("id")), F.col("p") == F.col("rel_path")).select("pos", "id")
-    tails = lambda c: F.transform(F.sequence(F.lit(2), F.greatest(F.lit(2), F.size(F.split(c, "/")))), lambda i: F.array_join(F.slice(F.split(c, "/"), i, 1_000), "/"))
+    tails = lambda c: F.transform(F.sequence(F.lit(2), F.greatest(F.lit(2), F.size(F.split(c, "/")))), lambda i: F.array_join(F.slice(F.split(c, "/"), i, F.size(F.split(c, "/"))), "/"))
     longer = want.select("pos", F.explode(tails(F.col("p"))).alias("k")).where("k <> ''").join(own, F.col("k") == F.col("rel_path")).select("pos", "id")
     shorter = own.select("id", F.explode(tails(F.col("rel_path"))).alias("k")).where("k <> ''").join(want, F.col("k") == F.col("p")).select("pos", "id")
     suffix = longer.unionByName(shorter).groupBy("pos").agg(F.min("id").alias("id"))

@@ -15,6 +15,7 @@ from ..operators import compare, health, history, merge, segues, shape, statisti
 from ..plans import queue
 from . import relations as R
 
+SEED = "t00000001"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -84,13 +85,9 @@ def status_counts(spark, sf_dir):
     return shape.status_counts(R.tracks(spark, sf_dir))
 
 
-#: So few recordings that slots stay empty.
-_SPARSE = "k % 97 = 0"
-
-
-@query(TEMPO.replace(ANALYSED, f"{ANALYSED} AND {_SPARSE}") + " SELECT cast(lo AS int) AS from_bpm, cast(hi AS int) AS to_bpm FROM (SELECT lo + 10 AS lo, lead(lo) OVER (ORDER BY lo) AS hi FROM tempo WHERE n > 0) WHERE hi - lo >= 20")
+@query(f", slots AS (SELECT artist AS who, cast(floor(bpm / 10) * 10 AS int) AS lo, count(*) AS n {ANALYSED} AND artist IS NOT NULL AND bpm_confidence >= 0.3 AND bpm >= 60 AND bpm < 200 GROUP BY 1, 2) SELECT who, cast(lo AS int) AS from_bpm, cast(hi AS int) AS to_bpm FROM (SELECT who, lo + 10 AS lo, lead(lo) OVER (PARTITION BY who ORDER BY lo) AS hi FROM slots) WHERE hi - lo >= 20")
 def tempo_gaps(spark, sf_dir):
-    return shape.tempo_gaps(shape.tempo_histogram(R.tracks(spark, sf_dir).where(_SPARSE)))
+    return shape.tempo_gaps(shape.tempo_slots(R.tracks(spark, sf_dir), "artist"), "who")
 
 
 @query(TEMPO + ", runs AS (SELECT a.lo, b.lo + 10 AS hi, sum(c.n) AS inside FROM tempo a JOIN tempo b ON a.lo <= b.lo JOIN tempo c ON c.lo BETWEEN a.lo AND b.lo GROUP BY 1, 2) SELECT cast(lo AS int) AS from_bpm, cast(hi AS int) AS to_bpm, cast(floor(inside * 100 / (SELECT sum(n) FROM tempo) + 0.5) AS bigint) AS share FROM runs WHERE inside * 2 >= (SELECT sum(n) FROM tempo) ORDER BY hi - lo, hi LIMIT 1")
@@ -103,17 +100,27 @@ _STEP = _NEAR.replace("a.p", "r.q")
 ISLANDS = f", codes AS (SELECT artist AS who, {PLACE} AS p, count(*) AS n {STRONG} AND artist IS NOT NULL GROUP BY 1, 2), reach(who, p, q) AS (SELECT who, p, p FROM codes UNION SELECT r.who, r.p, b.p FROM reach r JOIN codes b ON b.who = r.who AND {_STEP}), placed AS (SELECT codes.*, i FROM codes JOIN (SELECT who, p, min(q) AS i FROM reach GROUP BY 1, 2) USING (who, p))"
 
 
-@query(ISLANDS + f" SELECT who, {code_sql('i')} AS island, string_agg({code_sql('p')}, ',' ORDER BY p) AS codes, cast(sum(n) AS bigint) AS n FROM placed GROUP BY who, i")
+@query(ISLANDS + f" SELECT who, cast(row_number() OVER (PARTITION BY who ORDER BY sum(n) DESC, i) - 1 AS int) AS ord, {code_sql('i')} AS island, string_agg({code_sql('p')}, ',' ORDER BY p) AS codes, cast(sum(n) AS bigint) AS n FROM placed GROUP BY who, i")
 def key_islands(spark, sf_dir):
     return shape.key_islands(R.tracks(spark, sf_dir), "artist")
 
 
-@query(ISLANDS + f", empty AS (SELECT w.who, b.p FROM (SELECT DISTINCT who FROM codes) w CROSS JOIN (SELECT unnest(range(24)) AS p) b ANTI JOIN codes USING (who, p)) SELECT a.who, {code_sql('a.p')} AS camelot, count(DISTINCT i) AS joins FROM empty a JOIN placed b ON a.who = b.who AND {_NEAR} GROUP BY a.who, a.p HAVING count(DISTINCT i) >= 2")
+@query(ISLANDS + f", empty AS (SELECT w.who, b.p FROM (SELECT DISTINCT who FROM codes) w CROSS JOIN (SELECT unnest(range(24)) AS p) b ANTI JOIN codes USING (who, p)) SELECT a.who, cast(row_number() OVER (PARTITION BY a.who ORDER BY count(DISTINCT i) DESC, a.p) - 1 AS int) AS ord, {code_sql('a.p')} AS camelot, count(DISTINCT i) AS joins FROM empty a JOIN placed b ON a.who = b.who AND {_NEAR} GROUP BY a.who, a.p HAVING count(DISTINCT i) >= 2")
 def key_bridges(spark, sf_dir):
     return shape.key_bridges(R.tracks(spark, sf_dir), "artist")
 
 
-@query()
+_WORDS = "CASE WHEN s // 3600 > 0 THEN concat(cast(s // 3600 AS varchar), ' h ', cast(s % 3600 // 60 AS varchar), ' min') ELSE concat(cast(s % 3600 // 60 AS varchar), ' min') END"
+_SAID = (
+    f"SELECT 0 AS i, concat({_WORDS}, ' of music, measured rather than tagged.') AS finding FROM (SELECT cast(floor(sum(duration_sec)) AS bigint) AS s {ANALYSED}) WHERE s > 0",
+    "SELECT 1, concat('Half of it lives between ', cast(lo AS varchar), ' and ', cast(hi AS varchar), ' BPM — ', cast(cast(floor(inside * 100 / (SELECT sum(n) FROM tempo) + 0.5) AS bigint) AS varchar), '% inside that band.') FROM (SELECT * FROM runs WHERE inside * 2 >= (SELECT sum(n) FROM tempo) ORDER BY hi - lo, hi LIMIT 1)",
+    f"SELECT 2, concat((SELECT {code_sql('p')} FROM wheel ORDER BY n DESC, p LIMIT 1), ' is the most common key, at ', cast(cast(floor(max(n) * 100 / sum(n) + 0.5) AS bigint) AS varchar), '%. ', cast(count(*) FILTER (n > 0) AS varchar), ' of the wheel''s 24 positions are occupied.') FROM wheel HAVING sum(n) > 0",
+    f"SELECT 3, concat('Nothing at all in ', string_agg({code_sql('p')}, ', ' ORDER BY p) FILTER (n = 0), '.') FROM wheel HAVING sum(n) > 0 AND count(*) FILTER (n > 0) BETWEEN 18 AND 23",
+)
+RUNS = ", runs AS (SELECT a.lo, b.lo + 10 AS hi, sum(c.n) AS inside FROM tempo a JOIN tempo b ON a.lo <= b.lo JOIN tempo c ON c.lo BETWEEN a.lo AND b.lo GROUP BY 1, 2)"
+
+
+@query(TEMPO + RUNS + WHEEL.replace("counts", "key_counts") + ", said AS (" + " UNION ALL ".join(_SAID) + ") SELECT cast(row_number() OVER (ORDER BY i) - 1 AS int) AS ord, finding FROM said")
 def shape_findings(spark, sf_dir):
     return shape.findings(R.tracks(spark, sf_dir))
 
@@ -205,9 +212,9 @@ def dead_air(spark, sf_dir):
 _CUT = "(14000 + (k * 37) % 8000)"
 
 
-@query(f"SELECT id, cast({_CUT} AS bigint) AS cutoff_hz, round(size * 8 / duration_sec / 1000, 6) AS kbps, CASE WHEN {_CUT} >= 20000 THEN 'full' WHEN {_CUT} >= 18500 THEN 'high' WHEN {_CUT} < 17000 AND size * 8 / duration_sec / 1000 >= 224 THEN 'transcode' ELSE 'lossy' END AS verdict FROM tracks")
+@query(f"SELECT id, cast({_CUT} AS bigint) AS cutoff_hz, round(size * 8 / duration_sec / 1000, 6) AS kbps, CASE WHEN {_CUT} >= 20000 THEN 'full' WHEN {_CUT} >= 18500 THEN 'high' WHEN {_CUT} < 17000 AND size * 8 / duration_sec / 1000 >= 224 THEN 'transcode' ELSE 'lossy' END AS verdict, concat(cast(({_CUT} + 50) // 1000 AS varchar), '.', cast(({_CUT} + 50) // 100 % 10 AS varchar), ' kHz') AS cutoff FROM tracks")
 def transcode_verdicts(spark, sf_dir):
-    return health.cutoff_report(R.tracks(spark, sf_dir).withColumn("cutoff_hz", F.expr(_CUT).cast("long"))).drop("cutoff")
+    return health.cutoff_report(R.tracks(spark, sf_dir).withColumn("cutoff_hz", F.expr(_CUT).cast("long")))
 
 
 _LEADING = "try_cast(nullif(regexp_extract(file_name, '^\\s*(\\d{1,3})', 1), '') AS int)"
@@ -232,6 +239,12 @@ def _shares(name: str, where: str) -> str:
     return tempo + f", share_{name} AS (SELECT lo, n / (SELECT sum(n) FROM tempo_{name}) AS s FROM tempo_{name})"
 
 
+def _key_shares(name: str, where: str) -> str:
+    strong = STRONG.replace(ANALYSED, f"{ANALYSED} AND {where}")
+    return f", keys_{name} AS (SELECT a.p, coalesce(n, 0) / (SELECT count(*) {strong}) AS s FROM (SELECT unnest(range(24)) AS p) a LEFT JOIN (SELECT {PLACE} AS p, count(*) AS n {strong} GROUP BY 1) c USING (p))"
+
+
+KEYS = _key_shares("m", "k % 2 = 0") + _key_shares("t", "k % 3 = 0 AND bpm < 140") + ", key_pairs AS (SELECT p, m.s AS ours, t.s AS other FROM keys_m m JOIN keys_t t USING (p))"
 BOTH = _shares("m", "k % 2 = 0") + _shares("t", "k % 3 = 0 AND bpm < 140") + ", pairs AS (SELECT m.lo, m.s AS ours, t.s AS other FROM share_m m JOIN share_t t USING (lo))"
 
 
@@ -253,21 +266,52 @@ query(_bands("other >= 0.02 AND ours < 0.005", "other"))(_bands_query("theirs"))
 query(_bands("ours >= 0.02 AND other < 0.005", "ours"))(_bands_query("yours"))
 
 
-@query(BOTH + " SELECT round(sum(least(ours, other)), 6) AS tempo_overlap FROM pairs")
+@query(BOTH + KEYS + " SELECT round(sum(least(ours, other)), 6) AS tempo_overlap, (SELECT round(sum(least(ours, other)), 6) FROM key_pairs) AS key_overlap FROM pairs")
 def shape_overlap(spark, sf_dir):
     _, mine, theirs = two(spark, sf_dir)
-    return compare.overlaps(mine, theirs).select("tempo_overlap")
+    return compare.overlaps(mine, theirs)
 
 
-@query()
+_WHICH = {"common": "ours >= 0.02 AND other >= 0.02", "theirs": "other >= 0.02 AND ours < 0.005", "yours": "ours >= 0.02 AND other < 0.005"}
+
+
+@query(BOTH + KEYS + " " + " UNION ALL ".join(f"SELECT '{w}' AS which, cast(p AS int) AS place, {code_sql('p')} AS camelot FROM key_pairs WHERE {rule}" for w, rule in _WHICH.items()))
+def key_sets(spark, sf_dir):
+    _, mine, theirs = two(spark, sf_dir)
+    return compare.key_sets(mine, theirs)
+
+
+_KEPT = ", kept_{0} AS (SELECT lo, {2} AS s, lo - 10 * row_number() OVER (ORDER BY lo) AS run FROM pairs WHERE {1}), bands_{0} AS (SELECT min(lo) AS lo, max(lo) + 10 AS hi, sum(s) AS share FROM kept_{0} GROUP BY run)"
+_BANDS = _KEPT.format("common", _WHICH["common"], "least(ours, other)") + _KEPT.format("theirs", _WHICH["theirs"], "other")
+_JOINED = f"(SELECT string_agg({code_sql('p')}, ', ' ORDER BY p) FROM key_pairs WHERE {{}})"
+_PERCENT = "concat(cast(cast(floor({} * 100 + 0.5) AS bigint) AS varchar), '%')"
+_COMPARED = (
+    f"SELECT 0 AS i, concat('Their ', (SELECT count(*) {ANALYSED} AND k % 3 = 0 AND bpm < 140), ' against your ', (SELECT count(*) {ANALYSED} AND k % 2 = 0), ': ', {_PERCENT.format('(SELECT sum(least(ours, other)) FROM pairs)')}, ' of the tempo curve is shared, and ', {_PERCENT.format('(SELECT sum(least(ours, other)) FROM key_pairs)')}, ' of the wheel.') AS finding",
+    f"SELECT 1, coalesce((SELECT concat('You are both at home between ', cast(lo AS varchar), ' and ', cast(hi AS varchar), ' BPM', CASE WHEN (SELECT count(*) FROM key_pairs WHERE {_WHICH['common']}) BETWEEN 1 AND 4 THEN concat(', in ', {_JOINED.format(_WHICH['common'])}) ELSE '' END, '.') FROM bands_common ORDER BY share DESC, lo LIMIT 1), 'There is no tempo you are both at home in.')",
+    f"SELECT 2, concat({_PERCENT.format('share')}, ' of theirs is between ', cast(lo AS varchar), ' and ', cast(hi AS varchar), ' BPM, where you have next to nothing.') FROM (SELECT * FROM bands_theirs ORDER BY share DESC, lo LIMIT 1) WHERE share >= 0.08",
+    f"SELECT 3, concat('They keep music in ', {_JOINED.format(_WHICH['theirs'])}, ' and you do not.') WHERE (SELECT count(*) FROM key_pairs WHERE {_WHICH['theirs']}) BETWEEN 1 AND 6",
+)
+
+
+@query(BOTH + KEYS + _BANDS + ", said AS (" + " UNION ALL ".join(_COMPARED) + ") SELECT cast(row_number() OVER (ORDER BY i) - 1 AS int) AS ord, finding FROM said")
+def compare_findings(spark, sf_dir):
+    _, mine, theirs = two(spark, sf_dir)
+    return compare.findings(mine, theirs)
+
+
+@query(BOTH + KEYS + _BANDS + f", codes_common AS (SELECT p FROM key_pairs WHERE {_WHICH['common']}), best AS (SELECT id, bpm, {PLACE} AS p, share {ANALYSED} JOIN bands_common ON bpm >= lo AND bpm < hi WHERE {PLACE} IN (SELECT p FROM codes_common) ORDER BY share DESC, id LIMIT 20) SELECT id, round(bpm, 6) AS bpm, {code_sql('p')} AS code, round(share, 6) AS weight FROM best".replace(f"{ANALYSED} JOIN bands_common ON bpm >= lo AND bpm < hi WHERE", "FROM tracks JOIN bands_common ON analysed AND bpm >= lo AND bpm < hi WHERE"))
 def common_ground(spark, sf_dir):
     return compare.common_ground(*two(spark, sf_dir))
 
 
-@query()
+_BYTES = "list_transform({0}, lambda c: printf('%02x', cast(CASE WHEN list_max({0}) > 0 THEN floor(c / list_max({0}) * 255 + 0.5) ELSE 0 END AS int)))"
+_DIGIT = f"substr('{codes.ALPHABET}', cast(n // {{}} % 64 + 1 AS bigint), 1)"
+
+
+@query(TEMPO + WHEEL.replace("counts", "key_counts") + f", a AS (SELECT (SELECT count(*) {ANALYSED}) AS n, (SELECT list(n ORDER BY lo) FROM tempo) AS t, (SELECT list(n ORDER BY p) FROM wheel) AS w) SELECT concat('S1', {_DIGIT.format(4096)}, {_DIGIT.format(64)}, {_DIGIT.format(1)}, translate(base64(unhex(concat(array_to_string({_BYTES.format('t')}, ''), array_to_string({_BYTES.format('w')}, ''), '00'))), '+/', '-_')) AS code, cast(n AS bigint) AS analysed FROM a")
 def shape_code(spark, sf_dir):
     got = shape.arrays(R.tracks(spark, sf_dir)).select(codes.shape_code(F.col("analysed"), F.col("tempo"), F.col("keys")).alias("code"))
-    return got.withColumn("analysed", codes.shape_of(F.col("code"))["analysed"])
+    return got.withColumn("analysed", codes.shape_of(F.col("code"))["analysed"].cast("long"))
 
 
 # --- plays ---
@@ -288,12 +332,17 @@ def recent_plays(spark, sf_dir):
     return history.recent(R.plays(spark, sf_dir))
 
 
-_LAST = ", last AS (SELECT * FROM plays ORDER BY played_at DESC, event_id DESC LIMIT 10), named AS (SELECT artist AS name, max(played_at) AS latest, max(event_id) AS e FROM last JOIN tracks ON tracks.id = last.track_id WHERE artist IS NOT NULL GROUP BY 1)"
+def _recent_sql(field: str) -> str:
+    """The seed's name and those of what was played in four hours, earliest first, ten at most."""
+    return f"SELECT {field} AS name, since, e, id FROM (SELECT id, {field}, NULL::TIMESTAMP AS since, -1 AS e FROM tracks WHERE id = '{SEED}' AND analysed UNION ALL SELECT t.id, {field}, since, e FROM recent_plays JOIN tracks t ON t.id = track_id AND analysed) WHERE {field} IS NOT NULL ORDER BY since NULLS FIRST, e, id LIMIT 10"
 
 
-@query(_LAST + " SELECT cast(row_number() OVER (ORDER BY latest DESC, e DESC) - 1 AS int) AS ord, name FROM named")
+_WINDOW = ", recent_plays AS (SELECT track_id, min(played_at) AS since, arg_min(event_id, (played_at, event_id)) AS e FROM plays WHERE played_at > (SELECT max(played_at) FROM plays) - INTERVAL 4 HOUR GROUP BY 1)"
+
+
+@query(_WINDOW + f", r AS ({_recent_sql('artist')}) SELECT cast(row_number() OVER (ORDER BY since NULLS FIRST, e, id) - 1 AS int) AS ord, name FROM r")
 def recent_artists(spark, sf_dir):
-    return history.recent_names(R.plays(spark, sf_dir), R.tracks(spark, sf_dir), "artist")
+    return history.recent_names(R.plays(spark, sf_dir), R.tracks(spark, sf_dir), "artist", SEED)
 
 
 # --- names and wants ---
@@ -308,7 +357,9 @@ _PLAIN = "trim(regexp_replace(regexp_replace(regexp_replace(lower({}), ' feat\\.
 
 
 _NAMES = f", i AS (SELECT id, {_PLAIN.format('artist')} AS a, {_PLAIN.format('title')} AS t FROM tracks WHERE title IS NOT NULL), f AS (SELECT a, t, min(id) AS id FROM i WHERE a IS NOT NULL GROUP BY 1, 2), o AS (SELECT t, min(id) AS id FROM i GROUP BY 1 HAVING count(DISTINCT id) = 1)"
-_MATCHED = f" SELECT w.ord, w.artist, w.title, coalesce(f.id, o.id) AS id, CASE WHEN coalesce(f.id, o.id) IS NOT NULL THEN 'tags' END AS via FROM wants w LEFT JOIN f ON f.a = {_PLAIN.format('w.artist')} AND f.t = {_PLAIN.format('w.title')} LEFT JOIN o ON w.artist IS NULL AND o.t = {_PLAIN.format('w.title')}"
+_TRIED = f", tries AS (SELECT ord, title, unnest(range(1 + len(string_split(artist, ', ')))) AS place, unnest(list_concat([artist], string_split(artist, ', '))) AS part FROM wants WHERE artist IS NOT NULL), hits AS (SELECT ord, arg_min(f.id, place) AS id FROM tries JOIN f ON f.a = {_PLAIN.format('part')} AND f.t = {_PLAIN.format('title')} GROUP BY 1)"
+_MATCHED = f" SELECT w.ord, w.artist, w.title, coalesce(h.id, o.id) AS id, CASE WHEN coalesce(h.id, o.id) IS NOT NULL THEN 'tags' END AS via FROM wants w LEFT JOIN hits h USING (ord) LEFT JOIN o ON w.artist IS NULL AND o.t = {_PLAIN.format('w.title')}"
+_NAMES += _TRIED
 
 
 @query(_NAMES + _MATCHED)
@@ -324,9 +375,33 @@ def want_summary(spark, sf_dir):
 _OWN = ", rows AS (SELECT *, trim(regexp_replace(lower(artist), '[^a-z0-9]+', ' ', 'g')) AS a FROM tracks WHERE artist IS NOT NULL), rel AS (SELECT a, bpm, row_number() OVER (PARTITION BY a ORDER BY bpm, id) AS r, count(*) OVER (PARTITION BY a) AS n FROM rows WHERE analysed AND bpm > 0 AND bpm_confidence >= 0.3)"
 
 
-@query(_OWN + " SELECT rows.a AS artist_key, count(*) AS owned, cast(floor(max(m.bpm) + 0.5) AS bigint) AS median_bpm FROM rows LEFT JOIN (SELECT a, bpm FROM rel WHERE r = n // 2 + 1) m ON m.a = rows.a GROUP BY 1")
+_NOTES = _OWN + f", placed_codes AS (SELECT a, {PLACE} AS p, count(*) AS c, min(id) AS seen FROM rows WHERE analysed GROUP BY 1, 2), top_codes AS (SELECT a, string_agg({code_sql('p')}, ',' ORDER BY c DESC, seen) AS codes FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY c DESC, seen) AS r FROM placed_codes) WHERE r <= 3 GROUP BY 1), notes AS (SELECT rows.a AS artist_key, count(*) AS owned, cast(floor(max(m.bpm) + 0.5) AS bigint) AS median_bpm, max(codes) AS codes FROM rows LEFT JOIN (SELECT a, bpm FROM rel WHERE r = n // 2 + 1) m ON m.a = rows.a LEFT JOIN top_codes ON top_codes.a = rows.a GROUP BY 1)"
+
+
+@query(_NOTES + " SELECT * FROM notes")
 def artist_notes(spark, sf_dir):
-    return wants.artist_notes(R.tracks(spark, sf_dir)).drop("codes")
+    return wants.artist_notes(R.tracks(spark, sf_dir))
+
+
+_MEDIAN = "(SELECT bpm FROM (SELECT bpm, row_number() OVER (ORDER BY bpm) AS r, count(*) OVER () AS n FROM {} WHERE analysed AND bpm > 0 AND bpm_confidence >= 0.3) WHERE r = n // 2 + 1)"
+_OWNED = ", m AS (" + _MATCHED + f"), have AS (SELECT t.* FROM m JOIN tracks t ON t.id = m.id), figures AS (SELECT (SELECT count(*) FROM have) AS owned, (SELECT count(*) FROM m) AS total, cast(floor({_MEDIAN.format('have')} + 0.5) AS bigint) AS theirs, cast(floor({_MEDIAN.format('tracks')} + 0.5) AS bigint) AS ours, (SELECT count(DISTINCT {PLACE}) FROM have WHERE analysed) AS codes)"
+_WANTED = (
+    "SELECT 0 AS i, CASE WHEN owned = 0 THEN concat('None of these ', total, ' are here.') ELSE concat(owned, ' of ', total, ' are already on the shelf.') END AS finding FROM figures WHERE total > 0",
+    "SELECT 1, concat('The ones you have sit around ', theirs, ' BPM, against ', ours, ' for the library as a whole.') FROM figures WHERE owned >= 3 AND abs(theirs - ours) >= 6",
+    f"SELECT 2, concat('They occupy ', codes, ' of the wheel''s 24 positions: ', (SELECT string_agg({code_sql('p')}, ', ' ORDER BY o) FROM (SELECT {PLACE} AS p, min(ord) AS o FROM m JOIN tracks t ON t.id = m.id WHERE analysed GROUP BY 1)), '.') FROM figures WHERE owned >= 3 AND codes BETWEEN 1 AND 6",
+)
+
+
+@query(_NAMES + _OWNED + ", said AS (" + " UNION ALL ".join(_WANTED) + ") SELECT cast(row_number() OVER (ORDER BY i) - 1 AS int) AS ord, finding FROM said")
+def want_findings(spark, sf_dir):
+    t = R.tracks(spark, sf_dir)
+    return wants.want_findings(wants.match_wants(R.wants(spark, sf_dir), t), t)
+
+
+@query(_NAMES + _NOTES.replace(", rows AS", ", note_rows AS").replace("FROM rows", "FROM note_rows").replace("rows.a", "note_rows.a") + ", m AS (" + _MATCHED + f") SELECT m.ord, m.id, n.owned, n.median_bpm, n.codes FROM m LEFT JOIN notes n ON m.id IS NULL AND n.artist_key = {_PLAIN.format('m.artist')}")
+def want_report(spark, sf_dir):
+    t = R.tracks(spark, sf_dir)
+    return wants.with_notes(wants.match_wants(R.wants(spark, sf_dir), t), t).select("ord", "id", "owned", "median_bpm", "codes")
 
 
 @query("SELECT id, try_cast(nullif(regexp_extract(file_name, '^\\s*(\\d{1,3})', 1), '') AS int) AS track_no, regexp_replace(regexp_replace(file_name, '\\.[^.]+$', ''), '^\\d+ - ', '') AS title, string_split(rel_path, '/')[2] AS album, string_split(rel_path, '/')[1] AS artist FROM tracks")
@@ -334,10 +409,14 @@ def path_names(spark, sf_dir):
     return R.tracks(spark, sf_dir).select("id", names.from_path(F.col("rel_path")).alias("p")).select("id", "p.track_no", "p.title", "p.album", "p.artist")
 
 
-@query("SELECT cast(k AS bigint) AS pos, rel_path AS path, (SELECT max(id) FROM tracks o WHERE o.rel_path = t.rel_path) AS id, 'path' AS tier FROM tracks t WHERE k % 5 = 0")
+#: Every recording, under its path, with backslashes, below another folder, or by its file name alone; some are nowhere.
+_ENTRY = "CASE k % 5 WHEN 0 THEN rel_path WHEN 1 THEN replace(rel_path, '/', '\\\\') WHEN 2 THEN concat('/music/', rel_path) WHEN 3 THEN concat('other/', file_name) ELSE concat('none/', id, '.mp3') END"
+
+
+@query(f", paths AS (SELECT rel_path, max(id) AS last, min(id) AS first FROM tracks GROUP BY 1), files AS (SELECT file_name, max(id) AS id FROM tracks GROUP BY 1) SELECT cast(k AS bigint) AS pos, {_ENTRY.replace(chr(92) * 2, chr(92)).replace(', id,', ', t.id,')} AS path, CASE k % 5 WHEN 0 THEN last WHEN 1 THEN last WHEN 2 THEN first WHEN 3 THEN f.id END AS id, CASE k % 5 WHEN 0 THEN 'path' WHEN 1 THEN 'path' WHEN 2 THEN 'suffix' WHEN 3 THEN 'file' END AS tier FROM tracks t JOIN paths USING (rel_path) JOIN files f USING (file_name)")
 def playlist_match(spark, sf_dir):
     t = R.tracks(spark, sf_dir)
-    return wants.match_playlist(t.where("k % 5 = 0").select(F.col("k").alias("pos"), F.col("rel_path").alias("path")), t)
+    return wants.match_playlist(t.select(F.col("k").alias("pos"), F.expr(_ENTRY).alias("path")), t)
 
 
 # --- moves ---
@@ -350,16 +429,15 @@ def camelot_matrix(spark, sf_dir):
 
 
 def _ramp(x: str) -> str:
-    return f"least(1, greatest(0, ({x} - 0.4) / 0.3))"
+    return f"coalesce(least(1, greatest(0, ({x} - 0.4) / 0.3)), 0)"
 
 
 def _pair_sql(a: str, b: str, tempo: str) -> str:
-    conf, rel = f"least({a}.bpm_confidence, {b}.bpm_confidence)", f"least({_ramp(f'{a}.key_strength')}, {_ramp(f'{b}.key_strength')})"
+    conf, rel = f"least(coalesce({a}.bpm_confidence, 0), coalesce({b}.bpm_confidence, 0))", f"least({_ramp(f'{a}.key_strength')}, {_ramp(f'{b}.key_strength')})"
     return f"({tempo} * {conf} + 0.5 * (1 - {conf}))", f"({distance_sql(f'{a}.place', f'{b}.place')} * {rel} + 0.5 * (1 - {rel}))"
 
 
 _TEMPO_COST = "(CASE WHEN a.bpm > 0 AND b.bpm > 0 THEN least(1, least(abs(b.bpm - a.bpm), abs(b.bpm * 0.5 - a.bpm), abs(b.bpm * 2 - a.bpm)) / a.bpm / 0.08) ELSE 1 END)"
-SEED = "t00000001"
 
 
 def _cost_sql(energy: float, w: scores.Weights) -> str:
@@ -437,13 +515,19 @@ def energy_curve(spark, sf_dir):
     return out
 
 
-@query("SELECT * FROM (VALUES ('warmup', 0.3, 0.4, 0.45, 0.7, 0.7, 'rise'), ('peak', 0.85, 0.75, 0.85, 0.6, 0.8, 'flat'), ('dig', 0.55, 0.5, 0.55, 0.1, 0.25, 'arc'), ('late', 0.3, 0.2, 0.3, 0.5, 0.6, 'winddown')) v(name, energy, brightness, danceability, familiarity, coherence, curve)".replace("SELECT *", "SELECT name, cast(energy AS double) AS energy, cast(brightness AS double) AS brightness, cast(danceability AS double) AS danceability, cast(familiarity AS double) AS familiarity, cast(coherence AS double) AS coherence, curve"))
+_PRESETS = "SELECT * FROM (VALUES ('warmup', 0.3, 0.4, 0.45, 0.7, 0.7, 'rise'), ('peak', 0.85, 0.75, 0.85, 0.6, 0.8, 'flat'), ('dig', 0.55, 0.5, 0.55, 0.1, 0.25, 'arc'), ('late', 0.3, 0.2, 0.3, 0.5, 0.6, 'winddown')) v(name, energy, brightness, danceability, familiarity, coherence, curve)".replace("SELECT *", "SELECT name, cast(energy AS double) AS energy, cast(brightness AS double) AS brightness, cast(danceability AS double) AS danceability, cast(familiarity AS double) AS familiarity, cast(coherence AS double) AS coherence, curve")
+
+
+@query(_PRESETS)
 def preset_targets(spark, sf_dir):
     rows = [(n, t.energy, t.brightness, t.danceability, t.familiarity, t.coherence, c) for n, t, c in scores.PRESETS]
     return spark.createDataFrame(rows, "name string, energy double, brightness double, danceability double, familiarity double, coherence double, curve string")
 
 
-@query()
+_BYTE = "printf('%02x', cast(floor({} * 255 + 0.5) AS int))"
+
+
+@query("SELECT name, concat('1', " + ", ".join(_BYTE.format(f) for f in codes.VIBE_FIELDS) + ", list_position(['flat', 'rise', 'arc', 'winddown'], curve) - 1) AS code, curve FROM (" + _PRESETS + ")")
 def vibe_codes(spark, sf_dir):
     p = preset_targets(spark, sf_dir)
     code = codes.vibe_code({f: F.col(f) for f in codes.VIBE_FIELDS}, F.col("curve"))
@@ -455,42 +539,65 @@ _MOD = "(({0}) - floor(({0}) / {1}) * {1})"
 _RAW = _MOD.format("(period_in - " + _MOD.format("0 - first_in", "period_in") + ") - (period - " + _MOD.format("100 - beat", "period") + ")", "period_in")
 
 
-@query(f", g AS ({_GRID}), raw AS (SELECT *, {_RAW} AS raw FROM g WHERE to_id IS NOT NULL) SELECT id, to_id, round(CASE WHEN raw < 0.001 OR period_in - raw < 0.001 THEN 0 ELSE raw END, 6) AS skip_sec, round(abs(60 / period_in - 60 / period) / (60 / period), 6) AS drift FROM raw")
+@query(f", g AS ({_GRID}), raw AS (SELECT *, {_RAW} AS raw FROM g WHERE to_id IS NOT NULL) SELECT id, to_id, round(CASE WHEN raw < 0.001 OR period_in - raw < 0.001 THEN 0 ELSE raw END, 6) AS skip_sec, round(abs(60 / period_in - 60 / period) / (60 / period), 6) AS drift, CASE WHEN period_in <> period THEN round(period_in / 20 / abs(period_in - period), 4) END AS holds_for_beats FROM raw")
 def beat_alignment(spark, sf_dir):
     from pyspark.sql import Window
 
     w = Window.partitionBy("folder").orderBy("track_no", "id")
     g = R.tracks(spark, sf_dir).where("analysed AND intro_beat_sec IS NOT NULL").withColumns({"period": 60 / F.col("bpm"), "period_in": F.lead(60 / F.col("bpm")).over(w), "first_in": F.lead("intro_beat_sec").over(w), "to_id": F.lead("id").over(w)}).where("to_id IS NOT NULL")
     out, into = scores.until_beat(F.col("outro_beat_sec"), F.col("period"), F.lit(100)), scores.until_beat(F.col("first_in"), F.col("period_in"), F.lit(0))
-    return g.select("id", "to_id", scores.alignment(F.col("period"), out, F.col("period_in"), into).alias("a")).select("id", "to_id", "a.skip_sec", "a.drift")
+    return g.select("id", "to_id", scores.alignment(F.col("period"), out, F.col("period_in"), into).alias("a")).select("id", "to_id", "a.skip_sec", "a.drift", F.when(~F.col("a.holds_for_beats").isin(float("inf")), F.round("a.holds_for_beats", 4)).alias("holds_for_beats"))
 
 
 # --- storage ---
 
 
-@query("SELECT id, CASE WHEN k % 8 = 0 AND analysed THEN 'improved' ELSE 'unchanged' END AS action FROM tracks WHERE k % 4 = 0 UNION ALL SELECT concat('n', cast(i AS varchar)) AS id, 'added' AS action FROM range(50) r(i)")
+@query("SELECT id, CASE WHEN k % 8 = 0 AND analysed THEN 'improved' ELSE 'unchanged' END AS action FROM tracks UNION ALL SELECT concat('n', cast(i AS varchar)) AS id, 'added' AS action FROM range(50) r(i)")
 def import_classify(spark, sf_dir):
     t = R.tracks(spark, sf_dir)
-    old = t.where("k % 4 = 0").select("id", "analysed", (F.col("version") + F.when((F.col("k") % 8 == 0), 1).otherwise(0)).alias("version"))
+    old = t.select("id", "analysed", (F.col("version") + F.when((F.col("k") % 8 == 0), 1).otherwise(0)).alias("version"))
     new = spark.range(50).select(F.concat(F.lit("n"), F.col("id").cast("string")).alias("id"), F.lit(True).alias("analysed"), F.lit(6).alias("version"))
     return merge.import_actions(t, old.unionByName(new))
 
 
-@query("SELECT track_id, played_at + INTERVAL 1 SECOND AS played_at FROM plays WHERE event_id % 100 = 0 AND (track_id, played_at + INTERVAL 1 SECOND) NOT IN (SELECT (track_id, played_at) FROM plays)")
+@query("SELECT p.track_id, p.played_at + INTERVAL 1 SECOND AS played_at FROM plays p ANTI JOIN plays q ON q.track_id = p.track_id AND q.played_at = p.played_at + INTERVAL 1 SECOND")
 def play_merge(spark, sf_dir):
     p = R.plays(spark, sf_dir)
-    again = p.where("event_id % 10 = 0")
-    late = p.where("event_id % 100 = 0").withColumn("played_at", F.expr("played_at + INTERVAL 1 SECOND"))
-    return merge.new_plays(p, again.unionByName(late)).select("track_id", "played_at")
+    late = p.withColumn("played_at", F.expr("played_at + INTERVAL 1 SECOND"))
+    return merge.new_plays(p, p.unionByName(late)).select("track_id", "played_at")
+
 
+_MOVED, _STALE = "k % 6 = 1", "version < 6 AND status <> 'pending'"
 
-@query("SELECT id, rel_path, file_name, CASE WHEN k % 6 = 0 AND version < 6 AND status <> 'pending' THEN 'pending' ELSE status END AS status, version, CASE WHEN k % 6 = 0 AND version < 6 AND status <> 'pending' THEN 'requeued' ELSE 'kept' END AS action FROM tracks")
+
+@query(f"SELECT id, CASE WHEN {_MOVED} THEN concat('moved/', rel_path) ELSE rel_path END AS rel_path, file_name, CASE WHEN {_STALE} THEN 'pending' ELSE status END AS status, version, CASE WHEN {_STALE} THEN 'requeued' WHEN {_MOVED} THEN 'moved' ELSE 'kept' END AS action FROM tracks UNION ALL SELECT concat('n', id), concat('moved/', rel_path), file_name, 'pending', 0, 'new' FROM tracks WHERE {_MOVED}")
 def upsert_discovered(spark, sf_dir):
+    """A scan that finds every file, a sixth of them under another path, where there are new files, too."""
+    t = R.tracks(spark, sf_dir)
+    moved = F.concat(F.lit("moved/"), F.col("rel_path"))
+    found = t.select("id", F.when(F.expr(_MOVED), moved).otherwise(F.col("rel_path")).alias("rel_path"), "file_name")
+    new = t.where(_MOVED).select(F.concat(F.lit("n"), F.col("id")).alias("id"), moved.alias("rel_path"), "file_name")
+    return merge.upsert_discovered(t.select("id", "rel_path", "file_name", "status", "version"), found.unionByName(new))
+
+
+@query("SELECT id, rel_path, artist, CASE WHEN analysed AND k % 8 = 0 THEN version + 1 ELSE version END AS version, CASE WHEN analysed AND k % 8 = 0 THEN round(bpm + 1, 6) ELSE round(bpm, 6) END AS bpm, round(duration_sec, 6) AS duration_sec FROM tracks UNION ALL SELECT concat('n', id), concat('x/', rel_path), 'Other', version, round(bpm + 1, 6), NULL FROM tracks WHERE k % 8 = 1")
+def import_merged(spark, sf_dir):
+    """An import of every recording under other paths and tags, some newly analysed, and of some that are new."""
     t = R.tracks(spark, sf_dir)
-    return merge.upsert_discovered(t.select("id", "rel_path", "file_name", "status", "version"), t.where("k % 6 = 0").select("id", "rel_path", "file_name"))
+    came = t.withColumns({"rel_path": F.concat(F.lit("x/"), F.col("rel_path")), "artist": F.lit("Other"), "bpm": F.col("bpm") + 1, "duration_sec": F.lit(None).cast("double")})
+    newer = came.withColumn("version", F.col("version") + (F.col("k") % 8 == 0).cast("int"))
+    new = came.where("k % 8 = 1").withColumn("id", F.concat(F.lit("n"), F.col("id")))
+    return merge.merged(t, newer.unionByName(new)).select("id", "rel_path", "artist", "version", "bpm", "duration_sec")
 
 
-@query("SELECT round(20 * log10(loudness), 6) AS db, round(power(10, 20 * log10(loudness) / 20), 6) AS gain, id FROM tracks WHERE analysed")
+#: Gains are exact decimals, so halves at a sixth place are kept from falling either way.
+@query("SELECT id, cast(floor(20 * log10(loudness) * 1e6 + 0.50001) AS bigint) AS micro_db, cast(floor(power(10, 20 * log10(loudness) / 20) * 1e6 + 0.50001) AS bigint) AS micro_gain FROM tracks WHERE analysed")
 def level_conversions(spark, sf_dir):
     db = levels.to_db(F.col("loudness"))
-    return R.tracks(spark, sf_dir).where("analysed").select(db.alias("db"), levels.to_gain(db).alias("gain"), "id")
+    micro = lambda c: F.floor(c * 1e6 + 0.50001).cast("long")
+    return R.tracks(spark, sf_dir).where("analysed").select("id", micro(db).alias("micro_db"), micro(levels.to_gain(db)).alias("micro_gain"))
+
+
+@query("SELECT cast(k AS bigint) AS k, round((least(100, greatest(0, k % 120 - 10)) - 50) / 50 * 12, 6) AS db FROM tracks")
+def slider_db(spark, sf_dir):
+    return R.tracks(spark, sf_dir).select("k", levels.slider_to_db(F.col("k") % 120 - 10).alias("db"))

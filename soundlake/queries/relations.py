@@ -70,9 +70,9 @@ _JSON = {"spark": "get_json_object(props, '$.k')", "duckdb": "json_extract_strin
 
 WANTS = """
 SELECT k AS ord,
-  CASE k % 5 WHEN 0 THEN upper(artist) WHEN 3 THEN NULL ELSE artist END AS artist,
+  CASE k % 5 WHEN 0 THEN upper(artist) WHEN 1 THEN CASE WHEN artist IS NOT NULL THEN concat('Nobody Else, ', artist) END WHEN 3 THEN NULL ELSE artist END AS artist,
   CASE k % 5 WHEN 0 THEN upper(title) WHEN 1 THEN concat(title, ' (2011 Remaster)') WHEN 2 THEN concat(title, ' feat. Someone') WHEN 4 THEN concat(title, ' Zzz') ELSE title END AS title
-FROM {tracks} WHERE k % 3 = 0 AND title IS NOT NULL"""
+FROM {tracks} WHERE title IS NOT NULL"""
 
 _TABLES = ("part", "lineitem", "supplier", "events")
 

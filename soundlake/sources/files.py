@@ -16,10 +16,13 @@ EXPORT_FORMAT, EXPORT_VERSION, HEAD_BYTES = "soundlake-library", 1, 1 << 20
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where none is named."""
+    """The folder that the cluster names in spark.checkpoint.dir; where none is named, one of our own in local mode, while a cluster gets an error."""
     context = spark.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="soundlake-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="soundlake-"))
     return context.getCheckpointDir()
 
 
@@ -52,7 +55,7 @@ def parse_m3u(texts: DataFrame) -> DataFrame:
     rows = lines_of(texts).select("list_id", "pos", names.trimmed(F.col("line")).alias("line")).where("line <> ''")
     info, path = F.col("line").rlike("(?i)^#EXTINF:"), ~F.col("line").startswith("#")
     w = Window.partitionBy("list_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)  # the lines of one playlist
-    blocks = rows.withColumns({"entry": F.coalesce(F.sum(path.cast("int")).over(w), F.lit(0)), "info": F.when(info, F.substring(F.col("line"), 9, 10_000)), "path": F.when(path, F.col("line"))})
+    blocks = rows.withColumns({"entry": F.coalesce(F.sum(path.cast("int")).over(w), F.lit(0)), "info": F.when(info, F.regexp_replace("line", "(?i)^#EXTINF:", "")), "path": F.when(path, F.col("line"))})
     got = blocks.groupBy("list_id", "entry").agg(F.max_by("info", F.when(F.col("info").isNotNull(), F.col("pos"))).alias("info"), F.max("path").alias("path")).where("path IS NOT NULL")
     seconds = F.expr("try_cast(trim(regexp_extract(info, '^([^,]*)', 1)) AS double)")
     title = names.trimmed(F.regexp_extract("info", "^[^,]*,(.*)$", 1))

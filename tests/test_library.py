@@ -124,9 +124,9 @@ def test_verdicts_against_all_pairs(spark):
         group = [r for r in rows if r[1] // 4 == key]
         differ = any((a[3] is not None and b[3] is not None and abs(a[3] - b[3]) > 2.5) or abs(a[4] - b[4]) > 0.12 for a, b in itertools.combinations(group, 2))
         if len(group) > 1:
-            want[min(r[0] for r in group)] = (len(group), "different-mastering" if differ else "same-file")
+            want[min(r[0] for r in group)] = (len(group), "different-master" if differ else "same-master")
     got = {r.group_id: (r.n, r.verdict) for r in identity.duplicate_verdicts(df).collect()}
-    assert got == want and got["x0"] == (3, "different-mastering") and len({v for _, v in want.values()}) == 2
+    assert got == want and got["x0"] == (3, "different-master") and len({v for _, v in want.values()}) == 2
     assert identity.duplicate_verdicts(df.where("false")).count() == 0
 
 
