@@ -94,10 +94,14 @@ def pair_costs(a: dict[str, Column], b: dict[str, Column]) -> tuple[Column, Colu
     return tempo, key
 
 
+def timbre_cost(b: dict[str, Column], target: Target) -> Column:
+    return 0.6 * F.abs(b["brightness"] - target.brightness) + 0.4 * F.abs(b["danceability"] - target.danceability)
+
+
 def candidate_cost(a: dict[str, Column], b: dict[str, Column], target: Target, energy: Column | float, novelty_cost: Column, weights: Weights) -> Column:
     """What it costs to play b after a: tempo and key against a, energy and timbre against the target."""
     tempo, key = pair_costs(a, b)
-    timbre = 0.6 * F.abs(b["brightness"] - target.brightness) + 0.4 * F.abs(b["danceability"] - target.danceability)
+    timbre = timbre_cost(b, target)
     return weights.bpm * tempo + weights.key * key + weights.energy * F.abs(b["energy"] - energy) + weights.timbre * timbre + weights.novelty * novelty_cost
 
 

@@ -186,7 +186,7 @@ def propose_names(tracks: DataFrame, tolerance: float = TOLERANCE_SEC, threshold
     lent = _kept(donors.groupBy(*of).agg(F.min(F.struct("id", *fields)).alias("b")).select(F.col("b.id").alias("id"), "sec", "print", "b"))
     pairs = alike(heard.select("id", "sec", "print"), lent.select("id", "sec", "print"), tolerance, threshold)
     told = pairs.join(lent.select(F.col("id").alias("b_id"), F.col("sec").alias("b_sec"), *(F.col("b")[f].alias(f"b_{f}") for f in fields)), "b_id")
-    first = told.groupBy("a_id").agg(F.min_by(F.struct("b_id", "distance", *(f"b_{f}" for f in fields)), F.struct("distance", "b_sec", "b_id")).alias("b"))
+    first = told.groupBy("a_id").agg(F.min_by(F.struct("b_id", "distance", *(f"b_{f}" for f in fields)), F.struct(F.round("distance", 9), "b_sec", "b_id")).alias("b"))
     best = lost.select("id", *of).join(heard.select("sec", "print", F.col("id").alias("a_id")), ["sec", "print"]).join(first, "a_id").select(F.col("id").alias("a_id"), "b")
     path = names.from_path(F.col("rel_path"))
     rows = lost.join(best, lost.id == best.a_id, "left").withColumn("p", path)

@@ -1,18 +1,14 @@
-"""Kernels from samples to numbers: levels, spectra, onsets, tempo, key, edges, bandwidth.
+"""Kernels from samples to numbers: levels, spectra, onsets, tempo, chroma, key.
 
-Levels and correlations of short arrays are column functions. What needs a
-transform runs on batches of recordings as numpy inside tasks: one row of samples
-in, one row of numbers out, so the work spreads as the recordings do.
+Levels and correlations of short arrays are column functions. The few helpers that
+need a transform take one piece of a recording, of bounded length; ``recordings``
+cuts the pieces and puts the numbers together.
 """
 
 from __future__ import annotations
 
-import base64
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Frame sizes, tempo search, key profiles (tonic first), chroma range, edges and bandwidth.
@@ -27,6 +23,7 @@ EDGE_SEC, EDGE_DB, EDGE_RUN = 0.05, -40, 4
 GRID_BPM, PHASES, LEAST_GRID, LEAST_TEMPO, LEAD_FRAMES, BUSY, LEVEL_SEC, END_SEC = (50, 210), 32, 0.4, 0.3, 0.78, 4, 0.25, 20
 WINDOW_SEC, WINDOW_AT, SHORT_SEC, LEAST_SEC, TEMPO_SEC, TEMPO_AT = 10, (0.15, 0.5, 0.8), 35, 3, 30, 0.25
 SEGMENTS, SEGMENT_FRAMES = 3, 20
+CLIP_LEVEL, CLIP_RUN = 0.98, 3
 BAND_HZ, CUTOFF_FRAME, CUTOFF_FRAMES, CUTOFF_DB = 500, 8_192, 64, -55
 
 
@@ -62,7 +59,7 @@ def zero_crossings(samples: Column) -> Column:
     return F.when(n > 1, F.try_divide(_total(pairs), n - 1)).otherwise(0.0)
 
 
-def clipped(samples: Column, level: float = 0.98, run: int = 3) -> Column:
+def clipped(samples: Column, level: float = CLIP_LEVEL, run: int = CLIP_RUN) -> Column:
     """The part of samples in runs of three or more at full scale."""
     state = F.struct(F.lit(0).alias("run"), F.lit(0).alias("all"))
 
@@ -143,11 +140,9 @@ def plan_windows(samples: Column, rate: Column) -> Column:
 
 
 def frames(x: np.ndarray, size: int, hop: int) -> np.ndarray:
-    """Frames of a signal, the last filled with zeros."""
-    n = max(1, -(-max(0, len(x) - size) // hop) + 1)
-    padded = np.zeros((n - 1) * hop + size)
-    padded[: len(x)] = x[: len(padded)]
-    return np.lib.stride_tricks.sliding_window_view(padded, size)[::hop]
+    """The whole frames of a signal."""
+    x = np.asarray(x, np.float64)
+    return np.lib.stride_tricks.sliding_window_view(x, size)[::hop] if len(x) >= size else np.empty((0, size))
 
 
 def spectra(x: np.ndarray, size: int = FRAME, hop: int = HOP) -> np.ndarray:
@@ -166,7 +161,7 @@ def envelope(x: np.ndarray, rate: int) -> tuple[np.ndarray, float, float]:
     """(onset strength, its rate, peakiness)."""
     hop = max(1, round(rate / 100))
     mags = spectra(x, ONSET_FRAME, hop)
-    flux = np.concatenate([[0.0], np.maximum(0, np.diff(mags, axis=0)).sum(axis=1)])
+    flux = np.maximum(0, np.diff(mags, axis=0)).sum(axis=1) if len(mags) > 1 else np.empty(0)
     own = rate / hop
     smooth = _smooth(flux, 1)
     strength = np.maximum(0, smooth - _smooth(smooth, round(0.4 * own)))
@@ -211,16 +206,6 @@ def beat_grid(strength: np.ndarray, rate: float, bpm: float, lead_sec: float = 0
     return (best / PHASES * period / rate + lead_sec) % (60 / bpm), float(min(1.0, max(0.0, margin * hits)))
 
 
-def beat_edges(x: np.ndarray, rate: int, bpm: float, confidence: float) -> tuple[float | None, float | None]:
-    """Times of a beat near the start and near the end, from 20 seconds each; None where tempo or grid are too weak."""
-    size, out = min(len(x), END_SEC * rate), []
-    for offset in (0, len(x) - size):
-        own, own_rate, _ = envelope(x[offset : offset + size], rate) if confidence >= LEAST_TEMPO else (np.zeros(0), 1.0, 1.0)
-        grid = beat_grid(own, own_rate, bpm, LEAD_FRAMES * ONSET_FRAME / rate)
-        out.append(None if grid is None or grid[1] < LEAST_GRID else offset / rate + grid[0])
-    return out[0], out[1]
-
-
 def onset_density(strength: np.ndarray, rate: float) -> float:
     """Peaks a second that stand out by a standard deviation."""
     if len(strength) < 3 or strength.mean() == 0:
@@ -229,24 +214,6 @@ def onset_density(strength: np.ndarray, rate: float) -> float:
     return float(((mid > strength.mean() + strength.std()) & (mid >= strength[:-2]) & (mid > strength[2:])).sum() * rate / len(strength))
 
 
-def danceability(clarity: float, low_band: float, density: float) -> float:
-    unit = lambda v: min(1.0, max(0.0, v))
-    return unit(float(np.cbrt((0.2 + 0.8 * unit(clarity)) * (0.4 + 0.6 * unit(2 * low_band)) * (0.3 + 0.7 * unit(density / BUSY)))))
-
-
-def fingerprint(x: np.ndarray, rate: int) -> str | None:
-    """Three stretches of 20 chroma frames as text; None for a signal too short for them."""
-    if len(x) >= SHORT_SEC * rate:
-        starts = [min(round(at * len(x)), len(x) - WINDOW_SEC * rate) for at in WINDOW_AT]
-        parts = [x[s : s + WINDOW_SEC * rate] for s in starts]
-    else:
-        parts = np.array_split(x, SEGMENTS)
-    if len(x) < LEAST_SEC * rate or min(map(len, parts)) < SEGMENT_FRAMES * CHROMA_FRAME:
-        return None
-    cells = [chroma(f, rate) for part in parts for f in np.array_split(part, SEGMENT_FRAMES)]
-    return base64.urlsafe_b64encode(np.floor(np.array(cells) * 255 + 0.5).astype(np.uint8).tobytes()).decode()
-
-
 def chroma(x: np.ndarray, rate: int) -> np.ndarray:
     """Energy of 12 pitch classes from C, split between the two nearest, the largest being 1."""
     energy = (spectra(x, CHROMA_FRAME, CHROMA_FRAME) ** 2).sum(axis=0)
@@ -257,79 +224,3 @@ def chroma(x: np.ndarray, rate: int) -> np.ndarray:
     part = pitch - low
     out = np.bincount(low.astype(int) % 12, energy[inside] * (1 - part), 12) + np.bincount((low.astype(int) + 1) % 12, energy[inside] * part, 12)
     return out / out.max() if out.max() > 0 else out
-
-
-def sound_edges(x: np.ndarray, rate: int) -> tuple[float, float] | None:
-    """(start, end) of the sound in seconds; None for silence."""
-    size = max(1, round(EDGE_SEC * rate))
-    n = -(-len(x) // size)
-    if not n:
-        return None
-    padded = np.zeros(n * size)
-    padded[: len(x)] = x
-    counts = np.minimum(size, len(x) - np.arange(n) * size)
-    level = np.sqrt((padded.reshape(n, size) ** 2).sum(axis=1) / counts)
-    loud = level > level.mean() * 10 ** (EDGE_DB / 20)
-
-    def first(v: np.ndarray) -> int | None:
-        for i in np.flatnonzero(v):
-            run = v[i : i + EDGE_RUN]
-            if run.sum() * 2 >= len(run):
-                return int(i)
-        return None
-
-    lo, hi = first(loud), first(loud[::-1])
-    return None if level.max() <= 0 or lo is None or hi is None else (lo * size / rate, min(len(x), (n - hi) * size) / rate)
-
-
-def cutoff_hz(x: np.ndarray, rate: int) -> float | None:
-    """The upper edge of the highest band of 500 Hz whose median energy is within 55 dB of the loudest; None for silence or less than a frame."""
-    if len(x) < CUTOFF_FRAME:
-        return None
-    starts = np.unique(np.linspace(0, len(x) - CUTOFF_FRAME, CUTOFF_FRAMES).astype(int))
-    energy = np.concatenate([spectra(x[s : s + CUTOFF_FRAME], CUTOFF_FRAME, CUTOFF_FRAME) for s in starts]) ** 2
-    band = (np.arange(energy.shape[1]) * rate / CUTOFF_FRAME // BAND_HZ).astype(int)
-    sums = np.stack([energy[:, band == b].sum(axis=1) for b in range(band.max() + 1)], axis=1)
-    middle = np.median(sums, axis=0)
-    return None if middle.max() <= 0 else float((np.flatnonzero(middle > middle.max() * 10 ** (CUTOFF_DB / 10))[-1] + 1) * BAND_HZ)
-
-
-FEATURES = "id string, duration_sec double, rms double, crest double, zcr double, centroid_hz double, rolloff_hz double, low_band double, flux double, bpm double, bpm_confidence double, chroma array<double>, sound_start_sec double, sound_end_sec double, cutoff_hz double, head_ratio double, tail_ratio double, onset_density double, danceability double, intro_beat_sec double, outro_beat_sec double, fingerprint string"
-
-
-def features(x: np.ndarray, rate: int) -> tuple:
-    """The numbers of one recording, in the order of FEATURES without its id."""
-    mags = spectra(x)
-    hz = np.arange(mags.shape[1]) * rate / FRAME
-    mass, energy = mags.sum(axis=1), mags**2
-    level = float(np.sqrt((x * x).mean())) if len(x) else 0.0
-    whole = energy.sum(axis=1)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        centroid = np.nan_to_num((mags * hz).sum(axis=1) / mass).mean()
-        low = np.nan_to_num(energy[:, hz <= 200].sum(axis=1) / whole).mean()
-    rolloff = hz[np.minimum((np.cumsum(mags, axis=1) < 0.85 * mass[:, None]).sum(axis=1), len(hz) - 1)].mean()
-    flux = np.maximum(0, np.diff(mags, axis=0)).sum(axis=1).mean() if len(mags) > 1 else 0.0
-    edges = sound_edges(x, rate) or (None, None)
-    zcr = float(((x[1:] >= 0) != (x[:-1] >= 0)).mean()) if len(x) > 1 else 0.0
-    strength, own_rate, peakiness = envelope(x, rate)
-    bpm, confidence = tempo(strength, own_rate, peakiness)
-    density = onset_density(strength, own_rate)
-    end = min(len(x), max(1, round(LEVEL_SEC * rate)))
-    ratio = lambda part: float(np.sqrt((part * part).mean()) / level) if level > 0 else 0.0
-    crest_ = float(np.abs(x).max() / level) if level > 0 else 0.0
-    return (len(x) / rate, level, crest_, zcr, float(centroid), float(rolloff), float(low), float(flux), bpm, confidence, chroma(x, rate).tolist(), *edges, cutoff_hz(x, rate), ratio(x[:end]), ratio(x[len(x) - end :]), density, danceability(confidence, float(low), density), *beat_edges(x, rate, bpm, confidence), fingerprint(x, rate))
-
-
-def extract(recordings: DataFrame) -> DataFrame:
-    """Features and key of recordings (id, rate, samples). A null signal is an empty one; a null or non-positive rate counts as 16,000."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for i, rate, samples in zip(batch["id"], batch["rate"], batch["samples"], strict=True):
-                rate = int(rate) if pd.notna(rate) and rate > 0 else RATE
-                rows.append((i, *features(np.zeros(0) if samples is None else np.asarray(samples, np.float64), rate)))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in FEATURES.split(", ")])
-
-    got = recordings.select(F.col("id").cast("string"), F.col("rate").cast("int"), "samples").mapInPandas(run, FEATURES)
-    return got.withColumn("key", key_of(F.col("chroma")))

@@ -1,23 +1,37 @@
 """What to play next: scored candidates, queues, routes, and what each move means.
 
-Every step is one pass over the candidates that ends in a bounded top-k, so only
-a dozen rows come to the driver, whatever the size of the collection.
+A queue is planned from one scan. What a recording costs after another depends on
+the step only through tempo, key and energy; the rest is the same at every step.
+So recordings are put into cells of key, tempo and energy, and of each cell the
+``POOL`` cheapest by that rest come to the driver: a bounded number, as there are at
+most 2,400 cells. The steps then run over this pool. A recording left out costs at
+least the rest of the last one taken from its cell, plus the least that tempo, key
+and energy can cost anywhere in the cell; if that is more than the dozenth of the
+shortlist for every cell with rows left out, the shortlist is the one of all rows.
+Where it is not, the step is done by a scan of all rows, which ends in a bounded
+top-k.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 from dataclasses import replace
+from math import log
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from ..functions import keys, scores
 from ..functions.scores import Target, Weights, js_round
+from ..operators import history
 
 #: Shortlist, rows needed, tempo prefilter and from how many rows on it applies; route length, beam, shortlist, pull, slack.
 SHORTLIST, LEAST_ROWS, NEAR_TEMPO, MANY_ROWS = 12, 30, 0.15, 2_000
 STEPS, BEAM, ROUTE_SHORTLIST, PULL, SLACK = 6, 8, 150, 2.5, 1.5
+QUEUE_LENGTH, HANDED = 20, 2
+#: Rows kept of a cell; tempo cells grow by this factor between two ends, beyond which all are one; cells of energy.
+POOL, TEMPO_STEP, SLOWEST, FASTEST, ENERGY_CELLS = 96, 1.15, 40.0, 240.0, 5
 FIELDS = ("id", "artist", "bpm", "bpm_confidence", "place", "key_strength", "energy", "brightness", "danceability")
 
 
@@ -32,11 +46,12 @@ def literals(row: Row) -> dict[str, Column]:
 
 
 def candidates(tracks: DataFrame) -> DataFrame:
-    """Playable rows with the fields that scoring needs; context columns are filled where missing."""
+    """Playable rows with the fields that scoring needs; context columns are filled where missing, and unknown descriptors are in the middle."""
     place = keys.place(F.col("key_root"), F.col("key_scale"))
     plain = {"recent_artist": F.lit(False), "recent_album": F.lit(False), "recent": F.lit(False), "frequency": F.lit(0.5)}
     rows = tracks.where("analysed AND status = 'done'").withColumn("place", place.cast("int"))
-    return rows.select(*FIELDS, *(F.col(c) if c in tracks.columns else v.alias(c) for c, v in plain.items()))
+    known = {f: F.coalesce(F.nanvl(F.col(f), F.lit(None)), F.lit(0.5)) for f in ("energy", "brightness", "danceability")}
+    return rows.withColumns(known).select(*FIELDS, *(F.col(c) if c in tracks.columns else v.alias(c) for c, v in plain.items()))
 
 
 def is_ready(tracks: DataFrame) -> bool:
@@ -58,6 +73,10 @@ def curve(shape: str, position: float, start: float) -> float:
     return min(1.0, max(0.0, start + move))
 
 
+def _near(bpm: Column) -> Column:
+    return F.coalesce((F.col("bpm") > 0) & (scores.tempo_distance(bpm, F.col("bpm")) <= NEAR_TEMPO), F.lit(False))
+
+
 def _shortlist(rows: DataFrame, many: bool) -> list[Row]:
     """The dozen cheapest rows (with cost and near); of a large collection only those near in tempo, if there are a dozen."""
     if many:
@@ -67,37 +86,188 @@ def _shortlist(rows: DataFrame, many: bool) -> list[Row]:
     return rows.orderBy("cost", "id").limit(SHORTLIST).collect()
 
 
-def draw(shortlist: list[Row], random: Callable[[], float]) -> Row:
-    """One of a shortlist, the likelier the lower its cost."""
-    odds = [1 / (r.cost + 0.05) for r in shortlist]
+def _tempo_cell(bpm: Column) -> Column:
+    return F.when(bpm >= SLOWEST, F.floor(F.log(F.least(F.lit(FASTEST), bpm) / SLOWEST) / log(TEMPO_STEP))).when(bpm > 0, -1).otherwise(-99)
+
+
+class _Pool:
+    """The cheapest rows of each cell by what no step changes, and bounds for those left out."""
+
+    def __init__(self, rows: DataFrame, target: Target, weights: Weights, seed_id: str, most: int):
+        new = scores.novelty(F.col("recent_artist"), F.col("recent_album"), F.col("recent"), F.col("frequency"), target.familiarity)
+        rest = weights.timbre * scores.timbre_cost(side(), target) + weights.novelty * new
+        cell = {"at": F.coalesce("place", F.lit(-1)), "slot": _tempo_cell(F.col("bpm")).cast("int"), "level": F.least(F.lit(ENERGY_CELLS - 1), F.greatest(F.lit(0), F.floor(F.col("energy") * ENERGY_CELLS))).cast("int")}
+        cheap = rows.withColumns({"rest": rest, **cell}).withColumn("n", F.row_number().over(Window.partitionBy(*cell).orderBy("rest", "id")))
+        kept = cheap.where((F.col("n") <= most) | (F.col("id") == seed_id)).select(*FIELDS, "rest", *cell, "n").toPandas()  # most of each cell
+        self.rows, self.weights = kept, weights
+        self.ids = kept["id"].to_numpy(object)
+        number = lambda c: kept[c].to_numpy(np.float64, na_value=np.nan)
+        self.bpm, self.energy, self.rest = number("bpm"), number("energy"), number("rest")
+        self.confidence, self.strength = np.nan_to_num(number("bpm_confidence")), _unit((np.nan_to_num(number("key_strength"), nan=-np.inf) - scores.KEY_FLOOR) / (scores.KEY_CEILING - scores.KEY_FLOOR))
+        self.place = kept["at"].to_numpy(int)
+        self.by_id = np.argsort(self.ids, kind="stable")
+        self.free = np.ones(len(kept), bool)
+        full = kept[kept["n"] == most]  # cells that may have rows left out
+        self.cell_place, self.cell_rest = full["at"].to_numpy(int), full["rest"].to_numpy(float)
+        slot, level = full["slot"].to_numpy(float), full["level"].to_numpy(float)
+        self.slow, self.fast = (np.where(slot < -98, np.nan, SLOWEST * TEMPO_STEP ** (slot + k)) for k in (0, 1))
+        self.slow[slot == -1] = 0.0
+        self.fast[self.fast > FASTEST] = np.inf
+        self.low = np.where(level == 0, -np.inf, level / ENERGY_CELLS)
+        self.high = np.where(level == ENERGY_CELLS - 1, np.inf, (level + 1) / ENERGY_CELLS)
+
+    def row(self, i: int) -> Row:
+        return Row(**{f: None if x is None or x != x else x for f, x in zip(FIELDS, self.rows.loc[i, list(FIELDS)], strict=True)})
+
+    def add(self, row: Row) -> int:
+        """Takes in a row that was left out, as what plays now."""
+        place, strength = -1 if row.place is None else row.place, scores.KEY_FLOOR if row.key_strength is None else row.key_strength
+        self.rows.loc[len(self.rows)] = {**{c: None for c in self.rows.columns}, **row.asDict()}
+        self.ids = np.append(self.ids, row.id)
+        for name, value in (("bpm", row.bpm if row.bpm is not None else np.nan), ("energy", row.energy), ("rest", np.inf), ("confidence", row.bpm_confidence or 0.0), ("strength", float(_unit(np.float64((strength - scores.KEY_FLOOR) / (scores.KEY_CEILING - scores.KEY_FLOOR))))), ("place", place), ("free", False)):
+            setattr(self, name, np.append(getattr(self, name), value))
+        self.by_id = np.argsort(self.ids, kind="stable")
+        return len(self.ids) - 1
+
+    def shortlist(self, current: int, energy: float, many: bool) -> list[tuple[int, float]] | None:
+        """(row, cost) of the dozen; None if rows left out may belong to it."""
+        w, bpm = self.weights, self.bpm[current]
+        apart = _apart(bpm, self.bpm, self.bpm)
+        tempo = _faded(np.where(np.isnan(apart), 1.0, np.minimum(1.0, apart / scores.BPM_TOLERANCE)), np.minimum(self.confidence[current], self.confidence))
+        key = _faded(_KEYS[self.place[current], self.place], np.minimum(self.strength[current], self.strength))
+        cost = w.bpm * tempo + w.key * key + w.energy * np.abs(self.energy - energy) + self.rest
+        order = self.by_id[np.argsort(cost[self.by_id], kind="stable")]
+        order = order[self.free[order]]
+        # the least that tempo, key and energy cost in each cell; a cost fades towards a half, so it can't fall below the lesser of both
+        away = _apart(bpm, self.slow, self.fast)
+        least = w.bpm * np.minimum(0.5, np.where(np.isnan(away), 1.0, away / scores.BPM_TOLERANCE)) + w.key * np.minimum(0.5, _KEYS[self.place[current], self.cell_place]) + w.energy * np.maximum(0, np.maximum(self.low - energy, energy - self.high)) + self.cell_rest
+        if many:
+            near = order[apart[order] <= NEAR_TEMPO][:SHORTLIST]
+            inside = away <= NEAR_TEMPO + 1e-9
+            if len(near) == SHORTLIST:
+                return None if (least[inside] <= cost[near[-1]] + 1e-9).any() else [(int(i), float(cost[i])) for i in near]
+            if inside.any():
+                return None
+        short = order[:SHORTLIST]
+        if len(least) and (len(short) < SHORTLIST or (least <= cost[short[-1]] + 1e-9).any()):
+            return None
+        return [(int(i), float(cost[i])) for i in short]
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    return np.minimum(1.0, np.maximum(0.0, x))
+
+
+def _faded(cost: np.ndarray, confidence: np.ndarray) -> np.ndarray:
+    return cost * confidence + 0.5 * (1 - confidence)
+
+
+def _apart(bpm: float, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Relative distance of a tempo from the nearest in a range, its half or its double; NaN if either is unknown."""
+    if not bpm > 0:
+        return np.full(len(low), np.nan)
+    with np.errstate(invalid="ignore"):
+        gaps = [np.maximum(0, np.maximum(k * low - bpm, bpm - k * high)) / bpm for k in (1, 0.5, 2)]
+        return np.where(high > 0, np.minimum.reduce(gaps), np.nan)
+
+
+def _key_table() -> np.ndarray:
+    """Distances of all places; the last row and column stand for an unknown key."""
+    out = np.full((keys.PLACES + 1, keys.PLACES + 1), keys.FAR)
+    for a in range(keys.PLACES):
+        for b in range(keys.PLACES):
+            steps = min(abs(a // 2 - b // 2), 12 - abs(a // 2 - b // 2))
+            same_mode = a % 2 == b % 2
+            out[a, b] = keys.SAME if a == b else keys.RELATIVE if steps == 0 else keys.ONE_STEP if same_mode and steps == 1 else keys.TWO_STEPS if same_mode and steps == 2 else keys.FAR
+    return out
+
+
+_KEYS = _key_table()
+
+
+def draw(costs: list[float], random: Callable[[], float]) -> int:
+    """The place in a shortlist that is taken, the likelier the lower its cost."""
+    odds = [1 / (c + 0.05) for c in costs]
     left = random() * sum(odds)
-    for row, odd in zip(shortlist, odds, strict=True):
+    for i, odd in enumerate(odds):
         left -= odd
         if left <= 0:
-            return row
-    return shortlist[-1]
+            return i
+    return len(costs) - 1
 
 
-def plan_queue(tracks: DataFrame, seed_id: str, length: int = 20, target: Target | None = None, shape: str = "arc", exclude: Iterable[str] = (), random: Callable[[], float] = lambda: 0.0, weights: Weights | None = None, start_energy: float | None = None) -> DataFrame:
-    """(step, id, cost, target_energy): the queue after a seed. random gives numbers from 0 to 1; 0 always takes the cheapest, ties going by id."""
+def plan_queue(tracks: DataFrame, seed_id: str, length: int = QUEUE_LENGTH, target: Target | None = None, shape: str = "arc", exclude: Iterable[str] | DataFrame = (), random: Callable[[], float] = lambda: 0.0, weights: Weights | None = None, start_energy: float | None = None, pool: int = POOL) -> DataFrame:
+    """(step, id, cost, target_energy): the queue after a seed. random gives numbers from 0 to 1; 0 always takes the cheapest, ties going by id. exclude: ids, or a table of them."""
     target = target or Target()
     weights = weights or Weights().bent(target.coherence)
-    rows = candidates(tracks)
-    current = rows.where(F.col("id") == seed_id).first()
     spark, planned = tracks.sparkSession, []
-    used = {seed_id, *exclude}
-    left = rows.where(~F.col("id").isin(*used)).limit(MANY_ROWS + length).count() if current else 0
-    for step in range(length if current else 0):
+    rows = candidates(tracks)
+    barred = exclude.select("id") if isinstance(exclude, DataFrame) else spark.createDataFrame([(x,) for x in exclude], "id string")
+    rows = rows.join(barred.where(F.col("id") != seed_id), "id", "left_anti")
+    held = _Pool(rows, target, weights, seed_id, max(1, pool))
+    at = np.flatnonzero(held.ids == seed_id)
+    out = "step int, id string, cost double, target_energy double"
+    if not len(at):
+        return spark.createDataFrame([], out)
+    current, seed, used = int(at[0]), held.row(int(at[0])), {seed_id}
+    held.free[current] = False
+    left = len(held.ids) - 1
+    if len(held.cell_place) and left < MANY_ROWS + length:
+        left = rows.limit(MANY_ROWS + length + 1).count() - 1
+    for step in range(length):
         energy = curve(shape, 0 if length <= 1 else (step + 1) / length, target.energy if start_energy is None else start_energy)
-        free = scored(rows.where(~F.col("id").isin(*used)), literals(current), replace(target, energy=energy), energy, weights)
-        near = F.coalesce((F.col("bpm") > 0) & (scores.tempo_distance(F.lit(current.bpm), F.col("bpm")) <= NEAR_TEMPO), F.lit(False))
-        short = _shortlist(free.withColumn("near", near), (current.bpm or 0) > 0 and left - step >= MANY_ROWS)
-        if not short:
+        many = (seed.bpm or 0) > 0 and left - step >= MANY_ROWS
+        short = held.shortlist(current, energy, many)
+        if short is None:
+            gone = spark.createDataFrame([(x,) for x in sorted(used)], "id string")
+            free = scored(rows.join(F.broadcast(gone), "id", "left_anti"), literals(seed), replace(target, energy=energy), energy, weights)  # no more than the queue's length
+            got = _shortlist(free.withColumn("near", _near(F.lit(seed.bpm).cast("double"))), many)
+            if not got:
+                break
+            chosen = got[draw([r.cost for r in got], random)]
+            seed, cost = Row(**{f: chosen[f] for f in FIELDS}), chosen.cost
+            at = np.flatnonzero(held.ids == seed.id)
+            current = int(at[0]) if len(at) else held.add(seed)
+        elif not short:
             break
-        current = draw(short, random)
-        used.add(current.id)
-        planned.append((step + 1, current.id, current.cost, energy))
-    return spark.createDataFrame(planned, "step int, id string, cost double, target_energy double")
+        else:
+            current, cost = short[draw([c for _, c in short], random)]
+            seed = held.row(current)
+        held.free[current] = False
+        used.add(seed.id)
+        planned.append((step + 1, seed.id, float(cost), energy))
+    return spark.createDataFrame(planned, out)
+
+
+def queue_for(tracks: DataFrame, plays: DataFrame, seed_id: str, reachable: DataFrame | None = None, now: DataFrame | None = None, held: Iterable[str] = (), **plan) -> DataFrame:
+    """The queue after a seed against the play history, or nothing below thirty playable recordings.
+
+    Recordings that the player holds already are not planned. Those that reachable (id) lacks are dropped after planning, so the queue gets shorter and its steps keep their numbers.
+    """
+    if not is_ready(tracks):
+        return tracks.sparkSession.createDataFrame([], "step int, id string, cost double, target_energy double")
+    got = plan_queue(history.context(plays, tracks, now, seed_id), seed_id, exclude=tuple(held), **plan)
+    return got if reachable is None else got.join(reachable.select("id").distinct(), "id", "left_semi").select(*got.columns)
+
+
+def first_seed(tracks: DataFrame, playing_id: str | None = None) -> str | None:
+    """What to plan from: what is playing, if it is analysed, else the analysed recording of least id."""
+    analysed = tracks.where("analysed")
+    found = analysed.where(F.col("id") == playing_id).select("id").first() if playing_id is not None else None
+    return found.id if found else analysed.agg(F.min("id").alias("id")).first().id
+
+
+def hand_over(queue: DataFrame, remaining: int, most: int = HANDED) -> tuple[DataFrame, DataFrame]:
+    """(steps to give to the player, steps that stay planned): the first of the queue, so that the player has ``most`` to come."""
+    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("step"))  # one queue
+    rows, give = queue.withColumn("place", place), max(0, most - remaining)
+    return rows.where(F.col("place") <= give).drop("place"), rows.where(F.col("place") > give).drop("place")
+
+
+def without_played(handed: DataFrame, playing_id: str) -> DataFrame:
+    """What was handed over (step, id), without what plays now and everything before it; all of it if that is none of these."""
+    started = handed.where(F.col("id") == playing_id).agg(F.min("step").alias("from"))  # one row
+    return handed.crossJoin(started).where(F.col("from").isNull() | (F.col("step") > F.col("from"))).drop("from")
 
 
 def plan_route(tracks: DataFrame, from_id: str, to_id: str, steps: int = STEPS, exclude: Iterable[str] = ()) -> DataFrame:

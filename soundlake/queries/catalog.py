@@ -455,43 +455,68 @@ def candidate_scores(spark, sf_dir):
     return queue.scored(rows.where(F.col("id") != SEED), queue.literals(seed), scores.Target(), 0.5, _W).select("id", "cost")
 
 
-def _chain(steps: int) -> str:
+def _chain(steps: int, rows: str = "ranked", novelty: str = "0") -> str:
     """The queue as one CTE a step; below 2,000 playable rows there is no prefilter."""
-    out = f", q0 AS (SELECT *, 0 AS step, 0.0 AS cost, 0.0 AS target FROM ranked WHERE id = '{SEED}')"
+    out = f", q0 AS MATERIALIZED (SELECT *, 0 AS step, 0.0 AS cost, 0.0 AS target, [id] AS used FROM {rows} WHERE id = '{SEED}')"
     for i in range(1, steps + 1):
         energy = queue.curve("arc", i / steps, 0.5)
-        used = " UNION ALL ".join(f"SELECT id FROM q{j}" for j in range(i))
-        out += f", q{i} AS (SELECT b.*, {i} AS step, {_cost_sql(energy, _W)} AS cost, {energy} AS target FROM q{i - 1} a JOIN ranked b ON b.id NOT IN ({used}) ORDER BY cost, b.id LIMIT 1)"
-        out = out.replace(f"FROM q{i - 1} a JOIN", f"FROM (SELECT * EXCLUDE (step, cost, target) FROM q{i - 1}) a JOIN")
+        out += f", q{i} AS MATERIALIZED (SELECT b.*, {i} AS step, {_cost_sql(energy, _W)} + {_W.novelty} * {novelty} AS cost, {energy} AS target, list_append(a.used, b.id) AS used FROM q{i - 1} a JOIN {rows} b ON NOT list_contains(a.used, b.id) ORDER BY cost, b.id LIMIT 1)"
     return out
 
 
+def _steps_sql(steps: int) -> str:
+    return " UNION ALL ".join(f"SELECT cast(step AS int) AS step, id, round(cost, 6) AS cost, round(cast(target AS double), 6) AS target_energy FROM q{i}" for i in range(1, steps + 1))
+
+
 _STEPS = 5
 
 
-@query(RANKED + _chain(_STEPS) + " " + " UNION ALL ".join(f"SELECT cast(step AS int) AS step, id, round(cost, 6) AS cost, round(cast(target AS double), 6) AS target_energy FROM q{i}" for i in range(1, _STEPS + 1)))
+@query(RANKED + _chain(_STEPS, novelty="0.5") + " " + _steps_sql(_STEPS))
 def queue_deterministic(spark, sf_dir):
-    return queue.plan_queue(_kept(statistics.rerank(R.tracks(spark, sf_dir))), SEED, _STEPS)
+    """Without a play history nothing is recent and every frequency is a half away from nothing asked."""
+    return queue.plan_queue(_kept(statistics.rerank(R.tracks(spark, sf_dir))).withColumn("frequency", F.lit(1.0)), SEED, _STEPS)
+
 
+_CONTEXT = _WINDOW + f", artists AS (SELECT DISTINCT name FROM ({_recent_sql('artist')})), albums AS (SELECT DISTINCT name FROM ({_recent_sql('album')})), play_counts AS (SELECT track_id, count(*) AS n FROM plays GROUP BY 1), heard AS (SELECT r.*, CASE WHEN artist IN (SELECT name FROM artists) THEN 0.6 ELSE 0 END + CASE WHEN album IN (SELECT name FROM albums) THEN 0.3 ELSE 0 END + CASE WHEN id IN (SELECT track_id FROM recent_plays) THEN 1 ELSE 0 END + abs(coalesce(n / (SELECT max(n) FROM play_counts), 0) - 0.5) AS novelty FROM ranked r LEFT JOIN play_counts ON track_id = id)"
 
-@query()
+
+@query(RANKED + _CONTEXT + _chain(20, "heard", "b.novelty") + " " + _steps_sql(20))
 def queue_of_20(spark, sf_dir):
-    """The headline: a queue of twenty, drawn with a fixed seed, against the play history."""
-    import random
+    """The headline: a queue of twenty against the play history, the cheapest at each step."""
+    t = _kept(statistics.rerank(R.tracks(spark, sf_dir)))
+    return queue.queue_for(t, R.plays(spark, sf_dir), SEED)
 
-    t = _kept(history.context(R.plays(spark, sf_dir), statistics.rerank(R.tracks(spark, sf_dir))))
-    return queue.plan_queue(t, SEED, 20, random=random.Random(7).random)
+
+def _route_sql(goal: str, steps: int) -> str:
+    """A beam of eight routes as one CTE a step."""
+    point = ("energy", "brightness", "danceability", "tempo")
+    out = f", points AS MATERIALIZED (SELECT *, CASE WHEN bpm > 0 THEN least(1, greatest(0, (bpm - 60) / 140)) ELSE 0.5 END AS tempo FROM ranked), ends AS MATERIALIZED (SELECT a, b, CASE WHEN a.bpm > 0 AND b.bpm > 0 THEN greatest(0.08, abs(b.bpm - a.bpm) / {steps + 1} / a.bpm * 1.5) ELSE 0.08 END AS tol FROM points a JOIN points b ON a.id = '{SEED}' AND b.id = '{goal}')"
+    move = lambda a, b: "(0.55 * {} + 0.45 * {} + CASE WHEN {a}.artist = {b}.artist THEN 0.4 ELSE 0 END)".format(*_pair_sql(a, b, f"(CASE WHEN {a}.bpm > 0 AND {b}.bpm > 0 THEN least(1, abs({b}.bpm - {a}.bpm) / {a}.bpm / (SELECT tol FROM ends)) ELSE 0.5 END)"), a=a, b=b)
+    out += ", beam0 AS MATERIALIZED (SELECT [a.id] AS used, 0.0::DOUBLE AS total, a AS last FROM ends)"
+    for i in range(1, steps + 1):
+        away = " + ".join(f"abs(p.{x} - (a.{x} + (b.{x} - a.{x}) * {i} / {steps + 1}))" for x in point)
+        out += f", near{i} AS MATERIALIZED (SELECT p, ({away}) / 4 AS away FROM points p JOIN ends ON p.id <> a.id AND p.id <> b.id ORDER BY away, p.id LIMIT 150)"
+        out += f", tried{i} AS MATERIALIZED (SELECT used, p, total + {move('last', 'p')} + 2.5 * away AS cost FROM beam{i - 1} JOIN near{i} ON NOT list_contains(used, p.id))"
+        out += f", beam{i} AS MATERIALIZED (SELECT list_append(used, p.id) AS used, cost AS total, p AS last FROM (SELECT *, row_number() OVER (PARTITION BY p.id ORDER BY cost, array_to_string(used, ',')) AS r FROM tried{i}) WHERE r = 1 ORDER BY cost, p.id LIMIT 8)"
+    return out + f", best AS (SELECT list_append(used, b.id) AS path FROM beam{steps} JOIN ends ON true ORDER BY total + {move('last', 'b')}, last.id LIMIT 1) SELECT cast(i AS int) AS step, path[i + 1] AS id, round(i / {steps + 1}, 6) AS progress FROM (SELECT path, unnest(range({steps + 2})) AS i FROM best)"
 
 
-@query()
+@query(RANKED + _route_sql("t00000100", queue.STEPS))
 def journey(spark, sf_dir):
-    return queue.plan_route(_kept(statistics.rerank(R.tracks(spark, sf_dir))), SEED, "t00000100", 3)
+    return queue.plan_route(_kept(statistics.rerank(R.tracks(spark, sf_dir))), SEED, "t00000100")
+
 
+_SURE = "({0}.key_strength - 0.4) / 0.3 > 0 AND ({1}.key_strength - 0.4) / 0.3 > 0"
+_RELATION = f"CASE WHEN {_SURE.format('a', 'b')} THEN CASE {distance_sql('a.place', 'b.place')} WHEN 0 THEN 'same' WHEN 0.15 THEN 'relative' WHEN 0.25 THEN 'neighbour' WHEN 0.55 THEN 'two-steps' ELSE 'distant' END ELSE 'unknown' END"
+_LABEL = "CASE relation WHEN 'same' THEN 'same key' WHEN 'relative' THEN 'relative' WHEN 'neighbour' THEN 'one step' WHEN 'two-steps' THEN 'two steps' WHEN 'distant' THEN 'key jump' ELSE 'key unsure' END"
+_SIGNED = "concat(CASE WHEN {0} > 0 THEN '+' ELSE '' END, cast({0} AS varchar))"
+_SHEET = ", sheet AS (" + " UNION ALL ".join(f"SELECT * EXCLUDE (used) FROM q{i}" for i in range(_STEPS + 1)) + f"), moved AS (SELECT b.step, b.id, a.id IS NOT NULL AS moves, a.bpm > 0 AND b.bpm > 0 AS known, CASE WHEN a.bpm > 0 AND b.bpm > 0 THEN cast(floor(b.bpm + 0.5) - floor(a.bpm + 0.5) AS bigint) ELSE 0 END AS delta, {_RELATION} AS relation, {code_sql('a.place')} AS c1, {code_sql('b.place')} AS c2, b.energy - a.energy AS e, cast(floor((b.energy - a.energy) * 100 + 0.5) AS bigint) AS points FROM sheet b LEFT JOIN sheet a ON a.step = b.step - 1)"
 
-@query()
+
+@query(RANKED + _chain(_STEPS, novelty="0.5") + _SHEET + f" SELECT cast(step AS int) AS step, id, CASE WHEN moves THEN delta END AS bpm_delta, CASE WHEN moves THEN relation END AS key_relation, CASE WHEN moves THEN round(e, 6) END AS energy_delta, CASE WHEN moves THEN concat(CASE WHEN known THEN concat({_SIGNED.format('delta')}, ' bpm') ELSE 'tempo unsure' END, ' · ', CASE WHEN relation <> 'unknown' THEN concat(c1, '→', c2, ' ') ELSE '' END, {_LABEL}, ' · energy ', {_SIGNED.format('points')}) END AS summary FROM moved")
 def set_sheet(spark, sf_dir):
-    t = _kept(statistics.rerank(R.tracks(spark, sf_dir)))
-    return queue.set_sheet(t, queue.plan_queue(t, SEED, 5), SEED).select("step", "id", "bpm_delta", "key_relation", "energy_delta", "summary")
+    t = _kept(statistics.rerank(R.tracks(spark, sf_dir))).withColumn("frequency", F.lit(1.0))
+    return queue.set_sheet(t, queue.plan_queue(t, SEED, _STEPS), SEED).select("step", "id", "bpm_delta", "key_relation", "energy_delta", "summary")
 
 
 def _kept(df: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import codes, levels
-from ..operators import history, identity, signals
+from ..operators import history, identity, recordings, signals
 from ..sources import files
 from ..streaming import plays as streams
 from . import relations as R
@@ -39,10 +39,10 @@ def stereo_side(spark, sf_dir):
     return x.join(other, "vec_id").select("vec_id", signals.side_ratio(F.col("x"), F.col("y")).alias("side"))
 
 
-@query(_FRAMES + ", s AS (SELECT vec_id, unnest(range(32)) AS i, x FROM f) SELECT vec_id, round(sum(x[2 * i + 1]), 6) AS total FROM s GROUP BY 1")
+@query(_FRAMES + ", s AS (SELECT vec_id, unnest(range(48)) AS i, x FROM f), r AS (SELECT *, i / 0.75 AS pos, cast(floor(i / 0.75 + 1e-9) AS int) AS lo FROM s) SELECT vec_id, cast(i AS int) AS i, round(x[lo + 1] + (x[least(63, lo + 1) + 1] - x[lo + 1]) * (pos - lo), 6) AS v FROM r")
 def resampled(spark, sf_dir):
-    x = _table(spark, sf_dir, "embeddings").select("vec_id", signals.resample(signals.doubles(F.col("embedding")), 16_000, 8_000).alias("x"))
-    return x.select("vec_id", F.aggregate("x", F.lit(0.0), lambda a, v: a + v).alias("total"))
+    x = _table(spark, sf_dir, "embeddings").select("vec_id", signals.resample(signals.doubles(F.col("embedding")), 16_000, 12_000).alias("x"))
+    return x.select("vec_id", F.posexplode("x").alias("i", "v"))
 
 
 _FOLDED = _FRAMES + ", folded AS (SELECT label, (i - 1) % 12 AS pc, sum(x[i] * x[i]) AS e FROM (SELECT label, x, unnest(range(1, 65)) AS i FROM f) GROUP BY 1, 2)"
@@ -74,12 +74,28 @@ def onset_smooth(spark, sf_dir):
     return rows.select("event_type", F.posexplode(F.arrays_zip(F.transform("e", lambda s: s["h"]).alias("h"), signals.moving_average(values, 3).alias("smooth"))).alias("i", "s")).select("event_type", "s.h", "s.smooth")
 
 
+#: A thousand embeddings in a row are a recording at 8 kHz, each a chunk of 64 samples.
+_PER, _HZ = 1_000, 8_000
+_PCM = f", s AS MATERIALIZED (SELECT vec_id // {_PER} AS id, vec_id % {_PER} * 64 + i - 1 AS p, x[i] AS v FROM (SELECT vec_id, x, unnest(range(1, 65)) AS i FROM f)), m AS (SELECT id, max(p) + 1 AS n, sqrt(avg(v * v)) AS rms, max(abs(v)) AS peak FROM s GROUP BY 1), z AS (SELECT id, sum(CASE WHEN (v >= 0) <> (before >= 0) THEN 1 ELSE 0 END) / (count(*) - 1) AS zcr FROM (SELECT *, lag(v) OVER (PARTITION BY id ORDER BY p) AS before FROM s) GROUP BY 1)"
+_ENDS = f", e AS (SELECT id, sqrt(avg(v * v) FILTER (p < least(n, {_HZ // 4}))) AS head, sqrt(avg(v * v) FILTER (p >= n - least(n, {_HZ // 4}))) AS tail FROM s JOIN m USING (id) GROUP BY 1)"
+_EDGES = f", lv AS (SELECT id, p // {_HZ // 20} AS f, sqrt(sum(v * v) / {_HZ // 20}) AS level FROM s JOIN m USING (id) WHERE p // {_HZ // 20} < n // {_HZ // 20} GROUP BY 1, 2), l AS (SELECT id, f, CASE WHEN level > avg(level) OVER (PARTITION BY id) * 0.01 THEN 1 ELSE 0 END AS loud FROM lv), o AS (SELECT id, f, loud = 1 AND sum(loud) OVER a * 2 >= count(*) OVER a AS opens, loud = 1 AND sum(loud) OVER b * 2 >= count(*) OVER b AS closes FROM l WINDOW a AS (PARTITION BY id ORDER BY f ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING), b AS (PARTITION BY id ORDER BY f ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)), g AS (SELECT id, min(f) FILTER (opens) AS a, max(f) FILTER (closes) AS b FROM o GROUP BY 1)"
+
+
+def _chunks(spark, sf_dir) -> DataFrame:
+    e = _table(spark, sf_dir, "embeddings")
+    return e.select(F.floor(F.col("vec_id") / _PER).cast("string").alias("id"), F.lit(float(_HZ)).alias("rate"), (F.col("vec_id") % _PER * 64).alias("pos"), signals.doubles(F.col("embedding")).alias("samples"))
+
+
+@query(_FRAMES + _PCM + _ENDS + _EDGES + f" SELECT cast(m.id AS varchar) AS id, CASE WHEN n < {3 * _HZ} THEN 'too_short' ELSE 'ok' END AS status, round(n / {_HZ}, 6) AS duration_sec, " + ", ".join(f"CASE WHEN n >= {3 * _HZ} THEN round({x}, 6) END AS {c}" for c, x in (("rms", "rms"), ("loudness_db", "20 * log10(rms)"), ("crest", "peak / rms"), ("zcr", "zcr"), ("head_ratio", "head / rms"), ("tail_ratio", "tail / rms"), ("sound_start_sec", f"a * {_HZ // 20} / {_HZ}"), ("sound_end_sec", f"(b + 1) * {_HZ // 20} / {_HZ}"))) + f", CASE WHEN n >= {3 * _HZ} THEN 0.0::DOUBLE END AS clipped_ratio FROM m JOIN z USING (id) JOIN e USING (id) LEFT JOIN g USING (id)")
+def recording_levels(spark, sf_dir):
+    return recordings.measured_levels(_chunks(spark, sf_dir))
+
+
 @query()
 def extracted_features(spark, sf_dir):
-    """Every feature of the recordings whose frames are the embeddings of a label."""
-    rows = _table(spark, sf_dir, "embeddings").groupBy("label").agg(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))).alias("f"))  # one recording's samples
-    pcm = rows.select(F.col("label").cast("string").alias("id"), F.lit(16_000).alias("rate"), signals.doubles(F.flatten(F.transform("f", lambda s: s["embedding"]))).alias("samples"))
-    return signals.extract(pcm).select("id", "duration_sec", "rms", "crest", "zcr", "centroid_hz", "rolloff_hz", "low_band", "flux", "bpm", "bpm_confidence", "cutoff_hz", F.col("key.root").alias("root"), F.col("key.scale").alias("scale"))
+    """Every descriptor of the recordings."""
+    got = recordings.extract(_chunks(spark, sf_dir))
+    return got.select("id", "status", "duration_sec", "rms", "crest", "zcr", "centroid_hz", "rolloff_hz", "low_band", "flux", "bpm", "bpm_confidence", "onset_density", "danceability", "cutoff_hz", F.col("key.root").alias("root"), F.col("key.scale").alias("scale"), "fingerprint")
 
 
 # --- fingerprints: each document is a recording, 20 characters to a second ---
@@ -119,22 +135,41 @@ def fingerprints(spark, sf_dir) -> DataFrame:
     )
 
 
-@query()
+_CLASSES = ["[" + "".join(c + c.upper() for c in "abcdefghijklmnopqrstuvwxyz" if ord(c) % 12 == b) + "]" for b in range(12)]
+_COUNTS = ", ".join(f"len(frame) - len(regexp_replace(frame, '{c}', '', 'g'))" for c in _CLASSES)
+#: Recordings with their cells, classes of one length and print, centred windows of 20 frames less a lag, and the distances of classes.
+_PRINTS = (
+    ", docs AS (SELECT doc_id, concat('d', lpad(cast(doc_id AS varchar), 10, '0')) AS id, text, length(text) AS n, length(text) / 20 AS sec, source, lang FROM documents)"
+    f", cells AS (SELECT id, list(v ORDER BY f) AS print FROM (SELECT id, f, list_transform(c, lambda x: floor(x / greatest(list_max(c), 1) * 255 + 0.5)) AS v FROM (SELECT id, f, [{_COUNTS}] AS c FROM (SELECT id, f, substring(text, f * n // 60 + 1, (f + 1) * n // 60 - f * n // 60) AS frame FROM (SELECT *, unnest(range(60)) AS f FROM docs WHERE n >= 720)))) GROUP BY 1)"
+    ", held AS MATERIALIZED (SELECT docs.* EXCLUDE (text), print, first_value(id) OVER (PARTITION BY sec, print ORDER BY id) AS kind FROM docs JOIN cells USING (id))"
+    ", flat AS (SELECT id, f // 20 AS seg, f % 20 AS f, b, print[f + 1][b + 1] AS v FROM (SELECT id, print, f, unnest(range(12)) AS b FROM (SELECT id, print, unnest(range(60)) AS f FROM held WHERE id = kind)))"
+    ", windows AS (SELECT unnest([0, 0, 0, 0, 1, 2, 3]) AS st, unnest([0, 1, 2, 3, 1, 2, 3]) AS cut)"
+    ", centred AS MATERIALIZED (SELECT id, seg, st, cut, list((v - m) / sqrt(s) ORDER BY f, b) AS x FROM (SELECT *, sum((v - m) * (v - m)) OVER (PARTITION BY id, seg, st, cut) AS s FROM (SELECT *, avg(v) OVER (PARTITION BY id, seg, st, cut, b) AS m FROM flat JOIN windows ON f >= st AND f < st + 20 - cut)) WHERE s > 0 GROUP BY 1, 2, 3, 4)"
+    ", near AS (SELECT a.id AS a, b.id AS b FROM held a JOIN held b ON a.id = a.kind AND b.id = b.kind AND abs(a.sec - b.sec) <= 1.5 AND a.id <= b.id)"
+    ", probes AS MATERIALIZED (SELECT a, b, seg, x, concat(b, '/', seg, '/', cut, '/', CASE WHEN st = 0 THEN cut ELSE 0 END) AS other FROM near JOIN centred ON id = a)"
+    ", fits AS (SELECT a, b, p.seg, max(list_inner_product(p.x, y.x)) AS r FROM probes p JOIN (SELECT concat(id, '/', seg, '/', cut, '/', st) AS own, x FROM centred) y ON own = other GROUP BY 1, 2, 3)"
+    ", alike AS MATERIALIZED (SELECT a, b, 1 - avg(greatest(-1, least(1, r))) AS d FROM fits WHERE r IS NOT NULL GROUP BY 1, 2 HAVING 1 - avg(greatest(-1, least(1, r))) <= 0.12)"
+    ", pairs AS (SELECT a AS a_id, b AS b_id, d FROM alike WHERE a < b UNION ALL SELECT kind, id, d FROM held JOIN alike ON a = kind AND b = kind WHERE id <> kind)"
+)
+_GROUPS = _PRINTS + ", edges AS (SELECT a_id AS x, b_id AS y FROM pairs UNION SELECT b_id, a_id FROM pairs), reach(x, y) AS (SELECT x, y FROM edges UNION SELECT r.x, e.y FROM reach r JOIN edges e ON e.x = r.y), groups AS (SELECT x AS id, least(x, min(y)) AS group_id FROM reach GROUP BY x), least_d AS (SELECT group_id, min(d) AS d FROM pairs JOIN groups ON id = a_id GROUP BY 1)"
+
+
+@query(_PRINTS + " SELECT a_id, b_id, round(d, 6) + 0.0 AS distance FROM pairs")
 def duplicate_pairs(spark, sf_dir):
     return identity.duplicate_pairs(files.checkpointed(fingerprints(spark, sf_dir)))
 
 
-@query()
+@query(_GROUPS + " SELECT id, group_id, round(d, 6) + 0.0 AS distance FROM groups JOIN least_d USING (group_id)")
 def duplicate_groups(spark, sf_dir):
     return identity.duplicate_groups(files.checkpointed(fingerprints(spark, sf_dir)))
 
 
-@query()
+@query(_GROUPS + ", louder AS (SELECT DISTINCT g.group_id FROM alike JOIN held p ON p.kind = a JOIN held q ON q.kind = b JOIN groups g ON g.id = p.id WHERE p.id <> q.id AND abs(p.doc_id % 9 - q.doc_id % 9) > 2.5) SELECT group_id, count(*) AS n, CASE WHEN group_id IN (SELECT group_id FROM louder) THEN 'different-master' ELSE 'same-master' END AS verdict FROM groups GROUP BY 1")
 def duplicate_verdicts(spark, sf_dir):
     return identity.duplicate_verdicts(files.checkpointed(fingerprints(spark, sf_dir)))
 
 
-@query()
+@query(_PRINTS + ", ways AS (SELECT a, b, d FROM alike UNION SELECT b, a, d FROM alike), lent AS (SELECT o.id, arg_min(struct_pack(id := p.id, d := d, source := p.source, n := p.n), (round(d, 9), p.sec, p.id)) AS b FROM held o JOIN ways ON ways.a = o.kind JOIN held p ON p.kind = ways.b AND p.doc_id % 5 <> 0 WHERE o.doc_id % 5 = 0 GROUP BY 1) SELECT docs.id, CASE WHEN b IS NULL THEN 'path' ELSE 'sound' END AS source, CASE WHEN b IS NULL THEN 'music' ELSE b.source END AS artist, CASE WHEN b IS NULL THEN lang ELSE concat('title ', b.n) END AS title, NULL::VARCHAR AS album, NULL::INT AS track_no, b.id AS from_id, round(b.d, 6) + 0.0 AS distance FROM docs LEFT JOIN lent USING (id) WHERE doc_id % 5 = 0")
 def orphan_proposals(spark, sf_dir):
     return identity.propose_names(files.checkpointed(fingerprints(spark, sf_dir)))
 
@@ -151,10 +186,27 @@ def m3u_roundtrip(spark, sf_dir):
 
 @query("SELECT 1 + (SELECT count(*) FROM tracks) + (SELECT count(*) FROM plays) AS n, (SELECT count(*) FROM tracks) AS tracks, (SELECT count(*) FROM plays) AS plays")
 def export_counts(spark, sf_dir):
+    """Of an export."""
     rows = files.export_rows(R.tracks(spark, sf_dir), R.plays(spark, sf_dir))
     return rows.agg(F.count("*").alias("n"), F.count_if(F.col("kind") == "track").alias("tracks"), F.count_if(F.col("kind") == "play").alias("plays"))
 
 
+@query("SELECT id, rel_path, artist, title, track_no, round(bpm, 6) AS bpm, analysed, version, status FROM tracks")
+def export_roundtrip(spark, sf_dir):
+    """What comes back of an export of every recording."""
+    t = R.tracks(spark, sf_dir)
+    kept = ["id", "rel_path", "artist", "title", "track_no", "bpm", "analysed", "version", "status"]
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in t.select(*kept).schema)
+    return files.import_rows(files.export_rows(t, R.plays(spark, sf_dir)), schema)[0]
+
+
+@query("SELECT p.track_id, p.played_at, p.event_id FROM (SELECT *, lag(track_id) OVER (PARTITION BY user_id ORDER BY played_at, event_id) AS before FROM (SELECT p.*, e.user_id FROM plays p JOIN events e USING (event_id))) p WHERE before IS NULL OR before <> track_id")
+def changes_of_track(spark, sf_dir):
+    """Plays recorded when a listener's player moves to another recording."""
+    by = R.plays(spark, sf_dir).join(_table(spark, sf_dir, "events").select("event_id", "user_id"), "event_id")
+    return history.without_repeats(by, "user_id").select("track_id", "played_at", "event_id")
+
+
 # --- streams ---
 
 

@@ -22,7 +22,7 @@ def bag(columns, rows):
 
 def duck(sql: str, sf_dir: str):
     con = duckdb.connect()
-    con.execute("SET TimeZone = 'UTC'")
+    con.execute("SET TimeZone = 'UTC'; SET memory_limit = '8GB'; SET max_temp_directory_size = '1GB'")
     for p in Path(sf_dir).glob("*.parquet"):
         con.execute(f"CREATE VIEW {p.stem} AS SELECT * FROM read_parquet('{p}{'/*' if p.is_dir() else ''}')")
     got = con.execute(sql)

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from soundlake.functions import codes, keys, names, scores
-from soundlake.operators import identity, merge, shape, signals, statistics, wants
+from soundlake.operators import identity, merge, recordings, shape, signals, statistics, wants
 from soundlake.plans import queue
 from soundlake.sources import files
 from soundlake.streaming import plays as streams
@@ -163,11 +163,38 @@ def test_extraction(spark):
     t = np.arange(rate * 4) / rate
     chord = sum(np.sin(2 * np.pi * 440 * 2 ** ((m - 69) / 12) * t) for m in (60, 64, 67, 72)) / 4
     quiet = np.concatenate([np.zeros(rate), chord, np.zeros(rate)])
-    rows = [("chord", rate, quiet.tolist()), ("none", None, None), ("short", rate, [0.5])]
-    got = {r.id: r for r in signals.extract(spark.createDataFrame(rows, "id string, rate int, samples array<double>")).collect()}
+    rows = [("chord", rate, quiet.tolist()), ("none", None, None), ("empty", rate, []), ("short", rate, [0.5] * 100), ("rate", 0, [0.5] * 100_000)]
+    chunks = recordings.chunked(spark.createDataFrame(rows, "id string, rate int, samples array<double>"), 7_001)
+    got = {r.id: r for r in recordings.extract(chunks).collect()}
     c = got["chord"]
+    assert {r.id: r.status for r in got.values()} == {"chord": "ok", "none": "bad_input", "empty": "bad_input", "short": "too_short", "rate": "bad_input"}
     assert (c.key.root, c.key.scale) == (0, "major") and abs(c.sound_start_sec - 1) < 0.06 and abs(c.sound_end_sec - 5) < 0.06 and c.cutoff_hz <= 1_000
-    assert got["none"].rms == 0 and got["none"].sound_start_sec is None and got["short"].duration_sec > 0
+    level = np.sqrt((quiet**2).mean())
+    assert abs(c.rms - level) < 1e-9 and abs(c.crest - np.abs(quiet).max() / level) < 1e-9 and abs(c.loudness_db - 20 * np.log10(level)) < 1e-9
+    assert c.head_ratio == c.tail_ratio == c.clipped_ratio == 0 and c.side_ratio is None and c.intro_beat_sec is None
+    assert all(got[i].rms is None and got[i].key is None for i in ("none", "short", "rate"))
+
+
+def test_extraction_by_windows(spark):
+    """A recording above 35 seconds is measured in three windows, its tempo in 30 seconds, its ends as they are."""
+    rate = 4_000
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=rate * 60) * 0.05
+    at = [(min(round(p * len(x)), len(x) - 10 * rate), 10 * rate) for p in (0.15, 0.5, 0.8)]
+    for i, (o, n) in enumerate(at):
+        x[o : o + n] = np.sin(np.arange(n) * (i + 1) * 0.1) * (i + 1) / 10
+    x[-rate // 4 :] = 0.9
+    x[1_000:1_004], x[2_000:2_002] = 1.0, 1.0
+    left = recordings.chunked(spark.createDataFrame([("a", rate, x.tolist())], "id string, rate int, samples array<double>"), 1_002)  # cuts the run of four
+    right = recordings.chunked(spark.createDataFrame([("a", rate, (x * 0.5).tolist())], "id string, rate int, samples array<double>"), 1_002)
+    r = recordings.extract(left, recordings.side_ratios(left, right)).first()
+    levels = [np.sqrt((x[o : o + n] ** 2).mean()) for o, n in at]
+    joined = np.concatenate([x[o : o + n] for o, n in at])
+    assert abs(r.rms - np.mean(levels)) < 1e-9 and abs(r.crest - np.abs(joined).max() / np.sqrt((joined**2).mean())) < 1e-9
+    assert abs(r.tail_ratio - np.sqrt((x[-rate // 4 :] ** 2).mean()) / np.mean(levels)) < 1e-9 and abs(r.clipped_ratio - 4 / len(x)) < 1e-12
+    assert abs(r.side_ratio - 1 / 3) < 1e-9 and r.fingerprint is None and r.duration_sec == 60
+    zcr = [((x[o + 1 : o + n] >= 0) != (x[o : o + n - 1] >= 0)).mean() for o, n in at]
+    assert abs(r.zcr - np.mean(zcr)) < 1e-12
 
 
 def test_beats_and_prints(spark):
@@ -180,12 +207,14 @@ def test_beats_and_prints(spark):
     strength, own, peakiness = signals.envelope(x, rate)
     phase, strong = signals.beat_grid(strength, own, bpm, signals.LEAD_FRAMES * signals.ONSET_FRAME / rate)
     assert abs(phase - 0.25) < 0.03 and strong > 0.4
-    first, last = signals.beat_edges(x, rate, bpm, 0.9)
-    assert abs(first - 0.25) < 0.03 and abs((last - 0.25) % 0.5 - 0.25) > 0.2
     assert abs(signals.onset_density(strength, own) - 2) < 0.3
-    assert signals.beat_grid(strength, own, 30) is None and signals.beat_edges(x, rate, bpm, 0.1) == (None, None)
+    assert signals.beat_grid(strength, own, 30) is None
     long = rng.normal(size=16_000 * 40)
-    assert len(signals.fingerprint(long, 16_000)) == 960 and signals.fingerprint(long[:16_000], 16_000) is None
+    rows = [("clicks", rate, x.tolist()), ("noise", 16_000, long.tolist()), ("brief", 16_000, long[:100_000].tolist()), ("thirds", 16_000, long[: 16_000 * 20].tolist())]
+    got = {r.id: r for r in recordings.extract(recordings.chunked(spark.createDataFrame(rows, "id string, rate int, samples array<double>"))).collect()}
+    first, last = got["clicks"].intro_beat_sec, got["clicks"].outro_beat_sec
+    assert abs(got["clicks"].bpm - 120) < 1.2 and abs(first - 0.25) < 0.03 and last > 20 and abs((last - 0.25) % 0.5 - 0.25) > 0.2
+    assert len(got["noise"].fingerprint) == len(got["thirds"].fingerprint) == 960 and got["brief"].fingerprint is None
     plans = spark.createDataFrame([(16_000 * 100,), (16_000 * 20,), (16_000,)], "n long").select("n", signals.plan_windows(F.col("n"), F.lit(16_000)).alias("p")).collect()
     got = {r.n: r.p and ([tuple(w) for w in r.p.descriptor], tuple(r.p.tempo)) for r in plans}
     assert got == {1_600_000: ([(240_000, 160_000), (800_000, 160_000), (1_280_000, 160_000)], (400_000, 480_000)), 320_000: ([(0, 320_000)], (0, 320_000)), 16_000: None}
