@@ -45,3 +45,13 @@ edge AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
 reach(a, b) AS (SELECT a, b FROM edge UNION SELECT r.a, e.b FROM reach r JOIN edge e ON e.a = r.b),
 least_ AS (SELECT a, min(b) AS m FROM reach GROUP BY 1)
 SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, least(w.doc_id, coalesce(m, w.doc_id)) AS component_id, w.doc_id <= coalesce(m, w.doc_id) AS kept FROM w LEFT JOIN n USING (doc_id) LEFT JOIN least_ ON least_.a = w.doc_id"""
+
+_SAYS = r"\### Assistant: </turn> ok"
+_LONGER = r"(length({0}) + len(regexp_extract_all({0}, '\\|<turn>|<text>|</turn>')))"
+CHAT = rf"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, {_TEXT} AS said FROM conversations UNION ALL SELECT -7, 0, 'user', '{_SAYS}' UNION ALL SELECT -7, 1, 'assistant', '{_SAYS}')
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(concat(role, chr(10), said, chr(10)), '' ORDER BY turn, role, said)) AS turns_sha256,
+  cast(sum(CASE WHEN role = 'assistant' THEN length(said) ELSE 0 END) AS bigint) AS loss_chars,
+  sha256(coalesce(string_agg(said, '' ORDER BY turn, role, said) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  cast(sum({_LONGER.format('role')} + {_LONGER.format('said')} + 19) AS bigint) AS formatted_chars
+FROM t GROUP BY 1"""

@@ -62,4 +62,4 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_suffix_dedup, op3_decontaminate, op4_pack, op5_substring_dedup, op6_media, op7_chat, op8_line_dedup, op9_quality, op10_near_dedup)}
-ORACLE_SQL: dict[str, str] = {"op3_decontaminate": oracles.LEAKS, "op5_substring_dedup": oracles.SUBSTRINGS, "op8_line_dedup": oracles.LINES, "op10_near_dedup": oracles.NEAR}
+ORACLE_SQL: dict[str, str] = {"op3_decontaminate": oracles.LEAKS, "op5_substring_dedup": oracles.SUBSTRINGS, "op7_chat": oracles.CHAT, "op8_line_dedup": oracles.LINES, "op10_near_dedup": oracles.NEAR}
