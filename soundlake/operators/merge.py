@@ -29,6 +29,40 @@ def with_failures(tracks: DataFrame, failures: DataFrame) -> DataFrame:
     return rows.withColumns(values).select(*tracks.columns)
 
 
+#: Columns of a stored row and the descriptors that they take.
+MEASURED = {"bpm": "bpm", "bpm_confidence": "bpm_confidence", "key_root": "key.root", "key_scale": "key.scale", "key_strength": "key.strength", "key_margin": "key.margin", "loudness": "rms", "brightness_hz": "centroid_hz", "crest": "crest", "dance_raw": "danceability"} | {c: c for c in ("tail_ratio", "head_ratio", "clipped_ratio", "side_ratio", "sound_start_sec", "sound_end_sec", "intro_beat_sec", "outro_beat_sec", "fingerprint")}
+
+
+def pending(tracks: DataFrame, limit: int) -> DataFrame:
+    """The next recordings to analyse, in order of id."""
+    return tracks.where("status = 'pending'").orderBy("id").limit(limit)
+
+
+def with_results(tracks: DataFrame, measured: DataFrame) -> DataFrame:
+    """tracks after an analysis gave measured rows (id, status, duration_sec and descriptors as recordings.extract names them).
+
+    A status of ok makes a row done, of the current version; of any other, unsupported with that status as its error and one attempt more, and its former descriptors stay. Ranks are to be made anew then (statistics.rerank).
+    """
+    got = measured.withColumn("came", F.lit(True)).alias("m")
+    rows = tracks.alias("t").join(got, F.col("t.id") == F.col("m.id"), "left")
+    came, ok = F.col("came").isNotNull(), F.coalesce(F.col("m.status") == "ok", F.lit(False))
+    fixed = {"status": F.when(ok, "done").otherwise("unsupported"), "analysed": ok | F.coalesce(F.col("t.analysed"), F.lit(False)), "version": F.when(ok, CURRENT_VERSION).otherwise(F.col("t.version")), "duration_sec": F.coalesce("m.duration_sec", "t.duration_sec")}
+    if "error" in tracks.columns:
+        fixed["error"] = F.when(~ok, F.col("m.status"))
+    if "attempts" in tracks.columns:
+        fixed["attempts"] = F.coalesce(F.col("t.attempts"), F.lit(0)) + F.when(ok, 0).otherwise(1)
+
+    def value(c: str) -> Column:
+        old = F.col(f"t.{c}")
+        if c in fixed:
+            return F.when(came, fixed[c]).otherwise(old).alias(c)
+        if c in MEASURED and MEASURED[c].split(".")[0] in measured.columns:
+            return F.when(ok, F.col(f"m.{MEASURED[c]}")).otherwise(old).alias(c)
+        return old
+
+    return rows.select(*map(value, tracks.columns))
+
+
 def retryable(code: Column, attempts: Column) -> Column:
     return (code == "algorithm") & (attempts < MAX_ATTEMPTS)
 

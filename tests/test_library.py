@@ -3,6 +3,7 @@
 import base64
 import itertools
 import random
+import struct
 
 import numpy as np
 import pytest
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from soundlake.functions import codes, keys, names, scores
 from soundlake.operators import identity, merge, recordings, shape, signals, statistics, wants
 from soundlake.plans import queue
-from soundlake.sources import files
+from soundlake.sources import audio, files
 from soundlake.streaming import plays as streams
 
 
@@ -197,6 +198,42 @@ def test_extraction_by_windows(spark):
     assert abs(r.zcr - np.mean(zcr)) < 1e-12
 
 
+def test_wav_files(spark, tmp_path):
+    rng = np.random.default_rng(7)
+    x = rng.uniform(-1, 1, (5_000, 2))
+    (tmp_path / "in").mkdir()
+    for bits, kind in ((8, "u1"), (16, "<i2"), (24, None), (32, "<i4")):
+        top = 1 << (bits - 1)
+        whole = np.round(x * (top - 1)).astype(np.int64)
+        body = (whole + 128).astype("u1").tobytes() if bits == 8 else b"".join(int(v).to_bytes(3, "little", signed=True) for v in whole.ravel()) if bits == 24 else whole.astype(kind).tobytes()
+        head = struct.pack("<HHIIHH", 1, 2, 16_000, 16_000 * 2 * bits // 8, 2 * bits // 8, bits)
+        (tmp_path / "in" / f"{bits}.wav").write_bytes(b"RIFF" + struct.pack("<I", 36 + len(body)) + b"WAVE" + b"fmt " + struct.pack("<I", 16) + head + b"LIST\x03\0\0\0abc\0" + b"data" + struct.pack("<I", len(body)) + body)
+    (tmp_path / "bad.WAV").write_bytes(b"RIFFxxxxWAVE")
+    got = audio.read_wav(spark, str(tmp_path), 1_000).cache()
+    assert [r.path.endswith("bad.WAV") for r in got.where("error IS NOT NULL").collect()] == [True]
+    for bits in (8, 16, 24, 32):
+        mine = got.where(F.col("path").endswith(f"/{bits}.wav"))
+        rows = mine.where("channel = 1").orderBy("pos").collect()
+        assert [r.pos for r in rows] == [0, 1_000, 2_000, 3_000, 4_000] and rows[0].rate == 16_000
+        assert np.abs(np.concatenate([r.samples for r in rows]) - x[:, 1]).max() < 2.1 / (1 << (bits - 1))
+        mean = np.concatenate([r.samples for r in audio.downmixed(mine).orderBy("pos").collect()])
+        assert np.abs(mean - x.mean(axis=1)).max() < 2.1 / (1 << (bits - 1))
+
+
+def test_analysis_loop(spark):
+    """Pending files are measured, saved and ranked."""
+    rate = 8_000
+    t = spark.createDataFrame([("a", "pending", False, 0, None, None, None, None, None, None, None), ("b", "pending", False, 0, None, None, None, None, None, None, None), ("c", "done", True, 6, 3.0, 100.0, 0.1, 900.0, 4.0, 0.5, None)], "id string, status string, analysed boolean, version int, duration_sec double, bpm double, loudness double, brightness_hz double, crest double, dance_raw double, error string")
+    x = np.sin(np.arange(rate * 5) * 0.3) * 0.25
+    sounds = spark.createDataFrame([("a", rate, x.tolist()), ("b", rate, [0.1] * 10)], "id string, rate int, samples array<double>")
+    todo = merge.pending(t, 10)
+    measured = recordings.extract(recordings.chunked(sounds.join(todo.select("id"), "id", "left_semi")))
+    got = {r.id: r for r in merge.with_results(t, measured).collect()}
+    assert got["a"].status == "done" and got["a"].version == 6 and got["a"].analysed and abs(got["a"].loudness - np.sqrt((x * x).mean())) < 1e-9 and got["a"].duration_sec == 5
+    assert got["b"].status == "unsupported" and got["b"].error == "too_short" and not got["b"].analysed and got["c"].bpm == 100
+    assert {r.provisional for r in statistics.rerank(merge.with_results(t, measured)).where("analysed").collect()} == {True}
+
+
 def test_beats_and_prints(spark):
     rate, bpm = 8_000, 120
     x = np.zeros(rate * 40)
@@ -225,6 +262,10 @@ def test_clipped(spark):
     assert spark.createDataFrame([(x,)], "x array<double>").select(signals.clipped(F.col("x")).alias("c")).first().c == 4 / 9
 
 
+def plays_of(spark):
+    return spark.createDataFrame([(1, "t003", 1_700_000_000)], "event_id long, track_id string, s long").select("event_id", "track_id", F.timestamp_seconds("s").alias("played_at"))
+
+
 def test_queue_draws_and_routes(spark):
     rng = random.Random(5)
     rows = [(f"t{i:03}", f"a{i % 7}", "done", True, 70.0 + rng.randrange(100), 0.9, rng.randrange(12), rng.choice(("major", "minor")), 0.8, rng.random(), rng.random(), rng.random()) for i in range(80)]
@@ -235,6 +276,17 @@ def test_queue_draws_and_routes(spark):
     path = [r.id for r in queue.plan_route(t, "t000", "t079", 4).orderBy("step").collect()]
     assert len(set(path)) == 6 and (path[0], path[-1]) == ("t000", "t079")
     assert queue.plan_route(t, "t000", "t000", 4).count() == queue.plan_route(t, "t000", "no", 4).count() == queue.plan_queue(t, "no").count() == 0
+    ranked = [tuple(r) for r in queue.plan_queue(t, "t000", 8).collect()]
+    for pool in (1, 2, 5):  # small pools: rows left out are looked up, with the same queue
+        assert [tuple(r)[:2] for r in queue.plan_queue(t, "t000", 8, pool=pool).collect()] == [r[:2] for r in ranked]
+    assert queue.queue_for(t.limit(20), plays_of(spark), "t000").count() == 0
+    some = t.where("id < 't040'").select("id")
+    heard = queue.queue_for(t.withColumn("album", F.lit("x")), plays_of(spark), "t000", reachable=some, length=6)
+    assert all(r.id < "t040" for r in heard.collect())
+    given, left = queue.hand_over(queue.plan_queue(t, "t000", 5), remaining=1)
+    assert [r.step for r in given.collect()] == [1] and left.count() == 4
+    assert [r.step for r in queue.without_played(left, left.orderBy("step").collect()[1].id).collect()] == [4, 5] and queue.without_played(left, "none").count() == 4
+    assert queue.first_seed(t, "t005") == "t005" and queue.first_seed(t, "none") == "t000" and queue.first_seed(t) == "t000"
     w = scores.Weights().bent(0.9)
     assert abs(w.bpm + w.key + w.energy + w.timbre + w.novelty - 1) < 1e-9
 
