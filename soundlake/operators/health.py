@@ -68,6 +68,16 @@ def cutoff_report(readings: DataFrame) -> DataFrame:
     return readings.select("id", "cutoff_hz", kbps.alias("kbps"), levels.cutoff_verdict(F.col("cutoff_hz"), kbps).alias("verdict"), levels.cutoff_words(F.col("cutoff_hz")).alias("cutoff"))
 
 
+def cutoff_groups(readings: DataFrame) -> DataFrame:
+    """cutoff_report in groups by verdict, those with the lowest cutoff first; files without a verdict are left out."""
+    return cutoff_report(readings).where("verdict IS NOT NULL").orderBy("verdict", "cutoff_hz", "id")
+
+
+def cutoff_counts(readings: DataFrame) -> DataFrame:
+    """(verdict, files, lowest_hz, highest_hz)."""
+    return cutoff_report(readings).where("verdict IS NOT NULL").groupBy("verdict").agg(F.count("*").alias("files"), F.min("cutoff_hz").alias("lowest_hz"), F.max("cutoff_hz").alias("highest_hz"))
+
+
 def trims(tracks: DataFrame, reference: DataFrame) -> DataFrame:
     """(id, level_db, trim_db) against a reference level of one row."""
     level = levels.to_db(F.col("loudness"))

@@ -33,6 +33,19 @@ def with_failures(tracks: DataFrame, failures: DataFrame) -> DataFrame:
 MEASURED = {"bpm": "bpm", "bpm_confidence": "bpm_confidence", "key_root": "key.root", "key_scale": "key.scale", "key_strength": "key.strength", "key_margin": "key.margin", "loudness": "rms", "brightness_hz": "centroid_hz", "crest": "crest", "dance_raw": "danceability"} | {c: c for c in ("tail_ratio", "head_ratio", "clipped_ratio", "side_ratio", "sound_start_sec", "sound_end_sec", "intro_beat_sec", "outro_beat_sec", "fingerprint")}
 
 
+def with_status(tracks: DataFrame, changes: DataFrame) -> DataFrame:
+    """tracks (id, status, error) after changes of status (id, status, message), one a recording; the message takes the place of the error, a null one too."""
+    c = changes.select("id", F.col("status").alias("new_status"), F.col("message").alias("new_error"), F.lit(True).alias("hit"))
+    rows = tracks.join(c, "id", "left")
+    hit = F.coalesce("hit", F.lit(False))
+    return rows.withColumns({"error": F.when(hit, F.col("new_error")).otherwise(F.col("error")), "status": F.coalesce("new_status", "status")}).select(*tracks.columns)
+
+
+def waiting(tracks: DataFrame, unreachable: DataFrame, limit: int) -> DataFrame:
+    """The next recordings to analyse, without those (id) whose files can't be reached."""
+    return pending(tracks.join(unreachable.select("id"), "id", "left_anti"), limit)
+
+
 def pending(tracks: DataFrame, limit: int) -> DataFrame:
     """The next recordings to analyse, in order of id."""
     return tracks.where("status = 'pending'").orderBy("id").limit(limit)

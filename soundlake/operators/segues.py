@@ -19,7 +19,9 @@ def neighbours(a: dict[str, Column], b: dict[str, Column]) -> Column:
 
 
 def find_segues(tracks: DataFrame) -> DataFrame:
-    """(from_id, to_id) of files that follow each other in a folder and run on."""
+    """(from_id, to_id) of files that follow each other in a folder and run on; the folder is that of rel_path where no column tells it."""
+    if "folder" not in tracks.columns:
+        tracks = tracks.withColumn("folder", F.when(F.contains("rel_path", F.lit("/")), F.regexp_replace("rel_path", "/[^/]*$", "")).otherwise(""))
     rows = tracks.where(F.col("analysed") & F.col("tail_ratio").isNotNull() & F.col("head_ratio").isNotNull()).select(
         "id", "folder", "file_name", "track_no", "tail_ratio", "head_ratio", names.fold(F.col("album")).alias("album_key"), names.leading_number(F.col("file_name")).alias("leading"), names.natural(F.col("file_name")).alias("file_key")
     )

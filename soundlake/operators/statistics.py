@@ -37,36 +37,36 @@ def cumulative(hist: DataFrame) -> DataFrame:
 
 def _row(hist: DataFrame) -> DataFrame:
     """One row: for each descriptor its total, and arrays of 100 counts and of counts below."""
-    spine = hist.sparkSession.range(CELLS).select(F.col("id").cast("int").alias("cell"))
-    out = []
-    for d in RANGES:
-        own = spine.join(F.broadcast(hist.where(F.col("descriptor") == d)), "cell", "left").select("cell", F.coalesce("n", F.lit(0)).alias("n"))
-        out.append(own.agg(F.transform(F.array_sort(F.collect_list(F.struct("cell", "n"))), lambda s: s["n"]).alias(f"n_{d}"), F.sum("n").alias(f"total_{d}")))
-    row = out[0]
-    for other in out[1:]:
-        row = row.crossJoin(other)  # rows of one
-    return row
-
-
-def percentile(value: Column, counts: Column, total: Column, lo: float, hi: float) -> Column:
+    each = hist.groupBy("descriptor").agg(F.map_from_entries(F.collect_list(F.struct("cell", "n"))).alias("cells"), F.sum("n").alias("total"))  # at most 100 cells
+    one = each.agg(F.map_from_entries(F.collect_list(F.struct("descriptor", F.struct("cells", "total").alias("h")))).alias("of"))
+
+    def arrays(d: str) -> list[Column]:
+        h = F.try_element_at("of", F.lit(d))
+        counts = F.transform(F.sequence(F.lit(0), F.lit(CELLS - 1)), lambda i: F.coalesce(F.try_element_at(h["cells"], i), F.lit(0).cast("long")))
+        below = F.transform(F.sequence(F.lit(0), F.lit(CELLS - 1)), lambda i: F.aggregate(F.slice(counts, F.lit(1), i), F.lit(0).cast("long"), lambda a, n: a + n))
+        return [counts.alias(f"n_{d}"), below.alias(f"below_{d}"), F.coalesce(h["total"], F.lit(0)).alias(f"total_{d}")]
+
+    return one.select(*(c for d in RANGES for c in arrays(d)))
+
+
+def percentile(value: Column, counts: Column, below: Column, total: Column, lo: float, hi: float) -> Column:
     """Rank of a value, linear inside its cell; half if nothing is known."""
     width = (hi - lo) / CELLS
     b = cell(value, lo, hi)
     inside = clamp((F.greatest(F.lit(lo), F.least(F.lit(hi), value)) - (lo + b * width)) / width)
-    below = F.aggregate(F.slice(counts, 1, b), F.lit(0).cast("long"), lambda a, n: a + n)
     known = value.isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf")) & (total > 0)
-    return F.when(known, clamp((below + F.try_element_at(counts, b + 1) * inside) / total)).otherwise(0.5)
+    return F.when(known, clamp((F.try_element_at(below, b + 1) + F.try_element_at(counts, b + 1) * inside) / total)).otherwise(0.5)
 
 
 def rerank(tracks: DataFrame) -> DataFrame:
     """tracks with energy, brightness, compression and danceability from 0 to 1, and whether they are provisional (fewer than 50 rows, so taken from the ranges)."""
-    both = tracks.crossJoin(F.broadcast(_row(histograms(tracks))))  # one row of 404 numbers
+    both = tracks.crossJoin(F.broadcast(_row(histograms(tracks))))  # one row of 804 numbers
     few = F.col("total_loudness") < LEAST_FOR_RANKS
 
     def rank(d: str) -> Column:
         lo, hi = RANGES[d]
         linear = F.when(F.col(d).isNull() | F.isnan(d), 0.5).otherwise(clamp((F.col(d) - lo) / (hi - lo)))
-        return F.when(F.col("analysed"), F.when(few, linear).otherwise(percentile(F.col(d), F.col(f"n_{d}"), F.col(f"total_{d}"), lo, hi)))
+        return F.when(F.col("analysed"), F.when(few, linear).otherwise(percentile(F.col(d), F.col(f"n_{d}"), F.col(f"below_{d}"), F.col(f"total_{d}"), lo, hi)))
 
     ranks = {"energy": rank("loudness"), "brightness": rank("brightness_hz"), "compression": 1 - rank("crest"), "danceability": rank("dance_raw"), "provisional": F.when(F.col("analysed"), few)}
     return both.select(*tracks.columns, *(c.alias(n) for n, c in ranks.items()))

@@ -270,6 +270,14 @@ def without_played(handed: DataFrame, playing_id: str) -> DataFrame:
     return handed.crossJoin(started).where(F.col("from").isNull() | (F.col("step") > F.col("from"))).drop("from")
 
 
+def near_share(tracks: DataFrame, queue: DataFrame, seed_id: str, within: float = 0.1) -> DataFrame:
+    """One row (moves, near): moves of a queue, the seed's first, and the part of them whose tempos lie within a tenth."""
+    rows = candidates(tracks).join(F.broadcast(queue.select("step", "id").unionByName(tracks.sparkSession.createDataFrame([(0, seed_id)], "step int, id string"))), "id")
+    apart = scores.tempo_distance(F.lag("bpm").over(Window.partitionBy(F.lit(0)).orderBy("step")), F.col("bpm"))  # one queue
+    moves = rows.select("step", apart.alias("d")).where("step > 0")
+    return moves.agg(F.count("*").alias("moves"), F.avg(F.when(F.col("d") < within, 1.0).otherwise(0.0)).alias("near"))
+
+
 def plan_route(tracks: DataFrame, from_id: str, to_id: str, steps: int = STEPS, exclude: Iterable[str] = ()) -> DataFrame:
     """(step, id, progress): a route of ``steps`` recordings between two, both included; no row if there is none.
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import codes, keys, levels, names, scores
-from ..operators import compare, health, history, merge, segues, shape, statistics, wants
+from ..operators import catalogue, compare, health, history, merge, segues, shape, statistics, wants
 from ..plans import queue
 from . import relations as R
 
@@ -217,6 +217,25 @@ def transcode_verdicts(spark, sf_dir):
     return health.cutoff_report(R.tracks(spark, sf_dir).withColumn("cutoff_hz", F.expr(_CUT).cast("long")))
 
 
+@query(f", r AS (SELECT {_CUT} AS hz, CASE WHEN {_CUT} >= 20000 THEN 'full' WHEN {_CUT} >= 18500 THEN 'high' WHEN {_CUT} < 17000 AND size * 8 / duration_sec / 1000 >= 224 THEN 'transcode' ELSE 'lossy' END AS verdict FROM tracks) SELECT verdict, count(*) AS files, min(hz) AS lowest_hz, max(hz) AS highest_hz FROM r GROUP BY 1")
+def cutoff_groups(spark, sf_dir):
+    return health.cutoff_counts(R.tracks(spark, sf_dir).withColumn("cutoff_hz", F.expr(_CUT).cast("long")))
+
+
+_LABELS = ", bases AS (SELECT id, file_name, CASE WHEN artist IS NULL THEN t ELSE concat(artist, ' - ', t) END AS base FROM (SELECT *, coalesce(title, regexp_replace(file_name, '\\.[^.]+$', '')) AS t FROM tracks WHERE analysed)), labels AS (SELECT id, CASE WHEN row_number() OVER (PARTITION BY base ORDER BY id) = 1 THEN base ELSE concat(base, ' (', file_name, ')') END AS label FROM bases)"
+
+
+@query(_LABELS + " SELECT * FROM labels")
+def catalogue_labels(spark, sf_dir):
+    return catalogue.labels(R.tracks(spark, sf_dir))
+
+
+@query(_LABELS + ", asked AS (SELECT unnest([1, 2, 3, 4, 5]) AS ord, unnest(['a', 'Supplier', ' 1999 ', '', 'nowhere']) AS text), near AS (SELECT ord, min(id) AS id FROM asked JOIN labels ON contains(lower(label), lower(trim(text))) WHERE trim(text) <> '' GROUP BY 1 HAVING count(*) = 1) SELECT cast(ord AS bigint) AS ord, text, coalesce((SELECT min(id) FROM labels WHERE label = trim(text) AND trim(text) <> ''), near.id) AS id FROM asked LEFT JOIN near USING (ord)")
+def find_by_text(spark, sf_dir):
+    asked = spark.createDataFrame([(1, "a"), (2, "Supplier"), (3, " 1999 "), (4, ""), (5, "nowhere")], "ord long, text string")
+    return catalogue.find(catalogue.labels(R.tracks(spark, sf_dir)), asked)
+
+
 _LEADING = "try_cast(nullif(regexp_extract(file_name, '^\\s*(\\d{1,3})', 1), '') AS int)"
 _FOLDED = "trim(regexp_replace(lower(album), '[^a-z0-9]+', ' ', 'g'))"
 

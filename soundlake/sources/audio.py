@@ -54,8 +54,8 @@ def decode_wav(data: bytes) -> tuple[int, np.ndarray]:
     return rate, x.reshape(-1, channels)
 
 
-def read_wav(spark: SparkSession, folder: str, chunk: int = CHUNK) -> DataFrame:
-    """(path, rate, channel, pos, samples, error) of the WAV files below a folder; a file that can't be read is one row with an error and no samples."""
+def decoded(files: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """(path, rate, channel, pos, samples, error) of WAV files (path, content); a file that can't be read is one row with an error and no samples."""
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = ["path", "rate", "channel", "pos", "samples", "error"]
@@ -69,10 +69,14 @@ def read_wav(spark: SparkSession, folder: str, chunk: int = CHUNK) -> DataFrame:
                 for lo in range(0, max(1, len(x)), chunk):
                     yield pd.DataFrame([(path, float(rate), c, lo, x[lo : lo + chunk, c], None) for c in range(x.shape[1])], columns=columns)
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[wW][aA][vV]").load(folder)
     return files.select("path", "content").mapInPandas(decode, "path string, rate double, channel int, pos long, samples array<double>, error string")
 
 
+def read_wav(spark: SparkSession, folder: str, chunk: int = CHUNK) -> DataFrame:
+    """The same of the WAV files below a folder."""
+    return decoded(spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[wW][aA][vV]").load(folder), chunk)
+
+
 def downmixed(chunks: DataFrame) -> DataFrame:
     """(path, rate, pos, samples): the mean of the channels."""
     together = chunks.where("error IS NULL").groupBy("path", "rate", "pos").agg(F.collect_list("samples").alias("c"))  # a chunk of each channel

@@ -13,6 +13,7 @@ from soundlake.functions import codes, keys, names, scores
 from soundlake.operators import identity, merge, recordings, shape, signals, statistics, wants
 from soundlake.plans import queue
 from soundlake.sources import audio, files
+from soundlake.streaming import analysis
 from soundlake.streaming import plays as streams
 
 
@@ -220,6 +221,29 @@ def test_wav_files(spark, tmp_path):
         assert np.abs(mean - x.mean(axis=1)).max() < 2.1 / (1 << (bits - 1))
 
 
+def test_analysis_of_arriving_files(spark, tmp_path):
+    """Files are measured once, in batches; what comes later is measured by the next run."""
+    rate, x = 8_000, np.sin(np.arange(8_000 * 4) * 0.3)
+
+    def put(name, y):
+        body = np.round(np.column_stack([y, y / 2]) * 32_767).astype("<i2").tobytes()
+        (tmp_path / "in").mkdir(exist_ok=True)
+        (tmp_path / "in" / name).write_bytes(b"RIFF" + struct.pack("<I", 36 + len(body)) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, 2, rate, rate * 4, 4, 16) + b"data" + struct.pack("<I", len(body)) + body)
+
+    def run():
+        analysis.analyse(analysis.arriving(spark, str(tmp_path / "in"), 2), str(tmp_path / "out"), str(tmp_path / "marks"))
+        return {r.id.rsplit("/", 1)[1]: r for r in analysis.results(spark, str(tmp_path / "out")).collect()}
+
+    put("a.wav", x)
+    (tmp_path / "in" / "b.wav").write_bytes(b"no sound")
+    put("c.wav", x[:100])
+    got = run()
+    assert {k: r.status for k, r in got.items()} == {"a.wav": "ok", "b.wav": "undecodable", "c.wav": "too_short"}
+    assert abs(got["a.wav"].side_ratio - 1 / 3) < 1e-3 and abs(got["a.wav"].rms - 0.75 * np.sqrt(0.5)) < 1e-2
+    put("d.wav", x)
+    assert len(run()) == 4
+
+
 def test_analysis_loop(spark):
     """Pending files are measured, saved and ranked."""
     rate = 8_000

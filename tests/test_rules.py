@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from soundlake.functions import codes, keys, scores
-from soundlake.operators import compare, health, history, identity, merge, shape, statistics, wants
+from soundlake.operators import catalogue, compare, health, history, identity, merge, shape, statistics, wants
 from soundlake.sources import files
 
 
@@ -143,3 +143,22 @@ def test_wants_of_an_artist_in_a_lesser_island(spark):
 def test_provisional_below_fifty(spark, count):
     t = spark.range(count).select(F.lit(True).alias("analysed"), (F.col("id") / 100).alias("loudness"), F.lit(1000.0).alias("brightness_hz"), F.lit(5.0).alias("crest"), F.lit(0.5).alias("dance_raw"))
     assert {r.provisional for r in statistics.rerank(t).collect()} == {count < 50}
+
+
+def test_settings_and_names(spark):
+    s = spark.createDataFrame([("a", "1"), ("b", None)], "key string, value string")
+    s = catalogue.write_setting(catalogue.write_setting(s, "a", "2"), "c", "3")
+    assert [catalogue.read_setting(s, k, "d") for k in "abcx"] == ["2", None, "3", "d"] and s.count() == 3
+    t = spark.createDataFrame([("1", "A", "Song", "x.mp3", True), ("2", "A", "Song", "y.mp3", True), ("3", None, None, "z.w.mp3", True), ("4", "B", "No", "q.mp3", False)], "id string, artist string, title string, file_name string, analysed boolean")
+    named = catalogue.labels(t)
+    assert {r.id: r.label for r in named.collect()} == {"1": "A - Song", "2": "A - Song (y.mp3)", "3": "z.w"}
+    asked = spark.createDataFrame([(0, "A - Song"), (1, "song"), (2, "Z."), (3, " ")], "ord long, text string")
+    assert {r.ord: r.id for r in catalogue.find(named, asked).collect()} == {0: "1", 1: None, 2: "3", 3: None}
+    assert [r.id for r in catalogue.shown(named, "SONG").collect()] == ["1", "2"]
+
+
+def test_changes_of_status(spark):
+    t = spark.createDataFrame([("a", "pending", "old"), ("b", "pending", None), ("c", "done", None)], "id string, status string, error string")
+    c = spark.createDataFrame([("a", "decoding", None), ("c", "failed", "why")], "id string, status string, message string")
+    assert {tuple(r) for r in merge.with_status(t, c).collect()} == {("a", "decoding", None), ("b", "pending", None), ("c", "failed", "why")}
+    assert [r.id for r in merge.waiting(t, spark.createDataFrame([("a",)], "id string"), 5).collect()] == ["b"]
