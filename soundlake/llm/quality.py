@@ -57,7 +57,7 @@ SHARPNESS = 50.0
 #: Values of z to choose from.
 ZS = (2.0, 2.5, 3.0, 4.0, 5.5, 7.5)
 #: Distinct features that a task gathers before it names the frequent ones, and rows of a batch.
-GATHERED, BATCH = 4_000_000, 50_000
+GATHERED, FRESH, BATCH = 3_000_000, 500_000, 50_000
 #: A block's rows and hashes share 64 bits; among 10**5 sure features, one in 3 * 10**9 others is taken for one of them.
 HASH_BITS, PREFIX_BITS = 48, 22
 HEADS = (4, 5, 6)
@@ -71,7 +71,7 @@ def features(block: Block) -> tuple[np.ndarray, np.ndarray]:
     low = Block(block.ids, LOWER[block.data], block.offsets)
     w, signs = words(low, _WORD), words(block, _SIGN)
     hashes = Spans(low.data)
-    h, s = hashes(w.starts, w.ends), Spans(block.data, 1)(signs.starts, signs.ends)
+    h, s = hashes(w.starts, w.ends), Spans(block.data)(signs.starts, signs.ends)
     ups, downs = (np.concatenate([[0], np.cumsum(t[block.data])]) for t in (_UPPER, _LOWERCASE))
     up, down = ups[w.ends] - ups[w.starts], downs[w.ends] - downs[w.starts]
     # 0 no letters, 1 lower, 2 capital first, 3 several capitals
@@ -170,24 +170,28 @@ def _tallies(least: float):
                 yield pa.RecordBatch.from_arrays([pa.array(x[told][i : i + BATCH]) for x in (h, n)], names=["hash", "n"])
 
         def merged() -> tuple[np.ndarray, np.ndarray]:
-            h = np.concatenate([x for x, _ in parts])
-            order = np.argsort(h, kind="stable")
-            h, n = h[order], np.concatenate([x for _, x in parts])[order]
+            both = parts[0] if len(parts) == 1 else np.concatenate(parts)
+            parts.clear()
+            both.sort()
+            h, n = both >> room, both & np.uint64(most)
             at = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.empty(0, np.int64)
-            return h[at], np.add.reduceat(n, at) if len(at) else n
+            return h[at].view(np.int64), np.add.reduceat(n, at).astype(np.int64) if len(at) else np.empty(0, np.int64)
 
+        # a hash and its count share 64 bits, so that merging is one sort in place
+        room, most = np.uint64(64 - HASH_BITS), (1 << (64 - HASH_BITS)) - 1
         parts, rows, held, fresh = [], 0, 0, 0
         for batch in batches:
-            for b in blocks(batch):
+            for b in (b for lo in range(0, len(batch), most) for b in blocks(batch.slice(lo, most))):
+                if parts and (rows + len(b) > most or held > GATHERED):
+                    yield from out()
+                    rows, held, fresh = 0, 0, 0
                 h, n = ascending(distinct_features(b)[1])
-                parts.append((h, n))
+                parts.append((h.view(np.uint64) << room) | n.astype(np.uint64))
                 rows, fresh = rows + len(b), fresh + len(h)
-                if fresh > max(1_000_000, held):  # merge when as many are new as are held
-                    parts = [merged()]
-                    held, fresh = len(parts[0][0]), 0
-                    if held > GATHERED:
-                        yield from out()
-                        parts, rows, held = [], 0, 0
+                if fresh > max(FRESH, held):  # merge when as many are new as are held
+                    h, n = merged()
+                    parts.append((h.view(np.uint64) << room) | n.astype(np.uint64))
+                    held, fresh = len(h), 0
         if parts:
             yield from out()
 
