@@ -57,7 +57,7 @@ SHARPNESS = 50.0
 #: Values of z to choose from.
 ZS = (2.0, 2.5, 3.0, 4.0, 5.5, 7.5)
 #: Distinct features that a task gathers before it names the frequent ones, and rows of a batch.
-GATHERED, FRESH, BATCH = 3_000_000, 500_000, 50_000
+GATHERED, FRESH, BATCH = 12_000_000, 500_000, 50_000
 #: A block's rows and hashes share 64 bits; among 10**5 sure features, one in 3 * 10**9 others is taken for one of them.
 HASH_BITS, PREFIX_BITS = 48, 22
 HEADS = (4, 5, 6)
@@ -118,19 +118,13 @@ def shrunk(target: np.ndarray, expected: np.ndarray, z: float) -> np.ndarray:
     return np.log((target + 1) / (expected + 1)) * np.maximum(sure, 0)
 
 
-class Model:
-    """Counts of the features that may matter, by sorted hash, and what turns them into weights."""
+class Named:
+    """Features by sorted hash."""
 
-    def __init__(self, hashes: np.ndarray, raw: np.ndarray, target: np.ndarray, n_raw: int, n_target: int):
-        order = np.argsort(hashes)
-        self.hashes, self.raw, self.target = hashes[order], raw[order].astype(float), target[order].astype(float)
-        self.n_raw, self.n_target = n_raw, n_target
+    def __init__(self, hashes: np.ndarray):
+        self.hashes = np.sort(hashes)
         self.prefixes = None
 
-    def weights(self, z: float, without: int = 0) -> np.ndarray:
-        """Of every feature; without=1: as a good document sees them that is taken out of the target."""
-        return shrunk(np.maximum(self.target - without, 0), self.raw * (max(self.n_target - without, 0) / max(self.n_raw, 1)), z)
-
     def places(self, block: Block) -> tuple[np.ndarray, np.ndarray]:
         """(row, place among the hashes) of the block's features that have one, once a row."""
         if self.prefixes is None:  # made where it is used, not sent
@@ -146,6 +140,20 @@ class Model:
         return np.divmod(ascending(row[told] * len(self.hashes) + at[told])[0], len(self.hashes))
 
 
+class Model(Named):
+    """Counts of the features that may matter, and what turns them into weights."""
+
+    def __init__(self, hashes: np.ndarray, raw: np.ndarray, target: np.ndarray, n_raw: int, n_target: int):
+        super().__init__(hashes)
+        order = np.argsort(hashes)
+        self.raw, self.target = raw[order].astype(float), target[order].astype(float)
+        self.n_raw, self.n_target = n_raw, n_target
+
+    def weights(self, z: float, without: int = 0) -> np.ndarray:
+        """Of every feature; without=1: as a good document sees them that is taken out of the target."""
+        return shrunk(np.maximum(self.target - without, 0), self.raw * (max(self.n_target - without, 0) / max(self.n_raw, 1)), z)
+
+
 def labelled_rows(labels: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
     """(doc_id, good) of at most max_labelled labelled ids."""
     told = (
@@ -203,18 +211,18 @@ def _counted(sent, named: int):
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
-        raw, target = np.zeros(named, np.int64), np.zeros(named, np.int64)
+        raw, target = np.zeros(named, np.int32), np.zeros(named, np.int32)
         for batch in batches:
             good = batch.column(2).to_numpy(zero_copy_only=False)
             for b in blocks(batch):
                 row, at = model.places(b)
-                raw += np.bincount(at, minlength=named)
-                mine = good[b.lo : b.hi]
-                if mine.any():
-                    target += np.bincount(at[mine[row]], minlength=named)
+                used, n = ascending(at)
+                raw[used] += n.astype(np.int32)
+                used, n = ascending(at[good[b.lo : b.hi][row]])
+                target[used] += n.astype(np.int32)
         used = np.flatnonzero(raw)
         for i in range(0, len(used), BATCH):
-            yield pa.RecordBatch.from_arrays([pa.array(x[used[i : i + BATCH]]) for x in (model.hashes, raw, target)], names=["hash", "raw", "target"])
+            yield pa.RecordBatch.from_arrays([pa.array(x[used[i : i + BATCH]].astype(np.int64)) for x in (model.hashes, raw, target)], names=["hash", "raw", "target"])
 
     return count
 
@@ -233,8 +241,7 @@ def fit(docs: DataFrame, some: DataFrame, zs: tuple[float, ...] = ZS) -> Model:
     named = frequent.union(of_good).distinct().toArrow().column("hash").to_numpy().astype(np.int64)  # bounded by the labelled rows, see above
     if not len(named):
         return Model(none, none, none, size.raw, size.target)
-    model = Model(named, np.zeros_like(named), np.zeros_like(named), size.raw, size.target)
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = docs.sparkSession.sparkContext.broadcast(Named(named))
     counts = marked.mapInArrow(_counted(sent, len(named)), "hash long, raw long, target long").groupBy("hash").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()
     hashes, raw, target = (counts.column(c).to_numpy().astype(np.int64) for c in ("hash", "raw", "target"))
     kept = np.logical_or.reduce([shrunk(np.maximum(target - w, 0).astype(float), raw * (max(size.target - w, 0) / size.raw), min(zs)) != 0 for w in (0, 1)])
