@@ -1,11 +1,11 @@
-"""Queries of the ten operators over the whole tables."""
+"""Queries of the operators over the whole tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, media, oracles, secrets
+from . import chat, chat_repair, media, oracles, secrets, token_files
 from .decontaminate import decontaminate
 from .length_buckets import pack, token_counts
 from .line_dedup import line_dedup
@@ -14,6 +14,7 @@ from .quality import resample
 from .shared import table
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
+from .target_resampling import target_resampling
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,5 +62,19 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"), shingle=2)
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_suffix_dedup, op3_decontaminate, op4_pack, op5_substring_dedup, op6_media, op7_chat, op8_line_dedup, op9_quality, op10_near_dedup)}
-ORACLE_SQL: dict[str, str] = {"op3_decontaminate": oracles.LEAKS, "op5_substring_dedup": oracles.SUBSTRINGS, "op7_chat": oracles.CHAT, "op8_line_dedup": oracles.LINES, "op10_near_dedup": oracles.NEAR}
+def op11_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = token_files.new_folder(spark)
+    token_files.write_tokens(table(spark, sf_dir, "documents"), folder)
+    return token_files.digests(token_files.read_documents(spark, folder))
+
+
+def op12_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return target_resampling(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("n_words")
+
+
+def op13_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_repair.digest(chat_repair.repair_conversations(chat_repair.damage(table(spark, sf_dir, "conversations"))))
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_suffix_dedup, op3_decontaminate, op4_pack, op5_substring_dedup, op6_media, op7_chat, op8_line_dedup, op9_quality, op10_near_dedup, op11_tokens, op12_target_resampling, op13_chat_repair)}
+ORACLE_SQL: dict[str, str] = {"op3_decontaminate": oracles.LEAKS, "op5_substring_dedup": oracles.SUBSTRINGS, "op7_chat": oracles.CHAT, "op8_line_dedup": oracles.LINES, "op10_near_dedup": oracles.NEAR, "op12_target_resampling": oracles.RESAMPLING, "op13_chat_repair": oracles.REPAIR}
