@@ -11,7 +11,8 @@ reads no lists. ``shards`` gives each file's place in the whole from these count
 
 Text is encoded between spaces, tabs and line ends, which the tokenizer drops and
 no rule of it reaches across, so an id list is the same as that of the whole text;
-chunks met before come from a cache of CACHED entries. A text is cut into pieces of
+chunks met before come from a cache of CACHED entries, and words without the marks
+after them, too, where the file's own pattern parts them. A text is cut into pieces of
 about PIECE characters at such places; a chunk without any is encoded whole. So a
 text needs memory for its ids, not for the encoder's view of all of them.
 
@@ -24,7 +25,9 @@ without rows. The tokenizer's file must lie under the same path on every executo
 
 from __future__ import annotations
 
+import json
 import os
+import string
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -41,11 +44,15 @@ from .shared import id_and_text, row_key, shared_folder
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 END_ID = 2
 #: Characters of text that are encoded at a time, and chunks that a worker remembers.
-PIECE, CACHED, LONGEST_CACHED = 1 << 20, 400_000, 64
+PIECE, CACHED, LONGEST_CACHED = 1 << 20, 300_000, 64
 #: Rows that a task gives out at a time, in ids.
 BATCH_IDS = 1 << 20
 #: Sizes of a row group and of a page in bytes, and rows of a page at most.
 ROW_GROUP, PAGE, PAGE_ROWS = 64 << 20, 256 << 10, 4096
+#: The tokenizer's pattern of token groups, and the end of the last token of each.
+PATTERN, END = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+", "</w>"
+#: Marks that may follow a word: of ASCII, all but the apostrophe, which begins groups with letters in them.
+MARKS = string.punctuation.replace("'", "")
 _codecs: dict = {}
 
 
@@ -56,20 +63,62 @@ class Codec:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {"": b""}
+        self.several: set[str] = set()
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.groups = all(json.dumps(x) in self.tokenizer.to_str() for x in (PATTERN, "Lowercase"))
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith(END)]] = True
+
+    def _each(self, chunks: list[str]) -> Iterator[bytes]:
+        return (np.array(e.ids, np.int32).tobytes() for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False))
+
+    def _joined(self, words: list[str]) -> Iterator[bytes]:
+        """Ids of words that are one token group or more each, from one text: if there are as many ends of groups as words, each is one. Others, such as letters that lower case gives a mark, are noted."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.int32)
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) != len(words):
+            each = list(self._each(words))
+            self.several.update(w for w, x in zip(words, each, strict=True) if self.ends[np.frombuffer(x, np.int32)].sum() != 1)
+            return iter(each)
+        raw, at = ids.tobytes(), (4 * np.append(0, ends)).tolist()
+        return (raw[lo:hi] for lo, hi in zip(at[:-1], at[1:], strict=True))
 
     def _learn(self, chunks: set[str]) -> dict[str, bytes]:
-        chunks = list(chunks)
-        return {c: np.array(e.ids, np.int32).tobytes() for lo in range(0, len(chunks), 4096) for c, e in zip(chunks[lo : lo + 4096], self.tokenizer.encode_batch_fast(chunks[lo : lo + 4096], add_special_tokens=False), strict=True)}
+        """Ids of new chunks. Letters, and the marks after them, are token groups of their own, so they are looked up apart."""
+        words, odd, cut, known = [], [], [], self.known
+        for c in chunks:
+            core = c.rstrip(MARKS) if self.groups else ""
+            if not core.isalpha() or "<|" in c:
+                odd.append(c)
+            elif len(core) == len(c):
+                words.append(c)
+            else:
+                cut.append((c, core, c[len(core) :]))
+        new = set(words).union(x[1] for x in cut).union(x[2] for x in cut) - known.keys()
+        words = list(new)
+        out: dict[str, bytes] = {}
+        for lo in range(0, len(words), 4096):
+            out.update(zip(words[lo : lo + 4096], self._joined(words[lo : lo + 4096]), strict=True))
+        odd += [c for c, core, _ in cut if core in self.several]
+        for lo in range(0, len(odd), 1024):
+            out.update(zip(odd[lo : lo + 1024], self._each(odd[lo : lo + 1024]), strict=True))
+        for c, core, tail in cut:
+            if c not in out:
+                out[c] = (out[core] if core in out else known[core]) + (out[tail] if tail in out else known[tail])
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as 32-bit integers."""
-        cut = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        lower = [t.lower() if self.groups and t.isascii() and "<|" not in t else t for t in texts]  # as the tokenizer does, for fewer chunks
+        cut = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in lower]
         if len(self.known) > CACHED:
             self.known = {"": b""}
-        known = self.known
-        new = self._learn({c for chunks in cut for c in chunks if c not in known})
-        known.update((c, ids) for c, ids in new.items() if len(c) <= LONGEST_CACHED)
+        new = self._learn(set().union(*cut) - self.known.keys())
         long = {c: ids for c, ids in new.items() if len(c) > LONGEST_CACHED}
+        for c in long:
+            del new[c]
+        known = self.known
+        known.update(new)
         get = known.__getitem__ if not long else lambda c: known[c] if c in known else long[c]
         return [b"".join(map(get, chunks)) for chunks in cut]
 

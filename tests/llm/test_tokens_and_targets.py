@@ -28,11 +28,12 @@ def odd_docs(spark):
     return rows, spark.createDataFrame([(i, t, "a", "b", 1, "c", "d", "e", "f", "g") for i, t in rows], CLASHING).repartition(5)
 
 
-@settings(max_examples=300, deadline=None)
-@given(st.text(st.sampled_from(list(" \n\tabcXYZ'sd.,!1́é각 \x1c Σİ<|>endoftx")), max_size=60))
+@settings(max_examples=500, deadline=None)
+@given(st.text(st.sampled_from(list(" \n\tabcXYZ'sd-_*.,क़.,!1́é각 \x1c Σİ<|>endoftx")), max_size=60))
 def test_chunks_encode_as_whole_texts(text):
     c = token_files.codec(token_files.TOKENIZER)
     assert np.frombuffer(c.encode([text])[0], np.int32).tolist() == c.tokenizer.encode(text, add_special_tokens=False).ids
+    assert c.groups
     assert b"".join(c.encode([p])[0] for p in token_files.pieces(text, 5)) == c.encode([text])[0]
 
 
@@ -192,7 +193,7 @@ def test_a_hot_conversation_in_segments(spark):
     whole = sorted(map(str, chat_repair.digest(chat_repair.repair_conversations(damaged, 10_000)).collect()))
     assert whole == sorted(map(str, chat_repair.digest(chat_repair.repair_conversations(damaged, 9)).collect()))
     assert whole == sorted(map(str, chat_repair.digest(chat_repair.repair_conversations(damaged, 200, 40)).collect()))
-    assert chat_repair.segments(damaged, 9).count() > 150
+    assert chat_repair.segments(damaged, 9).count() > 100
 
 
 def test_damage(spark):
