@@ -32,6 +32,42 @@ def chunked(recordings: DataFrame, size: int = CHUNK) -> DataFrame:
     return rows.select("id", "rate", F.col("at").cast("long").alias("pos"), F.slice("whole", F.col("at") + 1, F.lit(size)).alias("samples"))
 
 
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def _interpolated(samples: pd.Series, after: pd.Series, pos: pd.Series, rates: pd.Series, first: pd.Series, last: pd.Series, to: pd.Series) -> pd.Series:
+    """The values at places first to last of the new rate, which lie between this chunk's samples; after: the next chunk's first one, if there is one."""
+
+    def one(x, b, p, rate, lo, hi, to):
+        if x is None or not len(x):
+            return []
+        x = np.append(x, x[-1] if b is None or np.isnan(b) else b)
+        at = np.arange(lo, hi + 1) * int(rate)  # whole numbers, so that no place is off by rounding
+        i = at // to - p
+        return x[i] + (x[i + 1] - x[i]) * ((at % to) / to)
+
+    return pd.Series([one(*row) for row in zip(samples, after, pos, rates, first, last, to, strict=True)], dtype=object)
+
+
+def resampled(chunks: DataFrame, to: int = S.RATE) -> DataFrame:
+    """Chunks (id, rate, pos, samples) at another rate, by linear interpolation across their borders, as for the whole signal: its length is rounded down, and is 1 at least.
+
+    Chunks of a recording must follow on each other. Each needs the first sample of the
+    next, which it finds by its own end. Rates are whole numbers. A recording that has the
+    rate, or none that is above 0, or no samples, stays as it is.
+    """
+    rows = chunks.select("id", "rate", F.col("pos").cast("long").alias("pos"), "samples")
+    able = F.coalesce((F.col("rate") >= 1) & ~F.isnan("rate") & (F.col("rate") != to), F.lit(False)) & (F.size("samples") > 0)
+    heads = rows.where(F.size("samples") > 0).select("id", F.col("pos").alias("end"), F.col("samples")[0].alias("after"))
+    ended = rows.withColumn("end", F.col("pos") + F.size("samples"))
+    met = ended.join(heads, ["id", "end"], "left").join(ended.groupBy("id").agg(F.max("end").alias("n")), "id")
+    rate, wide = F.col("rate").cast("long"), F.lit(to).cast("long")
+    up = lambda n: F.floor((n * wide + rate - 1) / rate)
+    whole = F.greatest(F.lit(1), F.floor(F.col("n") * wide / rate))
+    bounds = met.withColumns({"able": able, "first": F.when(able, up(F.col("pos"))), "last": F.when(able, F.least(up(F.col("end")), whole) - 1)})
+    new = F.when(F.col("last") < F.col("first"), F.array().cast("array<double>")).otherwise(_interpolated("samples", "after", "pos", F.col("rate"), "first", "last", F.lit(to)))
+    fresh = bounds.where("able").select("id", F.lit(float(to)).alias("rate"), F.col("first").alias("pos"), new.alias("samples"))
+    return bounds.where("NOT able").select("id", "rate", "pos", "samples").unionByName(fresh.where((F.size("samples") > 0) | (F.col("pos") == 0)))
+
+
 def plans(chunks: DataFrame) -> DataFrame:
     """(id, n, rate, status, plan) of each recording; plan is null unless the status is ok."""
     meta = chunks.groupBy("id").agg(F.max(F.col("pos") + F.size("samples")).alias("n"), F.max("rate").alias("rate"))
@@ -45,15 +81,25 @@ def _piece(kind: str, k: Column, offset: Column, length: Column) -> Column:
 
 
 def pieces(planned: DataFrame) -> DataFrame:
-    """(id, rate, kind, k, offset, length): the windows of the descriptors, the tempo's, 20 seconds and a quarter second of both ends, and 64 frames for the cutoff."""
+    """(id, rate, kind, k, offset, length): the windows of the descriptors, the tempo's, 20 seconds and a quarter second of both ends."""
     n, rate = F.col("n"), F.col("rate")
     end = lambda sec: F.least(n, F.greatest(F.lit(1), F.floor(rate * sec + 0.5)))
     zero, long, brief = F.lit(0), end(S.END_SEC), end(S.LEVEL_SEC)
     windows = F.transform("plan.descriptor", lambda w, i: _piece("window", i, w["offset"], w["length"]))
     single = F.array(_piece("tempo", zero, F.col("plan.tempo.offset"), F.col("plan.tempo.length")), _piece("intro", zero, zero, long), _piece("outro", zero, n - long, long), _piece("start", zero, zero, brief), _piece("end", zero, n - brief, brief))
-    places = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(S.CUTOFF_FRAMES - 1)), lambda i: F.floor(i * (n - S.CUTOFF_FRAME) / (S.CUTOFF_FRAMES - 1))))
-    cut = F.when(n >= S.CUTOFF_FRAME, F.transform(places, lambda at, i: _piece("cutoff", i, at, F.lit(S.CUTOFF_FRAME)))).otherwise(F.array().cast("array<struct<kind:string,k:int,offset:bigint,length:bigint>>"))
-    return planned.where("plan IS NOT NULL").select("id", "rate", F.explode(F.concat(windows, single, cut)).alias("p")).select("id", "rate", "p.*")
+    return planned.where("plan IS NOT NULL").select("id", "rate", F.explode(F.concat(windows, single)).alias("p")).select("id", "rate", "p.*")
+
+
+def cutoff_pieces(planned: DataFrame) -> DataFrame:
+    """(id, rate, kind, k, offset, length): up to 64 frames spread over the middle 30 seconds, for the cutoff; none for less than a frame."""
+    n, half = F.col("n"), S.CUTOFF_FRAME // 2
+    length = F.least(n, F.floor(F.col("rate") * S.CUTOFF_SEC + 0.5))
+    there = F.floor((length - S.CUTOFF_FRAME) / half) + 1
+    frames = F.least(there, F.lit(S.CUTOFF_FRAMES))
+    stride = F.greatest(F.lit(1), F.floor(there / frames))
+    places = F.transform(F.sequence(F.lit(0).cast("long"), frames - 1), lambda i: _piece("cutoff", i, F.floor((n - length) / 2) + i * stride * half, F.lit(S.CUTOFF_FRAME)))
+    able = planned.where((F.col("status") != BAD) & (length >= S.CUTOFF_FRAME))
+    return able.select("id", "rate", F.explode(places).alias("p")).select("id", "rate", "p.*")
 
 
 def cut_out(chunks: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -116,8 +162,11 @@ def _grid(pieces_: pd.Series, rates: pd.Series, bpms: pd.Series) -> pd.DataFrame
 @F.pandas_udf(_DOUBLES)
 def _bands(pieces_: pd.Series, rates: pd.Series) -> pd.Series:
     def one(x: np.ndarray, rate: float) -> np.ndarray:
-        energy = (S.spectra(x, S.CUTOFF_FRAME, S.CUTOFF_FRAME) ** 2).sum(axis=0)
-        return np.bincount((np.arange(len(energy)) * rate / S.CUTOFF_FRAME // S.BAND_HZ).astype(int), energy)
+        energy = (S.spectra(x, S.CUTOFF_FRAME, S.CUTOFF_FRAME) ** 2).sum(axis=0)[1:]  # an offset is no sound
+        hz = np.arange(1, len(energy) + 1) * rate / S.CUTOFF_FRAME
+        bands = int(np.ceil(min(rate / 2, S.CUTOFF_HZ) / S.BAND_HZ))
+        inside = hz < bands * S.BAND_HZ
+        return np.bincount((hz[inside] // S.BAND_HZ).astype(int), energy[inside], bands)
 
     return pd.Series([one(x, r) for x, r in zip(pieces_, rates, strict=True)])
 
@@ -187,9 +236,10 @@ def prints(cut: DataFrame) -> DataFrame:
     return cells.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("k", "c"))).alias("c")).where(F.size("c") == S.SEGMENTS).select("id", codes.fingerprint_text(F.flatten(F.transform("c", lambda s: s["c"]))).alias("fingerprint"))
 
 
-def cutoffs(cut: DataFrame) -> DataFrame:
-    """(id, cutoff_hz): the upper edge of the highest band of 500 Hz whose median energy is within 55 dB of the loudest; none for silence or less than a frame."""
-    bands = cut.where("kind = 'cutoff'").select("id", F.posexplode(_bands("x", "rate")).alias("band", "e")).groupBy("id", "band").agg(F.percentile("e", F.lit(0.5)).alias("m"))
+def cutoffs(chunks: DataFrame, planned: DataFrame | None = None) -> DataFrame:
+    """(id, cutoff_hz) of recordings at their own rate: the upper edge of the highest band of 500 Hz below 24 kHz whose median energy is within 55 dB of the loudest; none for silence or less than a frame."""
+    cut = cut_out(chunks, cutoff_pieces(plans(chunks) if planned is None else planned))
+    bands = cut.select("id", F.posexplode(_bands("x", "rate")).alias("band", "e")).groupBy("id", "band").agg(F.percentile("e", F.lit(0.5)).alias("m"))
     loudest = F.max("m").over(Window.partitionBy("id"))  # a row for each band
     return bands.withColumn("top", loudest).where((F.col("top") > 0) & (F.col("m") > F.col("top") * 10 ** (S.CUTOFF_DB / 10))).groupBy("id").agg(((F.max("band") + 1) * F.lit(float(S.BAND_HZ))).alias("cutoff_hz"))
 
@@ -251,9 +301,10 @@ def danceability(clarity: Column, low_band: Column, density: Column) -> Column:
     return unit(F.cbrt((0.2 + 0.8 * unit(clarity)) * (0.4 + 0.6 * unit(2 * low_band)) * (0.3 + 0.7 * unit(density / S.BUSY))))
 
 
-def extract(chunks: DataFrame, side: DataFrame | None = None) -> DataFrame:
-    """Every descriptor of recordings as chunks (id, rate, pos, samples), a row each; side: (id, side_ratio) where channels are known.
+def extract(chunks: DataFrame, side: DataFrame | None = None, cutoff: DataFrame | None = None) -> DataFrame:
+    """Every descriptor of recordings as chunks (id, rate, pos, samples), a row each; side: (id, side_ratio) where channels are known; cutoff: (id, cutoff_hz) where it is known from another rate.
 
+    Frames are whole numbers of samples, so recordings compare at one rate only: see ``resampled``.
     status is ok, bad_input (no samples, or a rate that is null or not above 0) or too_short (below 3 seconds); descriptors are null unless it is ok.
     """
     chunks = checkpointed(chunks)
@@ -262,7 +313,7 @@ def extract(chunks: DataFrame, side: DataFrame | None = None) -> DataFrame:
     cut = checkpointed(cut_out(chunks, wanted))
     tempo = checkpointed(rhythm(cut))
     rows = _joined_levels(planned, cut, chunks)
-    for part in (spectral(cut), tempo, beats(cut, tempo, wanted), cutoffs(cut), prints(cut)):
+    for part in (spectral(cut), tempo, beats(cut, tempo, wanted), cutoffs(chunks, planned.where(F.col("status") == OK)) if cutoff is None else cutoff, prints(cut)):
         rows = rows.join(part, "id", "left")
     rows = rows.join(side, "id", "left") if side is not None else rows.withColumn("side_ratio", F.lit(None).cast("double"))
     return rows.withColumns({"danceability": danceability(F.col("bpm_confidence"), F.col("low_band"), F.col("onset_density")), "key": F.when(F.col("status") == OK, S.key_of(F.col("chroma")))}).drop("n", "rate", "plan")

@@ -24,7 +24,7 @@ GRID_BPM, PHASES, LEAST_GRID, LEAST_TEMPO, LEAD_FRAMES, BUSY, LEVEL_SEC, END_SEC
 WINDOW_SEC, WINDOW_AT, SHORT_SEC, LEAST_SEC, TEMPO_SEC, TEMPO_AT = 10, (0.15, 0.5, 0.8), 35, 3, 30, 0.25
 SEGMENTS, SEGMENT_FRAMES = 3, 20
 CLIP_LEVEL, CLIP_RUN = 0.98, 3
-BAND_HZ, CUTOFF_FRAME, CUTOFF_FRAMES, CUTOFF_DB = 500, 8_192, 64, -55
+BAND_HZ, CUTOFF_FRAME, CUTOFF_FRAMES, CUTOFF_DB, CUTOFF_SEC, CUTOFF_HZ = 500, 8_192, 64, -55, 30, 24_000
 
 
 # --- column functions over arrays ---

@@ -74,27 +74,57 @@ def onset_smooth(spark, sf_dir):
     return rows.select("event_type", F.posexplode(F.arrays_zip(F.transform("e", lambda s: s["h"]).alias("h"), signals.moving_average(values, 3).alias("smooth"))).alias("i", "s")).select("event_type", "s.h", "s.smooth")
 
 
-#: A thousand embeddings in a row are a recording at 8 kHz, each a chunk of 64 samples.
-_PER, _HZ = 1_000, 8_000
-_PCM = f", s AS MATERIALIZED (SELECT vec_id // {_PER} AS id, vec_id % {_PER} * 64 + i - 1 AS p, x[i] AS v FROM (SELECT vec_id, x, unnest(range(1, 65)) AS i FROM f)), m AS (SELECT id, max(p) + 1 AS n, sqrt(avg(v * v)) AS rms, max(abs(v)) AS peak FROM s GROUP BY 1), z AS (SELECT id, sum(CASE WHEN (v >= 0) <> (before >= 0) THEN 1 ELSE 0 END) / (count(*) - 1) AS zcr FROM (SELECT *, lag(v) OVER (PARTITION BY id ORDER BY p) AS before FROM s) GROUP BY 1)"
-_ENDS = f", e AS (SELECT id, sqrt(avg(v * v) FILTER (p < least(n, {_HZ // 4}))) AS head, sqrt(avg(v * v) FILTER (p >= n - least(n, {_HZ // 4}))) AS tail FROM s JOIN m USING (id) GROUP BY 1)"
-_EDGES = f", lv AS (SELECT id, p // {_HZ // 20} AS f, sqrt(sum(v * v) / {_HZ // 20}) AS level FROM s JOIN m USING (id) WHERE p // {_HZ // 20} < n // {_HZ // 20} GROUP BY 1, 2), l AS (SELECT id, f, CASE WHEN level > avg(level) OVER (PARTITION BY id) * 0.01 THEN 1 ELSE 0 END AS loud FROM lv), o AS (SELECT id, f, loud = 1 AND sum(loud) OVER a * 2 >= count(*) OVER a AS opens, loud = 1 AND sum(loud) OVER b * 2 >= count(*) OVER b AS closes FROM l WINDOW a AS (PARTITION BY id ORDER BY f ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING), b AS (PARTITION BY id ORDER BY f ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)), g AS (SELECT id, min(f) FILTER (opens) AS a, max(f) FILTER (closes) AS b FROM o GROUP BY 1)"
+#: Of a thousand embeddings in a row, of 64 samples each, five recordings are made: (kind, first, behind the last, gain, rate); samples are held between -1 and 1. One has 40 seconds, so three windows, one clips, one is silent, one too short.
+_PER, _SOUNDS = 1_000, (("a", 0, 1_000, 1.0, 1_600), ("b", 0, 200, 0.5, 1_600), ("c", 200, 500, 60.0, 4_800), ("d", 500, 700, 0.0, 1_600), ("e", 700, 725, 1.0, 1_600))
+_SAMPLES = (
+    f", kinds(kind, first, behind, gain, hz) AS (VALUES {', '.join(f"('{k}', {a}, {b}, {g}::DOUBLE, {hz})" for k, a, b, g, hz in _SOUNDS)})"
+    f", s AS MATERIALIZED (SELECT concat(cast(vec_id // {_PER} AS varchar), kind) AS id, hz, (vec_id % {_PER} - first) * 64 + i - 1 AS p, greatest(-1.0::DOUBLE, least(1.0::DOUBLE, x[i] * gain)) AS v FROM (SELECT vec_id, x, unnest(range(1, 65)) AS i FROM f) JOIN kinds ON vec_id % {_PER} >= first AND vec_id % {_PER} < behind)"
+    ", m AS (SELECT id, any_value(hz) AS hz, max(p) + 1 AS n FROM s GROUP BY 1)"
+)
+_LEVELS = (
+    ", w AS (SELECT id, k, CASE WHEN n >= 35 * hz THEN least(cast(floor(n * share + 0.5) AS bigint), n - 10 * hz) ELSE 0 END AS lo, CASE WHEN n >= 35 * hz THEN 10 * hz ELSE n END AS len FROM m, (VALUES (0, 0.15::DOUBLE), (1, 0.5::DOUBLE), (2, 0.8::DOUBLE)) t(k, share) WHERE n >= 3 * hz AND (k = 0 OR n >= 35 * hz))"
+    ", ws AS (SELECT id, k, sum(v * v) AS ss, count(*) AS c, max(abs(v)) AS peak, sum(CASE WHEN (v >= 0) <> (before >= 0) THEN 1 ELSE 0 END) / (count(*) - 1) AS zcr FROM (SELECT s.id, k, v, lag(v) OVER (PARTITION BY s.id, k ORDER BY p) AS before FROM s JOIN w ON w.id = s.id AND p >= lo AND p < lo + len) GROUP BY 1, 2)"
+    ", wl AS (SELECT id, avg(sqrt(ss / c)) AS rms, CASE WHEN sum(ss) > 0 THEN max(peak) / sqrt(sum(ss) / sum(c)) ELSE 0 END AS crest, avg(zcr) AS zcr FROM ws GROUP BY 1)"
+    ", e AS (SELECT id, sqrt(avg(v * v) FILTER (p < least(n, s.hz // 4))) AS head, sqrt(avg(v * v) FILTER (p >= n - least(n, s.hz // 4))) AS tail FROM s JOIN m USING (id) GROUP BY 1)"
+    ", full_ AS (SELECT id, p - row_number() OVER (PARTITION BY id ORDER BY p) AS run FROM s WHERE abs(v) >= 0.98), clip AS (SELECT id, sum(c) AS c FROM (SELECT id, run, count(*) AS c FROM full_ GROUP BY 1, 2 HAVING count(*) >= 3) GROUP BY 1)"
+    ", lv AS (SELECT id, p // (s.hz // 20) AS f, sqrt(sum(v * v) / any_value(s.hz // 20)) AS level FROM s JOIN m USING (id) WHERE p // (s.hz // 20) < n // (s.hz // 20) GROUP BY 1, 2), l AS (SELECT id, f, CASE WHEN level > avg(level) OVER (PARTITION BY id) * 0.01 THEN 1 ELSE 0 END AS loud FROM lv), o AS (SELECT id, f, loud = 1 AND sum(loud) OVER a * 2 >= count(*) OVER a AS opens, loud = 1 AND sum(loud) OVER b * 2 >= count(*) OVER b AS closes FROM l WINDOW a AS (PARTITION BY id ORDER BY f ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING), b AS (PARTITION BY id ORDER BY f ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)), g AS (SELECT id, min(f) FILTER (opens) AS a, max(f) FILTER (closes) AS b FROM o GROUP BY 1)"
+)
 
 
 def _chunks(spark, sf_dir) -> DataFrame:
-    e = _table(spark, sf_dir, "embeddings")
-    return e.select(F.floor(F.col("vec_id") / _PER).cast("string").alias("id"), F.lit(float(_HZ)).alias("rate"), (F.col("vec_id") % _PER * 64).alias("pos"), signals.doubles(F.col("embedding")).alias("samples"))
+    """(id, rate, pos, samples): chunks of 64."""
+    e = _table(spark, sf_dir, "embeddings").select("vec_id", (F.col("vec_id") % _PER).alias("at"), signals.doubles(F.col("embedding")).alias("x"))
+    kinds = F.array(*(F.struct(F.lit(k).alias("kind"), F.lit(a).alias("first"), F.lit(b).alias("behind"), F.lit(g).alias("gain"), F.lit(float(hz)).alias("hz")) for k, a, b, g, hz in _SOUNDS))
+    rows = e.withColumn("k", F.explode(kinds)).where((F.col("at") >= F.col("k.first")) & (F.col("at") < F.col("k.behind")))
+    held = F.transform("x", lambda v: F.greatest(F.lit(-1.0), F.least(F.lit(1.0), v * F.col("k.gain"))))
+    return rows.select(F.concat(F.floor(F.col("vec_id") / _PER).cast("string"), F.col("k.kind")).alias("id"), F.col("k.hz").alias("rate"), ((F.col("at") - F.col("k.first")) * 64).alias("pos"), held.alias("samples"))
+
+
+_MEASURES = (("rms", "rms"), ("loudness_db", "CASE WHEN rms > 0 THEN 20 * log10(greatest(rms, 1e-300)) END"), ("crest", "crest"), ("zcr", "zcr"), ("head_ratio", "CASE WHEN rms > 0 THEN head / rms ELSE 0 END"), ("tail_ratio", "CASE WHEN rms > 0 THEN tail / rms ELSE 0 END"), ("sound_start_sec", "a * (hz // 20) / hz"), ("sound_end_sec", "(b + 1) * (hz // 20) / hz"), ("clipped_ratio", "coalesce(clip.c, 0) / n"))
 
 
-@query(_FRAMES + _PCM + _ENDS + _EDGES + f" SELECT cast(m.id AS varchar) AS id, CASE WHEN n < {3 * _HZ} THEN 'too_short' ELSE 'ok' END AS status, round(n / {_HZ}, 6) AS duration_sec, " + ", ".join(f"CASE WHEN n >= {3 * _HZ} THEN round({x}, 6) END AS {c}" for c, x in (("rms", "rms"), ("loudness_db", "20 * log10(rms)"), ("crest", "peak / rms"), ("zcr", "zcr"), ("head_ratio", "head / rms"), ("tail_ratio", "tail / rms"), ("sound_start_sec", f"a * {_HZ // 20} / {_HZ}"), ("sound_end_sec", f"(b + 1) * {_HZ // 20} / {_HZ}"))) + f", CASE WHEN n >= {3 * _HZ} THEN 0.0::DOUBLE END AS clipped_ratio FROM m JOIN z USING (id) JOIN e USING (id) LEFT JOIN g USING (id)")
+@query(_FRAMES + _SAMPLES + _LEVELS + " SELECT m.id, CASE WHEN n < 3 * hz THEN 'too_short' ELSE 'ok' END AS status, round(n / hz, 6) AS duration_sec, " + ", ".join(f"CASE WHEN n >= 3 * hz THEN round({x}, 6) END AS {c}" for c, x in _MEASURES) + " FROM m LEFT JOIN wl USING (id) LEFT JOIN e USING (id) LEFT JOIN clip USING (id) LEFT JOIN g USING (id)")
 def recording_levels(spark, sf_dir):
-    return recordings.measured_levels(_chunks(spark, sf_dir))
+    """Of recordings of one window and of three, a clipping, a silent and a short one; silence has no level in decibels."""
+    got = recordings.measured_levels(_chunks(spark, sf_dir))
+    return got.withColumn("loudness_db", F.when(F.col("loudness_db") > float("-inf"), F.col("loudness_db")))
+
+
+_TO = 3_000
+
+
+@query(_FRAMES + _SAMPLES + f", r AS (SELECT id, hz, unnest(range(greatest(1, n * {_TO} // hz))) AS i FROM m) SELECT r.id, i, round(a.v + (coalesce(b.v, a.v) - a.v) * ((i * r.hz % {_TO}) / {_TO}), 6) AS v FROM r JOIN s a ON a.id = r.id AND a.p = i * r.hz // {_TO} LEFT JOIN s b ON b.id = r.id AND b.p = i * r.hz // {_TO} + 1")
+def resampled_chunks(spark, sf_dir):
+    """Recordings of two rates at one between them, sample by sample, from chunks of 64."""
+    got = recordings.resampled(_chunks(spark, sf_dir), _TO)
+    return got.select("id", "pos", F.posexplode("samples").alias("k", "v")).select("id", (F.col("pos") + F.col("k")).alias("i"), "v")
 
 
 @query()
 def extracted_features(spark, sf_dir):
-    """Every descriptor of the recordings."""
-    got = recordings.extract(_chunks(spark, sf_dir))
+    """Every descriptor of the recordings, which have different rates, at one rate; the cutoff at their own."""
+    sounds = _chunks(spark, sf_dir)
+    got = recordings.extract(recordings.resampled(sounds), cutoff=recordings.cutoffs(sounds))
     return got.select("id", "status", "duration_sec", "rms", "crest", "zcr", "centroid_hz", "rolloff_hz", "low_band", "flux", "bpm", "bpm_confidence", "onset_density", "danceability", "cutoff_hz", F.col("key.root").alias("root"), F.col("key.scale").alias("scale"), "fingerprint")
 
 

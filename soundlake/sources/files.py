@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import names
@@ -37,12 +37,21 @@ def content_id(content, size):
     return F.sha2(F.concat(F.substring(content, 1, HEAD_BYTES), F.encode(F.concat(F.lit(":"), size.cast("string")), "UTF-8")), 256)
 
 
+def audio_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Spark's binary files (path, modificationTime, length, content) that are audio files below a folder; content is read only where it is used."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.*").load(folder)
+    return found.where(names.is_audio(F.element_at(F.split("path", "/"), -1)))
+
+
+def described(folder: str) -> list[Column]:
+    """rel_path, file_name, size and last_modified of binary files below a folder."""
+    rel = F.substring_index("path", folder.rstrip("/").split("://")[-1].split(":")[-1] + "/", -1)
+    return [rel.alias("rel_path"), F.element_at(F.split("path", "/"), -1).alias("file_name"), F.col("length").alias("size"), F.unix_millis("modificationTime").alias("last_modified")]
+
+
 def scan_folder(spark: SparkSession, folder: str) -> DataFrame:
     """(id, rel_path, file_name, size, last_modified) of the audio files below a folder."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.*").load(folder)
-    name = F.element_at(F.split("path", "/"), -1)
-    rel = F.substring_index("path", folder.rstrip("/").split("://")[-1].split(":")[-1] + "/", -1)
-    return files.where(names.is_audio(name)).select(content_id(F.col("content"), F.col("length")).alias("id"), rel.alias("rel_path"), name.alias("file_name"), F.col("length").alias("size"), F.unix_millis("modificationTime").alias("last_modified"))
+    return audio_files(spark, folder).select(content_id(F.col("content"), F.col("length")).alias("id"), *described(folder))
 
 
 def lines_of(texts: DataFrame) -> DataFrame:

@@ -23,15 +23,16 @@ def arriving(spark: SparkSession, folder: str, files: int = BATCH) -> DataFrame:
 
 
 def analyse(stream: DataFrame, results: str, checkpoint: str) -> None:
-    """Measures all files of a stream (path, content) that are there now; results lie in ``results``, a folder for each batch."""
+    """Measures all files of a stream (path, content) that are there now, at 16 kHz, but for the cutoff and the sides, which need the file's own rate; results lie in ``results``, a folder for each batch."""
 
     def save(batch: DataFrame, number: int) -> None:
         chunks = audio.decoded(batch).persist()  # both channels and their mean are made of it
         left, right = (audio.channel(chunks, c).withColumnRenamed("path", "id") for c in (0, 1))
-        known = audio.downmixed(chunks).withColumnRenamed("path", "id")
-        got = recordings.extract(known, recordings.side_ratios(left, right))
+        known = audio.downmixed(chunks).withColumnRenamed("path", "id").persist()
+        got = recordings.extract(recordings.resampled(known), recordings.side_ratios(left, right), recordings.cutoffs(known))
         failed = chunks.where("error IS NOT NULL").select(F.col("path").alias("id"), F.lit("undecodable").alias("status"))
         got.unionByName(failed, allowMissingColumns=True).write.mode("overwrite").parquet(f"{results}/batch={number}")
+        known.unpersist()
         chunks.unpersist()
 
     stream.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
