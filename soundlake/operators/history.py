@@ -56,11 +56,10 @@ def without_repeats(changes: DataFrame, by: str | None = None) -> DataFrame:
 
 
 def job_times(marks: DataFrame) -> DataFrame:
-    """(job, stage, ms): times between a job's entering and leaving a stage, from marks (job, stage, kind: open or close, at in ms). The nth opening goes with the nth closing; an opening without one is not told."""
-    w = Window.partitionBy("job", "stage", "kind").orderBy("at")
-    nth = marks.withColumn("n", F.row_number().over(w))
-    opened, closed = (nth.where(F.col("kind") == k).select("job", "stage", "n", F.col("at").alias(k)) for k in ("open", "close"))
-    return opened.join(closed, ["job", "stage", "n"]).select("job", "stage", (F.col("close") - F.col("open")).alias("ms"))
+    """(job, stage, ms): times that jobs spent in stages, from marks (job, kind: stage, done or failed, stage, at in ms, number). Entering a stage closes the one before, done closes the last, and a failure ends one without a time; one that is still open is not told."""
+    w = Window.partitionBy("job").orderBy("at", "number")  # the marks of one job
+    rows = marks.withColumns({"until": F.lead("at").over(w), "next": F.lead("kind").over(w)})
+    return rows.where((F.col("kind") == "stage") & (F.col("next") != "failed")).select("job", "stage", (F.col("until") - F.col("at")).alias("ms"))
 
 
 def stage_times(events: DataFrame) -> DataFrame:

@@ -240,8 +240,10 @@ def changes_of_track(spark, sf_dir):
 # --- streams ---
 
 
-def _stream(spark, sf_dir) -> DataFrame:
+def _stream(spark, sf_dir, with_k: bool = False) -> DataFrame:
     events = spark.readStream.schema("event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string").option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    if with_k:
+        return events.select("event_id", "user_id", "event_type", F.get_json_object("props", "$.k").cast("long").alias("k"), F.col("ts").cast("timestamp").alias("played_at"))
     return events.select("event_id", "user_id", "event_type", F.concat(F.lit("t"), F.col("user_id").cast("string")).alias("track_id"), F.col("ts").cast("timestamp").alias("played_at"), F.col("value").alias("played_sec"))
 
 

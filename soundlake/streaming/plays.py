@@ -89,3 +89,12 @@ def run_once(stream: DataFrame, mode: str = "append") -> DataFrame:
 
     stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/out").select(*stream.columns)
+
+
+def append_plays(stream: DataFrame, folder: str, checkpoint: str) -> None:
+    """Appends what a stream of plays gives to a table: a folder for each batch, so a batch that is repeated after a failure replaces itself."""
+
+    def keep(df: DataFrame, batch: int) -> None:
+        df.write.mode("overwrite").parquet(f"{folder}/batch={batch}")
+
+    stream.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

@@ -121,7 +121,7 @@ def _changed(now: State, r: Row) -> tuple[State, list[tuple]]:
     return (r["track_id"],), [(r["track_id"], r["at"], r["number"])]
 
 
-CHANGES = Machine("track_id string", (None,), "track_id string", "track_id string, at long, event_id long", _changed)
+CHANGES = Machine("track_id string", (None,), "track_id string", "track_id string, at_ms long, event_id long", _changed)
 
 
 # --- the stages of jobs ---
@@ -134,7 +134,7 @@ def _timed(now: State, r: Row) -> tuple[State, list[tuple]]:
     return ((r["stage"], r["at"]) if r["kind"] == "stage" else (None, None)), told
 
 
-STAGES = Machine("stage string, since long", (None, None), "kind string, stage string", "stage string, at long, ms long", _timed)
+STAGES = Machine("stage string, since long", (None, None), "kind string, stage string", "stage string, at_ms long, ms long", _timed)
 
 
 # --- the state of a file ---
@@ -160,13 +160,13 @@ def _moved(now: State, r: Row) -> tuple[State, list[tuple]]:
     return new, [(at, new[0], new[1], error)]
 
 
-def _stuck(now: State) -> tuple[State, list[tuple]]:
-    """A job that takes too long failed, and may be taken again."""
-    at = now[2] + JOB_MS
-    return ("failed", now[1] + 1, None), [(at, "failed", now[1] + 1, "timeout")]
+def files(job_ms: int = JOB_MS) -> Machine:
+    """A job that takes longer than job_ms has failed, and may be taken again while it has tries left."""
 
+    def stuck(now: State) -> tuple[State, list[tuple]]:
+        return ("failed", now[1] + 1, None), [(now[2] + job_ms, "failed", now[1] + 1, "timeout")]
 
-FILES = Machine("status string, attempts int, since long", (None, 0, None), "kind string, message string", "at long, status string, attempts int, error string", _moved, lambda now: None if now[2] is None else now[2] + JOB_MS, _stuck)
+    return Machine("status string, attempts int, since long", (None, 0, None), "kind string, message string", "at_ms long, status string, attempts int, error string", _moved, lambda now: None if now[2] is None else now[2] + job_ms, stuck)
 
 
 # --- what a queue hands to a player ---
@@ -214,6 +214,6 @@ QUEUE = Machine(
     "playing string, place string, plan array<string>, held array<string>, handed array<string>, short boolean",
     (None, None, [], [], [], False),
     "kind string, track_id string, ids array<string>",
-    "at long, number long, played string, given array<string>, wants_plan boolean, upcoming array<string>",
+    "at_ms long, number long, played string, given array<string>, wants_plan boolean, upcoming array<string>",
     _queued,
 )
