@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import history
-from ..sources import tags
+from ..sources import files, tags
 from ..streaming import plays as streams
 from ..streaming import states
 from . import relations as R
@@ -118,3 +118,18 @@ def tags_roundtrip(spark, sf_dir):
     made = (id3(3, wide), id3(4, narrow), flac())
     some = [t.where(F.col("k") % 3 == i).select("id", c.alias("content")) for i, c in enumerate(made)]
     return tags.with_tags(some[0].unionByName(some[1]).unionByName(some[2])).select("id", "title", "artist", "album", "year", "track_no", "has_cover_art")
+
+
+@query("SELECT folder AS list_id, cast(k AS varchar) AS want, CASE min(k) OVER (PARTITION BY folder) % 3 WHEN 0 THEN concat('A\"', cast(k AS varchar)) ELSE concat('A', cast(k AS varchar)) END AS artist, title FROM tracks WHERE title IS NOT NULL")
+def wants_pasted(spark, sf_dir):
+    """Lists of three forms, a table with quoted cells and line ends, a playlist and plain lines, read as one table of texts."""
+    t = R.tracks(spark, sf_dir).where("title IS NOT NULL").select("folder", "k", "title", (F.min("k").over(Window.partitionBy("folder")) % 3).alias("form"))  # the recordings of one folder
+    quoted = lambda c: F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
+    artist = F.concat(F.when(F.col("form") == 0, 'A"').otherwise("A"), F.col("k").cast("string"))
+    cells = F.concat_ws(",", quoted(F.concat(artist, F.lit(", someone else"))), quoted(F.lit("a note,\r\nin two lines")), quoted(F.col("title")))
+    line = F.concat_ws(" - ", artist, "title")
+    each = F.when(F.col("form") == 0, cells).when(F.col("form") == 1, F.concat(F.lit("#EXTINF:1,"), line, F.lit("\nsome/path.mp3"))).otherwise(line)
+    texts = t.groupBy(F.col("folder").alias("list_id"), "form").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", each.alias("line")))), lambda s: s["line"]), "\r\n").alias("body"))
+    head = F.when(F.col("form") == 0, "Artist Name(s),Remark,Track Name\r\n").when(F.col("form") == 1, "#EXTM3U\n").otherwise("# a list\n")
+    got = files.wants_of(texts.select("list_id", F.concat(head, "body").alias("text")))
+    return got.select("list_id", F.regexp_extract("artist", r"(\d+)$", 1).alias("want"), "artist", "title")

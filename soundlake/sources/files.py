@@ -111,6 +111,52 @@ def wants_from_csv(spark: SparkSession, path: str) -> DataFrame | None:
     return table.select(F.when(first != "", first).alias("artist"), F.trim(table[title]).alias("title")).where("title <> ''")
 
 
+def csv_rows(texts: DataFrame) -> DataFrame:
+    """(list_id, row, cells) of tables (list_id, text): a quoted cell may hold commas, line ends (as \\n) and doubled quotes.
+
+    A line begins a row if the quotes of all lines before it are even in number; inside a
+    row every other piece between quotes is quoted. NUL characters are dropped.
+    """
+    whole = texts.select("list_id", F.replace("text", F.lit("\0"), F.lit("")).alias("text"))
+    lines = lines_of(whole).withColumn("quotes", F.length("line") - F.length(F.replace("line", F.lit('"'), F.lit(""))))
+    w = Window.partitionBy("list_id").orderBy("pos")  # the lines of one table
+    before = F.coalesce(F.sum("quotes").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    begun = lines.withColumn("begins", (before % 2 == 0).cast("int")).withColumn("row", F.sum("begins").over(w) - 1)
+    joined = begun.groupBy("list_id", "row").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda s: s["line"]), "\n").alias("line"))  # the lines of one row
+    parts = F.split("line", '"')
+    told = F.transform(parts, lambda x, i: F.when(i % 2 == 1, x).when((x == "") & (i > 0) & (i < F.size(parts) - 1), '"').otherwise(F.replace(x, F.lit(","), F.lit("\0"))))
+    return joined.select("list_id", F.col("row").cast("long").alias("row"), F.split(F.array_join(told, ""), "\0").alias("cells"))
+
+
+def csv_heads(texts: DataFrame) -> DataFrame:
+    """(list_id, title_at, artist_at) of texts that are tables: their first row has two cells or more, and names a title column."""
+    return _heads(csv_rows(texts.select("list_id", names.trimmed(F.col("text")).alias("text"))))
+
+
+def _heads(rows: DataFrame) -> DataFrame:
+    cells = F.transform("cells", lambda c: F.lower(names.trimmed(c)))
+    place = lambda wanted: F.array_min(F.filter(F.transform(cells, lambda c, i: F.when(c.isin(*wanted), i)), lambda i: i.isNotNull()))
+    return rows.where("row = 0").select("list_id", F.when(F.size("cells") >= 2, place(TITLE_COLUMNS)).alias("title_at"), place(ARTIST_COLUMNS).alias("artist_at")).where("title_at IS NOT NULL")
+
+
+def wants_from_tables(texts: DataFrame) -> DataFrame:
+    """(list_id, ord, artist, title) of tables whose first row names a title column among two or more; of several artists in a cell the first counts. Other texts give no rows."""
+    rows = csv_rows(texts.select("list_id", names.trimmed(F.col("text")).alias("text")))
+    heads = _heads(rows)
+    cell = lambda at: names.trimmed(F.coalesce(F.try_element_at("cells", F.col(at) + 1), F.lit("")))
+    told = rows.where("row > 0").join(heads, "list_id").select("list_id", F.col("row").alias("ord"), cell("artist_at").alias("artists"), cell("title_at").alias("title")).where("title <> ''")
+    return told.select("list_id", "ord", F.when(F.col("artists") != "", names.trimmed(F.split("artists", ",")[0])).alias("artist"), "title")
+
+
+def wants_of(texts: DataFrame) -> DataFrame:
+    """(list_id, ord, artist, title) of want lists (list_id, text) in whatever form each came: a playlist, a table or lines. Nulls and blanks have no rows."""
+    some = texts.where(names.trimmed(F.coalesce("text", F.lit(""))) != "")
+    m3u = F.col("text").rlike("(?im)^#EXTM3U|^#EXTINF:")
+    tables = wants_from_tables(some.where(~m3u))
+    lines = wants_from_lines(some.where(~m3u).join(csv_heads(some.where(~m3u)), "list_id", "left_anti"))
+    return wants_from_m3u(some.where(m3u)).select("list_id", F.col("ord").cast("long").alias("ord"), "artist", "title").unionByName(tables).unionByName(lines.withColumn("ord", F.col("ord").cast("long")))
+
+
 def kind_of_list(text):
     """How a want list is written: m3u, csv or lines."""
     head = F.lower(F.regexp_extract(text, r"^\s*([^\r\n]*)", 1))
