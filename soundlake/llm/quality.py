@@ -49,7 +49,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import LOWER, SPACE, Block, Spans, ascending, blocks, byte_set, grams, mix, words
+from .blocks import LOWER, SPACE, Block, Spans, Words, ascending, blocks, byte_set, grams, mix, words
 from .shared import checkpointed, id_and_text, row_key
 
 MAX_LABELLED, LEAST_GOOD = 5_000, 5
@@ -61,19 +61,27 @@ GATHERED, FRESH, BATCH = 12_000_000, 500_000, 50_000
 #: A block's rows and hashes share 64 bits; among 10**5 sure features, one in 3 * 10**9 others is taken for one of them.
 HASH_BITS, PREFIX_BITS = 48, 22
 HEADS = (4, 5, 6)
+#: The scale of sharpness where the cut is nearer to 0.
+LEAST_CUT = 1e-3
 _WORD = byte_set((0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF))
 _SIGN = ~_WORD & ~SPACE & ~byte_set((0x00, 0x1F), (0x7F, 0x7F))
 _UPPER, _LOWERCASE = byte_set((0x41, 0x5A)), byte_set((0x61, 0x7A))
 
 
+def _inside(told: np.ndarray, w: Words) -> np.ndarray:
+    """How many of the bytes told lie in each word."""
+    sums = np.zeros(len(told) + 1, np.int32 if len(told) < 1 << 31 else np.int64)
+    np.cumsum(told, out=sums[1:])
+    return sums[w.ends] - sums[w.starts]
+
+
 def features(block: Block) -> tuple[np.ndarray, np.ndarray]:
     """(row, hash) of every feature, repeats included."""
     low = Block(block.ids, LOWER[block.data], block.offsets)
     w, signs = words(low, _WORD), words(block, _SIGN)
     hashes = Spans(low.data)
-    h, s = hashes(w.starts, w.ends), Spans(block.data)(signs.starts, signs.ends)
-    ups, downs = (np.concatenate([[0], np.cumsum(t[block.data])]) for t in (_UPPER, _LOWERCASE))
-    up, down = ups[w.ends] - ups[w.starts], downs[w.ends] - downs[w.starts]
+    h, s = hashes(w.starts, w.ends), hashes(signs.starts, signs.ends)  # signs hold no letters
+    up, down = (_inside(t[block.data], w) for t in (_UPPER, _LOWERCASE))
     # 0 no letters, 1 lower, 2 capital first, 3 several capitals
     shape = np.where(up + down == 0, 0, np.where(up == 0, 1, np.where((up == 1) | (down > 0), 2, 3))).astype(np.uint64)
     same = np.zeros(len(w), np.uint64)
@@ -343,7 +351,7 @@ def resample(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
     z, best = choose(rows, some, model)
     cut = max(best if cut is None else cut, -1e9)
     uniform = (F.pmod(F.xxhash64("doc_id", "row_key", F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    logit = F.col("weight") if k is not None else F.lit(sharpness) * F.least(F.lit(0.0), F.col("weight") - cut) * (4 / abs(cut))
+    logit = F.col("weight") if k is not None else F.lit(sharpness) * F.least(F.lit(0.0), F.col("weight") - cut) * (4 / max(abs(cut), LEAST_CUT))
     weighed = weigh(rows.select("doc_id", "text", row_key(rows.text).alias("row_key")), model, z)
     weighted = checkpointed(weighed.withColumns({"key": logit - F.log(-F.log(uniform)), "uid": F.monotonically_increasing_id()}))
     return gumbel_top_k(weighted, weighted.where(F.col("weight") > cut).count() if k is None else k).drop("uid")

@@ -206,3 +206,11 @@ def test_weights_against_brute_force(spark):
     got = quality.weigh(docs.select("doc_id", "text", F.lit(0).cast("long").alias("row_key")), model, 2.0)
     for r in got.collect():
         assert abs(r.weight - sum(weight.get(h, 0) for h in held[r.doc_id])) < 1e-9
+
+
+def test_a_cut_of_nothing(spark):
+    """0 is the natural cut: rows whose weight lies above it stay."""
+    docs = spark.createDataFrame([(i, ("good words of every kind here " if i % 2 else "buy cheap pills now now ") * 6) for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(20)], "doc_id long, quality int, toxic int")
+    kept = {r.doc_id for r in resample(docs, labels, cut=0.0).collect()}
+    assert kept and all(i % 2 for i in kept)
