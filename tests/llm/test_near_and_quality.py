@@ -212,5 +212,5 @@ def test_a_cut_of_nothing(spark):
     """0 is the natural cut: rows whose weight lies above it stay."""
     docs = spark.createDataFrame([(i, ("good words of every kind here " if i % 2 else "buy cheap pills now now ") * 6) for i in range(400)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(200)], "doc_id long, quality int, toxic int")
-    kept = {r.doc_id for r in resample(docs, labels, cut=0.0).collect()}
-    assert kept and all(i % 2 for i in kept)
+    kept = resample(docs, labels, cut=0.0).collect()
+    assert all(r.weight > 0 and r.doc_id % 2 for r in kept) and len(kept) < 400
