@@ -95,6 +95,38 @@ def display(artist: Column, title: Column, file_name: Column) -> Column:
     return F.when(blank(title), file_name).when(blank(artist), title).otherwise(F.concat_ws(" - ", artist, title))
 
 
+def title_of(title: Column, file_name: Column) -> Column:
+    """The title, or else the file's name without its ending."""
+    return F.coalesce(title, F.regexp_replace(file_name, r"\.[^.]+$", ""))
+
+
+def full_title(artist: Column, title: Column, file_name: Column, dash: str = " - ") -> Column:
+    """For a line that somebody reads; lists on screens have a long dash."""
+    return F.concat_ws(dash, artist, title_of(title, file_name))
+
+
+def label(artist: Column, title: Column, file_name: Column, size: Column, duration_sec: Column) -> Column:
+    """With what the file weighs a second, where that is known."""
+    kbps = F.when(duration_sec > 0, F.concat(F.lit(" · "), F.floor(size * 8 / duration_sec / 1000 + 0.5).cast("string"), F.lit("k")))
+    return F.concat(full_title(artist, title, file_name, " — "), F.coalesce(kbps, F.lit("")))
+
+
+def proposed(artist: Column, title: Column, own_artist: Column, own_title: Column) -> Column:
+    """A proposal as one line; what it leaves out is the recording's own."""
+    return F.concat_ws(" — ", F.coalesce(artist, own_artist), F.coalesce(title, own_title, F.lit("")))
+
+
+def tempo_and_key(bpm: Column, code: Column) -> Column:
+    """The two numbers that a move turns on; empty without a key, that is for what isn't analysed."""
+    tempo = F.when(bpm > 0, F.floor(bpm + 0.5).cast("string")).otherwise("--")
+    return F.coalesce(F.concat(tempo, F.lit(" · "), code), F.lit(""))
+
+
+def dated(kind: str, at_ms: Column, ending: str) -> Column:
+    """A name for a file that is written, with the day (in UTC) of a time in ms."""
+    return F.concat(F.lit(f"{kind}-"), F.date_format(F.to_utc_timestamp(F.timestamp_millis(at_ms), F.current_timezone()), "yyyy-MM-dd"), F.lit(f".{ending}"))
+
+
 def duration_words(seconds: Column) -> Column:
     """Hours and minutes, or minutes alone below an hour."""
     hours, minutes = F.floor(seconds / 3600), F.floor((seconds % 3600) / 60)

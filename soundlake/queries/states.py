@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import history
+from ..functions import names
+from ..operators import history, statistics
+from ..plans import playback
 from ..sources import files, tags
 from ..streaming import plays as streams
 from ..streaming import states
+from . import catalog
 from . import relations as R
 from .catalog import query
 from .signals import _stream
@@ -133,3 +136,30 @@ def wants_pasted(spark, sf_dir):
     head = F.when(F.col("form") == 0, "Artist Name(s),Remark,Track Name\r\n").when(F.col("form") == 1, "#EXTM3U\n").otherwise("# a list\n")
     got = files.wants_of(texts.select("list_id", F.concat(head, "body").alias("text")))
     return got.select("list_id", F.regexp_extract("artist", r"(\d+)$", 1).alias("want"), "artist", "title")
+
+
+_SIDE = "lead(struct_pack(id := id, n := track_no, head := head_ratio, tail := tail_ratio, f := file_name, album := {0}, l := {1})) OVER w".format(catalog._FOLDED, catalog._LEADING)
+
+
+@query(
+    catalog.REFERENCE
+    + f", p AS (SELECT *, {_SIDE} AS nx, lead(id) OVER w AS next_id, count(*) OVER (PARTITION BY folder) - row_number() OVER w AS remaining, {catalog._FOLDED} AS album_, {catalog._LEADING} AS l_, 20 * log10(loudness) AS level, (SELECT db FROM reference) AS db FROM tracks WINDOW w AS (PARTITION BY folder ORDER BY k))"
+    " SELECT folder AS list_id, k AS pos, id, coalesce(title, file_name) AS title, coalesce(artist, '') AS artist, round(duration_sec, 6) AS duration_sec, CASE WHEN bpm > 0 AND intro_beat_sec IS NOT NULL THEN round(bpm, 6) END AS intro_bpm, CASE WHEN bpm > 0 THEN round(outro_beat_sec, 6) END AS outro_beat_sec,"
+    " CASE WHEN analysed THEN round(CASE WHEN least(12, greatest(-12, db - level)) <= 0 THEN least(12, greatest(-12, db - level)) WHEN crest > 0 THEN greatest(0, least(least(12, db - level), -(level + 20 * log10(crest)) - 2)) ELSE 0 END, 6) ELSE 0 END AS trim_db, sound_end_sec, next_id, remaining,"
+    " coalesce(analysed AND tail_ratio > 0.5 AND nx.head > 0.5 AND file_name <> nx.f AND (coalesce(track_no + 1 = nx.n AND album_ = nx.album AND album_ <> '', false) OR coalesce(l_ + 1 = nx.l, false)), false) AS joined FROM p"
+)
+def playback_rows(spark, sf_dir):
+    """Folders as playlists: what a player needs of each position."""
+    t = R.tracks(spark, sf_dir)
+    got = playback.playback(t.select(F.col("folder").alias("list_id"), F.col("k").alias("pos"), "id"), t, statistics.reference_level(t))
+    return got.select("list_id", "pos", "id", "title", "artist", "duration_sec", F.col("intro.bpm").alias("intro_bpm"), F.col("outro.beat_sec").alias("outro_beat_sec"), "trim_db", "sound_end_sec", "next_id", "remaining", "joined")
+
+
+_STEM = "coalesce(title, regexp_replace(file_name, '\\.[^.]+$', ''))"
+
+
+@query(f"SELECT id, concat_ws(' - ', artist, {_STEM}) AS full_title, concat(concat_ws(' — ', artist, {_STEM}), CASE WHEN duration_sec > 0 THEN concat(' · ', cast(floor(size * 8 / duration_sec / 1000 + 0.5) AS bigint), 'k') ELSE '' END) AS label, CASE WHEN analysed THEN concat(CASE WHEN bpm > 0 THEN cast(cast(floor(bpm + 0.5) AS bigint) AS varchar) ELSE '--' END, ' · ', key_scale) ELSE '' END AS tempo_and_key, concat('set-', strftime(make_timestamp(last_modified * 86400000), '%Y-%m-%d'), '.m3u') AS file FROM tracks")
+def display_names(spark, sf_dir):
+    """How recordings are called in lines, lists and files."""
+    c = F.col
+    return R.tracks(spark, sf_dir).select("id", names.full_title(c("artist"), c("title"), c("file_name")).alias("full_title"), names.label(c("artist"), c("title"), c("file_name"), c("size"), c("duration_sec")).alias("label"), names.tempo_and_key(c("bpm"), c("key_scale")).alias("tempo_and_key"), names.dated("set", c("last_modified") * 86_400, "m3u").alias("file"))

@@ -118,8 +118,3 @@ def write_document(tracks: DataFrame, plays: DataFrame, folder: str, exported_at
     comma = F.regexp_extract("value", "^(,?)", 1)
     lines = document(tracks, plays, exported_at, analysis_version).orderBy("part", "key", comma)
     lines.select("value").write.text(folder)
-
-
-def export_name(at: Column, kind: str = "library") -> Column:
-    """A name for an export's file, with the day of a time in ms."""
-    return F.concat(F.lit(f"{kind}-"), F.date_format(F.timestamp_millis(at), "yyyy-MM-dd"), F.lit(".json"))

@@ -49,9 +49,10 @@ def described(folder: str) -> list[Column]:
     return [rel.alias("rel_path"), F.element_at(F.split("path", "/"), -1).alias("file_name"), F.col("length").alias("size"), F.unix_millis("modificationTime").alias("last_modified")]
 
 
-def scan_folder(spark: SparkSession, folder: str) -> DataFrame:
-    """(id, rel_path, file_name, size, last_modified) of the audio files below a folder."""
-    return audio_files(spark, folder).select(content_id(F.col("content"), F.col("length")).alias("id"), *described(folder))
+def scan_folder(spark: SparkSession, folder: str, root_id: str | None = None) -> DataFrame:
+    """(id, rel_path, file_name, size, last_modified) of the audio files below a folder, and root_id where one is given."""
+    rows = audio_files(spark, folder).select(content_id(F.col("content"), F.col("length")).alias("id"), *described(folder))
+    return rows if root_id is None else rows.withColumn("root_id", F.lit(root_id))
 
 
 def lines_of(texts: DataFrame) -> DataFrame:

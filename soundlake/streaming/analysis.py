@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import merge, recordings, statistics
+from ..operators import merge, recordings, signals, statistics
 from ..sources import audio, store
 from ..sources import files as files_
 
@@ -71,6 +71,27 @@ def analyse(stream: DataFrame, results: str, checkpoint: str, table: str | None
         store.change(spark, table, ranked)
 
 
+def deep_scan(stream: DataFrame, readings: str, checkpoint: str, batches: int | None = None) -> None:
+    """Measures where the spectra of all files of a stream (path, id, content) end, from their middle 30 seconds; stops after so many batches, and goes on there when it is called again.
+
+    readings: a folder for each batch, with (id, cutoff_hz, size, duration_sec), as health.cutoff_report takes them; a file that can't be read has no cutoff.
+    """
+    done: list[int] = []
+
+    def save(batch: DataFrame, number: int) -> None:
+        files = batch.select(F.col("id").alias("path"), "content").persist()
+        cut = recordings.cutoffs(audio.downmixed(audio.decoded(files, seconds=signals.CUTOFF_SEC)).withColumnRenamed("path", "id"))
+        rows = files.select(F.col("path").alias("id"), F.length("content").cast("long").alias("size")).join(audio.lengths(files).withColumnRenamed("path", "id"), "id").join(cut, "id", "left")
+        rows.select("id", "cutoff_hz", "size", "duration_sec").write.mode("overwrite").parquet(f"{readings}/batch={number}")
+        files.unpersist()
+        done.append(number)
+
+    query = stream.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    while not query.awaitTermination(1):
+        if batches is not None and len(done) >= batches:
+            query.stop()  # between batches or inside one, which is then measured again
+
+
 def results(spark: SparkSession, folder: str) -> DataFrame:
     """The newest result of each file."""
     rows = spark.read.option("mergeSchema", "true").parquet(folder)
