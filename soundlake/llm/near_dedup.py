@@ -151,10 +151,10 @@ def _differences(shingle: int, percent: int):
 def _by_differences(rows: DataFrame, percent: int) -> DataFrame:
     """(a, b) of nodes in different components, under one pivot, that share enough of their differences from it. rows: (p, x, c, np, n, d, like, e)."""
     r = F.lit((100 - percent) / (100 + percent))
-    counts = rows.groupBy("p", "e").agg(F.count("*").alias("often"))
+    counts = rows.groupBy("p", "e").agg(F.count("*").alias("often"), (F.min("c") < F.max("c")).alias("several"))
     rare = Window.partitionBy("p", "x").orderBy("often", "e")  # no more than the shingles of two documents
     ranked = rows.join(counts, ["p", "e"]).withColumns({"rank": F.row_number().over(rare), "g": F.col("d") - r * F.col("n"), "w": F.greatest(F.lit(1.0), F.col("np") * r / 2)})
-    ranked = checkpointed(ranked.withColumn("bin", F.floor(F.col("g") / F.col("w"))).drop("often"))
+    ranked = checkpointed(ranked.withColumn("bin", F.floor(F.col("g") / F.col("w"))).where("several").drop("often", "several"))  # a shingle of one component's nodes links nothing
     first = lambda g, h: F.col("d") + 1 - F.greatest(F.lit(1), F.ceil((g + h) / 2 - 1e-6))
     held = ranked.where(F.col("rank") <= first(F.col("g"), F.col("np") * r)).select("p", "e", "bin", *(F.col(c).alias(f"{c}_") for c in ("x", "c", "n", "g", "d", "rank")))
     # sizes of differences in steps of a part of the pivot's size; each pivot's go to every salt, so that one with very many nodes is no single key
@@ -162,9 +162,11 @@ def _by_differences(rows: DataFrame, percent: int) -> DataFrame:
     salted = ranked.where("not like").drop("bin").withColumn("salt", F.pmod(F.xxhash64("x", "e"), F.lit(SALTS)).cast("int"))
     asked = salted.join(bins, ["p", "salt"]).withColumn("bin", F.explode("bins")).where(F.col("rank") <= first(F.col("g"), F.col("bin") * F.col("w")))
     shared = F.greatest(F.lit(1), F.ceil((F.col("g") + F.col("g_")) / 2 - 1e-6))
-    near = (F.col("c") != F.col("c_")) & (F.col("rank") <= F.col("d") + 1 - shared) & (F.col("rank_") <= F.col("d_") + 1 - shared) & (F.least("n", "n_") * 100 >= F.greatest("n", "n_") * percent)
+    near = (F.col("rank") <= F.col("d") + 1 - shared) & (F.col("rank_") <= F.col("d_") + 1 - shared) & (F.least("n", "n_") * 100 >= F.greatest("n", "n_") * percent)
     keys = ["p", "bin", "e"]
-    return asked.join(held, keys).where(near).select(F.least("x", "x_").alias("a"), F.greatest("x", "x_").alias("b"))
+    # nodes of one component never meet: its name meets other names first
+    apart = asked.select(*keys, "c").distinct().join(held.select(*keys, "c_").distinct(), keys).where("c <> c_")
+    return asked.join(apart, [*keys, "c"]).join(held, [*keys, "c_"]).where(near).select(F.least("x", "x_").alias("a"), F.greatest("x", "x_").alias("b"))
 
 
 def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS, band_perms: int = BAND_PERMS, pivot_rounds: int = PIVOT_ROUNDS) -> DataFrame:

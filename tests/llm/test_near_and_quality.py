@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from soundlake.llm import quality, stages
 from soundlake.llm.blocks import blocks
 from soundlake.llm.components import components
-from soundlake.llm.near_dedup import near_dedup
+from soundlake.llm.near_dedup import _by_differences, near_dedup
 from soundlake.llm.quality import gumbel_top_k, resample
 
 SCHEMA = "doc_id long, text string, n long, body string, bands string"
@@ -214,3 +214,39 @@ def test_a_cut_of_nothing(spark):
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(200)], "doc_id long, quality int, toxic int")
     kept = resample(docs, labels, cut=0.0).collect()
     assert all(r.weight > 0 and r.doc_id % 2 for r in kept) and len(kept) < 400
+
+
+def test_a_cluster_under_a_foreign_pivot(spark):
+    """Many near copies that share bands with a document that is similar to none of them; and the shingles that differ link nodes of other components only."""
+    rng = random.Random(17)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    base = [word() for _ in range(300)]
+    pivot = base[:240] + [word() for _ in range(60)]
+    rows = [(0, " ".join(pivot))]
+    for i in range(1, 500):
+        copy = list(base)
+        for _ in range(3):
+            copy[rng.randrange(300)] = word()
+        rows.append((i, " ".join(copy)))
+    got = {r.doc_id: r.component_id for r in near_dedup(spark.createDataFrame(rows, "doc_id long, text string"), shingle=2).collect()}
+    assert got == {0: 0} | dict.fromkeys(range(1, 500), 1)
+
+
+def test_differences_against_all_pairs(spark):
+    """Pairs of different components under one pivot whose differences share enough, each from the rarest shingles that they need."""
+    rng = random.Random(23)
+    percent, size = 80, 40
+    pivot = frozenset(range(size))
+    nodes = {}
+    bases = [set(rng.sample(range(size), n)) | {1000 + 100 * n + k for k in range(12)} for n in (24, 28, 31, 35)]
+    for x in range(1, 160):
+        kind = rng.randrange(4)
+        changed = bases[kind] ^ set(rng.sample(sorted(bases[kind]), rng.randint(0, 4))) | {9000 + 10 * x + k for k in range(rng.randint(0, 3))}
+        nodes[x] = (frozenset(changed), 1 + kind if rng.random() < 0.7 else x)
+    like = lambda a, b: 100 * len(a & b) >= percent * len(a | b)
+    rows = [(0, x, c, size, len(s), len(s ^ pivot), like(s, pivot), e) for x, (s, c) in nodes.items() for e in s ^ pivot]
+    schema = "p long, x long, c long, np long, n long, d long, like boolean, e int"
+    got = {(p.a, p.b) for p in _by_differences(spark.createDataFrame(rows, schema), percent).distinct().collect()}
+    want = {(a, b) for a in nodes for b in nodes if a < b and nodes[a][1] != nodes[b][1] and like(nodes[a][0], nodes[b][0]) and not (like(nodes[a][0], pivot) and like(nodes[b][0], pivot))}
+    assert len(want) > 100 and want <= got
+    assert all(nodes[a][1] != nodes[b][1] for a, b in got)
