@@ -34,7 +34,8 @@ def blank(text: Column) -> Column:
 
 def fold(text: Column) -> Column:
     """The form on which two spellings of a name agree; empty if nothing is left. The word "with" also opens a featured artist."""
-    x = F.regexp_replace(F.lower(_without_accents(text)), "&", " and ")
+    plain = F.when(text.rlike(r"[^\x00-\x7F]"), _without_accents(F.when(text.rlike(r"[^\x00-\x7F]"), text))).otherwise(text)  # Python sees only names that need it
+    x = F.regexp_replace(F.lower(plain), "&", " and ")
     x = F.regexp_replace(F.regexp_replace(x, _FEATURING, " "), _EDITION, " ")
     x = F.regexp_replace(F.regexp_replace(x, _APOSTROPHES, ""), r"[^\p{L}\p{N}]+", " ")
     return F.trim(x)

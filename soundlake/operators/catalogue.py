@@ -10,6 +10,15 @@ from . import health, identity, segues, shape
 
 #: Fixed value: how many names a picker shows.
 SHOWN = 60
+#: How many rows of each list are shown at first.
+LIMITS = {"health": 8, "duplicates": 12, "proposals": 10, "wants": 15, "common": 12, "catalogue": SHOWN, "segues": 10, "queue": 4}
+#: Texts that can be looked for at once.
+MOST_ASKED = 10_000
+
+
+def first(rows: DataFrame, kind: str, limit: int | None = None) -> DataFrame:
+    """The rows of an ordered list that are shown before the rest is asked for."""
+    return rows.limit(LIMITS[kind] if limit is None else limit)
 
 
 def labels(tracks: DataFrame) -> DataFrame:
@@ -30,8 +39,10 @@ def shown(named: DataFrame, text: str, limit: int = SHOWN) -> DataFrame:
 def find(named: DataFrame, asked: DataFrame) -> DataFrame:
     """(ord, text, id): for each text asked (ord, text) the recording with that very name, else the only one whose name holds it in either case, else null.
 
-    The texts asked are few, at most some hundreds: they go to every task, and each name is looked through for all of them.
+    The texts asked go to every task, and each name is looked through for all of them, so there may be MOST_ASKED; ValueError for more.
     """
+    if asked.limit(MOST_ASKED + 1).count() > MOST_ASKED:
+        raise ValueError(f"more than {MOST_ASKED} texts are asked for at once")
     wanted = asked.select("ord", "text", F.trim("text").alias("w"))
     some = wanted.where("w <> ''")
     exact = some.join(named.groupBy("label").agg(F.min("id").alias("exact")), F.col("w") == F.col("label")).select("ord", "exact")
@@ -54,6 +65,8 @@ def report(tracks: DataFrame, recordings: DataFrame) -> dict[str, DataFrame]:
     """The whole report from one read of both tables: shape, gaps, keys, duplicates, findings about files, segues, names for files without tags, and names to pick by. recordings is what ``identity`` takes."""
     t, r = checkpointed(tracks), checkpointed(recordings)
     tempo = shape.tempo_histogram(t)
+    pairs = checkpointed(identity.duplicate_pairs(r))  # made once for groups and verdicts
+    groups = identity.components(pairs)
     return {
         "totals": shape.totals(t),
         "tempo": tempo,
@@ -63,8 +76,8 @@ def report(tracks: DataFrame, recordings: DataFrame) -> dict[str, DataFrame]:
         "bridges": shape.key_bridges(t),
         "decades": shape.decades(t),
         "findings": shape.findings(t),
-        "duplicates": identity.duplicate_groups(r),
-        "verdicts": identity.duplicate_verdicts(r),
+        "duplicates": identity.duplicate_groups(r, pairs=pairs, groups=groups),
+        "verdicts": identity.duplicate_verdicts(r, pairs=pairs, groups=groups),
         "health": health.findings(t),
         "health_totals": health.totals(t),
         "segues": segues.find_segues(t),

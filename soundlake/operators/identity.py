@@ -73,9 +73,12 @@ def _compare(tolerance: float, threshold: float, once: bool):
             with np.errstate(invalid="ignore"):
                 i, j = np.nonzero((far <= threshold) & (np.abs(secs[0][:, None] - secs[1][None, :]) <= tolerance))
             a, b, d = ids[0].take(pa.array(i)), ids[1].take(pa.array(j)), pa.array(far[i, j])
-            if once:  # of both orders, and not with itself
+            if once:
                 kept = pc.less(a, b)
-                a, b, d = a.filter(kept), b.filter(kept), d.filter(kept)
+                if t["ka"][0] == t["kb"][0]:  # a block with itself gives both orders, and each row with itself
+                    a, b, d = a.filter(kept), b.filter(kept), d.filter(kept)
+                else:
+                    a, b = pc.if_else(kept, a, b), pc.if_else(kept, b, a)
         else:
             a, b, d = ids[0].slice(0, 0), ids[0].slice(0, 0), pa.array([], pa.float64())
         return pa.table({"a_id": a, "b_id": b, "distance": d})
@@ -99,6 +102,8 @@ def alike(left: DataFrame, right: DataFrame, tolerance: float = TOLERANCE_SEC, t
         a, b = (F.col("mine"), F.col("theirs")) if k == 0 else (F.col("theirs"), F.col("mine"))
         sides.append(near.select(a.alias("ka"), b.alias("kb"), F.lit(k).alias("side"), "id", "sec", "print"))
     kind = left.schema["id"].dataType.simpleString()
+    if once:  # each pair of blocks in one order
+        sides = [df.where("ka <= kb") for df in sides]
     return sides[0].unionByName(sides[1]).groupBy("ka", "kb").applyInArrow(_compare(tolerance, threshold, once), f"a_id {kind}, b_id {kind}, distance double")
 
 
@@ -142,21 +147,21 @@ def _kept(df: DataFrame) -> DataFrame:
     return checkpointed(df)
 
 
-def duplicate_groups(recordings: DataFrame, tolerance: float = TOLERANCE_SEC, threshold: float = THRESHOLD) -> DataFrame:
-    """(id, group_id, distance): recordings in groups of two or more; distance is the least in the group."""
-    pairs = _kept(duplicate_pairs(recordings, tolerance, threshold))
-    groups = components(pairs)
+def duplicate_groups(recordings: DataFrame, tolerance: float = TOLERANCE_SEC, threshold: float = THRESHOLD, pairs: DataFrame | None = None, groups: DataFrame | None = None) -> DataFrame:
+    """(id, group_id, distance): recordings in groups of two or more; distance is the least in the group. pairs, groups: what duplicate_pairs and components gave, where they are known."""
+    pairs = _kept(duplicate_pairs(recordings, tolerance, threshold)) if pairs is None else pairs
+    groups = components(pairs) if groups is None else groups
     nearest = pairs.join(groups.withColumnRenamed("id", "a_id"), "a_id").groupBy("group_id").agg(F.min("distance").alias("distance"))
     return groups.join(nearest, "group_id").select("id", "group_id", "distance")
 
 
-def duplicate_verdicts(recordings: DataFrame, tolerance: float = TOLERANCE_SEC, threshold: float = THRESHOLD) -> DataFrame:
+def duplicate_verdicts(recordings: DataFrame, tolerance: float = TOLERANCE_SEC, threshold: float = THRESHOLD, pairs: DataFrame | None = None, groups: DataFrame | None = None) -> DataFrame:
     """(group_id, n, verdict): different-master if any pair that sounds alike differs by more than 2.5 dB or .12 of compression, else same-master. recordings also has loudness_db and compression.
 
     All recordings of one length and fingerprint match each other, and all of one such class match all of a class that sounds alike. So the least and greatest values of classes tell whether any pair differs, without listing the pairs. Values that are null or NaN differ from none.
     """
-    pairs = _kept(duplicate_pairs(recordings, tolerance, threshold))
-    groups = components(pairs)
+    pairs = _kept(duplicate_pairs(recordings, tolerance, threshold)) if pairs is None else pairs
+    groups = components(pairs) if groups is None else groups
     limits = {"loudness_db": REMASTER_DB, "compression": REMASTER_COMPRESSION}
     value = lambda c: F.when(~F.isnan(c), F.col(c).cast("double"))
     ends = [f(value(c)).alias(f"{p}_{c}") for c in limits for f, p in ((F.min, "lo"), (F.max, "hi"))]

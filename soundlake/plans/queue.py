@@ -97,8 +97,11 @@ class _Pool:
         new = scores.novelty(F.col("recent_artist"), F.col("recent_album"), F.col("recent"), F.col("frequency"), target.familiarity)
         rest = weights.timbre * scores.timbre_cost(side(), target) + weights.novelty * new
         cell = {"at": F.coalesce("place", F.lit(-1)), "slot": _tempo_cell(F.col("bpm")).cast("int"), "level": F.least(F.lit(ENERGY_CELLS - 1), F.greatest(F.lit(0), F.floor(F.col("energy") * ENERGY_CELLS))).cast("int")}
-        cheap = rows.withColumns({"rest": rest, **cell}).withColumn("n", F.row_number().over(Window.partitionBy(*cell).orderBy("rest", "id")))
-        kept = cheap.where((F.col("n") <= most) | (F.col("id") == seed_id)).select(*FIELDS, "rest", *cell, "n").toPandas()  # most of each cell
+        priced = rows.withColumns({"rest": rest, **cell}).select(*FIELDS, "rest", *cell)
+        cheap = priced.withColumn("n", F.row_number().over(Window.partitionBy(*cell).orderBy("rest", "id"))).where(F.col("n") <= most)  # cut in each task before rows move
+        seed = priced.where(F.col("id") == seed_id).withColumn("n", F.lit(0))
+        kept = cheap.unionByName(seed).toPandas()  # most of each cell
+        kept = kept[~kept["id"].duplicated()].reset_index(drop=True)
         self.rows, self.weights = kept, weights
         self.ids = kept["id"].to_numpy(object)
         number = lambda c: kept[c].to_numpy(np.float64, na_value=np.nan)
@@ -193,7 +196,7 @@ def draw(costs: list[float], random: Callable[[], float]) -> int:
         left -= odd
         if left <= 0:
             return i
-    return len(costs) - 1
+    return 0  # a sliver that rounding leaves
 
 
 def plan_queue(tracks: DataFrame, seed_id: str, length: int = QUEUE_LENGTH, target: Target | None = None, shape: str = "arc", exclude: Iterable[str] | DataFrame = (), random: Callable[[], float] = lambda: 0.0, weights: Weights | None = None, start_energy: float | None = None, pool: int = POOL) -> DataFrame:

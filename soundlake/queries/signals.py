@@ -120,6 +120,52 @@ def resampled_chunks(spark, sf_dir):
     return got.select("id", "pos", F.posexplode("samples").alias("k", "v")).select("id", (F.col("pos") + F.col("k")).alias("i"), "v")
 
 
+#: A transform by its definition: windows as lists, whole frames under a Hann window, and a sine and a cosine for each bin.
+_WINDOWS = ", win AS (SELECT w.id, w.k, any_value(s.hz) AS hz, list(v ORDER BY p) AS x FROM s JOIN w ON w.id = s.id AND p >= lo AND p < lo + len GROUP BY 1, 2)"
+
+
+def _transform(size: int, hop: int, bins: str) -> str:
+    return (
+        f", fr AS (SELECT id, k, hz, unnest(range((len(x) - {size}) // {hop} + 1)) AS f, x FROM win WHERE len(x) >= {size})"
+        f", hann AS (SELECT list_transform(range({size}), lambda i: 0.5::DOUBLE * (1 - cos(2 * pi() * i / {size}))) AS h)"
+        f", framed AS (SELECT id, k, hz, f, list_transform(list_zip(x[f * {hop} + 1:f * {hop} + {size}], h), lambda z: z[1] * z[2]) AS y FROM fr, hann)"
+        f", dft AS MATERIALIZED (SELECT b, list_transform(range({size}), lambda i: cos(2 * pi() * (b * i % {size}) / {size})) AS c, list_transform(range({size}), lambda i: sin(2 * pi() * (b * i % {size}) / {size})) AS s FROM range({size} // 2 + 1) t(b))"
+        f", mag AS MATERIALIZED (SELECT id, k, hz, f, b, b * hz / {size}::DOUBLE AS freq, sqrt(pow(list_dot_product(y, c), 2) + pow(list_dot_product(y, dft.s), 2)) AS m FROM framed, dft{bins})"
+    )
+
+
+_SPECTRA = (
+    ", fs AS (SELECT id, k, f, sum(m * freq) / nullif(sum(m), 0) AS centroid, sum(m * m) FILTER (freq <= 200) / nullif(sum(m * m), 0) AS low, sum(m) AS mass FROM mag GROUP BY 1, 2, 3)"
+    ", ro AS (SELECT id, k, f, count(*) FILTER (so_far < 0.85 * mass) * any_value(hz) / 2048 AS rolloff FROM (SELECT mag.*, mass, sum(m) OVER (PARTITION BY id, k, f ORDER BY b) AS so_far FROM mag JOIN fs USING (id, k, f)) GROUP BY 1, 2, 3)"
+    ", fl AS (SELECT id, k, sum(greatest(0, m - before)) / greatest(1, max(f)) AS flux FROM (SELECT *, lag(m) OVER (PARTITION BY id, k, b ORDER BY f) AS before FROM mag) GROUP BY 1, 2)"
+    ", ws_ AS (SELECT win.id, win.k, coalesce(avg(coalesce(centroid, 0)), 0) AS centroid, coalesce(avg(rolloff), 0) AS rolloff, coalesce(avg(coalesce(low, 0)), 0) AS low FROM win LEFT JOIN fs USING (id, k) LEFT JOIN ro ON ro.id = win.id AND ro.k = win.k AND ro.f = fs.f GROUP BY 1, 2)"
+)
+
+
+@query(_FRAMES + _SAMPLES + _LEVELS + _WINDOWS + _transform(2_048, 1_024, "") + _SPECTRA + " SELECT id, round(avg(centroid), 6) AS centroid_hz, round(avg(rolloff), 6) AS rolloff_hz, round(avg(low), 6) AS low_band, round(avg(coalesce(flux, 0)), 6) AS flux FROM ws_ LEFT JOIN fl USING (id, k) GROUP BY 1")
+def spectral_levels(spark, sf_dir):
+    """Centroid, rolloff, the part below 200 Hz and flux of recordings, against transforms by their definition."""
+    return recordings.spectral(_windows(spark, sf_dir)).select("id", "centroid_hz", "rolloff_hz", "low_band", "flux")
+
+
+def _windows(spark, sf_dir) -> DataFrame:
+    chunks = files.checkpointed(_chunks(spark, sf_dir))
+    return recordings.cut_out(chunks, recordings.pieces(recordings.plans(chunks)).where("kind = 'window'"))
+
+
+_CHROMA = (
+    ", pit AS (SELECT id, k, m * m AS e, 69 + 12 * log2(freq / 440) AS pitch FROM mag)"
+    ", cls AS (SELECT id, k, cast(floor(pitch) AS bigint) % 12 AS pc, e * (1 - (pitch - floor(pitch))) AS e FROM pit UNION ALL SELECT id, k, (cast(floor(pitch) AS bigint) + 1) % 12, e * (pitch - floor(pitch)) FROM pit)"
+    ", sums AS (SELECT id, k, pc, sum(e) AS e FROM cls GROUP BY 1, 2, 3), tops AS (SELECT id, k, max(e) AS top FROM sums GROUP BY 1, 2 HAVING max(e) > 0)"
+)
+
+
+@query(_FRAMES + _SAMPLES + _LEVELS + _WINDOWS + _transform(4_096, 4_096, " WHERE b * hz / 4096::DOUBLE >= 80 AND b * hz / 4096::DOUBLE <= 5000") + _CHROMA + " SELECT ids.id, pcs.pc, round(coalesce(avg(e / top), 0), 6) AS share FROM (SELECT DISTINCT id FROM w) ids CROSS JOIN (SELECT unnest(range(12)) AS pc) pcs LEFT JOIN (sums JOIN tops USING (id, k)) ON sums.id = ids.id AND sums.pc = pcs.pc GROUP BY 1, 2")
+def chroma_levels(spark, sf_dir):
+    """Shares of the twelve pitch classes of recordings, against transforms by their definition."""
+    return recordings.spectral(_windows(spark, sf_dir)).select("id", F.posexplode("chroma").alias("pc", "share"))
+
+
 @query()
 def extracted_features(spark, sf_dir):
     """Every descriptor of the recordings, which have different rates, at one rate; the cutoff at their own."""

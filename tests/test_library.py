@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from soundlake.functions import codes, keys, names, scores
-from soundlake.operators import identity, merge, recordings, shape, signals, statistics, wants
+from soundlake.operators import health, identity, merge, recordings, shape, signals, statistics, wants
 from soundlake.plans import queue
 from soundlake.sources import audio, files
 from soundlake.streaming import analysis
@@ -329,3 +329,35 @@ def test_moves_fire_once(spark, tmp_path):
     spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "t"))
     got = streams.run_once(streams.moves(spark.readStream.schema(schema).parquet(str(tmp_path / "t")))).collect()
     assert sorted((r.track_id, r.elapsed_sec) for r in got) == [("a", 96.5), ("b", 91.0), ("c", 9.8)]
+
+
+def test_deep_scan_stops_and_goes_on(spark, tmp_path):
+    """Cutoffs of files of different rates, a batch at a time; what was measured is not measured again."""
+    (tmp_path / "in").mkdir()
+    rng = np.random.default_rng(3)
+
+    def put(name, rate, top, seconds):
+        n = rate * seconds
+        spectrum = np.fft.rfft(rng.normal(size=n))
+        spectrum[np.arange(len(spectrum)) * rate / n > top] = 0
+        y = np.fft.irfft(spectrum, n)
+        body = np.round(y / np.abs(y).max() * 30_000).astype("<i2").tobytes()
+        (tmp_path / "in" / name).write_bytes(b"RIFF" + struct.pack("<I", 36 + len(body)) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, 1, rate, rate * 2, 2, 16) + b"data" + struct.pack("<I", len(body)) + body)
+
+    put("a.wav", 44_100, 15_800, 33)
+    put("b.wav", 48_000, 20_300, 3)
+    put("c.wav", 8_000, 9_000, 3)
+    (tmp_path / "in" / "d.wav").write_bytes(b"no sound")
+    where = (str(tmp_path / "readings"), str(tmp_path / "marks"))
+    analysis.deep_scan(analysis.arriving(spark, str(tmp_path / "in"), 1), *where, batches=1)
+    first = spark.read.parquet(where[0]).count()
+    assert 1 <= first < 4
+    analysis.deep_scan(analysis.arriving(spark, str(tmp_path / "in"), 1), *where)
+    readings = spark.read.parquet(where[0])
+    names_ = {r.id: r.file_name for r in files.scan_folder(spark, str(tmp_path / "in")).collect()}
+    got = {names_[r.id]: r for r in readings.collect()}
+    assert len(got) == readings.count() == 4
+    assert 15_500 < got["a.wav"].cutoff_hz <= 16_500 and 20_000 < got["b.wav"].cutoff_hz <= 21_000 and got["c.wav"].cutoff_hz <= 4_000
+    assert got["d.wav"].cutoff_hz is None and got["a.wav"].duration_sec == pytest.approx(33)
+    verdicts = {names_[r.id]: r.verdict for r in health.cutoff_report(readings).collect()}
+    assert verdicts == {"a.wav": "transcode", "b.wav": "full", "c.wav": "lossy", "d.wav": None}
