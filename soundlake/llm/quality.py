@@ -57,7 +57,7 @@ SHARPNESS = 50.0
 #: Values of z to choose from.
 ZS = (2.0, 2.5, 3.0, 4.0, 5.5, 7.5)
 #: Distinct features that a task gathers before it names the frequent ones, and rows of a batch.
-GATHERED, FRESH, BATCH = 12_000_000, 500_000, 50_000
+GATHERED, FRESH, BATCH = 6_000_000, 500_000, 50_000
 #: A block's rows and hashes share 64 bits; among 10**5 sure features, one in 3 * 10**9 others is taken for one of them.
 HASH_BITS, PREFIX_BITS = 48, 22
 HEADS = (4, 5, 6)
@@ -189,9 +189,15 @@ def _tallies(least: float):
             both = parts[0] if len(parts) == 1 else np.concatenate(parts)
             parts.clear()
             both.sort()
-            h, n = both >> room, both & np.uint64(most)
-            at = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.empty(0, np.int64)
-            return h[at].view(np.int64), np.add.reduceat(n, at).astype(np.int64) if len(at) else np.empty(0, np.int64)
+            if not len(both):
+                return np.empty(0, np.int64), np.empty(0, np.int64)
+            new = both[1:] ^ both[:-1]
+            new >>= room
+            at = np.append(0, np.flatnonzero(new) + 1)
+            del new
+            h = (both[at] >> room).view(np.int64)
+            both &= np.uint64(most)
+            return h, np.add.reduceat(both, at).astype(np.int64)
 
         # a hash and its count share 64 bits, so that merging is one sort in place
         room, most = np.uint64(64 - HASH_BITS), (1 << (64 - HASH_BITS)) - 1
