@@ -118,6 +118,21 @@ def distinct_features(block: Block) -> tuple[np.ndarray, np.ndarray]:
     return row[at], h[at]
 
 
+def holders(block: Block) -> tuple[np.ndarray, np.ndarray]:
+    """The block's distinct features, in ascending order, and how many rows hold each."""
+    room = np.uint64(64 - HASH_BITS)
+    if len(block) > 1 << (64 - HASH_BITS):
+        return ascending(distinct_features(block)[1])
+    row, h = features(block)
+    if not len(h):
+        return h, np.empty(0, np.int64)
+    both = (h.view(np.uint64) << room) | row.astype(np.uint64)  # one sort tells rows and features apart
+    both.sort()
+    h = both[np.append(True, both[1:] != both[:-1])] >> room
+    at = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+    return h[at].view(np.int64), np.diff(np.append(at, len(h)))
+
+
 def shrunk(target: np.ndarray, expected: np.ndarray, z: float) -> np.ndarray:
     """Log-ratios of counts to what is expected, shrunk by their sureness; 0 where that is below z."""
     with np.errstate(divide="ignore", invalid="ignore"):
@@ -207,7 +222,7 @@ def _tallies(least: float):
                 if parts and (rows + len(b) > most or held > GATHERED):
                     yield from out()
                     rows, held, fresh = 0, 0, 0
-                h, n = ascending(distinct_features(b)[1])
+                h, n = holders(b)
                 parts.append((h.view(np.uint64) << room) | n.astype(np.uint64))
                 rows, fresh = rows + len(b), fresh + len(h)
                 if fresh > max(FRESH, held):  # merge when as many are new as are held
