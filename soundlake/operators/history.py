@@ -48,9 +48,9 @@ def context(plays: DataFrame, tracks: DataFrame, now: DataFrame | None = None, s
     return rows.withColumns({"recent_artist": F.coalesce("recent_artist", no), "recent_album": F.coalesce("recent_album", no), "recent": F.coalesce("recent", no), "frequency": F.coalesce("frequency", F.lit(0.0))})
 
 
-def without_repeats(changes: DataFrame, by: str | None = None) -> DataFrame:
+def without_repeats(changes: DataFrame, by: str) -> DataFrame:
     """changes (event_id, track_id, played_at) of what plays, without those that name the recording already playing and those that name none; by: a listener's column, each of whom is told on their own."""
-    w = Window.partitionBy(F.col(by) if by else F.lit(0)).orderBy("played_at", "event_id")
+    w = Window.partitionBy(by).orderBy("played_at", "event_id")  # the changes of one listener
     told = changes.where("track_id IS NOT NULL").withColumn("before", F.lag("track_id").over(w))
     return told.where("before IS NULL OR before <> track_id").drop("before")
 

@@ -72,7 +72,7 @@ def test_accepted_and_given_names(spark):
 
 def test_changes_and_marks(spark):
     e = spark.createDataFrame([(1, "x", 10), (2, "x", 20), (3, "y", 30), (4, None, 35), (5, "x", 40), (6, "x", 50)], "event_id long, track_id string, played_at long")
-    assert [r.event_id for r in history.without_repeats(e).orderBy("event_id").collect()] == [1, 3, 5]
+    assert [r.event_id for r in history.without_repeats(e.withColumn("who", F.lit(1)), "who").orderBy("event_id").collect()] == [1, 3, 5]
     m = [(1, "decode", "stage", 0), (1, "measure", "stage", 5), (1, None, "done", 30), (2, "decode", "stage", 3), (3, "decode", "stage", 0), (3, None, "failed", 400), (3, "decode", "stage", 1000), (3, None, "done", 1010)]
     times = history.job_times(spark.createDataFrame([(*r, i) for i, r in enumerate(m)], "job long, stage string, kind string, at long, number long"))
     assert sorted((r.job, r.stage, r.ms) for r in times.collect()) == [(1, "decode", 5), (1, "measure", 25), (3, "decode", 10)]
