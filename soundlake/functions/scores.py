@@ -124,9 +124,14 @@ def scaled_tempo(bpm: Column) -> Column:
     return F.when(bpm > 0, clamp((bpm - 60) / 140)).otherwise(0.5)
 
 
+def past(x: Column, period: Column) -> Column:
+    """What whole periods leave of x, by a division that rounds: 0, not nearly a period, where x is a multiple but for the last bits."""
+    return x - F.floor(x / period) * period
+
+
 def alignment(period_out: Column, next_out: Column, period_in: Column, next_in: Column) -> Column:
     """struct(skip_sec, drift, holds_for_beats): how far to move the incoming grid so that beats fall together. Times to the next beat, periods, in seconds."""
-    raw = F.pmod(next_in - next_out, period_in)
+    raw = past(next_in - next_out, period_in)
     apart = F.abs(period_in - period_out)
     return F.struct(
         F.when((raw < 0.001) | (period_in - raw < 0.001), 0.0).otherwise(raw).alias("skip_sec"),
@@ -143,4 +148,4 @@ def aligned_start(at_sec: Column, skip_sec: Column, duration_sec: Column) -> Col
 
 def until_beat(phase: Column, period: Column, at: Column) -> Column:
     """Time from ``at`` to the next beat, more than 0 and at most a period."""
-    return period - F.pmod(at - phase, period)
+    return period - past(at - phase, period)
