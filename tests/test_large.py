@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from soundlake.functions import scores
+from soundlake.queries import catalog
 
 
 def test_on_a_beat_the_next_is_a_period_away(spark):
@@ -10,3 +11,10 @@ def test_on_a_beat_the_next_is_a_period_away(spark):
     df = spark.createDataFrame([(0.4, 200.4), (0.5, 200.0), (0.5, 200.2)], "period double, beat double")
     got = [r.left for r in df.select(scores.until_beat(F.col("beat"), F.col("period"), F.lit(100)).alias("left")).collect()]
     assert [round(x, 9) for x in got] == [0.4, 0.5, 0.2]
+
+
+def test_a_shape_code_beside_a_count_beyond_its_digits(spark, monkeypatch):
+    tracks = spark.range(64**3 + 5).select(F.lit(True).alias("analysed"), F.lit(100.0).alias("bpm"), F.lit(0.9).alias("bpm_confidence"), F.lit(0).alias("key_root"), F.lit("major").alias("key_scale"), F.lit(0.9).alias("key_strength"), F.lit(1.0).alias("duration_sec"))
+    monkeypatch.setattr(catalog.R, "tracks", lambda *_: tracks)
+    got = catalog.QUERIES["shape_code"](spark, "").first()
+    assert got.analysed == 64**3 + 5 and got.code.startswith("S1AAF")
