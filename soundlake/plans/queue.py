@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from ..functions import keys, scores
 from ..functions.scores import Target, Weights, js_round
 from ..operators import history
+from ..sources.files import checkpointed
 
 #: Shortlist, rows needed, tempo prefilter and from how many rows on it applies; route length, beam, shortlist, pull, slack.
 SHORTLIST, LEAST_ROWS, NEAR_TEMPO, MANY_ROWS = 12, 30, 0.15, 2_000
@@ -199,8 +200,8 @@ def draw(costs: list[float], random: Callable[[], float]) -> int:
     return 0  # a sliver that rounding leaves
 
 
-def plan_queue(tracks: DataFrame, seed_id: str, length: int = QUEUE_LENGTH, target: Target | None = None, shape: str = "arc", exclude: Iterable[str] | DataFrame = (), random: Callable[[], float] = lambda: 0.0, weights: Weights | None = None, start_energy: float | None = None, pool: int = POOL) -> DataFrame:
-    """(step, id, cost, target_energy): the queue after a seed. random gives numbers from 0 to 1; 0 always takes the cheapest, ties going by id. exclude: ids, or a table of them."""
+def plan_queue(tracks: DataFrame, seed_id: str, length: int = QUEUE_LENGTH, target: Target | None = None, shape: str = "arc", exclude: Iterable[str] | DataFrame = (), random: Callable[[], float] = lambda: 0.0, weights: Weights | None = None, start_energy: float | None = None, pool: int = POOL, near_first: bool = True) -> DataFrame:
+    """(step, id, cost, target_energy): the queue after a seed. random gives numbers from 0 to 1; 0 always takes the cheapest, ties going by id. exclude: ids, or a table of them. near_first: of a large collection those near in tempo come first, whatever others cost."""
     target = target or Target()
     weights = weights or Weights().bent(target.coherence)
     spark, planned = tracks.sparkSession, []
@@ -212,16 +213,18 @@ def plan_queue(tracks: DataFrame, seed_id: str, length: int = QUEUE_LENGTH, targ
     out = "step int, id string, cost double, target_energy double"
     if not len(at):
         return spark.createDataFrame([], out)
-    current, seed, used = int(at[0]), held.row(int(at[0])), {seed_id}
+    current, seed, used, scanned = int(at[0]), held.row(int(at[0])), {seed_id}, False
     held.free[current] = False
     left = len(held.ids) - 1
-    if len(held.cell_place) and left < MANY_ROWS + length:
+    if near_first and len(held.cell_place) and left < MANY_ROWS + length:
         left = rows.limit(MANY_ROWS + length + 1).count() - 1
     for step in range(length):
         energy = curve(shape, 0 if length <= 1 else (step + 1) / length, target.energy if start_energy is None else start_energy)
-        many = (seed.bpm or 0) > 0 and left - step >= MANY_ROWS
+        many = near_first and (seed.bpm or 0) > 0 and left - step >= MANY_ROWS
         short = held.shortlist(current, energy, many)
         if short is None:
+            if not scanned:
+                rows, scanned = checkpointed(rows), True
             gone = spark.createDataFrame([(x,) for x in sorted(used)], "id string")
             free = scored(rows.join(F.broadcast(gone), "id", "left_anti"), literals(seed), replace(target, energy=energy), energy, weights)  # no more than the queue's length
             got = _shortlist(free.withColumn("near", _near(F.lit(seed.bpm).cast("double"))), many)

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from soundlake.functions import scores
+from soundlake.plans import queue
 from soundlake.queries import catalog
 
 
@@ -18,3 +19,14 @@ def test_a_shape_code_beside_a_count_beyond_its_digits(spark, monkeypatch):
     monkeypatch.setattr(catalog.R, "tracks", lambda *_: tracks)
     got = catalog.QUERIES["shape_code"](spark, "").first()
     assert got.analysed == 64**3 + 5 and got.code.startswith("S1AAF")
+
+
+def test_a_queue_of_the_cheapest_of_all(spark):
+    """Of 2,100 recordings all are near in tempo and far in energy, but for one that is the other way round, its tempo unsure."""
+    rows = [(f"t{i:04}", f"a{i}", "done", True, 100.0, 1.0, 0, "major", 0.9, 0.0, 0.5, 0.5) for i in range(2_100)]
+    rows[7] = (*rows[7][:4], 150.0, 0.0, *rows[7][6:9], 0.9, *rows[7][10:])
+    t = spark.createDataFrame(rows, "id string, artist string, status string, analysed boolean, bpm double, bpm_confidence double, key_root int, key_scale string, key_strength double, energy double, brightness double, danceability double")
+    weights = scores.Weights(bpm=0.1, key=0.1, energy=0.6, timbre=0.1, novelty=0.1)
+    plan = lambda **how: queue.plan_queue(t, "t0000", 1, weights=weights, start_energy=0.9, shape="flat", **how).first().id
+    for pool in (1, queue.POOL):
+        assert plan(near_first=False, pool=pool) == "t0007" and plan(pool=pool) == "t0001"
