@@ -1,8 +1,10 @@
 """What shows only in large tables."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from soundlake.functions import scores
+from soundlake.operators import identity
 from soundlake.plans import queue
 from soundlake.queries import catalog
 
@@ -30,3 +32,19 @@ def test_a_queue_of_the_cheapest_of_all(spark):
     plan = lambda **how: queue.plan_queue(t, "t0000", 1, weights=weights, start_energy=0.9, shape="flat", **how).first().id
     for pool in (1, queue.POOL):
         assert plan(near_first=False, pool=pool) == "t0007" and plan(pool=pool) == "t0001"
+
+
+def test_blocks_in_single_precision_lose_nothing():
+    rng = np.random.default_rng(1)
+    a, b = (rng.integers(0, 256, (120, 720)).astype(float) for _ in "ab")
+    b[:30] = np.clip(a[50:80] + rng.normal(0, 1, (30, 720)) * np.linspace(0, 90, 30)[:, None], 0, 255).round()
+    a[5], b[6], a[8, :240], a[11] = 7, 9, 3, np.nan  # nothing varies, in all or in one segment; no fingerprint
+    b[9], b[40] = a[8], np.roll(a[30].reshape(3, 20, 12), 2, axis=1).ravel()
+    a, b = (x.reshape(-1, 3, 20, 12) for x in (a, b))
+    far = identity._distances(a, b)
+    able = rng.random(far.shape) < 0.9
+    for threshold in (0.12, 0.4, 1.1):
+        i, j, d = identity._near(a, b, threshold, able)
+        with np.errstate(invalid="ignore"):
+            want = np.nonzero(able & (far <= threshold))
+        assert np.array_equal(i, want[0]) and np.array_equal(j, want[1]) and np.abs(d - far[want]).max() < 1e-12
