@@ -58,21 +58,22 @@ def moves(ticks: DataFrame) -> DataFrame:
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         fired = state.get[0] if state.exists else None
-        rows = pd.concat(list(batches)).sort_values("seq")
+        due = [r for b in batches for r in zip(b["seq"].tolist(), b["track_id"].tolist(), b["elapsed_sec"].tolist(), strict=True)]
+        due.sort(key=lambda r: r[0])
         out = []
-        for r in rows[rows["due"]].itertuples():
-            if r.track_id != fired:
-                fired = r.track_id
-                out.append((key[0], r.track_id, r.elapsed_sec))
-        if fired is not None:
+        for _, track, elapsed in due:
+            if track != fired:
+                fired = track
+                out.append((track, elapsed))
+        if out:
             state.update((fired,))
-        yield pd.DataFrame(out, columns=["player", "track_id", "elapsed_sec"])
+            yield pd.DataFrame({"player": [key[0]] * len(out), "track_id": [t for t, _ in out], "elapsed_sec": [e for _, e in out]})
 
     joined = F.coalesce(F.col("joined"), F.lit(False))
     fade = F.when(joined, SEGUE_LEAD_SEC).otherwise(F.col("fade_sec"))
     end = levels.effective_end(F.col("sound_end_sec"), F.col("duration_sec"))
     due = (fade > 0) & (F.col("duration_sec") > 0) & (F.col("elapsed_sec") >= 0) & (joined | (end >= fade * LEAST_MULTIPLE)) & (end - F.col("elapsed_sec") <= fade) & F.col("has_next")
-    rows = ticks.where("track_id IS NOT NULL").select("player", "seq", "track_id", "elapsed_sec", F.coalesce(due, F.lit(False)).alias("due"))
+    rows = ticks.where(F.col("track_id").isNotNull() & F.coalesce(due, F.lit(False))).select("player", "seq", "track_id", "elapsed_sec")  # no other changes what was told last
     return rows.groupBy("player").applyInPandasWithState(step, "player string, track_id string, elapsed_sec double", "fired string", "append", GroupStateTimeout.NoTimeout)
 
 

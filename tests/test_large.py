@@ -7,6 +7,7 @@ from soundlake.functions import scores
 from soundlake.operators import identity
 from soundlake.plans import queue
 from soundlake.queries import catalog
+from soundlake.streaming import plays
 
 
 def test_on_a_beat_the_next_is_a_period_away(spark):
@@ -48,3 +49,12 @@ def test_blocks_in_single_precision_lose_nothing():
         with np.errstate(invalid="ignore"):
             want = np.nonzero(able & (far <= threshold))
         assert np.array_equal(i, want[0]) and np.array_equal(j, want[1]) and np.abs(d - far[want]).max() < 1e-12
+
+
+def test_only_ticks_that_are_due_reach_the_states(spark, tmp_path):
+    schema = "player string, seq long, track_id string, elapsed_sec double, duration_sec double, sound_end_sec double, fade_sec double, joined boolean, has_next boolean"
+    rows = [(p, n, "t", 51.0 if n == 3 and p == "p" else 1.0, 54.0, None, 4.0, False, True) for n in range(9) for p in "pq"]
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "t"))
+    moves = plays.moves(spark.readStream.schema(schema).parquet(str(tmp_path / "t")))
+    assert "due#" not in moves._jdf.queryExecution().analyzed().toString()
+    assert [tuple(r) for r in plays.run_once(moves).collect()] == [("p", "t", 51.0)]
