@@ -10,8 +10,11 @@ means, ratios, medians and joins are Spark's.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,19 +35,39 @@ def chunked(recordings: DataFrame, size: int = CHUNK) -> DataFrame:
     return rows.select("id", "rate", F.col("at").cast("long").alias("pos"), F.slice("whole", F.col("at") + 1, F.lit(size)).alias("samples"))
 
 
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def _interpolated(samples: pd.Series, after: pd.Series, pos: pd.Series, rates: pd.Series, first: pd.Series, last: pd.Series, to: pd.Series) -> pd.Series:
-    """The values at places first to last of the new rate, which lie between this chunk's samples; after: the next chunk's first one, if there is one."""
+def _interpolated(to: int, most: int = CHUNK):
+    """Rows (id, rate, pos, samples, after, first, last) become chunks of at most ``most`` values, at places first to last of the new rate, which lie between the row's samples; after: the next chunk's first one, if there is one.
 
-    def one(x, b, p, rate, lo, hi, to):
-        if x is None or not len(x):
-            return []
-        x = np.append(x, x[-1] if b is None or np.isnan(b) else b)
-        at = np.arange(lo, hi + 1) * int(rate)  # whole numbers, so that no place is off by rounding
-        i = at // to - p
-        return x[i] + (x[i + 1] - x[i]) * ((at % to) / to)
+    Values are made and given out a few chunks at a time, however many rows a batch has and however far apart the rates are.
+    """
 
-    return pd.Series([one(*row) for row in zip(samples, after, pos, rates, first, last, to, strict=True)], dtype=object)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("samples")
+            x, offsets = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy().astype(np.int64)
+            pos, first, last = (batch.column(c).to_numpy() for c in ("pos", "first", "last"))
+            rate, after = batch.column("rate").to_numpy().astype(np.int64), batch.column("after").to_numpy(zero_copy_only=False)
+            ends = x[offsets[1:] - 1]
+            after = np.where(np.isnan(after), ends, after)
+            parts = (last - first) // most + 1
+            row = np.repeat(np.arange(len(batch)), parts)
+            lo = first[row] + (np.arange(len(row)) - np.repeat(np.cumsum(parts) - parts, parts)) * most
+            n = np.minimum(last[row] - lo + 1, most)
+            full = np.cumsum(n)
+            i = 0
+            while i < len(row):
+                j = max(i + 1, int(np.searchsorted(full, (full[i - 1] if i else 0) + most, "right")))
+                r = np.repeat(row[i:j], n[i:j])
+                starts = np.append(0, full[i:j] - full[i] + n[i])
+                at = (np.arange(starts[-1]) - np.repeat(starts[:-1] - lo[i:j], n[i:j])) * rate[r]  # whole numbers, so that no place is off by rounding
+                k = offsets[r] + at // to - pos[r]
+                left, inside = x[k], k + 1 < offsets[r + 1]
+                right = np.where(inside, x[np.where(inside, k + 1, k)], after[r])
+                values = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(left + (right - left) * ((at % to) / to), from_pandas=True))  # nulls, not NaN
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(row[i:j])), pa.array(np.full(j - i, float(to))), pa.array(lo[i:j]), values], names=["id", "rate", "pos", "samples"])
+                i = j
+
+    return run
 
 
 def resampled(chunks: DataFrame, to: int = S.RATE) -> DataFrame:
@@ -63,9 +86,9 @@ def resampled(chunks: DataFrame, to: int = S.RATE) -> DataFrame:
     up = lambda n: F.floor((n * wide + rate - 1) / rate)
     whole = F.greatest(F.lit(1), F.floor(F.col("n") * wide / rate))
     bounds = met.withColumns({"able": able, "first": F.when(able, up(F.col("pos"))), "last": F.when(able, F.least(up(F.col("end")), whole) - 1)})
-    new = F.when(F.col("last") < F.col("first"), F.array().cast("array<double>")).otherwise(_interpolated("samples", "after", "pos", F.col("rate"), "first", "last", F.lit(to)))
-    fresh = bounds.where("able").select("id", F.lit(float(to)).alias("rate"), F.col("first").alias("pos"), new.alias("samples"))
-    return bounds.where("NOT able").select("id", "rate", "pos", "samples").unionByName(fresh.where((F.size("samples") > 0) | (F.col("pos") == 0)))
+    kind = rows.schema["id"].dataType.simpleString()
+    fresh = bounds.where("able AND last >= first").select("id", "rate", "pos", F.col("samples").cast("array<double>").alias("samples"), F.col("after").cast("double").alias("after"), "first", "last").mapInArrow(_interpolated(to), f"id {kind}, rate double, pos long, samples array<double>")
+    return bounds.where("NOT able").select("id", "rate", "pos", "samples").unionByName(fresh)
 
 
 def plans(chunks: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 import struct
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -75,3 +76,21 @@ def test_cutoff_of_a_band(spark):
     x[: rate * 4] = rng.normal(size=rate * 4)
     chunks = recordings.chunked(spark.createDataFrame([("a", rate, x.tolist()), ("short", rate, [0.1] * 8_000), ("silent", rate, [0.0] * 10_000)], "id string, rate int, samples array<double>"))
     assert {r.id: r.cutoff_hz for r in recordings.cutoffs(chunks).collect()} == {"a": 5_000.0}
+
+
+def test_a_batch_of_long_chunks_comes_out_in_small_ones():
+    """Values are given out a few chunks at a time, so a task's memory doesn't follow a batch's rows or the rates."""
+    rows, to = 500, 16_000
+    x = np.random.default_rng(3).normal(size=(rows, 64))
+    pos = np.arange(rows) * 64
+    first, last = pos * 10, (pos + 64) * 10 - 1
+    after = np.append(x[1:, 0], np.nan)
+    columns = [["a"] * rows, np.full(rows, 1_600.0), pos, pa.array(list(x)), pa.array(after, from_pandas=True), first, last]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["id", "rate", "pos", "samples", "after", "first", "last"])
+    for most in (100, 5_000):
+        out = list(recordings._interpolated(to, most)(iter([batch])))
+        assert max(len(b.column("samples").values) for b in out) <= most
+        got = pa.Table.from_batches(out)
+        assert np.allclose(np.concatenate(got["samples"].to_pylist()), linear(x.ravel(), 1_600, to), atol=1e-12)
+        sizes = [len(v) for v in got["samples"].to_pylist()]
+        assert got["pos"].to_pylist() == np.append(0, np.cumsum(sizes)[:-1]).tolist() and max(sizes) <= most
