@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import unicodedata
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: What marks featured artists, and words that name an edition. ASCII word edges, so accents never end a word.
 _FEATURING = r"\s*[(\[]?\s*(?<![A-Za-z0-9_])(?:feat|ft|featuring|with)(?![A-Za-z0-9_])\.?\s+[^)\]]*[)\]]?"
@@ -18,9 +14,10 @@ _LEADING = r"^\s*(?:(?:\d{1,2})[-_.\s]+)?(\d{1,3})\s*[-_.)\s]+\s*(?=\S)"
 AUDIO = r"\.(mp3|m4a|aac|ogg|opus|wav|flac)$"
 
 
-@F.pandas_udf(T.StringType())
-def _without_accents(names: pd.Series) -> pd.Series:
-    return names.map(lambda s: s if s is None or s.isascii() else "".join(c for c in unicodedata.normalize("NFD", s) if not "̀" <= c <= "ͯ"), na_action="ignore")
+def _without_accents(name: Column) -> Column:
+    """Decomposed (NFD) by the ICU library that comes with Spark, without the combining marks U+0300 to U+036F; name is not null."""
+    parts = F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("decompose"), name, F.lit(False))
+    return F.regexp_replace(parts, r"[\u0300-\u036F]", "")
 
 
 def trimmed(text: Column) -> Column:
@@ -34,7 +31,7 @@ def blank(text: Column) -> Column:
 
 def fold(text: Column) -> Column:
     """The form on which two spellings of a name agree; empty if nothing is left. The word "with" also opens a featured artist."""
-    plain = F.when(text.rlike(r"[^\x00-\x7F]"), _without_accents(F.when(text.rlike(r"[^\x00-\x7F]"), text))).otherwise(text)  # Python sees only names that need it
+    plain = F.when(text.rlike(r"[^\x00-\x7F]"), _without_accents(text)).otherwise(text)  # only names that need it
     x = F.regexp_replace(F.lower(plain), "&", " and ")
     x = F.regexp_replace(F.regexp_replace(x, _FEATURING, " "), _EDITION, " ")
     x = F.regexp_replace(F.regexp_replace(x, _APOSTROPHES, ""), r"[^\p{L}\p{N}]+", " ")

@@ -1,10 +1,12 @@
 """What shows only in large tables."""
 
+import unicodedata
+
 import numpy as np
 from pyspark.sql import functions as F
 
-from soundlake.functions import scores
-from soundlake.operators import identity
+from soundlake.functions import names, scores
+from soundlake.operators import identity, wants
 from soundlake.plans import queue
 from soundlake.queries import catalog
 from soundlake.streaming import plays
@@ -58,3 +60,16 @@ def test_only_ticks_that_are_due_reach_the_states(spark, tmp_path):
     moves = plays.moves(spark.readStream.schema(schema).parquet(str(tmp_path / "t")))
     assert "due#" not in moves._jdf.queryExecution().analyzed().toString()
     assert [tuple(r) for r in plays.run_once(moves).collect()] == [("p", "t", 51.0)]
+
+
+def test_names_are_folded_without_python(spark):
+    """Every stage that folds names had Python workers of a hundred MB each, idle ones included."""
+    folds = ["Café", "ĐỆ", "Ångström ﬁ", "강남", "Й Ё", "plain", None]
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(folds)], "i int, s string").repartition(2).select("i", names.fold(F.col("s")).alias("f"))
+    want = [None if s is None else "".join(c for c in unicodedata.normalize("NFD", s) if not "̀" <= c <= "ͯ").lower() for s in folds]
+    assert [r.f for r in df.orderBy("i").collect()] == want
+    tracks = spark.createDataFrame([("t1", "Björk", "Jóga"), ("t2", "Beyonce", "Halo")], "id string, artist string, title string")
+    wanted = spark.createDataFrame([(1, "Bjork", "Joga"), (2, "Someone, Beyoncé", "Halo"), (3, None, "halo")], "ord int, artist string, title string")
+    found = wants.match_wants(wanted, tracks)
+    assert sorted((r.ord, r.id) for r in found.collect()) == [(1, "t1"), (2, "t2"), (3, "t2")]
+    assert "Python" not in found._jdf.queryExecution().executedPlan().toString()
