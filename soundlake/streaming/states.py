@@ -3,16 +3,25 @@
 Changes of one key come in any order and in any batch. They wait in a list state until
 the watermark has passed them, then a small function takes them in order of time and of
 number, one by one, from the state before to the state after, and gives rows out. So
-the rows are the same however the stream was cut. What comes later than the watermark
-is dropped by Spark, and what the watermark has not passed yet waits in the state.
+the rows are the same however the stream was cut.
+
+Between Spark and the state a row costs far more than a step, so changes go there in
+packs: those of one key in one part of a batch are one row, at most PACK changes, and
+the rows given out come back as lists. Spark drops a pack when the watermark has passed
+all of it before; inside a pack, a change goes that its key's state has left behind.
+What the watermark has not passed yet waits in the state.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Any
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -23,6 +32,8 @@ from ..operators.merge import MAX_ATTEMPTS
 JOB_MS, AHEAD, PLAN_LENGTH = 60_000, 2, 20
 #: How late changes may come.
 LATE = "4 hours"
+#: Changes of a pack and rows given out at a time, and bytes of changes that a task holds to pack.
+PACK, HELD_BYTES = 4096, 32 << 20
 State = tuple
 Step = Callable[[State, Row], tuple[State, list[tuple]]]
 
@@ -57,38 +68,70 @@ class Machine:
         return now, out
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, _time, at, number, ...) as (key, _time, body): the changes of a key, and the last of their times."""
+
+    def packs(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(held)
+        rows = rows.take(pc.sort_indices(rows, [("key", "ascending"), ("_time", "ascending")])).combine_chunks()
+        key = rows["key"]
+        new = np.flatnonzero(pc.not_equal(key[1:], key[:-1]).to_numpy()) + 1
+        edges = np.unique(np.concatenate([[0], new, *(np.arange(lo, hi, PACK) for lo, hi in zip(np.append(0, new), np.append(new, len(rows)), strict=True) if hi - lo > PACK), [len(rows)]])).astype(np.int64)
+        bodies: list[bytes] = []
+        for some in np.array_split(edges[:-1], 1 + len(rows) // 65_536):  # few changes at a time as Python's values
+            if not len(some):
+                continue
+            lo, stops = int(some[0]), edges[np.searchsorted(edges, some) + 1]
+            columns = [c.to_pylist() for c in rows.slice(lo, int(stops[-1]) - lo).columns[2:]]
+            bodies += [pickle.dumps([c[i:j] for c in columns], 5) for i, j in zip((some - lo).tolist(), (stops - lo).tolist(), strict=True)]
+        found = rows.select(["key", "_time"]).take(edges[1:] - 1).append_column("body", pa.array(bodies, pa.binary()))
+        return found.combine_chunks().to_batches()[0]
+
+    held, size = [], 0
+    for batch in batches:
+        if len(batch):
+            held.append(batch)
+            size += batch.nbytes
+        if size >= HELD_BYTES:
+            yield packs(held)
+            held, size = [], 0
+    if held:
+        yield packs(held)
+
+
 class _InOrder(StatefulProcessor):
     def __init__(self, machine: Machine, names: list[str]):
         self.machine, self.names = machine, names
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.now = handle.getValueState("now", self.machine.state)
-        self.waiting = handle.getListState("waiting", f"at long, number long, {self.machine.change}")
+        self.now = handle.getValueState("now", f"_passed long, {self.machine.state}")
+        self.waiting = handle.getListState("waiting", "body binary")
+        self.fields = Row("at", "number", *(c.split()[0] for c in _columns(self.machine.change)))
+        self.given = Row(*self.names)
 
     def _rows(self, key: tuple, rows: list[tuple]) -> Iterator[Row]:
-        return iter([Row(*self.names)(key[0], *r) for r in rows])
+        return iter([self.given(key[0], *map(list, zip(*rows[lo : lo + PACK], strict=True))) for lo in range(0, len(rows), PACK)])
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        some = [tuple(r[f] for f in r.__fields__[1:-1]) for r in rows]  # between the key and the time
-        self.waiting.appendList(some)
-        self.handle.registerTimer(min(r[0] for r in some))
+        some = [r["body"] for r in rows]
+        self.waiting.appendList([(bytes(x),) for x in some])
+        self.handle.registerTimer(min(min(pickle.loads(x)[0]) for x in some))
         return iter(())
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
-        passed = timerValues.getCurrentWatermarkInMs()
-        fields = Row("at", "number", *(c.split()[0] for c in _columns(self.machine.change)))
-        held = sorted((fields(*r) for r in self.waiting.get()), key=lambda r: (r["at"], r["number"]))
-        ready, rest = [r for r in held if r["at"] <= passed], [r for r in held if r["at"] > passed]
-        now = tuple(self.now.get()) if self.now.exists() else self.machine.first
-        now, out = self.machine.run(now, ready, passed)
-        self.now.update(now)
+        passed, fields = timerValues.getCurrentWatermarkInMs(), self.fields
+        held = sorted((r for (x,) in self.waiting.get() for r in zip(*pickle.loads(x), strict=True)), key=lambda r: r[:2])
+        before, *now = self.now.get() or (None, *self.machine.first)
+        ready, rest = [fields(*r) for r in held if r[0] <= passed and (before is None or r[0] > before)], [r for r in held if r[0] > passed]
+        now, out = self.machine.run(tuple(now), ready, passed)
+        self.now.update((passed, *now))
         if rest:
-            self.waiting.put([tuple(r) for r in rest])
+            self.waiting.put([(pickle.dumps(list(zip(*rest[lo : lo + PACK], strict=True)), 5),) for lo in range(0, len(rest), PACK)])
         else:
             self.waiting.clear()
         due = self.machine.deadline(now) if self.machine.deadline else None
-        for at in {t for t in (rest[0]["at"] if rest else None, due) if t is not None}:
+        for at in {t for t in (rest[0][0] if rest else None, due) if t is not None}:
             self.handle.registerTimer(at)
         return self._rows(key, out)
 
@@ -101,10 +144,13 @@ def followed(changes: DataFrame, key: str, at: str, number: str, machine: Machin
     """The rows of a machine for each key of a stream; at: a column of timestamps. Spark's state store must be RocksDB (``ready``)."""
     kind = changes.schema[key].dataType.simpleString()
     wanted = [c.split()[0] for c in _columns(machine.change)]
-    rows = changes.where(F.col(key).isNotNull() & F.col(at).isNotNull()).select(F.col(key).alias("key"), F.unix_millis(at).alias("at"), F.col(number).cast("long").alias("number"), *wanted, F.col(at).alias("_time")).withWatermark("_time", late)
-    schema = f"{key} {kind}, {machine.out}"
-    names = [c.split()[0] for c in _columns(schema)]
-    return rows.groupBy("key").transformWithState(_InOrder(machine, names), schema, "append", "EventTime")
+    rows = changes.where(F.col(key).isNotNull() & F.col(at).isNotNull()).select(F.col(key).alias("key"), F.col(at).cast("timestamp").alias("_time"), F.unix_millis(at).alias("at"), F.col(number).cast("long").alias("number"), *wanted)
+    packs = rows.repartition("key").mapInArrow(_packed, f"key {kind}, _time timestamp, body binary").withWatermark("_time", late)
+    told = [c.split(" ", 1) for c in _columns(machine.out)]
+    schema = ", ".join([f"{key} {kind}", *(f"{name} array<{type_}>" for name, type_ in told)])
+    names = [name for name, _ in told]
+    got = packs.groupBy("key").transformWithState(_InOrder(machine, [key, *names]), schema, "append", "EventTime")
+    return got.select(key, F.inline(F.arrays_zip(*names)))
 
 
 def ready(spark) -> None:

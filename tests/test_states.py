@@ -1,8 +1,10 @@
 """Streams with a state for each key, against plain loops, however the stream is cut."""
 
+import pickle
 import random
 
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
@@ -55,6 +57,32 @@ def test_a_stream_that_goes_on(spark, tmp_path):
     assert run(1, [(1, 3, at(7), "a"), (1, 4, at(8), "b"), (2, 10, at(20), "x")]) == [(1, "a"), (4, "b"), (9, "x")]
 
 
+def test_changes_go_to_states_in_packs():
+    """A row for each key and 4,096 changes of it, with the last of their times; nothing is lost."""
+    rng = random.Random(5)
+    rows = [(k, i, i // 3, f"t{i % 7}") for i, k in enumerate(rng.choices("abc", [1, 40, 400], k=12_000))]
+    batches = [pa.record_batch([pa.array(c) for c in zip(*[(k, pd.Timestamp(at, unit="ms"), at, n, t) for k, at, n, t in rows[lo : lo + 500]], strict=True)], names=["key", "_time", "at", "number", "track_id"]) for lo in range(0, len(rows), 500)]
+    got = [r for b in states._packed(iter(batches)) for r in b.to_pylist()]
+    back = [(r["key"], *c) for r in got for c in zip(*pickle.loads(r["body"]), strict=True)]
+    assert sorted(back) == sorted(rows) and len(got) == sum(-(-sum(r[0] == k for r in rows) // 4096) for k in "abc")
+    assert all(r["_time"] == pd.Timestamp(max(pickle.loads(r["body"])[0]), unit="ms").to_pydatetime() for r in got)
+    assert not list(states._packed(iter([batches[0].slice(0, 0)])))
+
+
+def test_a_player_with_very_many_changes(spark, tmp_path):
+    """More than a pack takes, and a late change in one pack with new ones."""
+    base = pd.Timestamp("2024-05-01")
+    at = lambda i: (base + pd.Timedelta(seconds=i)).to_pydatetime()
+    rows = [(1, i, at(3 * i), f"t{i}") for i in range(10_000)]
+    random.Random(3).shuffle(rows)
+    others = lambda n, t: [(2, n + i, at(t), "x") for i in range(10_000)]
+    last = [(1, 50_000, at(5), "late"), (1, 50_001, at(40_000), "new"), (1, 50_002, at(60_000), "last"), *others(60_000, 60_000)[3:]]
+    states.ready(spark)
+    stream = cut(spark, tmp_path / "in", rows + others(20_000, 31_000) + last, SCHEMA, 3)
+    got = plays.run_once(states.followed(stream, "player", "at", "event_id", states.CHANGES)).collect()
+    assert sorted(r.event_id for r in got) == [*range(10_000), 20_000, 50_001]
+
+
 def change(machine, at, *values):
     names = ["at", "number", *(c.split()[0] for c in machine.change.split(", "))]
     return Row(*names)(at, at, *values)
