@@ -11,8 +11,9 @@ reads no lists. ``shards`` gives each file's place in the whole from these count
 
 Text is encoded between spaces, tabs and line ends, which the tokenizer drops and
 no rule of it reaches across, so an id list is the same as that of the whole text;
-chunks met before come from a cache of CACHED entries, and words without the marks
-after them, too, where the file's own pattern parts them. A text is cut into pieces of
+chunks met before come from a cache of CACHED entries, of which the earlier half stays
+when it is full. Words are parted from the marks after them where the file's own
+pattern does so. A text is cut into pieces of
 about PIECE characters at such places; a chunk without any is encoded whole. So a
 text needs memory for its ids, not for the encoder's view of all of them.
 
@@ -25,8 +26,10 @@ without rows. The tokenizer's file must lie under the same path on every executo
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
+import re
 import string
 import uuid
 import zlib
@@ -44,7 +47,7 @@ from .shared import id_and_text, row_key, shared_folder
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 END_ID = 2
 #: Characters of text that are encoded at a time, and chunks that a worker remembers.
-PIECE, CACHED, LONGEST_CACHED = 1 << 20, 300_000, 64
+PIECE, CACHED, LONGEST_CACHED = 1 << 20, 500_000, 64
 #: Rows that a task gives out at a time, in ids.
 BATCH_IDS = 1 << 20
 #: Sizes of a row group and of a page in bytes, and rows of a page at most.
@@ -53,6 +56,8 @@ ROW_GROUP, PAGE, PAGE_ROWS = 64 << 20, 256 << 10, 4096
 PATTERN, END = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+", "</w>"
 #: Marks that may follow a word: of ASCII, all but the apostrophe, which begins groups with letters in them.
 MARKS = string.punctuation.replace("'", "")
+#: Marks between a letter or digit and white space; the mark comes first, so that the search for it is fast. Of letters, those of three scripts that stay one letter in lower case.
+TAILS = re.compile(rf"[{re.escape(MARKS)}](?<=[A-Za-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f\u0391-\u03a1\u03a3-\u03f5\u0400-\u0481\u048a-\u052f].)[{re.escape(MARKS)}]*(?=[ \n\t\r]|\Z)")
 _codecs: dict = {}
 
 
@@ -66,6 +71,7 @@ class Codec:
         self.several: set[str] = set()
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.groups = all(json.dumps(x) in self.tokenizer.to_str() for x in (PATTERN, "Lowercase"))
+        self.tails = self.groups and all("<|" in t.content for t in self.tokenizer.get_added_tokens_decoder().values())
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith(END)]] = True
 
@@ -85,17 +91,14 @@ class Codec:
 
     def _learn(self, chunks: set[str]) -> dict[str, bytes]:
         """Ids of new chunks. Letters, and the marks after them, are token groups of their own, so they are looked up apart."""
-        words, odd, cut, known = [], [], [], self.known
-        for c in chunks:
+        words, odd, cut, known = [c for c in chunks if self.groups and c.isalpha()], [], [], self.known
+        for c in chunks.difference(words):
             core = c.rstrip(MARKS) if self.groups else ""
             if not core.isalpha() or "<|" in c:
                 odd.append(c)
-            elif len(core) == len(c):
-                words.append(c)
             else:
                 cut.append((c, core, c[len(core) :]))
-        new = set(words).union(x[1] for x in cut).union(x[2] for x in cut) - known.keys()
-        words = list(new)
+        words += {x for pair in cut for x in pair[1:]}.difference(known, words)
         out: dict[str, bytes] = {}
         for lo in range(0, len(words), 4096):
             out.update(zip(words[lo : lo + 4096], self._joined(words[lo : lo + 4096]), strict=True))
@@ -110,10 +113,12 @@ class Codec:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as 32-bit integers."""
         lower = [t.lower() if self.groups and t.isascii() and "<|" not in t else t for t in texts]  # as the tokenizer does, for fewer chunks
+        if self.tails:
+            lower = [t if "<|" in t else TAILS.sub(r" \g<0>", t) for t in lower]
         cut = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in lower]
-        if len(self.known) > CACHED:
-            self.known = {"": b""}
-        new = self._learn(set().union(*cut) - self.known.keys())
+        if len(self.known) > CACHED:  # what is frequent was met early
+            self.known = dict(itertools.islice(self.known.items(), CACHED // 2))
+        new = self._learn(set().union(*cut).difference(self.known))
         long = {c: ids for c, ids in new.items() if len(c) > LONGEST_CACHED}
         for c in long:
             del new[c]

@@ -37,6 +37,20 @@ def test_chunks_encode_as_whole_texts(text):
     assert b"".join(c.encode([p])[0] for p in token_files.pieces(text, 5)) == c.encode([text])[0]
 
 
+def test_marks_after_words_and_a_full_memory(monkeypatch):
+    """Chunks and their tails encode as whole texts, and words met first are still known once the memory is full."""
+    monkeypatch.setattr(token_files, "CACHED", 200)
+    rng, c = random.Random(4), token_files.Codec(token_files.TOKENIZER)
+    whole = lambda t: c.tokenizer.encode(t, add_special_tokens=False).ids
+    parts = ["word", "Ab9", "\u0130", "\u00e9", "\u03a3", "\u0431", "\u00d7", "\u0482", "e\u0301", "'s", "'", ",", ".", "...", "\u201d", "_", "]", "<|", "|>", "endoftext", "[SEP]", "\u00b2", "\x1c", " ", " ", "\n", "\t", "\u00a0"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 12))) for _ in range(3000)] + ["word, " + " ".join(f"w{i}, x{i}." for i in range(300))]
+    for t in texts:
+        assert np.frombuffer(c.encode([t])[0], np.int32).tolist() == whole(t), t
+    for i in range(5):
+        c.encode(["word, " + " ".join(f"{chr(97 + i)}{k:x}." for k in range(300))])
+    assert "word" in c.known and len(c.known) < 1000 and "word," not in c.known
+
+
 def test_token_files(spark, tmp_path):
     rows, docs = odd_docs(spark)
     t = Tokenizer.from_file(token_files.TOKENIZER)
