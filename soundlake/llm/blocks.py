@@ -103,7 +103,7 @@ def _prime_powers(base: int, size: int) -> np.ndarray:
 def _power(n: int, lane: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Powers of the lane's bases and of their inverses, modulo 2**64 and modulo the prime; n + 1 of each at least."""
     if lane not in _powers or len(_powers[lane][0]) <= n:
-        size = max(n + 1, BLOCK_BYTES + 2)
+        size = n + 1 if n > BLOCK_BYTES else (1 << max(n - 1, 0).bit_length()) + 2  # as long as the longest block so far asks for, doubled as they grow
         out = []
         for base in (_BASES[lane], pow(_BASES[lane], -1, 2**64)):
             p = np.full(size, base, np.uint64)

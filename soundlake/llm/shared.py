@@ -9,6 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Bytes of rows, about, that one Arrow batch brings to a task's Python worker.
+BATCH_BYTES = 500_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on this session cuts Arrow batches by BATCH_BYTES, so that blocks are small too: a worker keeps what numpy took for its largest block."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -4,7 +4,11 @@ import hashlib
 from collections import Counter
 
 import corpus_pipeline
-from soundlake.llm import stages
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import functions as F
+from soundlake.llm import blocks, stages
+from soundlake.llm.shared import BATCH_BYTES
 
 from .test_lines_and_leaks import leaks_brute, lines_brute, rows_of
 from .test_near_and_quality import near_brute, near_rows
@@ -51,6 +55,28 @@ def test_packed(spark):
     assert max(places.values()) == 1 and all(n == 1 or n * length <= 65_536 for (_, _, length), n in sizes.items())
 
 
+def test_workers_hold_little(spark):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [batch.nbytes]})
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    for stage in (stages.lines, stages.near, stages.packed):
+        spark.conf.unset(key)
+        stage(spark, docs_of(spark, rows_of(7)), "")
+        wide = spark.range(0, 500, 1, 1).select(F.repeat(F.lit("ab "), 5_000).alias("text"))
+        assert max(r.n for r in wide.mapInArrow(sizes, "n long").collect()) <= BATCH_BYTES + 20_000
+
+
+def test_powers_grow_with_blocks():
+    data = np.random.default_rng(1).integers(0, 256, 5_000, np.uint8)
+    blocks._powers.clear()
+    few = blocks.Spans(data[:300])(np.array([0, 17]), np.array([300, 90]))
+    assert sum(x.nbytes for x in blocks._powers[0]) < 100_000
+    assert (blocks.Spans(data)(np.array([0, 17]), np.array([300, 90])) == few).all()
+    assert all(len(x) > 5_000 for x in blocks._powers[0])
+
+
 def test_run(spark):
     sf_dir = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
