@@ -1,8 +1,12 @@
 """What shows only in large tables."""
 
+import base64
+import random
 import unicodedata
 
 import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from soundlake.functions import names, scores
@@ -73,3 +77,59 @@ def test_names_are_folded_without_python(spark):
     found = wants.match_wants(wanted, tracks)
     assert sorted((r.ord, r.id) for r in found.collect()) == [(1, "t1"), (2, "t2"), (3, "t2")]
     assert "Python" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def _written(spark):
+    """Bytes that all stages so far wrote for shuffles."""
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+
+def test_recordings_are_sent_about_twice(spark):
+    """Three full slots of length side by side: a recording went to every block around its own, on both sides."""
+    rng = random.Random(7)
+    rows = [(f"{i:05}", 150 + i % 90 / 20, base64.urlsafe_b64encode(rng.randbytes(720)).decode()) for i in range(6_000)]
+    rows += [(f"x{i:04}", rows[i][1] + 1.5, rows[i][2]) for i in range(0, 6_000, 100)]
+    df = spark.createDataFrame(rows, "id string, duration_sec double, fingerprint string").cache()
+    df.count()
+    before = _written(spark)
+    got = {(r.a_id, r.b_id) for r in identity.duplicate_pairs(df).collect()}
+    assert got == {(f"{i:05}", f"x{i:04}") for i in range(0, 6_000, 100)}
+    assert (_written(spark) - before) / len(rows) < 4_500
+
+
+@pytest.mark.parametrize("threshold", [0.12, 0.3, 0.4])
+def test_pairs_of_what_is_held_and_what_passes_by(monkeypatch, threshold):
+    """Blocks of 8 in batches of 7, so that groups are cut anywhere; some alike, some without anything that varies in a segment or at all."""
+    monkeypatch.setattr(identity, "BLOCK", 8)
+    monkeypatch.setattr(identity, "PASSING", 16)
+    rng = np.random.default_rng(4)
+    cells = rng.integers(0, 256, (150, 3, 20, 12))
+    for i in range(0, 150, 3):  # copies with noise, some far off
+        cells[i] = np.clip(cells[rng.integers(150)] + rng.normal(0, 1, cells[i].shape) * i / 2, 0, 255).round()
+    cells[60:110] = np.clip(cells[60] + rng.normal(0, 9, cells[60:110].shape), 0, 255).round()
+    cells[[5, 17, 140]], cells[[8, 30, 100], 1], cells[[9, 31], 0], cells[12, 1, 1:] = 7, 3, 2, cells[12, 1, 1]
+    secs, prints = np.sort(rng.integers(0, 90, 150) / 20), cells.astype(np.uint8)
+    far = identity._distances(prints.astype(float), prints.astype(float))
+    with np.errstate(invalid="ignore"):
+        near = (far <= threshold) & (np.abs(secs[:, None] - secs) <= 1.5)
+    names_ = [f"{i * 7 % 150:03}" for i in range(150)]
+    for once in (True, False):
+        rows = []
+        for i in range(150):
+            slot = int(secs[i] // 1.5)
+            for way in (0, -1) if once else (0, -1, 1):
+                rows += [(slot + way, part, 1, secs[i], i) for part in (0, 1) if way or not once or part < i % 2]
+            rows.append((slot, i % 2, 0, secs[i], i))
+        slots, parts, passes, sec, at = zip(*sorted(rows))
+        table = pa.table({"slot": slots, "part": parts, "passes": pa.array(passes, pa.int32()), "id": [names_[i] for i in at], "sec": sec, "print": [prints[i].tobytes() for i in at]})
+        got = [(r["a_id"], r["b_id"], r["distance"]) for b in identity._compare(1.5, threshold, once)(iter(table.to_batches(max_chunksize=7))) for r in b.to_pylist()]
+        want = {(names_[i], names_[j]): far[i, j] for i, j in zip(*np.nonzero(near)) if not once or names_[i] < names_[j]}
+        assert len(got) == len(want) and all(abs(want[a, b] - d) < 1e-12 for a, b, d in got)
+
+
+def test_lengths_that_are_no_numbers_are_near_none(spark):
+    text = base64.urlsafe_b64encode(random.Random(8).randbytes(720)).decode()
+    rows = [(f"{n}{k}", sec, text) for n, sec in enumerate((float("nan"), float("inf"), 1e300, 100.0)) for k in "ab"]
+    got = identity.duplicate_pairs(spark.createDataFrame(rows, "id string, duration_sec double, fingerprint string")).collect()
+    assert sorted(map(tuple, got)) == [("2a", "2b", 0.0), ("3a", "3b", 0.0)]
