@@ -5,6 +5,7 @@ import random
 import unicodedata
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -133,3 +134,21 @@ def test_lengths_that_are_no_numbers_are_near_none(spark):
     rows = [(f"{n}{k}", sec, text) for n, sec in enumerate((float("nan"), float("inf"), 1e300, 100.0)) for k in "ab"]
     got = identity.duplicate_pairs(spark.createDataFrame(rows, "id string, duration_sec double, fingerprint string")).collect()
     assert sorted(map(tuple, got)) == [("2a", "2b", 0.0), ("3a", "3b", 0.0)]
+
+
+@pytest.mark.parametrize("query", ["duplicate_groups"])
+def test_recordings_are_read_once(spark, query):
+    """They were written whole, or made again, for each step."""
+    read = spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf("string")
+    def told(texts: pd.Series) -> pd.Series:
+        read.add(len(texts))
+        return texts
+
+    rng = random.Random(9)
+    rows = [(f"{i:03}", 100.0, base64.urlsafe_b64encode(rng.randbytes(720)).decode(), float(i % 4), 0.5) for i in range(40)]
+    rows += [(f"x{r[0]}", *r[1:3], 9.0, 0.5) for r in rows[:10]]
+    df = spark.createDataFrame(rows, "id string, duration_sec double, fingerprint string, loudness_db double, compression double").withColumn("fingerprint", told("fingerprint"))
+    got = getattr(identity, query)(df).collect()
+    assert len({r.group_id for r in got}) == 10 and read.value == len(rows)
