@@ -136,7 +136,7 @@ def test_lengths_that_are_no_numbers_are_near_none(spark):
     assert sorted(map(tuple, got)) == [("2a", "2b", 0.0), ("3a", "3b", 0.0)]
 
 
-@pytest.mark.parametrize("query", ["duplicate_groups"])
+@pytest.mark.parametrize("query", ["duplicate_groups", "duplicate_verdicts"])
 def test_recordings_are_read_once(spark, query):
     """They were written whole, or made again, for each step."""
     read = spark.sparkContext.accumulator(0)
