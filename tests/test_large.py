@@ -152,3 +152,10 @@ def test_recordings_are_read_once(spark, query):
     df = spark.createDataFrame(rows, "id string, duration_sec double, fingerprint string, loudness_db double, compression double").withColumn("fingerprint", told("fingerprint"))
     got = getattr(identity, query)(df).collect()
     assert len({r.group_id for r in got}) == 10 and read.value == len(rows)
+
+
+def test_texts_that_are_no_fingerprints_are_like_none(spark):
+    good = base64.urlsafe_b64encode(random.Random(10).randbytes(720)).decode()
+    texts = [good, good, good[:-1] + "\n", good[:-1] + "\n", good[:-1] + "=", good[:-1] + "é", good + "A", good[:-4], "", None]
+    df = spark.createDataFrame([(i, 100, t) for i, t in enumerate(texts)], "id long, duration_sec int, fingerprint string")
+    assert [tuple(r) for r in identity.duplicate_pairs(df).collect()] == [(0, 1, 0.0)]
